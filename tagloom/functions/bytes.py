@@ -1,64 +1,62 @@
-"""Reading and writing numbers and text in binary columns.
+"""Reading and writing numbers and text in binary values.
 
-Everything here is a plain Column expression, so no row leaves the JVM.
-Positions are counted from 0 and may be any BIGINT: a position that cannot be
-one in a binary value gives NULL or no bytes, never an error.
+Only built-in functions, so no row leaves the JVM. Positions are counted from 0
+and may be any BIGINT: a position that cannot be one in a binary value gives
+NULL or no bytes, never an error.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
-
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """Compute ``value`` once and use it many times in ``body``.
+def let(value: str, name: str, body: str) -> str:
+    """Compute ``value`` once and use it as ``name`` in ``body``.
 
     A lambda variable is read by reference. A column of the row would be copied
     out of the row at every mention, which matters for whole image files.
     """
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+    return f"transform(array({value}), {name} -> {body})[0]"
 
 
-def cut(data: Column, start: Column, size: Column | int) -> Column:
+def cut(data: str, start: str, size: str | int) -> str:
     """``size`` bytes from ``start`` on; fewer where the data ends."""
-    length = F.lit(size) if isinstance(size, int) else size.try_cast("int")
-    return F.substring(data, (start + 1).try_cast("int"), length)
+    return f"substring({data}, try_cast({start} + 1 AS INT), try_cast({size} AS INT))"
 
 
-def unsigned(raw: Column) -> Column:
+def unsigned(raw: str) -> str:
     """Big-endian bytes (at most 4) as a BIGINT; NULL for no bytes."""
-    return F.conv(F.hex(raw), 16, 10).cast("bigint")
+    return f"CAST(conv(hex({raw}), 16, 10) AS BIGINT)"
 
 
-def signed(plain: Column, bits: int) -> Column:
+def signed(plain: str, bits: int) -> str:
     """An unsigned number of ``bits`` bits read as a signed one."""
-    return plain - F.shiftright(plain, bits - 1) * (1 << bits)
+    return f"({plain} - shiftright({plain}, {bits - 1}) * {1 << bits})"
 
 
-def reversed_bytes(raw: Column) -> Column:
+def reversed_bytes(raw: str) -> str:
     """The bytes back to front. ISO-8859-1 has one character for every byte."""
-    return F.encode(F.reverse(F.decode(raw, "ISO-8859-1")), "ISO-8859-1")
+    return f"encode(reverse(decode({raw}, 'ISO-8859-1')), 'ISO-8859-1')"
 
 
-def big_endian(raw: Column, little: Column) -> Column:
-    """Turn a number around where the block is little-endian (and back again)."""
-    return F.when(little, reversed_bytes(raw)).otherwise(raw)
+def big_endian(raw: str, little: str) -> str:
+    """Turn bytes around where the block is little-endian (and back again)."""
+    return f"IF({little}, {reversed_bytes(raw)}, {raw})"
 
 
-def number(data: Column, start: Column, size: int, little: Column) -> Column:
+def number(data: str, start: str, size: int, little: str) -> str:
     """The unsigned number of ``size`` bytes at ``start``; NULL if it is cut off."""
-    whole = start + size <= F.length(data)
-    return F.when(whole, unsigned(big_endian(cut(data, start, size), little)))
+    raw = big_endian(cut(data, start, size), little)
+    return f"CASE WHEN {start} + {size} <= length({data}) THEN {unsigned(raw)} END"
 
 
-def number_bytes(value: Column, size: int, little: Column) -> Column:
+def number_bytes(value: str, size: int, little: str) -> str:
     """The last ``size`` bytes of a whole number in the block's byte order."""
-    digits = F.right(F.lpad(F.hex(value), 16, "0"), F.lit(2 * size))
-    return big_endian(F.unhex(digits), little)
+    return big_endian(f"unhex(right(lpad(hex({value}), 16, '0'), {2 * size}))", little)
+
+
+def zeros(size: str) -> str:
+    return f"unhex(repeat('00', CAST({size} AS INT)))"
 
 
-def zeros(size: Column) -> Column:
-    return F.unhex(F.repeat(F.lit("00"), size.cast("int")))
+def count_up(n: str) -> str:
+    """0 to n - 1. (A sequence from 0 to -1 would count down.)"""
+    return f"IF({n} > 0, sequence(0L, {n} - 1), CAST(array() AS ARRAY<BIGINT>))"

@@ -11,15 +11,15 @@ expression: each names its result, and Spark merges those used only once.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagloom.functions.bytes import let, number
+from tagloom.functions.bytes import big_endian, count_up, cut, let, number, unsigned
 
 # Fixed values of the TIFF and Exif file formats.
 # Bytes per element, by type code: 1 BYTE, 2 ASCII, 3 SHORT, 4 LONG, 5 RATIONAL,
 # 6 SBYTE, 7 UNDEFINED, 8 SSHORT, 9 SLONG, 10 SRATIONAL, 11 FLOAT, 12 DOUBLE, 13 IFD.
-WIDTHS = [None, 1, 1, 2, 4, 8, 1, 1, 2, 4, 8, 4, 8, 4]
+WIDTHS = "NULL, 1, 1, 2, 4, 8, 1, 1, 2, 4, 8, 4, 8, 4"
 LITTLE = "4949"
 BIG = "4D4D"
 # Entries that hold the position of another directory, by directory.
@@ -31,134 +31,109 @@ POINTERS = [
 IFDS = ["ifd0", "exif", "gps", "interop", "ifd1"]
 
 
-def width(type_code: Column) -> Column:
-    return F.get(F.array(*[F.lit(w).cast("int") for w in WIDTHS]), type_code)
-
-
-def count_up(n: Column) -> Column:
-    """0 to n - 1. (A sequence from 0 to -1 would count down.)"""
-    return F.when(n > 0, F.sequence(F.lit(0).cast("bigint"), n - 1)).otherwise(
-        F.array().cast("array<bigint>")
-    )
+def width(type_code: str) -> str:
+    return f"get(array({WIDTHS}), {type_code})"
 
 
 def with_directories(blocks: DataFrame) -> DataFrame:
     """Add ``little`` (byte order, NULL if unreadable) and ``dirs``, an array of
-    (ifd, at, entries), to rows with a ``block``.
+    (ifd, pos, n, raw), to rows with a ``block``.
 
     The set is fixed by the format: the main directory, the thumbnail's after
     it, and those the pointer entries name. Hence no recursion, and a pointer
     that leads back to its own directory does no harm.
     """
-    mark = F.hex(F.substring("block", 1, 2))
-    little = F.when(mark == LITTLE, F.lit(True)).when(mark == BIG, F.lit(False))
-    rows = blocks.withColumn("little", little)
-    rows = rows.withColumn("ifd0_at", _number(F.when(F.col("little").isNotNull(), 4), 4))
-    rows = rows.withColumn("ifd0_entries", _entries("ifd0"))
-    rows = rows.withColumns(_targets("ifd0") | {"ifd1_at": _number(_end("ifd0"), 4)})
-    rows = rows.withColumns({f"{ifd}_entries": _entries(ifd) for ifd in ("exif", "gps", "ifd1")})
-    rows = rows.withColumns(_targets("exif"))
-    rows = rows.withColumn("interop_entries", _entries("interop"))
-    found = F.array(
-        *[
-            F.struct(
-                F.lit(ifd).alias("ifd"),
-                F.col(f"{ifd}_at").alias("at"),
-                F.col(f"{ifd}_entries").alias("entries"),
-            )
-            for ifd in IFDS
-        ]
+    mark = "hex(substring(block, 1, 2))"
+    little = f"CASE {mark} WHEN '{LITTLE}' THEN TRUE WHEN '{BIG}' THEN FALSE END"
+    main = number("block", "IF(little IS NULL, NULL, 4L)", 4, "little")
+    after_main = number("block", "(ifd0_pos + 2 + ifd0_n * 12)", 4, "little")
+    others = ("exif", "gps", "ifd1")
+    steps = [
+        {"little": little},
+        {"ifd0_pos": main},
+        {"ifd0_n": _entries("ifd0")},
+        {"ifd0_raw": _raw("ifd0"), "ifd1_pos": after_main},
+        _targets("ifd0"),
+        {f"{ifd}_n": _entries(ifd) for ifd in others},
+        {f"{ifd}_raw": _raw(ifd) for ifd in others},
+        _targets("exif"),
+        {"interop_n": _entries("interop")},
+        {"interop_raw": _raw("interop")},
+    ]
+    rows = blocks
+    for step in steps:
+        rows = rows.withColumns({name: F.expr(sql) for name, sql in step.items()})
+    found = ", ".join(
+        f"struct('{ifd}' AS ifd, {ifd}_pos AS pos, {ifd}_n AS n, {ifd}_raw AS raw)"
+        for ifd in IFDS
     )
-    present = F.filter(found, lambda d: d["entries"].isNotNull())
-    return rows.select(*blocks.columns, "little", present.alias("dirs"))
+    dirs = f"filter(array({found}), d -> d.n IS NOT NULL) AS dirs"
+    return rows.selectExpr(*blocks.columns, "little", dirs)
 
 
-def with_slots(blocks: DataFrame) -> DataFrame:
+def with_slots(rows: DataFrame) -> DataFrame:
     """Add ``slots``, one struct per directory entry, to rows with directories.
 
-    ``entry`` is where the entry starts, ``at`` and ``size`` where the value
+    ``entry`` is where the entry starts, ``pos`` and ``size`` where the value
     lies; ``size`` is NULL for a type code that the format does not know.
     """
-    places = F.flatten(
-        F.transform(
-            "dirs",
-            lambda d: F.transform(
-                count_up(d["entries"]),
-                lambda k: F.struct(d["ifd"].alias("ifd"), (d["at"] + 2 + k * 12).alias("entry")),
-            ),
-        )
+    head = f"""struct(d.ifd AS ifd, {_tag('d.raw', 'd.n')} AS tag, {_type('d.raw', 'd.n')} AS type,
+        {_count('d.raw', 'd.n')} AS count, d.pos + 2 + k * 12 AS entry,
+        {_field('d.raw', 'd.n')} AS field)"""
+    heads = f"flatten(transform(dirs, d -> transform({count_up('d.n')}, k -> {head})))"
+    size = f"h.count * {width('h.type')}"
+    slot = f"""struct(h.ifd AS ifd, h.tag AS tag, h.type AS type, h.count AS count,
+        h.entry AS entry, IF({size} <= 4, h.entry + 8, h.field) AS pos, {size} AS size)"""
+    return rows.withColumn("heads", F.expr(heads)).selectExpr(
+        *rows.columns, f"transform(heads, h -> {slot}) AS slots"
     )
 
-    def head(block: Column, place: Column) -> Column:
-        def field(offset: int, size: int) -> Column:
-            return number(block, place["entry"] + offset, size, F.col("little"))
-
-        return F.struct(
-            place["ifd"].alias("ifd"),
-            place["entry"].alias("entry"),
-            field(0, 2).cast("int").alias("tag"),
-            field(2, 2).cast("int").alias("type"),
-            field(4, 4).alias("count"),
-            field(8, 4).alias("field"),
-        )
 
-    def slot(h: Column) -> Column:
-        size = h["count"] * width(h["type"])
-        return F.struct(
-            h["ifd"].alias("ifd"),
-            h["tag"].alias("tag"),
-            h["type"].alias("type"),
-            h["count"].alias("count"),
-            h["entry"].alias("entry"),
-            F.when(size <= 4, h["entry"] + 8).otherwise(h["field"]).alias("at"),
-            size.alias("size"),
-        )
+def _entries(ifd: str) -> str:
+    """The entry count; NULL unless the directory lies wholly inside the block."""
+    n = number("block", f"{ifd}_pos", 2, "little")
+    inside = f"{ifd}_pos > 0 AND {ifd}_pos + 2 + ({n}) * 12 <= length(block)"
+    return f"CASE WHEN {inside} THEN {n} END"
 
-    return (
-        blocks.withColumn("places", places)
-        .withColumn(
-            "heads", let(F.col("block"), lambda b: F.transform("places", lambda p: head(b, p)))
-        )
-        .select(*blocks.columns, F.transform("heads", slot).alias("slots"))
-    )
 
+def _raw(ifd: str) -> str:
+    """The entries, turned around as a whole if little-endian: then every number
+    in them reads big-endian, the last entry comes first and so does its end."""
+    return big_endian(cut("block", f"{ifd}_pos + 2", f"{ifd}_n * 12"), "little")
 
-def _number(at: Column, size: int) -> Column:
-    return number(F.col("block"), at, size, F.col("little"))
 
+def _part(raw: str, n: str, big: int, small: int, size: int) -> str:
+    """A number of entry ``k``, ``big`` bytes into it or ``small`` if turned around."""
+    start = f"IF(little, ({n} - 1 - k) * 12 + {small}, k * 12 + {big})"
+    return unsigned(cut(raw, start, size))
 
-def _end(ifd: str) -> Column:
-    """Behind the last entry, where the position of the next directory is."""
-    return F.col(f"{ifd}_at") + 2 + F.col(f"{ifd}_entries") * 12
 
+def _tag(raw: str, n: str) -> str:
+    return f"CAST({_part(raw, n, 0, 10, 2)} AS INT)"
 
-def _entries(ifd: str) -> Column:
-    """The entry count; NULL unless the directory lies wholly inside the block."""
-    at = F.col(f"{ifd}_at")
-    entries = _number(at, 2)
-    return F.when((at > 0) & (at + 2 + entries * 12 <= F.length("block")), entries)
-
-
-def _targets(source: str) -> dict[str, Column]:
-    """Where the first entry of each pointer tag of a directory points."""
-
-    def search(tag: int) -> Column:
-        def position(block: Column) -> Column:
-            def read(offset: int, size: int, place: Column) -> Column:
-                return number(block, place + offset, size, F.col("little"))
-
-            # One LONG or IFD number, so the entry itself holds the position.
-            hits = F.filter(
-                F.transform(
-                    count_up(F.col(f"{source}_entries")),
-                    lambda k: F.col(f"{source}_at") + 2 + k * 12,
-                ),
-                lambda place: (read(0, 2, place) == tag)
-                & read(2, 2, place).isin(4, 13)
-                & (read(4, 4, place) == 1),
-            )
-            return F.get(F.transform(hits, lambda place: read(8, 4, place)), F.lit(0))
-
-        return let(F.col("block"), position)
-
-    return {f"{name}_at": search(tag) for ifd, tag, name in POINTERS if ifd == source}
+
+def _type(raw: str, n: str) -> str:
+    return f"CAST({_part(raw, n, 2, 8, 2)} AS INT)"
+
+
+def _count(raw: str, n: str) -> str:
+    return _part(raw, n, 4, 4, 4)
+
+
+def _field(raw: str, n: str) -> str:
+    return _part(raw, n, 8, 0, 4)
+
+
+def _targets(source: str) -> dict[str, str]:
+    """Where the first entry of each pointer tag of a directory points. Such an
+    entry is one LONG or IFD number, so the position is in the entry itself."""
+    raw, n = f"{source}_raw", f"{source}_n"
+
+    def search(tag: int) -> str:
+        is_pointer = (
+            f"{_tag(raw, n)} = {tag} AND {_type(raw, n)} IN (4, 13) AND {_count(raw, n)} = 1"
+        )
+        first = f"get(filter({count_up(n)}, k -> {is_pointer}), 0)"
+        return let(first, "k", f"IF(k IS NULL, NULL, {_field(raw, n)})")
+
+    return {f"{name}_pos": search(tag) for ifd, tag, name in POINTERS if ifd == source}

@@ -2,11 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from itertools import chain
-
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from collections.abc import Iterable, Sequence
 
 
 # Fixed values of the Exif standard: tag number -> (name, type code).
@@ -181,18 +177,21 @@ def resolve(names: Sequence[str | tuple[str, int]]) -> list[tuple[str, str, int]
     return found
 
 
-def home_directory(tag: Column) -> Column:
-    """The directory that the standard puts a tag number in; else the main one."""
-    of_exif, of_gps = (list(tags) for tags in (EXIF, GPS))
-    return F.when(tag.isin(of_exif), "exif").when(tag.isin(of_gps), "gps").otherwise("ifd0")
+def home_directory(tag: str) -> str:
+    """SQL: the directory the standard puts a tag number in; else the main one."""
+    return f"""CASE WHEN {tag} IN ({_listed(EXIF)}) THEN 'exif'
+        WHEN {tag} IN ({_listed(GPS)}) THEN 'gps' ELSE 'ifd0' END"""
+
+
+def standard_type(ifd: str, tag: str) -> str:
+    """SQL: the type code the standard gives a tag; text for any other tag."""
+    cases = []
+    for name, tags in HOMES:
+        for code in sorted({code for _, code in tags.values()}):
+            numbers = _listed(t for t, (_, c) in tags.items() if c == code)
+            cases.append(f"WHEN {ifd} = '{name}' AND {tag} IN ({numbers}) THEN {code}")
+    return f"CASE {' '.join(cases)} ELSE 2 END"
 
 
-def standard_type(ifd: Column, tag: Column) -> Column:
-    """The type code that the standard gives a tag; text for any other tag."""
-    types = [
-        (F.lit(f"{name}/{number}"), F.lit(code))
-        for name, tags in HOMES
-        for number, (_, code) in tags.items()
-    ]
-    lookup = F.create_map(*chain.from_iterable(types))
-    return F.coalesce(F.try_element_at(lookup, F.concat_ws("/", ifd, tag.cast("string"))), F.lit(2))
+def _listed(numbers: Iterable[int]) -> str:
+    return ", ".join(str(n) for n in numbers)

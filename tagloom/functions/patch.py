@@ -6,17 +6,11 @@ slot, and a removed entry closes up its directory, which ends in zeros then.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagloom.functions.bytes import cut, let, number_bytes, zeros
-from tagloom.functions.directories import (
-    POINTERS,
-    count_up,
-    width,
-    with_directories,
-    with_slots,
-)
+from tagloom.functions.bytes import count_up, cut, number_bytes, zeros
+from tagloom.functions.directories import POINTERS, width, with_directories, with_slots
 from tagloom.functions.segments import EXIF_HEADER, first_exif
 from tagloom.functions.values import value_bytes
 
@@ -29,7 +23,7 @@ SHARED = "bytes shared with another entry"
 BAD_VALUE = "value does not suit the type"
 TOO_LONG = "longer than its slot"
 
-_REJECTED = "array<struct<ifd: string, tag: int, reason: string>>"
+_REJECTED = "ARRAY<STRUCT<ifd: STRING, tag: INT, reason: STRING>>"
 
 
 def with_patches(images: DataFrame) -> DataFrame:
@@ -38,169 +32,117 @@ def with_patches(images: DataFrame) -> DataFrame:
     ``edits`` is an array of (ifd, tag, value) with at most one per tag, NULL
     for an image that is not edited: its bytes are not even looked at.
     """
-    exif = F.when(F.col("edits").isNotNull(), first_exif(F.col("content")))
-    found = images.withColumn("exif", exif).select(
-        *images.columns, F.col("exif.start").alias("start"), F.col("exif.block").alias("block")
+    exif = f"CASE WHEN edits IS NOT NULL THEN {first_exif('content')} END"
+    found = images.withColumn("exif", F.expr(exif)).selectExpr(
+        *images.columns, "exif.start AS start", "exif.block AS block"
     )
+    steps = [
+        {"claims": _claims(), "plans": _paired()},
+        {"plans": _with_bytes()},
+        {"plans": _with_reason()},
+        {"patched": f"CASE WHEN exists(plans, p -> p.reason IS NULL) THEN {_written()} END"},
+        {"losing": _losing()},
+        {"patched": f"CASE WHEN patched IS NOT NULL THEN {_closed_up()} END"},
+    ]
     rows = with_slots(with_directories(found))
-    rows = rows.withColumn("claims", _claims())
-    rows = rows.withColumn("plans", F.flatten(F.transform("slots", _paired)))
-    rows = rows.withColumn("plans", F.transform("plans", _with_bytes))
-    rows = rows.withColumn("plans", F.transform("plans", _with_reason))
-    rows = rows.withColumn(
-        "patched", F.when(F.exists("plans", lambda p: p["reason"].isNull()), _written())
-    )
-    rows = rows.withColumn("patched", _closed_up())
-    after = F.col("start").cast("int") + EXIF_HEADER + 1
-    result = F.struct(
-        F.when(F.col("patched").isNull(), F.col("content"))
-        .otherwise(F.overlay("content", "patched", after))
-        .alias("content"),
-        _rejected().alias("rejected"),
-    )
+    for step in steps:
+        rows = rows.withColumns({name: F.expr(sql) for name, sql in step.items()})
+    after = f"CAST(start AS INT) + {EXIF_HEADER + 1}"
+    content = f"IF(patched IS NULL, content, overlay(content PLACING patched FROM {after}))"
+    result = f"struct({content} AS content, {_rejected()} AS rejected)"
     # One row in, one row out. Spark pushes no filter through a generator: one
     # on ``rejected`` would otherwise repeat all of the above below it.
-    return rows.select("item_id", F.inline_outer(F.array(result)))
-
-
-def _span(start: Column, size: Column) -> Column:
-    return F.struct(start.alias("start"), (start + size).alias("end"))
+    return rows.selectExpr("item_id", f"inline_outer(array({result}))")
 
 
-def _claims() -> Column:
+def _claims() -> str:
     """The bytes that the header, the directories and the values lie on."""
-    header = F.array(_span(F.lit(0).cast("bigint"), F.lit(8).cast("bigint")))
-    dirs = F.transform("dirs", lambda d: _span(d["at"], 2 + d["entries"] * 12))
-    apart = F.filter("slots", lambda s: s["size"] > 4)
-    return F.concat(header, dirs, F.transform(apart, lambda s: _span(s["at"], s["size"])))
+    return """concat(
+        array(struct(0L AS start, 8L AS end)),
+        transform(dirs, d -> struct(d.pos AS start, d.pos + 2 + d.n * 12 AS end)),
+        transform(filter(slots, s -> s.size > 4),
+                  s -> struct(s.pos AS start, s.pos + s.size AS end)))"""
 
 
-def _crowded(start: Column, size: Column) -> Column:
+def _crowded(start: str, size: str) -> str:
     """Whether anything but the bytes' one owner lies on them."""
-    owners = F.filter("claims", lambda c: (c["start"] < start + size) & (c["end"] > start))
-    return F.size(owners) > 1
+    return f"size(filter(claims, c -> c.start < {start} + {size} AND c.end > {start})) > 1"
 
 
-def _paired(slot: Column) -> Column:
-    """A slot with its edit, in an array; empty without one."""
-    own = F.filter("edits", lambda e: (e["ifd"] == slot["ifd"]) & (e["tag"] == slot["tag"]))
-    names = ("ifd", "tag", "type", "entry", "at", "size")
-    return F.transform(
-        own,
-        lambda e: F.struct(*[slot[n].alias(n) for n in names], e["value"].alias("value")),
-    )
+def _paired() -> str:
+    """The slots that have an edit, each with its edit."""
+    own = "filter(edits, e -> e.ifd = s.ifd AND e.tag = s.tag)"
+    both = """struct(s.ifd AS ifd, s.tag AS tag, s.type AS type, s.entry AS entry,
+        s.pos AS pos, s.size AS size, e.value AS value)"""
+    return f"flatten(transform(slots, s -> transform({own}, e -> {both})))"
 
 
-def _with_bytes(plan: Column) -> Column:
-    names = ("ifd", "tag", "type", "entry", "at", "size")
-    return F.struct(
-        *[plan[n].alias(n) for n in names],
-        plan["value"].isNull().alias("removes"),
-        value_bytes(plan["value"], plan["type"], F.col("little")).alias("data"),
-    )
+def _with_bytes() -> str:
+    return f"""transform(plans, p -> struct(p.ifd AS ifd, p.tag AS tag, p.type AS type,
+        p.entry AS entry, p.pos AS pos, p.size AS size, p.value IS NULL AS removes,
+        {value_bytes('p.value', 'p.type', 'little')} AS data))"""
 
 
-def _with_reason(plan: Column) -> Column:
-    pointer = F.lit(False)
-    for ifd, tag, _ in POINTERS:
-        pointer = pointer | ((plan["ifd"] == ifd) & (plan["tag"] == tag))
-    outside = plan["size"].isNull() | (plan["at"] + plan["size"] > F.length("block"))
+def _with_reason() -> str:
+    pointer = " OR ".join(f"(p.ifd = '{ifd}' AND p.tag = {tag})" for ifd, tag, _ in POINTERS)
     # Closing up a directory also moves the 4-byte position behind its entries.
-    tail = F.when(plan["removes"], 6).otherwise(2)
-    shared = F.exists(
-        "dirs",
-        lambda d: (d["ifd"] == plan["ifd"]) & _crowded(d["at"], d["entries"] * 12 + tail),
-    ) | ((plan["size"] > 4) & _crowded(plan["at"], plan["size"]))
-    reason = (
-        F.when(pointer, IS_POINTER)
-        .when(outside, OUTSIDE)
-        .when(shared, SHARED)
-        .when(plan["removes"], None)
-        .when(plan["data"].isNull(), BAD_VALUE)
-        .when(F.length(plan["data"]) > F.greatest(plan["size"], F.lit(4)), TOO_LONG)
-    )
-    names = ("ifd", "tag", "entry", "at", "size", "removes", "data")
-    return F.struct(
-        *[plan[n].alias(n) for n in names],
-        F.floor(F.length(plan["data"]) / width(plan["type"])).alias("count"),
-        reason.alias("reason"),
-    )
+    extent = "(d.n * 12 + IF(p.removes, 6, 2))"
+    shared = f"""exists(dirs, d -> d.ifd = p.ifd AND {_crowded('d.pos', extent)})
+        OR (p.size > 4 AND {_crowded('p.pos', 'p.size')})"""
+    reason = f"""CASE WHEN {pointer} THEN '{IS_POINTER}'
+        WHEN p.size IS NULL OR p.pos + p.size > length(block) THEN '{OUTSIDE}'
+        WHEN {shared} THEN '{SHARED}'
+        WHEN p.removes THEN NULL
+        WHEN p.data IS NULL THEN '{BAD_VALUE}'
+        WHEN length(p.data) > greatest(p.size, 4) THEN '{TOO_LONG}' END"""
+    return f"""transform(plans, p -> struct(p.ifd AS ifd, p.tag AS tag, p.entry AS entry,
+        p.pos AS pos, p.size AS size, p.removes AS removes, p.data AS data,
+        CAST(length(p.data) DIV {width('p.type')} AS BIGINT) AS count, {reason} AS reason))"""
 
 
-def _written() -> Column:
+def _put(block: str, data: str, start: str) -> str:
+    return f"overlay({block} PLACING {data} FROM CAST({start} + 1 AS INT))"
+
+
+def _written() -> str:
     """The block with new counts and values; what a shorter value leaves over
     becomes zeros."""
+    data = "coalesce(p.data, X'')"
 
-    def padded(data: Column, size: Column) -> Column:
-        return F.concat(data, zeros(size - F.length(data)))
-
-    def put(block: Column, data: Column, at: Column) -> Column:
-        return F.overlay(block, data, (at + 1).cast("int"))
-
-    def one(block: Column, p: Column) -> Column:
-        data = F.coalesce(p["data"], F.lit(b""))
-        inline = F.length(data) <= 4
-        slot = F.when(inline, zeros(p["size"])).otherwise(padded(data, p["size"]))
-        field = F.when(inline, padded(data, F.lit(4))).otherwise(cut(block, p["entry"] + 8, 4))
-        entry = F.concat(number_bytes(p["count"], 4, F.col("little")), field)
-        clean = F.when(p["size"] > 4, put(block, slot, p["at"])).otherwise(block)
-        return F.when(p["removes"], clean).otherwise(put(clean, entry, p["entry"] + 4))
-
-    accepted = F.filter("plans", lambda p: p["reason"].isNull())
-    return F.aggregate(accepted, F.col("block"), one)
-
-
-def _closed_up() -> Column:
-    """The patched block with every directory closed up that loses entries."""
-    removals = F.filter("plans", lambda p: p["reason"].isNull() & p["removes"])
-
-    def places(d: Column, whole: bool) -> Column:
-        if whole:
-            return F.transform(count_up(d["entries"]), lambda k: d["at"] + 2 + k * 12)
-        own = F.filter(removals, lambda p: p["ifd"] == d["ifd"])
-        return F.transform(own, lambda p: p["entry"])
-
-    kept = F.transform(
-        "dirs",
-        lambda d: F.struct(
-            d["at"].alias("at"),
-            d["entries"].alias("entries"),
-            F.array_except(places(d, True), places(d, False)).alias("kept"),
-        ),
-    )
-    losing = F.filter(kept, lambda d: F.size(d["kept"]) < d["entries"])
+    def padded(size: str) -> str:
+        return f"concat({data}, {zeros(f'{size} - length({data})')})"
 
-    def close_up(block: Column, d: Column) -> Column:
-        entries = F.transform(d["kept"], lambda at: F.hex(cut(block, at, 12)))
-        whole = F.concat(
-            number_bytes(F.size(d["kept"]), 2, F.col("little")),
-            F.unhex(F.array_join(entries, "")),
-            cut(block, d["at"] + 2 + d["entries"] * 12, 4),
-            zeros((d["entries"] - F.size(d["kept"])) * 12),
-        )
-        return F.overlay(block, whole, (d["at"] + 1).cast("int"))
+    inline = f"length({data}) <= 4"
+    slot = f"IF({inline}, {zeros('p.size')}, {padded('p.size')})"
+    field = f"IF({inline}, {padded('4')}, {cut('b', 'p.entry + 8', 4)})"
+    entry = f"concat({number_bytes('p.count', 4, 'little')}, {field})"
+    clean = f"IF(p.size > 4, {_put('b', slot, 'p.pos')}, b)"
+    one = f"IF(p.removes, {clean}, {_put(clean, entry, 'p.entry + 4')})"
+    return f"aggregate(filter(plans, p -> p.reason IS NULL), block, (b, p) -> {one})"
 
-    return F.when(F.col("patched").isNotNull(), F.aggregate(losing, F.col("patched"), close_up))
 
+def _losing() -> str:
+    """The directories that lose entries, with the places of those they keep."""
+    places = f"transform({count_up('d.n')}, k -> d.pos + 2 + k * 12)"
+    own = "filter(plans, p -> p.reason IS NULL AND p.removes AND p.ifd = d.ifd)"
+    kept = f"array_except({places}, {own}.entry)"
+    return f"""filter(transform(dirs, d -> struct(d.pos AS pos, d.n AS n, {kept} AS kept)),
+        d -> size(d.kept) < d.n)"""
 
-def _rejected() -> Column:
-    """The edits that were not done, each with its reason."""
 
-    def reason(edit: Column) -> Column:
-        own = F.filter(
-            "plans", lambda p: (p["ifd"] == edit["ifd"]) & (p["tag"] == edit["tag"])
-        )
-        return (
-            F.when(F.col("little").isNull(), NO_BLOCK)
-            .when(F.size(own) == 0, NO_TAG)
-            .otherwise(F.array_max(F.transform(own, lambda p: p["reason"])))
-        )
-
-    judged = F.transform(
-        "edits",
-        lambda e: F.struct(
-            e["ifd"].alias("ifd"), e["tag"].alias("tag"), reason(e).alias("reason")
-        ),
-    )
-    refused = F.filter(judged, lambda r: r["reason"].isNotNull())
-    return F.coalesce(refused, F.array()).cast(_REJECTED)
+def _closed_up() -> str:
+    """The patched block with those directories closed up."""
+    entries = f"unhex(array_join(transform(d.kept, e -> hex({cut('b', 'e', 12)})), ''))"
+    whole = f"""concat({number_bytes('size(d.kept)', 2, 'little')}, {entries},
+        {cut('b', '(d.pos + 2 + d.n * 12)', 4)}, {zeros('(d.n - size(d.kept)) * 12')})"""
+    return f"aggregate(losing, patched, (b, d) -> {_put('b', whole, 'd.pos')})"
+
+
+def _rejected() -> str:
+    """The edits that were not done, each with its reason."""
+    own = "filter(plans, p -> p.ifd = e.ifd AND p.tag = e.tag)"
+    reason = f"""CASE WHEN little IS NULL THEN '{NO_BLOCK}'
+        WHEN size({own}) = 0 THEN '{NO_TAG}' ELSE array_max({own}.reason) END"""
+    judged = f"transform(edits, e -> struct(e.ifd AS ifd, e.tag AS tag, {reason} AS reason))"
+    refused = f"filter({judged}, r -> r.reason IS NOT NULL)"
+    return f"CAST(coalesce({refused}, array()) AS {_REJECTED})"

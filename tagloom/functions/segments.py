@@ -7,109 +7,82 @@ is never taken for an Exif segment.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 from tagloom.functions.bytes import cut, let
 
 # Fixed values of the JPEG and Exif file formats, as hex text.
 START_OF_IMAGE = "FFD8"
 FILL = "FFFF"
-STOPS = ["FFD9", "FFDA"]  # end of image, start of scan
-BARE = [  # markers without a length
+STOPS = ("FFD9", "FFDA")  # end of image, start of scan
+BARE = (  # markers without a length
     "FF01", "FFD0", "FFD1", "FFD2", "FFD3", "FFD4", "FFD5", "FFD6", "FFD7", "FFD8",
-]
+)
 APP1 = "FFE1"
 EXIF = "457869660000"  # "Exif" and two zero bytes
 EXIF_HEADER = 10  # marker, length and the six bytes above
 
 _FIRST_STEPS = 64
-_STATE = "struct<at: bigint, exif: array<struct<start: bigint, size: bigint>>>"
+_STATE = "STRUCT<pos: BIGINT, exif: ARRAY<STRUCT<start: BIGINT, size: BIGINT>>>"
 
 
-def exif_segments(content: Column) -> Column:
+def exif_segments(content: str) -> str:
     """Start and size of every Exif segment, in file order.
 
     Nearly all files end their header within a few segments, so the first steps
     are bounded by a constant. What is left over goes through two nested loops
     that together have one step per byte: no file is given up on.
     """
-    begin = F.struct(
-        F.when(F.hex(F.substring(content, 1, 2)) == START_OF_IMAGE, F.lit(2)).alias("at"),
-        F.array().alias("exif"),
-    ).cast(_STATE)
-
-    def step(state: Column, _: Column) -> Column:
-        return F.when(state["at"].isNull(), state).otherwise(_advance(content, state))
-
-    def rounds(state: Column) -> Column:
-        side = F.ceil(F.sqrt(F.length(content))).cast("int")
-        each = F.sequence(F.lit(1), side)
-        return F.aggregate(
-            each,
-            state,
-            lambda outer, _: F.when(outer["at"].isNull(), outer).otherwise(
-                F.aggregate(each, outer, step)
-            ),
-        )
-
-    walked = let(
-        F.aggregate(F.sequence(F.lit(1), F.lit(_FIRST_STEPS)), begin, step),
-        lambda state: F.when(state["at"].isNull(), state).otherwise(rounds(state)),
+    begin = (
+        f"CASE WHEN hex(substring({content}, 1, 2)) = '{START_OF_IMAGE}' THEN 2L END AS pos,"
+        " array() AS exif"
+    )
+    start = f"CAST(struct({begin}) AS {_STATE})"
+    step = f"(s, i) -> IF(s.pos IS NULL, s, {_advance(content, 's')})"
+    each = f"sequence(1, CAST(ceil(sqrt(length({content}))) AS INT))"
+    rest = (
+        f"aggregate({each}, w, (o, j) -> IF(o.pos IS NULL, o, aggregate({each}, o, {step})))"
+    )
+    return let(
+        f"aggregate(sequence(1, {_FIRST_STEPS}), {start}, {step})",
+        "w",
+        f"IF(w.pos IS NULL, w, {rest})",
+    ) + ".exif"
+
+
+def _advance(content: str, state: str) -> str:
+    marker = "left(h, 4)"
+    size = "CAST(conv(substring(h, 5, 4), 16, 10) AS BIGINT)"
+    after = f"""CASE
+        WHEN length(h) < 8 OR NOT startswith(h, 'FF') OR {marker} IN {STOPS} THEN NULL
+        WHEN {marker} = '{FILL}' THEN {state}.pos + 1
+        WHEN {marker} IN {BARE} THEN {state}.pos + 2
+        WHEN {size} >= 2 THEN {state}.pos + 2 + {size} END"""
+    found = f"array(struct({state}.pos AS start, {size} + 2 AS size))"
+    is_exif = f"{marker} = '{APP1}' AND substring(h, 9, 12) = '{EXIF}' AND {size} >= 8"
+    exif = f"IF({is_exif}, concat({state}.exif, {found}), {state}.exif)"
+    return let(
+        f"hex({cut(content, f'{state}.pos', EXIF_HEADER)})",
+        "h",
+        f"CAST(struct({after} AS pos, {exif} AS exif) AS {_STATE})",
     )
-    return F.when(content.isNotNull(), walked["exif"])
-
-
-def _advance(content: Column, state: Column) -> Column:
-    def move(head: Column) -> Column:
-        marker = F.substring(head, 1, 4)
-        size = F.conv(F.substring(head, 5, 4), 16, 10).cast("bigint")
-        after = (
-            F.when((F.length(head) < 8) | ~head.startswith("FF") | marker.isin(STOPS), None)
-            .when(marker == FILL, state["at"] + 1)
-            .when(marker.isin(BARE), state["at"] + 2)
-            .when(size >= 2, state["at"] + 2 + size)
-        )
-        is_exif = (marker == APP1) & (F.substring(head, 9, 12) == EXIF) & (size >= 8)
-        found = F.array(F.struct(state["at"].alias("start"), (size + 2).alias("size")))
-        return F.struct(
-            after.alias("at"),
-            F.when(is_exif, F.concat(state["exif"], found)).otherwise(state["exif"]).alias("exif"),
-        ).cast(_STATE)
-
-    return let(F.hex(cut(content, state["at"], EXIF_HEADER)), move)
 
 
-def first_exif(content: Column) -> Column:
+def first_exif(content: str) -> str:
     """Where the first Exif segment starts, and the block behind its header."""
-
-    def block(c: Column, s: Column) -> Column:
-        return F.struct(
-            s["start"].alias("start"),
-            cut(c, s["start"] + EXIF_HEADER, s["size"] - EXIF_HEADER).alias("block"),
-        )
-
+    block = cut("c", f"s.start + {EXIF_HEADER}", f"s.size - {EXIF_HEADER}")
     return let(
         content,
-        lambda c: F.get(F.transform(exif_segments(c), lambda s: block(c, s)), F.lit(0)),
+        "c",
+        f"get(transform({exif_segments('c')}, s -> struct(s.start AS start, {block} AS block)), 0)",
     )
 
 
-def without_exif(content: Column) -> Column:
+def without_exif(content: str) -> str:
     """The bytes before, between and behind the Exif segments."""
-
-    def keep(c: Column, segments: Column) -> Column:
-        begin = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit(b"").alias("head"))
-        kept = F.aggregate(
-            segments,
-            begin,
-            lambda acc, s: F.struct(
-                (s["start"] + s["size"]).alias("at"),
-                F.concat(acc["head"], cut(c, acc["at"], s["start"] - acc["at"])).alias("head"),
-            ),
-            # The picture itself lies behind the last segment: it is copied once.
-            lambda acc: F.concat(acc["head"], cut(c, acc["at"], F.length(c))),
-        )
-        return F.when(F.size(segments) > 0, kept).otherwise(c)
-
-    return let(content, lambda c: let(exif_segments(c), lambda segments: keep(c, segments)))
+    piece = cut("c", "acc.pos", "t.start - acc.pos")
+    # The picture itself lies behind the last segment: it is copied once.
+    kept = f"""aggregate(found, struct(0L AS pos, X'' AS head),
+        (acc, t) -> struct(t.start + t.size AS pos, concat(acc.head, {piece}) AS head),
+        acc -> concat(acc.head, {cut('c', 'acc.pos', 'length(c)')}))"""
+    return let(
+        content, "c", let(exif_segments("c"), "found", f"IF(size(found) > 0, {kept}, c)")
+    )

@@ -10,145 +10,134 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tagloom.functions.bytes import big_endian, cut, let, reversed_bytes, signed, unsigned
-from tagloom.functions.directories import count_up, width
-
-# Fixed values of the TIFF file format: type codes and the range of each whole
-# number type (a rational is two LONG or two SLONG numbers).
+from tagloom.functions.bytes import (
+    big_endian,
+    count_up,
+    cut,
+    let,
+    reversed_bytes,
+    signed,
+    unsigned,
+)
+from tagloom.functions.directories import width
+
+# Fixed values of the TIFF file format: type codes, and the range of each whole
+# number type by its code (a rational is two LONG or two SLONG numbers).
 BYTE, ASCII, SHORT, LONG, RATIONAL, SBYTE, UNDEFINED = 1, 2, 3, 4, 5, 6, 7
 SSHORT, SLONG, SRATIONAL, FLOAT, DOUBLE, IFD = 8, 9, 10, 11, 12, 13
-LOWEST = [None, 0, None, 0, 0, 0, -0x80, None, -0x8000, -0x80000000, -0x80000000, None, None, 0]
-HIGHEST = [
-    None, 0xFF, None, 0xFFFF, 0xFFFFFFFF, 0xFFFFFFFF, 0x7F, None, 0x7FFF, 0x7FFFFFFF,
-    0x7FFFFFFF, None, None, 0xFFFFFFFF,
-]
+LOWEST = (
+    "NULL, 0L, NULL, 0L, 0L, 0L, -128L, NULL, -32768L, -2147483648L, -2147483648L,"
+    " NULL, NULL, 0L"
+)
+HIGHEST = (
+    "NULL, 255L, NULL, 65535L, 4294967295L, 4294967295L, 127L, NULL, 32767L, 2147483647L,"
+    " 2147483647L, NULL, NULL, 4294967295L"
+)
 
-_WHOLE = r"^-?[0-9]+( -?[0-9]+)*$"
-_FRACTIONS = r"^-?[0-9]+/-?[0-9]+( -?[0-9]+/-?[0-9]+)*$"
+_WHOLES = "^-?[0-9]+( -?[0-9]+)*$"
+_FRACTIONS = "^-?[0-9]+/-?[0-9]+( -?[0-9]+/-?[0-9]+)*$"
 
 
-def value_text(raw: Column, type_code: Column, count: Column, little: Column) -> Column:
+def value_text(raw: str, type_code: str, count: str, little: str) -> str:
     """The bytes of a value as text; NULL for NULL bytes."""
-    return (
-        F.when(type_code == ASCII, _plain_text(raw))
-        .when(type_code == UNDEFINED, F.hex(raw))
-        .when(raw.isNotNull() & (count == 0), F.lit(""))
-        .when(raw.isNotNull(), _numbers(raw, type_code, count, little))
-    )
-
+    plain = f"rtrim(decode(X'00', 'UTF-8'), try_validate_utf8(CAST({raw} AS STRING)))"
+    return f"""CASE WHEN {raw} IS NULL THEN NULL
+        WHEN {type_code} = {ASCII} THEN {plain}
+        WHEN {type_code} = {UNDEFINED} THEN hex({raw})
+        WHEN {count} = 0 THEN ''
+        ELSE {_numbers(raw, type_code, count, little)} END"""
 
-def _plain_text(raw: Column) -> Column:
-    return F.rtrim(F.try_validate_utf8(raw.cast("string")), F.lit("\0"))
 
-
-def _numbers(raw: Column, type_code: Column, count: Column, little: Column) -> Column:
+def _numbers(raw: str, type_code: str, count: str, little: str) -> str:
     """Elements joined by spaces. A little-endian value is turned around as a
     whole, so every element reads big-endian and the last one comes first."""
-    places = F.transform(count_up(count), lambda i: i * width(type_code))
-
-    def texts(data: Column) -> Column:
-        return F.transform(places, lambda at: _element(data, at, type_code, little))
-
-    forward = let(big_endian(raw, little), texts)
-    return F.array_join(F.when(little, F.reverse(forward)).otherwise(forward), " ")
+    place = f"IF({little}, {count} - 1 - i, i) * {width(type_code)}"
+    element = let(place, "p", _element("data", "p", type_code, little))
+    return let(
+        big_endian(raw, little),
+        "data",
+        f"array_join(transform({count_up(count)}, i -> {element}), ' ')",
+    )
 
 
-def _element(data: Column, at: Column, type_code: Column, little: Column) -> Column:
-    def whole(size: int, bits: int | None = None, start: Column = at) -> Column:
-        plain = unsigned(cut(data, start, size))
+def _element(data: str, start: str, type_code: str, little: str) -> str:
+    def whole(size: int, bits: int | None = None, at: str = start) -> str:
+        plain = unsigned(cut(data, at, size))
         return signed(plain, bits) if bits else plain
 
-    def fraction(bits: int | None) -> Column:
+    def fraction(bits: int | None) -> str:
         # Turned around, a rational has its denominator first.
-        top = whole(4, bits, at + F.when(little, 4).otherwise(0))
-        bottom = whole(4, bits, at + F.when(little, 0).otherwise(4))
-        return F.concat_ws("/", top.cast("string"), bottom.cast("string"))
-
-    return (
-        F.when(type_code == BYTE, whole(1).cast("string"))
-        .when(type_code == SBYTE, whole(1, 8).cast("string"))
-        .when(type_code == SHORT, whole(2).cast("string"))
-        .when(type_code == SSHORT, whole(2, 16).cast("string"))
-        .when(type_code.isin(LONG, IFD), whole(4).cast("string"))
-        .when(type_code == SLONG, whole(4, 32).cast("string"))
-        .when(type_code == RATIONAL, fraction(None))
-        .when(type_code == SRATIONAL, fraction(32))
-        .when(type_code == FLOAT, _float(whole(4)).cast("float").cast("string"))
-        .when(type_code == DOUBLE, _double(whole(4), whole(4, None, at + 4)).cast("string"))
-    )
-
-
-def _float(bits: Column) -> Column:
-    return _real(
-        negative=bits >= 1 << 31,
-        power=F.shiftright(bits, 23).bitwiseAND(F.lit(0xFF)),
-        fraction=bits.bitwiseAND(F.lit((1 << 23) - 1)) / F.lit(float(1 << 23)),
-        bias=127,
-    )
-
-
-def _double(high: Column, low: Column) -> Column:
-    top = high.bitwiseAND(F.lit((1 << 20) - 1)) * (1 << 32) + low
-    return _real(
-        negative=high >= 1 << 31,
-        power=F.shiftright(high, 20).bitwiseAND(F.lit(0x7FF)),
-        fraction=top / F.lit(float(1 << 52)),
-        bias=1023,
-    )
-
-
-def _real(negative: Column, power: Column, fraction: Column, bias: int) -> Column:
-    """A floating-point number from its three fields (IEEE 754)."""
-    size = (
-        F.when((power == 2 * bias + 1) & (fraction > 0), F.lit(float("nan")))
-        .when(power == 2 * bias + 1, F.lit(float("inf")))
-        .when(power == 0, fraction * F.pow(F.lit(2.0), F.lit(1 - bias)))
-        .otherwise((1 + fraction) * F.pow(F.lit(2.0), power - bias))
-    )
-    return F.when(negative, -size).otherwise(size)
-
-
-def value_bytes(value: Column, type_code: Column, little: Column) -> Column:
+        top = whole(4, bits, f"{start} + IF({little}, 4, 0)")
+        bottom = whole(4, bits, f"{start} + IF({little}, 0, 4)")
+        return f"concat({top}, '/', {bottom})"
+
+    return f"""CASE {type_code}
+        WHEN {BYTE} THEN CAST({whole(1)} AS STRING)
+        WHEN {SBYTE} THEN CAST({whole(1, 8)} AS STRING)
+        WHEN {SHORT} THEN CAST({whole(2)} AS STRING)
+        WHEN {SSHORT} THEN CAST({whole(2, 16)} AS STRING)
+        WHEN {LONG} THEN CAST({whole(4)} AS STRING)
+        WHEN {IFD} THEN CAST({whole(4)} AS STRING)
+        WHEN {SLONG} THEN CAST({whole(4, 32)} AS STRING)
+        WHEN {RATIONAL} THEN {fraction(None)}
+        WHEN {SRATIONAL} THEN {fraction(32)}
+        WHEN {FLOAT} THEN {let(whole(4), 'w', _float('w'))}
+        WHEN {DOUBLE} THEN
+            {let(f"struct({whole(4)} AS high, {whole(4, None, f'{start} + 4')} AS low)", 'w',
+                 _double('w.high', 'w.low'))}
+        END"""
+
+
+def _float(bits: str) -> str:
+    size = _real(f"(shiftright({bits}, 23) & 255)", f"({bits} & {(1 << 23) - 1}) / {1 << 23}D", 127)
+    return f"CAST(CAST(IF({bits} >= {1 << 31}, -1D, 1D) * {size} AS FLOAT) AS STRING)"
+
+
+def _double(high: str, low: str) -> str:
+    fraction = f"(({high} & {(1 << 20) - 1}) * {1 << 32} + {low}) / {1 << 52}D"
+    size = _real(f"(shiftright({high}, 20) & 2047)", fraction, 1023)
+    return f"CAST(IF({high} >= {1 << 31}, -1D, 1D) * {size} AS STRING)"
+
+
+def _real(power: str, fraction: str, bias: int) -> str:
+    """The size of a floating-point number from its fields (IEEE 754)."""
+    return f"""CASE
+        WHEN {power} = {2 * bias + 1} THEN CAST(IF({fraction} > 0, 'NaN', 'Infinity') AS DOUBLE)
+        WHEN {power} = 0 THEN {fraction} * pow(2D, {1 - bias})
+        ELSE (1 + {fraction}) * pow(2D, {power} - {bias}) END"""
+
+
+def value_bytes(value: str, type_code: str, little: str) -> str:
     """The bytes of a value given as text; NULL if the text does not suit the type."""
-
-    def numbers(per_element: int) -> Column:
-        parts = F.split(value, "[ /]")
-        low = F.get(F.array(*[F.lit(v).cast("bigint") for v in LOWEST]), type_code)
-        high = F.get(F.array(*[F.lit(v).cast("bigint") for v in HIGHEST]), type_code)
-        digits = 2 * width(type_code) / per_element
-
-        def pack(wholes: Column) -> Column:
-            fits = F.forall(wholes, lambda n: F.coalesce(n.between(low, high), F.lit(False)))
-            texts = F.transform(
-                wholes, lambda n: F.right(F.lpad(F.hex(n), 16, "0"), digits.cast("int"))
-            )
-            forward = F.unhex(F.array_join(texts, ""))
-            backward = reversed_bytes(F.unhex(F.array_join(F.reverse(texts), "")))
-            return F.when(fits, F.when(little, backward).otherwise(forward))
-
-        return let(F.transform(parts, lambda p: p.try_cast("bigint")), pack)
-
-    return (
-        F.when(type_code == ASCII, F.concat(F.encode(value, "UTF-8"), F.lit(b"\0")))
-        .when(type_code == UNDEFINED, F.unhex(value))
-        .when(
-            type_code.isin(RATIONAL, SRATIONAL),
-            F.when(value.rlike(_FRACTIONS), numbers(2)),
-        )
-        .when(F.get(F.array(*[F.lit(v is not None) for v in LOWEST]), type_code),
-              F.when(value.rlike(_WHOLE), numbers(1)))
+    fits = (
+        f"coalesce(n BETWEEN get(array({LOWEST}), {type_code})"
+        f" AND get(array({HIGHEST}), {type_code}), FALSE)"
     )
+    digits = f"IF({type_code} IN ({RATIONAL}, {SRATIONAL}), 8, 2 * {width(type_code)})"
+    texts = f"transform(numbers, n -> right(lpad(hex(n), 16, '0'), {digits}))"
+    backward = reversed_bytes(f"unhex(array_join(reverse({texts}), ''))")
+    packed = let(
+        f"transform(split({value}, '[ /]'), t -> try_cast(t AS BIGINT))",
+        "numbers",
+        f"CASE WHEN forall(numbers, n -> {fits})"
+        f" THEN IF({little}, {backward}, unhex(array_join({texts}, ''))) END",
+    )
+    return f"""CASE
+        WHEN {type_code} = {ASCII} THEN concat(encode({value}, 'UTF-8'), X'00')
+        WHEN {type_code} = {UNDEFINED} THEN unhex({value})
+        WHEN {type_code} IN ({FLOAT}, {DOUBLE}) THEN NULL
+        WHEN {value} RLIKE
+             IF({type_code} IN ({RATIONAL}, {SRATIONAL}), '{_FRACTIONS}', '{_WHOLES}')
+        THEN {packed} END"""
 
 
-def text_count(value: Column, type_code: Column) -> Column:
+def text_count(value: str, type_code: str) -> str:
     """The element count that a value given as text has."""
-    return (
-        F.when(type_code == ASCII, F.octet_length(value) + 1)
-        .when(type_code == UNDEFINED, F.ceil(F.length(value) / 2))
-        .when(value == "", F.lit(0))
-        .otherwise(F.size(F.split(value, " ")))
-        .cast("bigint")
-    )
+    return f"""CAST(CASE
+        WHEN {type_code} = {ASCII} THEN octet_length({value}) + 1
+        WHEN {type_code} = {UNDEFINED} THEN ceil(length({value}) / 2)
+        WHEN {value} = '' THEN 0
+        ELSE size(split({value}, ' ')) END AS BIGINT)"""
 
 
 def as_numbers(value: Column) -> Column:

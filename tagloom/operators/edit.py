@@ -26,15 +26,14 @@ def last_edits(edits: DataFrame) -> DataFrame:
     reaches the shuffle as one row per task. An edit that names no image or no
     tag addresses nothing and is left out.
     """
-    home = home_directory(F.col("tag"))
-    ifd = F.coalesce(F.col("ifd"), home) if "ifd" in edits.columns else home
-    order = F.struct("seq", F.col("value").isNull().alias("removes"), "value")
+    home = home_directory("tag")
+    ifd = f"coalesce(ifd, {home})" if "ifd" in edits.columns else home
     return (
-        edits.where(F.col("item_id").isNotNull() & F.col("tag").isNotNull())
-        .withColumn("ifd", ifd)
+        edits.where("item_id IS NOT NULL AND tag IS NOT NULL")
+        .withColumn("ifd", F.expr(ifd))
         .groupBy(*KEY)
-        .agg(F.max(order).alias("last"))
-        .select(*KEY, F.col("last.value").alias("new_value"))
+        .agg(F.expr("max(struct(seq, value IS NULL AS removes, value)) AS last"))
+        .selectExpr(*KEY, "last.value AS new_value")
     )
 
 
@@ -49,30 +48,26 @@ def apply_edits(tags: DataFrame, edits: DataFrame) -> DataFrame:
     that are decoded anew each time.
     """
     last = last_edits(edits)
-    edited = F.col("edited").isNotNull()
-    value = F.when(edited, F.col("new_value")).otherwise(F.col("value"))
     changed = (
         tags.join(last.withColumn("edited", F.lit(True)), KEY, "left")
-        .where(~edited | F.col("new_value").isNotNull())
-        .select(
+        .where("edited IS NULL OR new_value IS NOT NULL")
+        .selectExpr(
             *KEY,
             "type",
-            F.when(edited, text_count(F.col("new_value"), F.col("type")))
-            .otherwise(F.col("count"))
-            .alias("count"),
-            value.alias("value"),
+            f"IF(edited, {text_count('new_value', 'type')}, count) AS count",
+            "IF(edited, new_value, value) AS value",
         )
     )
     present = tags.select(*KEY).join(last.select(*KEY), KEY, "left_semi").distinct()
     added = (
-        last.where(F.col("new_value").isNotNull())
+        last.where("new_value IS NOT NULL")
         .join(present, KEY, "left_anti")
-        .withColumn("type", standard_type(F.col("ifd"), F.col("tag")))
-        .select(
+        .withColumn("type", F.expr(standard_type("ifd", "tag")))
+        .selectExpr(
             *KEY,
             "type",
-            text_count(F.col("new_value"), F.col("type")).alias("count"),
-            F.col("new_value").alias("value"),
+            f"{text_count('new_value', 'type')} AS count",
+            "new_value AS value",
         )
     )
     return changed.unionByName(added)
@@ -83,7 +78,7 @@ def strip_metadata(images: DataFrame) -> DataFrame:
 
     Row by row, without a shuffle.
     """
-    return images.withColumn("content", without_exif(F.col("content")))
+    return images.withColumn("content", F.expr(without_exif("content")))
 
 
 def patch_tags(images: DataFrame, edits: DataFrame) -> DataFrame:
@@ -100,15 +95,18 @@ def patch_tags(images: DataFrame, edits: DataFrame) -> DataFrame:
     one per directory and 16-bit tag number; numbers beyond that range cannot be
     in a file and are reported together, once per image.
     """
-    last = last_edits(edits)
-    valid = F.col("tag").between(0, 0xFFFF) & F.col("ifd").isin(IFDS)
+    names = ", ".join(f"'{ifd}'" for ifd in IFDS)
+    valid = f"tag BETWEEN 0 AND 65535 AND ifd IN ({names})"
     per_item = (
-        last.groupBy(
+        last_edits(edits)
+        .selectExpr(
             "item_id",
-            F.when(valid, F.col("ifd")).alias("ifd"),
-            F.when(valid, F.col("tag")).alias("tag"),
+            f"IF({valid}, ifd, NULL) AS ifd",
+            f"IF({valid}, tag, NULL) AS tag",
+            f"IF({valid}, new_value, NULL) AS value",
         )
-        .agg(F.max(F.when(valid, F.col("new_value"))).alias("value"))
+        .groupBy(*KEY)
+        .agg(F.max("value").alias("value"))
         .groupBy("item_id")
         .agg(F.sort_array(F.collect_list(F.struct("ifd", "tag", "value"))).alias("edits"))
     )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tagloom.functions.bytes import cut, let
@@ -24,18 +24,16 @@ def decode_tags(images: DataFrame, names: Names | None = None) -> DataFrame:
     decoded. Images without a readable Exif block give no rows.
     """
     wanted = None if names is None else [(ifd, tag) for _, ifd, tag in resolve(names)]
-    entries = _values(_slots(images), wanted).select(
-        "item_id", "little", F.inline_outer("entries")
-    )
+    entries = _entries(images, wanted).selectExpr("item_id", "little", "inline_outer(entries)")
     # Not inline(): from that Spark infers a filter on the array, pushes it below
     # the decoding, and so decodes everything twice.
-    return entries.where(F.col("tag").isNotNull()).select(
+    return entries.where("tag IS NOT NULL").selectExpr(
         "item_id",
         "ifd",
         "tag",
         "type",
         "count",
-        value_text(F.col("raw"), F.col("type"), F.col("count"), F.col("little")).alias("value"),
+        f"{value_text('raw', 'type', 'count', 'little')} AS value",
     )
 
 
@@ -61,59 +59,40 @@ def view_images(images: DataFrame, names: Names) -> DataFrame:
     (An item_id that several rows of ``images`` share gives a row for each.)
     """
     wanted = resolve(names)
-    entries = _values(_slots(images), [(ifd, tag) for _, ifd, tag in wanted])
-    texts = F.transform(
-        "entries",
-        lambda e: F.struct(
-            e["ifd"].alias("ifd"),
-            e["tag"].alias("tag"),
-            value_text(e["raw"], e["type"], e["count"], F.col("little")).alias("value"),
-        ),
-    )
+    entries = _entries(images, [(ifd, tag) for _, ifd, tag in wanted])
+    value = value_text("e.raw", "e.type", "e.count", "little")
+    texts = f"transform(entries, e -> struct(e.ifd AS ifd, e.tag AS tag, {value} AS value))"
 
-    def show(ifd: str, tag: int) -> Column:
-        found = F.filter("texts", lambda t: (t["ifd"] == ifd) & (t["tag"] == tag))
-        return F.array_max(F.transform(found, lambda t: t["value"]))
+    def show(ifd: str, tag: int) -> str:
+        return f"array_max(filter(texts, t -> t.ifd = '{ifd}' AND t.tag = {tag}).value)"
 
-    columns = [show(ifd, tag).alias(name) for name, ifd, tag in wanted]
-    row = F.struct(F.lit(True).alias("has_tags"), *columns)
+    row = ", ".join(f"{show(ifd, tag)} AS `{name}`" for name, ifd, tag in wanted)
     return (
-        entries.select("item_id", "n_tags", texts.alias("texts"))
-        .select("item_id", F.inline_outer(F.when(F.col("n_tags") > 0, F.array(row))))
+        entries.selectExpr("item_id", "n_tags", f"{texts} AS texts")
+        .selectExpr("item_id", f"inline_outer(IF(n_tags > 0, array(struct(TRUE AS has_tags, {row})), NULL))")
         .where("has_tags")
         .drop("has_tags")
     )
 
 
-def _slots(images: DataFrame) -> DataFrame:
-    blocks = images.select("item_id", first_exif(F.col("content"))["block"].alias("block"))
-    return with_slots(with_directories(blocks))
-
-
-def _values(slots: DataFrame, wanted: list[tuple[str, int]] | None) -> DataFrame:
-    """Replace block and slots by ``entries`` (all or the wanted ones) and the
-    number of all. An entry's bytes are in ``raw``: NULL for a value that is not
-    wholly inside the block."""
+def _entries(images: DataFrame, wanted: list[tuple[str, int]] | None) -> DataFrame:
+    """The entries of each image, all or the wanted ones, and the number of all.
 
-    def entry(block: Column, s: Column) -> Column:
-        inside = (s["size"] >= 0) & (s["at"] + s["size"] <= F.length(block))
-        return F.struct(
-            *[s[name].alias(name) for name in ("ifd", "tag", "type", "count")],
-            F.when(inside, cut(block, s["at"], s["size"])).alias("raw"),
-        )
-
-    def is_wanted(s: Column) -> Column:
-        match = F.lit(False)
-        for ifd in dict.fromkeys(ifd for ifd, _ in wanted):
-            match = match | (
-                (s["ifd"] == ifd) & s["tag"].isin([tag for other, tag in wanted if other == ifd])
-            )
-        return match
-
-    kept = F.col("slots") if wanted is None else F.filter("slots", is_wanted)
-    return slots.select(
+    An entry's bytes are in ``raw``: NULL for a value that is not wholly inside
+    the block. Together they are hardly larger than the block, which ends here.
+    """
+    blocks = images.selectExpr("item_id", f"{first_exif('content')}.block AS block")
+    slots = with_slots(with_directories(blocks))
+    kept = "slots"
+    if wanted is not None:
+        tags = ", ".join(f"('{ifd}', {tag})" for ifd, tag in wanted)
+        kept = f"filter(slots, s -> (s.ifd, s.tag) IN ({tags}))"
+    raw = f"""CASE WHEN s.size >= 0 AND s.pos + s.size <= length(b)
+        THEN {cut('b', 's.pos', 's.size')} END"""
+    entry = f"struct(s.ifd AS ifd, s.tag AS tag, s.type AS type, s.count AS count, {raw} AS raw)"
+    return slots.selectExpr(
         "item_id",
         "little",
-        F.size("slots").alias("n_tags"),
-        let(F.col("block"), lambda b: F.transform(kept, lambda s: entry(b, s))).alias("entries"),
+        "size(slots) AS n_tags",
+        f"{let('block', 'b', f'transform({kept}, s -> {entry})')} AS entries",
     )

@@ -7,10 +7,9 @@ little-endian, odd ones big-endian. ``labels`` becomes edits.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
-from tagloom.functions.bytes import number_bytes, zeros
+from tagloom.functions.bytes import number_bytes
 
 # The files around the Exif block, as hex text. A comment segment holds the Exif
 # marker text twice, once half a byte off: a search would be fooled, a walk is not.
@@ -29,131 +28,113 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def images(spark: SparkSession, sf_dir: str) -> DataFrame:
     """item_id, content: one image per document."""
-    little = F.col("doc_id") % 2 == 0
-    block = F.when(little, _block(True)).otherwise(_block(False))
-    with_block = table(spark, sf_dir, "documents").select(
-        F.col("doc_id").alias("item_id"), "text", block.alias("block")
-    )
-    return with_block.select(
-        "item_id",
-        F.concat(
-            _hex(BEFORE),
-            _hex("FFE1"),
-            number_bytes(F.length("block") + 8, 2, F.lit(False)),
-            _hex(EXIF_TEXT),
-            F.col("block"),
-            _hex(SCAN),
-            F.encode("text", "UTF-8"),
-            _hex(END),
-        ).alias("content"),
+    block = f"IF(doc_id % 2 = 0, {_block(True)}, {_block(False)}) AS block"
+    size = number_bytes("length(block) + 8", 2, "FALSE")
+    content = f"""concat(X'{BEFORE}', X'FFE1', {size}, X'{EXIF_TEXT}', block,
+        X'{SCAN}', encode(text, 'UTF-8'), X'{END}') AS content"""
+    return (
+        table(spark, sf_dir, "documents")
+        .selectExpr("*", "md5(encode(text, 'UTF-8')) AS digest")
+        .selectExpr("doc_id AS item_id", "text", block)
+        .selectExpr("item_id", content)
     )
 
 
 def edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """item_id, tag, seq, value: up to eight edits per labelled document."""
-    toxic, good = F.col("toxic") == 1, F.col("quality") == 1
-    doc = F.col("doc_id")
-
-    def edit(tag: int, seq: int, value: Column | str | None) -> Column:
-        text = F.lit(value) if value is None or isinstance(value, str) else value
-        return F.struct(
-            F.lit(tag).alias("tag"),
-            F.lit(seq).cast("bigint").alias("seq"),
-            text.cast("string").alias("value"),
-        )
-
-    rows = F.array(
-        # Make: the later edit wins; three letters always fit.
-        edit(271, 1, "a draft that is longer than any slot"),
-        edit(271, 2, F.when(good, "lab").otherwise("raw")),
-        # Artist: on equal seq a removal wins over a value.
-        edit(315, 7, "me"),
-        edit(315, 7, F.when(toxic, None).otherwise("us")),
-        # Orientation: on equal seq the larger value wins.
-        edit(274, 3, "1"),
-        edit(274, 3, (doc % 8 + 1)),
-        # A tag of another directory; shorter than before, or far too long.
-        edit(42016, 1, F.when(good, F.concat(F.lit("doc-"), doc)).otherwise(F.repeat(F.lit("x"), 40))),
-        # A tag that no image has.
-        edit(33432, 1, F.when(toxic, None).otherwise("public")),
+    rows = ", ".join(
+        f"struct({tag} AS tag, {seq}L AS seq, {value} AS value)"
+        for tag, seq, value in [
+            # Make: the later edit wins; three letters always fit.
+            (271, 1, "'a draft that is longer than any slot'"),
+            (271, 2, "IF(quality = 1, 'lab', 'raw')"),
+            # Artist: on equal seq a removal wins over a value.
+            (315, 7, "'me'"),
+            (315, 7, "IF(toxic = 1, NULL, 'us')"),
+            # Orientation: on equal seq the larger value wins.
+            (274, 3, "'1'"),
+            (274, 3, "CAST(doc_id % 8 + 1 AS STRING)"),
+            # A tag of another directory; shorter than before, or far too long.
+            (42016, 1, "IF(quality = 1, concat('doc-', doc_id), repeat('x', 40))"),
+            # A tag that no image has.
+            (33432, 1, "IF(toxic = 1, NULL, 'public')"),
+        ]
+    )
+    return table(spark, sf_dir, "labels").selectExpr(
+        "doc_id AS item_id", f"inline(array({rows}))"
     )
-    return table(spark, sf_dir, "labels").select(doc.alias("item_id"), F.inline(rows))
-
-
-def _hex(digits: str) -> Column:
-    return F.lit(bytes.fromhex(digits))
 
 
-def _block(little: bool) -> Column:
-    """The Exif block of a document; every directory is followed by its values."""
-    n = F.col("n_chars")
-    order = F.lit(little)
+def _block(little: bool) -> str:
+    """SQL for the Exif block of a document: each directory, then its values."""
+    order = "TRUE" if little else "FALSE"
 
-    def num(value: Column | int, size: int) -> Column:
-        value = F.lit(value) if isinstance(value, int) else value
-        return number_bytes(value.cast("bigint"), size, order)
+    def num(value: str | int, size: int) -> str:
+        if isinstance(value, int):
+            return f"X'{value.to_bytes(size, 'little' if little else 'big').hex()}'"
+        return number_bytes(f"CAST({value} AS BIGINT)", size, order)
 
-    def text(value: Column | str) -> Column:
-        value = F.lit(value) if isinstance(value, str) else value
-        return F.concat(F.encode(value, "UTF-8"), _hex("00"))
+    def text(value: str) -> str:
+        return f"encode({value}, 'UTF-8'), X'00'"
 
-    def pair(top: Column | int, bottom: int) -> Column:
-        return F.concat(num(top, 4), num(bottom, 4))
+    def pair(top: str | int, bottom: int) -> str:
+        return f"{num(top, 4)}, {num(bottom, 4)}"
 
-    def directory(at: int, entries: list[tuple], after: int = 0) -> Column:
-        """``entries``: (tag, type, count, data, size); a size may be a Column."""
-        place = at + 2 + 12 * len(entries) + 4
+    def directory(start: int, entries: list[tuple], after: int = 0) -> str:
+        """``entries``: (tag, type, count, data, size); a size may be an expression."""
+        place: int | str = start + 2 + 12 * len(entries) + 4
         heads, values = [], []
-        for tag, type_code, count, data, size in entries:
+        for tag, code, count, data, size in entries:
             if isinstance(size, int):
                 short = size <= 4
-                field = F.concat(data, _hex("00" * (4 - size))) if short else num(place, 4)
-                value, room = (_hex(""), 0) if short else (data, size)
+                field = f"{data}, X'{'00' * (4 - size)}'" if short else num(place, 4)
+                value, room = ("X''", 0) if short else (data, size)
             else:
-                field = F.when(size <= 4, F.concat(data, zeros(4 - size))).otherwise(num(place, 4))
-                value = F.when(size <= 4, _hex("")).otherwise(data)
-                room = F.when(size <= 4, 0).otherwise(size)
-            heads.append(F.concat(num(tag, 2), num(type_code, 2), num(count, 4), field))
+                padding = f"unhex(repeat('00', 4 - {size}))"
+                field = f"IF({size} <= 4, concat({data}, {padding}), {num(place, 4)})"
+                value = f"IF({size} <= 4, X'', concat({data}))"
+                room = f"IF({size} <= 4, 0, {size})"
+            heads.append(f"{num(tag, 2)}, {num(code, 2)}, {num(count, 4)}, {field}")
             values.append(value)
-            place = place + room
-        return F.concat(num(len(entries), 2), *heads, num(after, 4), *values)
-
-    def size_of(column: str) -> Column:
-        return F.octet_length(column) + 1
-
-    day = F.date_add(F.lit("2020-01-01").cast("date"), (n % 3650).cast("int"))
-    taken = F.concat(F.replace(day.cast("string"), F.lit("-"), F.lit(":")), F.lit(" 12:00:00"))
-    south = F.when(F.col("doc_id") % 3 == 0, "S").otherwise("N")
+            both_known = isinstance(place, int) and isinstance(room, int)
+            place = place + room if both_known else f"{place} + {room}"
+        return ", ".join([num(len(entries), 2), *heads, num(after, 4), *values])
+
+    day = "CAST(date_add(DATE'2020-01-01', CAST(n_chars % 3650 AS INT)) AS STRING)"
+    taken = f"concat(replace({day}, '-', ':'), ' 12:00:00')"
+    latitude = [pair("n_chars % 90", 1), pair("n_chars % 60", 1), pair("n_chars % 6000", 100)]
+    source, lang = "(octet_length(source) + 1)", "(octet_length(lang) + 1)"
     exif = [
         (36867, 2, 20, text(taken), 20),
-        (37121, 7, 4, _hex("01020300"), 4),
-        (37380, 10, 1, pair(-(n % 7), 3), 8),
-        (37500, 7, 16, F.unhex(F.md5(F.encode("text", "UTF-8"))), 16),
-        (40962, 4, 1, num(n, 4), 4),
+        (37121, 7, 4, "X'01020300'", 4),
+        (37380, 10, 1, pair("-(n_chars % 7)", 3), 8),
+        (37500, 7, 16, "unhex(digest)", 16),
+        (40962, 4, 1, num("n_chars", 4), 4),
         (40965, 4, 1, num(INTEROP_AT, 4), 4),
-        (42016, 2, 33, text(F.md5(F.encode("text", "UTF-8"))), 33),
+        (42016, 2, 33, text("digest"), 33),
     ]
     gps = [
-        (0, 1, 4, _hex("02030000"), 4),
-        (1, 2, 2, text(south), 2),
-        (2, 5, 3, F.concat(pair(n % 90, 1), pair(n % 60, 1), pair(n % 6000, 100)), 24),
+        (0, 1, 4, "X'02030000'", 4),
+        (1, 2, 2, text("IF(doc_id % 3 = 0, 'S', 'N')"), 2),
+        (2, 5, 3, ", ".join(latitude), 24),
     ]
-    interop = [(1, 2, 4, text("R98"), 4)]
+    interop = [(1, 2, 4, text("'R98'"), 4)]
     ifd1 = [(259, 3, 1, num(6, 2), 2)]
     ifd0 = [
-        (271, 2, size_of("source"), text(F.col("source")), size_of("source")),
-        (274, 3, 1, num(n % 8 + 1, 2), 2),
-        (282, 5, 1, pair(n, 72), 8),
-        (315, 2, size_of("lang"), text(F.col("lang")), size_of("lang")),
+        (271, 2, source, text("source"), source),
+        (274, 3, 1, num("n_chars % 8 + 1", 2), 2),
+        (282, 5, 1, pair("n_chars", 72), 8),
+        (315, 2, lang, text("lang"), lang),
         (34665, 4, 1, num(EXIF_AT, 4), 4),
         (34853, 4, 1, num(GPS_AT, 4), 4),
     ]
-    return F.concat(
-        _hex("49492A00" if little else "4D4D002A"),
+    parts = [
+        f"X'{'49492A00' if little else '4D4D002A'}'",
         num(IFD0_AT, 4),
         directory(EXIF_AT, exif),
         directory(GPS_AT, gps),
         directory(INTEROP_AT, interop),
         directory(IFD1_AT, ifd1),
         directory(IFD0_AT, ifd0, after=IFD1_AT),
-    )
+    ]
+    return f"concat({', '.join(parts)})"
