@@ -15,7 +15,7 @@ def scan_images(
 ) -> DataFrame:
     """One row per file: item_id (the path), modificationTime, length, content.
 
-    ``content`` is only read if the query uses it, and filters on length or
+    Spark passes over empty files. ``content`` is only read if the query uses it, and filters on length or
     modificationTime skip files before they are opened. Without ``recursive``,
     directories named ``key=value`` are partitions that filters prune.
     """
@@ -44,7 +44,8 @@ def save_images(
 
     One shuffle of the images, paid once: joins on item_id, such as the one in
     ``patch_tags``, then leave the images where they are. Choose ``buckets`` so
-    that one bucket is about a gigabyte.
+    that one bucket is about a gigabyte, and no fewer than
+    ``spark.sql.shuffle.partitions``: below that Spark prefers to shuffle again.
     """
     placed = images.repartition(buckets, F.col("item_id"))
     _writer(placed, mode).bucketBy(buckets, "item_id").saveAsTable(table)

@@ -1,0 +1,95 @@
+"""Image bytes made with ``struct``, independent of the package's expressions."""
+
+import struct
+
+SIZES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8, 13: 4}
+CODES = {1: "B", 3: "H", 4: "I", 6: "b", 8: "h", 9: "i", 11: "f", 12: "d", 13: "I"}
+
+
+def value_bytes(order, code, value):
+    if code in (2, 7):
+        return value
+    if code in (5, 10):
+        letter = "I" if code == 5 else "i"
+        return b"".join(struct.pack(f"{order}2{letter}", *pair) for pair in value)
+    return struct.pack(f"{order}{len(value)}{CODES[code]}", *value)
+
+
+def block(order, dirs, chain=True):
+    """``dirs``: {name: [(tag, type, value)]}; pointer entries are added here.
+
+    ``order`` is '<' or '>'. Directories are laid out in the given order, each
+    followed by its values.
+    """
+    dirs = {name: sorted(entries) for name, entries in dirs.items()}
+    pointers = {"exif": ("ifd0", 0x8769), "gps": ("ifd0", 0x8825), "interop": ("exif", 0xA005)}
+    counts = {name: len(entries) for name, entries in dirs.items()}
+    for name in dirs:
+        if name in pointers:
+            counts[pointers[name][0]] += 1
+    starts, at = {}, 8
+    data = {n: [(t, c, value_bytes(order, c, v)) for t, c, v in e] for n, e in dirs.items()}
+    for name in dirs:
+        starts[name] = at
+        at += 6 + 12 * counts[name]
+        at += sum(len(raw) for _, _, raw in data[name] if len(raw) > 4)
+    out = (b"II*\0" if order == "<" else b"MM\0*") + struct.pack(order + "I", starts["ifd0"])
+    for name in dirs:
+        rows = list(data[name])
+        for child, (parent, tag) in pointers.items():
+            if child in dirs and parent == name:
+                rows.append((tag, 4, struct.pack(order + "I", starts[child])))
+        rows.sort(key=lambda r: r[0])
+        place = starts[name] + 6 + 12 * len(rows)
+        head, values = struct.pack(order + "H", len(rows)), b""
+        for tag, code, raw in rows:
+            count = len(raw) // SIZES[code]
+            head += struct.pack(order + "HHI", tag, code, count)
+            if len(raw) <= 4:
+                head += raw.ljust(4, b"\0")
+            else:
+                head += struct.pack(order + "I", place + len(values))
+                values += raw
+        after = starts["ifd1"] if name == "ifd0" and "ifd1" in dirs and chain else 0
+        out += head + struct.pack(order + "I", after) + values
+    return out
+
+
+def segment(marker, payload):
+    return b"\xff" + bytes([marker]) + struct.pack(">H", len(payload) + 2) + payload
+
+
+def exif(content):
+    return segment(0xE1, b"Exif\0\0" + content)
+
+
+def jpeg(*segments, picture=b"picture data \xff\xe1\x00\x10Exif\0\0 more"):
+    scan = segment(0xDA, b"\x01\x01\x00\x00\x3f\x00")
+    return b"\xff\xd8" + b"".join(segments) + scan + picture + b"\xff\xd9"
+
+
+SAMPLE = {
+    "ifd0": [
+        (0x010F, 2, b"Maker\0"),
+        (0x0110, 2, b"X1\0"),
+        (0x0112, 3, [6]),
+        (0x011A, 5, [(72, 1)]),
+        (0x0102, 3, [8, 8, 8]),
+        (0x8298, 2, b"one\0two\0"),
+    ],
+    "exif": [
+        (0x9003, 2, b"2020:02:29 23:59:58\0"),
+        (0x9101, 7, b"\x01\x02\x03\x00"),
+        (0x9204, 10, [(-2, 3)]),
+        (0x927C, 7, bytes(range(200)) + b"\xff\xfe"),
+        (0x0A01, 6, [-1, 2, -128]),
+        (0x0A02, 8, [-2, 300]),
+        (0x0A03, 9, [-2147483648, 2147483647]),
+        (0x0A04, 11, [1.5, -0.25, 0.0]),
+        (0x0A05, 12, [3.141592653589793, -1e-310, 2.5e300]),
+        (0x0A06, 13, [4000000000]),
+    ],
+    "gps": [(0, 1, [2, 3, 0, 0]), (1, 2, b"S\0"), (2, 5, [(33, 1), (51, 1), (3000, 100)])],
+    "interop": [(1, 2, b"R98\0")],
+    "ifd1": [(0x0103, 3, [6])],
+}

@@ -1,0 +1,85 @@
+from pyspark.sql import functions as F
+
+from tagloom import decode_tags, patch_tags, save_images, scan_images, write_images
+from tagloom.functions.values import as_degrees, as_numbers, as_rationals, as_timestamp
+from tests.helpers import EDIT, frame, plan
+from tests.makers import SAMPLE, block, exif, jpeg
+from tests.reader import read
+
+
+def files(folder):
+    (folder / "deep").mkdir()
+    data = jpeg(exif(block(">", SAMPLE)))
+    (folder / "a.jpg").write_bytes(data)
+    (folder / "deep" / "b.jpg").write_bytes(jpeg())
+    (folder / "empty.jpg").write_bytes(b"")  # Spark reads no empty files
+    (folder / "c.txt").write_bytes(b"text")
+    return data
+
+
+def test_scan(spark, tmp_path):
+    data = files(tmp_path)
+    images = scan_images(spark, str(tmp_path), "*.jpg")
+    found = {r.item_id.split("/")[-1]: r for r in images.collect()}
+    assert sorted(found) == ["a.jpg", "b.jpg"]
+    assert bytes(found["a.jpg"].content) == data and found["a.jpg"].length == len(data)
+    assert scan_images(spark, str(tmp_path)).count() == 3  # a, b and c
+    assert scan_images(spark, str(tmp_path), "*.jpg", recursive=False).count() == 1
+    tags = decode_tags(images)
+    assert {r.item_id.split("/")[-1] for r in tags.collect()} == {"a.jpg"}
+    assert tags.count() == len(read(data))
+
+
+def test_scan_plan(spark, tmp_path):
+    files(tmp_path)
+    images = scan_images(spark, str(tmp_path), "*.jpg")
+    assert "content" not in plan(images.select("item_id"))
+    assert "LessThan(length,1000)" in plan(images.where("length < 1000"))
+
+
+def test_write_images(spark, tmp_path):
+    data = files(tmp_path)
+    images = scan_images(spark, str(tmp_path), "*.jpg")
+    write_images(images.select("item_id", "content"), str(tmp_path / "out"))
+    stored = spark.read.parquet(str(tmp_path / "out"))
+    assert sorted(bytes(r.content) for r in stored.collect()) == sorted([jpeg(), data])
+
+
+def test_bucketed_images_do_not_move(spark):
+    data = jpeg(exif(block("<", SAMPLE)))
+    save_images(frame(spark, [data] * 20), "pictures", buckets=8, mode="overwrite")
+    images = spark.table("pictures")
+    rows = [(i % 20, "ifd0", 0x010F, i, f"v{i % 7}") for i in range(200)]
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        done = patch_tags(images, spark.createDataFrame(rows, EDIT))
+        text = plan(done)
+        found = done.collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert len(found) == 20 and all(r.rejected == [] for r in found)
+    exchanges = [part for part in text.split("\n\n") if ") Exchange" in part.split("\n")[0]]
+    assert exchanges and not any("content" in part for part in exchanges)
+
+
+def test_typed_values(spark):
+    rows = [
+        ("1 2", "72/1 1/0", "2020:02:29 23:59:58", "33/1 30/1 36/1", "S"),
+        ("x", "1", "0000:00:00 00:00:00", "33/0 1/1 1/1", "N"),
+        (None, None, None, None, None),
+    ]
+    df = spark.createDataFrame(rows, "n string, r string, t string, d string, ref string").select(
+        as_numbers(F.col("n")),
+        as_rationals(F.col("r")),
+        as_timestamp(F.col("t")).cast("string"),
+        as_degrees(F.col("d"), F.col("ref")),
+    )
+    found = [tuple(r) for r in df.collect()]
+    assert found[0][0] == [1, 2]
+    assert [tuple(x) for x in found[0][1]] == [(72, 1), (1, 0)]
+    assert found[0][2] == "2020-02-29 23:59:58"
+    assert abs(found[0][3] + 33.51) < 1e-12
+    assert found[1][0] == [None] and found[1][2] is None and found[1][3] is None
+    assert found[2][2:] == (None, None)
+
