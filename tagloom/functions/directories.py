@@ -45,27 +45,19 @@ def with_directories(blocks: DataFrame) -> DataFrame:
     """
     mark = "hex(substring(block, 1, 2))"
     little = f"CASE {mark} WHEN '{LITTLE}' THEN TRUE WHEN '{BIG}' THEN FALSE END"
-    main = number("block", "IF(little IS NULL, NULL, 4L)", 4, "little")
-    after_main = number("block", "(ifd0_pos + 2 + ifd0_n * 12)", 4, "little")
-    others = ("exif", "gps", "ifd1")
+    main = number("b", "IF(little IS NULL, NULL, 4L)", 4, "little")
+    after_main = number("b", "(ifd0.pos + 2 + ifd0.n * 12)", 4, "little")
     steps = [
         {"little": little},
-        {"ifd0_pos": main},
-        {"ifd0_n": _entries("ifd0")},
-        {"ifd0_raw": _raw("ifd0"), "ifd1_pos": after_main},
-        _targets("ifd0"),
-        {f"{ifd}_n": _entries(ifd) for ifd in others},
-        {f"{ifd}_raw": _raw(ifd) for ifd in others},
+        {"ifd0": _directory(main)},
+        _targets("ifd0") | {"ifd1": _directory(after_main)},
         _targets("exif"),
-        {"interop_n": _entries("interop")},
-        {"interop_raw": _raw("interop")},
     ]
     rows = blocks
     for step in steps:
         rows = rows.withColumns({name: F.expr(sql) for name, sql in step.items()})
     found = ", ".join(
-        f"struct('{ifd}' AS ifd, {ifd}_pos AS pos, {ifd}_n AS n, {ifd}_raw AS raw)"
-        for ifd in IFDS
+        f"struct('{ifd}' AS ifd, {ifd}.pos AS pos, {ifd}.n AS n, {ifd}.raw AS raw)" for ifd in IFDS
     )
     dirs = f"filter(array({found}), d -> d.n IS NOT NULL) AS dirs"
     return rows.selectExpr(*blocks.columns, "little", dirs)
@@ -89,17 +81,26 @@ def with_slots(rows: DataFrame) -> DataFrame:
     )
 
 
-def _entries(ifd: str) -> str:
-    """The entry count; NULL unless the directory lies wholly inside the block."""
-    n = number("block", f"{ifd}_pos", 2, "little")
-    inside = f"{ifd}_pos > 0 AND {ifd}_pos + 2 + ({n}) * 12 <= length(block)"
-    return f"CASE WHEN {inside} THEN {n} END"
+def _directory(position: str) -> str:
+    """The directory at a position in the block ``b``, as (pos, n, raw); NULL
+    unless it lies wholly inside the block.
 
-
-def _raw(ifd: str) -> str:
-    """The entries, turned around as a whole if little-endian: then every number
-    in them reads big-endian, the last entry comes first and so does its end."""
-    return big_endian(cut("block", f"{ifd}_pos + 2", f"{ifd}_n * 12"), "little")
+    ``raw`` holds the entries, turned around as a whole if little-endian: then
+    every number in them reads big-endian, the last entry comes first and so
+    does its end.
+    """
+    raw = big_endian(cut("b", "d.pos + 2", "d.n * 12"), "little")
+    there = let(
+        f"struct({position} AS pos)",
+        "p",
+        let(
+            f"struct(p.pos AS pos, {number('b', 'p.pos', 2, 'little')} AS n)",
+            "d",
+            f"""CASE WHEN d.pos > 0 AND d.pos + 2 + d.n * 12 <= length(b)
+                THEN struct(d.pos AS pos, d.n AS n, {raw} AS raw) END""",
+        ),
+    )
+    return let("block", "b", there)
 
 
 def _part(raw: str, n: str, big: int, small: int, size: int) -> str:
@@ -125,15 +126,15 @@ def _field(raw: str, n: str) -> str:
 
 
 def _targets(source: str) -> dict[str, str]:
-    """Where the first entry of each pointer tag of a directory points. Such an
+    """The directories that the first entry of each pointer tag points to. Such an
     entry is one LONG or IFD number, so the position is in the entry itself."""
-    raw, n = f"{source}_raw", f"{source}_n"
+    raw, n = f"{source}.raw", f"{source}.n"
 
-    def search(tag: int) -> str:
+    def position(tag: int) -> str:
         is_pointer = (
             f"{_tag(raw, n)} = {tag} AND {_type(raw, n)} IN (4, 13) AND {_count(raw, n)} = 1"
         )
         first = f"get(filter({count_up(n)}, k -> {is_pointer}), 0)"
         return let(first, "k", f"IF(k IS NULL, NULL, {_field(raw, n)})")
 
-    return {f"{name}_pos": search(tag) for ifd, tag, name in POINTERS if ifd == source}
+    return {name: _directory(position(tag)) for ifd, tag, name in POINTERS if ifd == source}

@@ -18,6 +18,9 @@ from tagloom.functions.values import text_count
 
 KEY = ["item_id", "ifd", "tag"]
 
+# Winning edits that take up no more than this are broadcast.
+BROADCAST_BYTES = 64 << 20
+
 
 def last_edits(edits: DataFrame) -> DataFrame:
     """The winning edit per image, directory and tag.
@@ -37,19 +40,35 @@ def last_edits(edits: DataFrame) -> DataFrame:
     )
 
 
-def apply_edits(tags: DataFrame, edits: DataFrame) -> DataFrame:
+def measured_bytes(rows: DataFrame) -> int:
+    """What rows take up in memory, counted: their texts, and a fixed part each."""
+    texts = [f"coalesce(octet_length({n}), 0)" for n, kind in rows.dtypes if kind == "string"]
+    fixed = 64 + 16 * len(rows.columns)
+    size = F.expr(f"sum({fixed} + {' + '.join(texts) or '0'})").alias("size")
+    return rows.agg(size).first()["size"] or 0
+
+
+def apply_edits(
+    tags: DataFrame, edits: DataFrame, broadcast_bytes: int = BROADCAST_BYTES
+) -> DataFrame:
     """Set or remove tags; editing a missing tag adds it.
 
-    Both joins keep ``tags`` on the streamed side. Edits that Spark finds small
-    enough are broadcast and the tags do not move; larger ones are sort-merge
-    joined, where AQE can split a hot key of ``tags``. A full outer join would
-    read ``tags`` once, but allows neither. The second reading, which finds the
-    edits that add, only needs the three key columns: pass stored tags, not ones
-    that are decoded anew each time.
+    Both joins keep ``tags`` on the streamed side. The winning edits are counted
+    first: if they fit into ``broadcast_bytes`` they are broadcast, and the tags
+    do not move; if not, they are sort-merge joined, where AQE can split a hot
+    key of ``tags``. A full outer join would read ``tags`` once, but allows
+    neither. The second reading, which finds the edits that add, only needs the
+    three key columns: pass stored tags, not ones that are decoded anew each
+    time.
     """
     last = last_edits(edits)
+    small = measured_bytes(last) <= broadcast_bytes
+
+    def beside(side: DataFrame) -> DataFrame:
+        return side.hint("broadcast" if small else "merge")
+
     changed = (
-        tags.join(last.withColumn("edited", F.lit(True)), KEY, "left")
+        tags.join(beside(last.withColumn("edited", F.lit(True))), KEY, "left")
         .where("edited IS NULL OR new_value IS NOT NULL")
         .selectExpr(
             *KEY,
@@ -58,10 +77,11 @@ def apply_edits(tags: DataFrame, edits: DataFrame) -> DataFrame:
             "IF(edited, new_value, value) AS value",
         )
     )
-    present = tags.select(*KEY).join(last.select(*KEY), KEY, "left_semi").distinct()
+    # No more keys than winning edits, so what bounds those bounds these.
+    present = tags.select(*KEY).join(beside(last.select(*KEY)), KEY, "left_semi").distinct()
     added = (
         last.where("new_value IS NOT NULL")
-        .join(present, KEY, "left_anti")
+        .join(beside(present), KEY, "left_anti")
         .withColumn("type", F.expr(standard_type("ifd", "tag")))
         .selectExpr(
             *KEY,
@@ -81,25 +101,30 @@ def strip_metadata(images: DataFrame) -> DataFrame:
     return images.withColumn("content", F.expr(without_exif("content")))
 
 
-def patch_tags(images: DataFrame, edits: DataFrame) -> DataFrame:
+def patch_tags(
+    images: DataFrame, edits: DataFrame, broadcast_bytes: int = BROADCAST_BYTES
+) -> DataFrame:
     """Write edits into the image bytes where they fit: item_id, content, rejected.
 
     A value must be no longer than its old slot, so no offset moves. What cannot
     be done in place is listed in ``rejected`` with the reason.
 
     Images are the heavy side and stay on the streamed side of one left join.
-    With few edits that is a broadcast join. With many, keep the images in a
-    table bucketed by item_id (``save_images``): only the edits are shuffled.
+    The winning edits are counted first: if they fit into ``broadcast_bytes``
+    they are broadcast and no image moves. If not, they are hashed per partition,
+    so image bytes are never sorted; with the images in a table bucketed by
+    item_id (``save_images``), again only the edits move.
 
     Edits are gathered per image after ``last_edits``, so an image holds at most
     one per directory and 16-bit tag number; numbers beyond that range cannot be
     in a file and are reported together, once per image.
     """
+    last = last_edits(edits)
+    small = measured_bytes(last) <= broadcast_bytes
     names = ", ".join(f"'{ifd}'" for ifd in IFDS)
     valid = f"tag BETWEEN 0 AND 65535 AND ifd IN ({names})"
     per_item = (
-        last_edits(edits)
-        .selectExpr(
+        last.selectExpr(
             "item_id",
             f"IF({valid}, ifd, NULL) AS ifd",
             f"IF({valid}, tag, NULL) AS tag",
@@ -110,4 +135,5 @@ def patch_tags(images: DataFrame, edits: DataFrame) -> DataFrame:
         .groupBy("item_id")
         .agg(F.sort_array(F.collect_list(F.struct("ifd", "tag", "value"))).alias("edits"))
     )
-    return with_patches(images.select("item_id", "content").join(per_item, "item_id", "left"))
+    beside = per_item.hint("broadcast" if small else "shuffle_hash")
+    return with_patches(images.select("item_id", "content").join(beside, "item_id", "left"))

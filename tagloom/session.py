@@ -9,11 +9,7 @@ SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
-    # patch_tags without a bucketed table: rather than sort image bytes, hash
-    # the edits, if every partition of them proves to be this small.
-    "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64m",
-    # The decoded expression trees are wide, not generated in full: do not
-    # print them in full either.
+    # A plan is printed with its expressions whole.
     "spark.sql.debug.maxToStringFields": "100",
 }
 

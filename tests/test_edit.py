@@ -76,15 +76,10 @@ def random_tags(rng, items, n):
     ]
 
 
-def both_ways(spark, check):
-    """Run with the planner's choice, then with broadcast joins ruled out."""
+def both_ways(check):
+    """With the edits broadcast, and with none small enough for it."""
     check()
-    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    try:
-        check()
-    finally:
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    check(broadcast_bytes=0)
 
 
 def test_apply_edits(spark):
@@ -94,12 +89,14 @@ def test_apply_edits(spark):
     rows = random_edits(rng, 40, 300)
     frame_of_tags = spark.createDataFrame(tags, TAG)
 
-    def check():
-        done = apply_edits(frame_of_tags, edits(spark, rows))
+    def check(**limit):
+        done = apply_edits(frame_of_tags, edits(spark, rows), **limit)
+        assert ("BroadcastHashJoin" in plan(done)) == (not limit)
+        assert ("SortMergeJoin" in plan(done)) == bool(limit)
         assert done.columns == [c.split()[0] for c in TAG.split(", ")]
         assert sorted((tuple(r) for r in done.collect()), key=repr) == brute_apply(tags, rows)
 
-    both_ways(spark, check)
+    both_ways(check)
 
 
 def test_apply_edits_twice_and_never(spark):
@@ -149,8 +146,8 @@ def test_strip(spark):
 # --- patching ---------------------------------------------------------------
 
 
-def patch(spark, files, rows):
-    done = patch_tags(frame(spark, files), edits(spark, rows)).collect()
+def patch(spark, files, rows, **limit):
+    done = patch_tags(frame(spark, files), edits(spark, rows), **limit).collect()
     return {
         r.item_id: (None if r.content is None else bytes(r.content), sorted(map(tuple, r.rejected), key=repr))
         for r in done
@@ -267,8 +264,8 @@ def test_patch_then_decode_is_decode_then_edit(spark):
             else:
                 rows.append((i, ifd, tag, 1, rng.choice(VALUES[code])))
 
-    def check():
-        found = patch(spark, files, rows)
+    def check(**limit):
+        found = patch(spark, files, rows, **limit)
         refused = {(i, ifd, tag) for i in found for ifd, tag, _ in found[i][1]}
         accepted = [r for r in rows if r[:3] not in refused]
         assert len(accepted) > 200 and len(refused) > 50
@@ -285,7 +282,7 @@ def test_patch_then_decode_is_decode_then_edit(spark):
         )
         assert got == wanted
 
-    both_ways(spark, check)
+    both_ways(check)
 
 
 def edited(accepted, tags):

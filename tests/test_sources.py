@@ -50,14 +50,9 @@ def test_bucketed_images_do_not_move(spark):
     save_images(frame(spark, [data] * 20), "pictures", buckets=8, mode="overwrite")
     images = spark.table("pictures")
     rows = [(i % 20, "ifd0", 0x010F, i, f"v{i % 7}") for i in range(200)]
-    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    try:
-        done = patch_tags(images, spark.createDataFrame(rows, EDIT))
-        text = plan(done)
-        found = done.collect()
-    finally:
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    done = patch_tags(images, spark.createDataFrame(rows, EDIT), broadcast_bytes=0)
+    text, found = plan(done), done.collect()
+    assert "ShuffledHashJoin LeftOuter BuildRight" in text
     assert len(found) == 20 and all(r.rejected == [] for r in found)
     exchanges = [part for part in text.split("\n\n") if ") Exchange" in part.split("\n")[0]]
     assert exchanges and not any("content" in part for part in exchanges)
