@@ -13,8 +13,10 @@ def let(value: str, name: str, body: str) -> str:
 
     A lambda variable is read by reference. A column of the row would be copied
     out of the row at every mention, which matters for whole image files.
+    (``element_at`` looks at its type once; ``[0]`` would for every row, through
+    all of ``body``.)
     """
-    return f"transform(array({value}), {name} -> {body})[0]"
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
 
 
 def cut(data: str, start: str, size: str | int) -> str:
@@ -59,4 +61,4 @@ def zeros(size: str) -> str:
 
 def count_up(n: str) -> str:
     """0 to n - 1. (A sequence from 0 to -1 would count down.)"""
-    return f"IF({n} > 0, sequence(0L, {n} - 1), CAST(array() AS ARRAY<BIGINT>))"
+    return f"IF({n} > 0, sequence(0, {n} - 1), array())"

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagloom.functions.bytes import big_endian, count_up, cut, let, number, unsigned
+from tagloom.functions.bytes import big_endian, count_up, cut, let, number
 
 # Fixed values of the TIFF and Exif file formats.
 # Bytes per element, by type code: 1 BYTE, 2 ASCII, 3 SHORT, 4 LONG, 5 RATIONAL,
@@ -37,7 +37,7 @@ def width(type_code: str) -> str:
 
 def with_directories(blocks: DataFrame) -> DataFrame:
     """Add ``little`` (byte order, NULL if unreadable) and ``dirs``, an array of
-    (ifd, pos, n, raw), to rows with a ``block``.
+    (ifd, pos, n, entries), to rows with a ``block``.
 
     The set is fixed by the format: the main directory, the thumbnail's after
     it, and those the pointer entries name. Hence no recursion, and a pointer
@@ -57,7 +57,7 @@ def with_directories(blocks: DataFrame) -> DataFrame:
     for step in steps:
         rows = rows.withColumns({name: F.expr(sql) for name, sql in step.items()})
     found = ", ".join(
-        f"struct('{ifd}' AS ifd, {ifd}.pos AS pos, {ifd}.n AS n, {ifd}.raw AS raw)" for ifd in IFDS
+        f"struct('{ifd}' AS ifd, {ifd}.pos AS pos, {ifd}.n AS n, {ifd}.entries AS entries)" for ifd in IFDS
     )
     dirs = f"filter(array({found}), d -> d.n IS NOT NULL) AS dirs"
     return rows.selectExpr(*blocks.columns, "little", dirs)
@@ -69,10 +69,9 @@ def with_slots(rows: DataFrame) -> DataFrame:
     ``entry`` is where the entry starts, ``pos`` and ``size`` where the value
     lies; ``size`` is NULL for a type code that the format does not know.
     """
-    head = f"""struct(d.ifd AS ifd, {_tag('d.raw', 'd.n')} AS tag, {_type('d.raw', 'd.n')} AS type,
-        {_count('d.raw', 'd.n')} AS count, d.pos + 2 + k * 12 AS entry,
-        {_field('d.raw', 'd.n')} AS field)"""
-    heads = f"flatten(transform(dirs, d -> transform({count_up('d.n')}, k -> {head})))"
+    head = f"""struct(d.ifd AS ifd, {_tag('e')} AS tag, {_type('e')} AS type,
+        {_count('e')} AS count, d.pos + 2 + k * 12 AS entry, {_field('e')} AS field)"""
+    heads = f"flatten(transform(dirs, d -> transform(d.entries, (e, k) -> {head})))"
     size = f"h.count * {width('h.type')}"
     slot = f"""struct(h.ifd AS ifd, h.tag AS tag, h.type AS type, h.count AS count,
         h.entry AS entry, IF({size} <= 4, h.entry + 8, h.field) AS pos, {size} AS size)"""
@@ -82,59 +81,57 @@ def with_slots(rows: DataFrame) -> DataFrame:
 
 
 def _directory(position: str) -> str:
-    """The directory at a position in the block ``b``, as (pos, n, raw); NULL
+    """The directory at a position in the block ``b``, as (pos, n, entries); NULL
     unless it lies wholly inside the block.
 
-    ``raw`` holds the entries, turned around as a whole if little-endian: then
-    every number in them reads big-endian, the last entry comes first and so
-    does its end.
+    The entries are hex text, each turned around as a whole if little-endian:
+    then every number in it reads big-endian, but the last number comes first.
     """
-    raw = big_endian(cut("b", "d.pos + 2", "d.n * 12"), "little")
+    all_entries = big_endian(cut("b", "d.pos + 2", "d.n * 12"), "little")
+    one = "hex(substring(r, IF(little, d.n - 1 - k, k) * 12 + 1, 12))"
+    entries = let(all_entries, "r", f"transform({count_up('d.n')}, k -> {one})")
     there = let(
         f"struct({position} AS pos)",
         "p",
         let(
-            f"struct(p.pos AS pos, {number('b', 'p.pos', 2, 'little')} AS n)",
+            f"struct(p.pos AS pos, CAST({number('b', 'p.pos', 2, 'little')} AS INT) AS n)",
             "d",
             f"""CASE WHEN d.pos > 0 AND d.pos + 2 + d.n * 12 <= length(b)
-                THEN struct(d.pos AS pos, d.n AS n, {raw} AS raw) END""",
+                THEN struct(d.pos AS pos, d.n AS n, {entries} AS entries) END""",
         ),
     )
     return let("block", "b", there)
 
 
-def _part(raw: str, n: str, big: int, small: int, size: int) -> str:
-    """A number of entry ``k``, ``big`` bytes into it or ``small`` if turned around."""
-    start = f"IF(little, ({n} - 1 - k) * 12 + {small}, k * 12 + {big})"
-    return unsigned(cut(raw, start, size))
+def _from_hex(digits: str, kind: str) -> str:
+    return f"CAST(conv({digits}, 16, 10) AS {kind})"
 
 
-def _tag(raw: str, n: str) -> str:
-    return f"CAST({_part(raw, n, 0, 10, 2)} AS INT)"
+def _tag(e: str) -> str:
+    return _from_hex(f"IF(little, right({e}, 4), left({e}, 4))", "INT")
 
 
-def _type(raw: str, n: str) -> str:
-    return f"CAST({_part(raw, n, 2, 8, 2)} AS INT)"
+def _type(e: str) -> str:
+    return _from_hex(f"IF(little, substring({e}, 17, 4), substring({e}, 5, 4))", "INT")
 
 
-def _count(raw: str, n: str) -> str:
-    return _part(raw, n, 4, 4, 4)
+def _count(e: str) -> str:
+    return _from_hex(f"substring({e}, 9, 8)", "BIGINT")
 
 
-def _field(raw: str, n: str) -> str:
-    return _part(raw, n, 8, 0, 4)
+def _field(e: str) -> str:
+    return _from_hex(f"IF(little, left({e}, 8), right({e}, 8))", "BIGINT")
 
 
 def _targets(source: str) -> dict[str, str]:
     """The directories that the first entry of each pointer tag points to. Such an
     entry is one LONG or IFD number, so the position is in the entry itself."""
-    raw, n = f"{source}.raw", f"{source}.n"
 
     def position(tag: int) -> str:
-        is_pointer = (
-            f"{_tag(raw, n)} = {tag} AND {_type(raw, n)} IN (4, 13) AND {_count(raw, n)} = 1"
-        )
-        first = f"get(filter({count_up(n)}, k -> {is_pointer}), 0)"
-        return let(first, "k", f"IF(k IS NULL, NULL, {_field(raw, n)})")
+        big = f"startswith(e, '{tag:04X}') AND substring(e, 5, 4) IN ('0004', '000D')"
+        small = f"endswith(e, '{tag:04X}') AND substring(e, 17, 4) IN ('0004', '000D')"
+        one = f"substring(e, 9, 8) = '00000001' AND IF(little, {small}, {big})"
+        first = f"get(filter({source}.entries, e -> {one}), 0)"
+        return let(first, "f", _field("f"))
 
     return {name: _directory(position(tag)) for ifd, tag, name in POINTERS if ifd == source}

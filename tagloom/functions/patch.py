@@ -40,7 +40,8 @@ def with_patches(images: DataFrame) -> DataFrame:
         {"claims": _claims(), "plans": _paired()},
         {"plans": _with_bytes()},
         {"plans": _with_reason()},
-        {"patched": f"CASE WHEN exists(plans, p -> p.reason IS NULL) THEN {_written()} END"},
+        {"accepted": _accepted(), "rejected": _rejected()},
+        {"patched": f"CASE WHEN size(accepted) > 0 THEN {_written()} END"},
         {"losing": _losing()},
         {"patched": f"CASE WHEN patched IS NOT NULL THEN {_closed_up()} END"},
     ]
@@ -49,17 +50,20 @@ def with_patches(images: DataFrame) -> DataFrame:
         rows = rows.withColumns({name: F.expr(sql) for name, sql in step.items()})
     after = f"CAST(start AS INT) + {EXIF_HEADER + 1}"
     content = f"IF(patched IS NULL, content, overlay(content PLACING patched FROM {after}))"
-    result = f"struct({content} AS content, {_rejected()} AS rejected)"
+    result = f"struct({content} AS content, rejected)"
     # One row in, one row out. Spark pushes no filter through a generator: one
     # on ``rejected`` would otherwise repeat all of the above below it.
     return rows.selectExpr("item_id", f"inline_outer(array({result}))")
 
 
 def _claims() -> str:
-    """The bytes that the header, the directories and the values lie on."""
+    """The bytes that the header, the directories and the values lie on. Only the
+    main directory needs the position behind its entries; some writers save it
+    in the others."""
     return """concat(
         array(struct(0L AS start, 8L AS end)),
-        transform(dirs, d -> struct(d.pos AS start, d.pos + 2 + d.n * 12 AS end)),
+        transform(dirs, d -> struct(d.pos AS start,
+                                    d.pos + IF(d.ifd = 'ifd0', 6, 2) + d.n * 12 AS end)),
         transform(filter(slots, s -> s.size > 4),
                   s -> struct(s.pos AS start, s.pos + s.size AS end)))"""
 
@@ -100,6 +104,12 @@ def _with_reason() -> str:
         CAST(length(p.data) DIV {width('p.type')} AS BIGINT) AS count, {reason} AS reason))"""
 
 
+def _accepted() -> str:
+    """The plans of edits that can be done in every entry they are for."""
+    spoilt = "exists(plans, q -> q.ifd = p.ifd AND q.tag = p.tag AND q.reason IS NOT NULL)"
+    return f"filter(plans, p -> NOT {spoilt})"
+
+
 def _put(block: str, data: str, start: str) -> str:
     return f"overlay({block} PLACING {data} FROM CAST({start} + 1 AS INT))"
 
@@ -118,13 +128,13 @@ def _written() -> str:
     entry = f"concat({number_bytes('p.count', 4, 'little')}, {field})"
     clean = f"IF(p.size > 4, {_put('b', slot, 'p.pos')}, b)"
     one = f"IF(p.removes, {clean}, {_put(clean, entry, 'p.entry + 4')})"
-    return f"aggregate(filter(plans, p -> p.reason IS NULL), block, (b, p) -> {one})"
+    return f"aggregate(accepted, block, (b, p) -> {one})"
 
 
 def _losing() -> str:
     """The directories that lose entries, with the places of those they keep."""
     places = f"transform({count_up('d.n')}, k -> d.pos + 2 + k * 12)"
-    own = "filter(plans, p -> p.reason IS NULL AND p.removes AND p.ifd = d.ifd)"
+    own = "filter(accepted, p -> p.removes AND p.ifd = d.ifd)"
     kept = f"array_except({places}, {own}.entry)"
     return f"""filter(transform(dirs, d -> struct(d.pos AS pos, d.n AS n, {kept} AS kept)),
         d -> size(d.kept) < d.n)"""

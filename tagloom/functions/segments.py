@@ -72,7 +72,8 @@ def first_exif(content: str) -> str:
     return let(
         content,
         "c",
-        f"get(transform({exif_segments('c')}, s -> struct(s.start AS start, {block} AS block)), 0)",
+        f"try_element_at(transform({exif_segments('c')},"
+        f" s -> struct(s.start AS start, {block} AS block)), 1)",
     )
 
 

@@ -45,6 +45,7 @@ def value_text(raw: str, type_code: str, count: str, little: str) -> str:
         WHEN {type_code} = {ASCII} THEN {plain}
         WHEN {type_code} = {UNDEFINED} THEN hex({raw})
         WHEN {count} = 0 THEN ''
+        WHEN {count} = 1 THEN {_element(big_endian(raw, little), "0", type_code, little)}
         ELSE {_numbers(raw, type_code, count, little)} END"""
 
 
@@ -52,7 +53,7 @@ def _numbers(raw: str, type_code: str, count: str, little: str) -> str:
     """Elements joined by spaces. A little-endian value is turned around as a
     whole, so every element reads big-endian and the last one comes first."""
     place = f"IF({little}, {count} - 1 - i, i) * {width(type_code)}"
-    element = let(place, "p", _element("data", "p", type_code, little))
+    element = _element("data", place, type_code, little)
     return let(
         big_endian(raw, little),
         "data",

@@ -300,6 +300,31 @@ def edited(accepted, tags):
     return sorted(out, key=repr)
 
 
+def test_patch_of_damaged_files(spark):
+    """Directories and values may overlap or be cut off: an edit that is done
+    changes its own tag only, and one that is not leaves no trace."""
+    rng = random.Random(11)
+    files, rows = [], []
+    for i in range(400):
+        data = bytearray(jpeg(exif(block("<>"[i % 2], SAMPLE)), picture=b"p"))
+        for _ in range(rng.randint(1, 5)):
+            at = rng.randrange(20, 700)
+            data[at % len(data)] = rng.choice([0, 1, 4, 12, 255, rng.randrange(256)])
+        files.append(bytes(data[: rng.randint(300, len(data))] if i % 4 == 0 else data))
+        present = sorted({row[:3] for row in read(files[-1])})
+        for ifd, tag, code in rng.sample(present, min(len(present), 6)):
+            value = rng.choice([None, *VALUES.get(code, [])])
+            rows.append((i, ifd, tag, 1, value))
+    rows = list({r[:3]: r for r in rows}.values())
+    found = patch(spark, files, rows)
+    refused = {(i, ifd, tag) for i in found for ifd, tag, _ in found[i][1]}
+    accepted = [r for r in rows if r[:3] not in refused]
+    assert len(accepted) > 400 and len(refused) > 400
+    tags = [(i, *row) for i, data in enumerate(files) for row in read(data)]
+    got = sorted(((i, *row) for i in found for row in read(found[i][0])), key=repr)
+    assert got == edited(accepted, tags)
+
+
 def test_removed_bytes_are_gone(spark):
     data = jpeg(exif(block(">", {"ifd0": [(0x010F, 2, b"Secret maker\0"), (0x0112, 3, [6])]})))
     found = patch(spark, [data], [(0, None, 0x010F, 1, None)])
