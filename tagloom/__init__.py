@@ -3,6 +3,7 @@
 from tagloom.operators.edit import apply_edits, last_edits, patch_tags, strip_metadata
 from tagloom.operators.view import decode_tags, view_images, view_tags
 from tagloom.sources.images import save_images, scan_images, write_images
+from tagloom.sources.stored import store
 
 __all__ = [
     "apply_edits",
@@ -11,6 +12,7 @@ __all__ = [
     "patch_tags",
     "save_images",
     "scan_images",
+    "store",
     "strip_metadata",
     "view_images",
     "view_tags",

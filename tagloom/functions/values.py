@@ -45,7 +45,6 @@ def value_text(raw: str, type_code: str, count: str, little: str) -> str:
         WHEN {type_code} = {ASCII} THEN {plain}
         WHEN {type_code} = {UNDEFINED} THEN hex({raw})
         WHEN {count} = 0 THEN ''
-        WHEN {count} = 1 THEN {_element(big_endian(raw, little), "0", type_code, little)}
         ELSE {_numbers(raw, type_code, count, little)} END"""
 
 

@@ -58,8 +58,8 @@ def apply_edits(
     do not move; if not, they are sort-merge joined, where AQE can split a hot
     key of ``tags``. A full outer join would read ``tags`` once, but allows
     neither. The second reading, which finds the edits that add, only needs the
-    three key columns: pass stored tags, not ones that are decoded anew each
-    time.
+    three key columns: pass stored tags (``store``), not ones that are decoded
+    anew each time.
     """
     last = last_edits(edits)
     small = measured_bytes(last) <= broadcast_bytes

@@ -12,6 +12,7 @@ from tagloom.operators.edit import apply_edits, last_edits, patch_tags, strip_me
 from tagloom.operators.view import decode_tags, view_images, view_tags
 from tagloom.plans.collection import edits, images
 from tagloom.sources.images import scan_images
+from tagloom.sources.stored import store
 
 SHOWN = [
     "Make",
@@ -73,7 +74,8 @@ def last(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def edit_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return apply_edits(decode_tags(images(spark, sf_dir)), edits(spark, sf_dir))
+    tags = store(decode_tags(images(spark, sf_dir)))
+    return apply_edits(tags, edits(spark, sf_dir))
 
 
 def strip(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from tagloom import decode_tags, patch_tags, save_images, scan_images, write_images
+from tagloom import decode_tags, patch_tags, save_images, scan_images, store, write_images
 from tagloom.functions.values import as_degrees, as_numbers, as_rationals, as_timestamp
 from tests.helpers import EDIT, frame, plan
 from tests.makers import SAMPLE, block, exif, jpeg
@@ -78,3 +78,11 @@ def test_typed_values(spark):
     assert found[1][0] == [None] and found[1][2] is None and found[1][3] is None
     assert found[2][2:] == (None, None)
 
+
+
+def test_store(spark):
+    rows = spark.range(10).selectExpr("id", "CAST(id AS STRING) AS text")
+    stored = store(rows)
+    assert sorted(stored.collect()) == rows.collect()
+    folder = spark.conf.get("spark.checkpoint.dir")
+    assert folder and all(path.startswith(f"file://{folder}/") for path in stored.inputFiles())
