@@ -19,6 +19,18 @@ def let(value: str, name: str, body: str) -> str:
     return f"element_at(transform(array({value}), {name} -> {body}), 1)"
 
 
+def chain(steps: list[tuple[str, str]], result: str) -> str:
+    """``result`` after named steps, each of which may use those before it.
+
+    As one expression and not as projections on top of each other, because every
+    projection copies all of the row, image bytes included. Spark's analyzer
+    takes lambdas up to some 16 levels deep: keep chains well below that.
+    """
+    for name, value in reversed(steps):
+        result = let(value, name, result)
+    return result
+
+
 def cut(data: str, start: str, size: str | int) -> str:
     """``size`` bytes from ``start`` on; fewer where the data ends."""
     return f"substring({data}, try_cast({start} + 1 AS INT), try_cast({size} AS INT))"

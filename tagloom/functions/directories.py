@@ -4,17 +4,11 @@ A block starts with its byte order and the position of its first directory. A
 directory is a 2-byte count, 12 bytes per entry (tag 2, type 2, count 4, value
 or position 4) and the position of the next directory. Values of at most 4
 bytes lie in the entry itself.
-
-The steps below are projections on top of each other rather than one deep
-expression: each names its result, and Spark merges those used only once.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from tagloom.functions.bytes import big_endian, count_up, cut, let, number
+from tagloom.functions.bytes import big_endian, chain, count_up, cut, let, number
 
 # Fixed values of the TIFF and Exif file formats.
 # Bytes per element, by type code: 1 BYTE, 2 ASCII, 3 SHORT, 4 LONG, 5 RATIONAL,
@@ -35,36 +29,40 @@ def width(type_code: str) -> str:
     return f"get(array({WIDTHS}), {type_code})"
 
 
-def with_directories(blocks: DataFrame) -> DataFrame:
-    """Add ``little`` (byte order, NULL if unreadable) and ``dirs``, an array of
-    (ifd, pos, n, entries), to rows with a ``block``.
+def layout(block: str) -> str:
+    """The layout of a block: its byte order ``little`` (NULL if unreadable) and
+    its directories ``dirs``, an array of (ifd, pos, n, entries).
 
     The set is fixed by the format: the main directory, the thumbnail's after
     it, and those the pointer entries name. Hence no recursion, and a pointer
     that leads back to its own directory does no harm.
     """
-    mark = "hex(substring(block, 1, 2))"
+    mark = "hex(substring(b, 1, 2))"
     little = f"CASE {mark} WHEN '{LITTLE}' THEN TRUE WHEN '{BIG}' THEN FALSE END"
     main = number("b", "IF(little IS NULL, NULL, 4L)", 4, "little")
     after_main = number("b", "(ifd0.pos + 2 + ifd0.n * 12)", 4, "little")
     steps = [
-        {"little": little},
-        {"ifd0": _directory(main)},
-        _targets("ifd0") | {"ifd1": _directory(after_main)},
-        _targets("exif"),
+        ("b", block),
+        ("little", little),
+        ("ifd0", _directory(main)),
+        ("exif", _target("ifd0", "exif")),
+        ("interop", _target("exif", "interop")),
     ]
-    rows = blocks
-    for step in steps:
-        rows = rows.withColumns({name: F.expr(sql) for name, sql in step.items()})
-    found = ", ".join(
-        f"struct('{ifd}' AS ifd, {ifd}.pos AS pos, {ifd}.n AS n, {ifd}.entries AS entries)" for ifd in IFDS
-    )
-    dirs = f"filter(array({found}), d -> d.n IS NOT NULL) AS dirs"
-    return rows.selectExpr(*blocks.columns, "little", dirs)
-
-
-def with_slots(rows: DataFrame) -> DataFrame:
-    """Add ``slots``, one struct per directory entry, to rows with directories.
+    places = {
+        "ifd0": "ifd0",
+        "exif": "exif",
+        "gps": _target("ifd0", "gps"),
+        "interop": "interop",
+        "ifd1": _directory(after_main),
+    }
+    found = ", ".join(f"struct('{ifd}' AS ifd, {d} AS d)" for ifd, d in places.items())
+    dirs = f"""transform(filter(array({found}), x -> x.d IS NOT NULL),
+        x -> struct(x.ifd AS ifd, x.d.pos AS pos, x.d.n AS n, x.d.entries AS entries))"""
+    return chain(steps, f"struct(little, {dirs} AS dirs)")
+
+
+def slots() -> str:
+    """One struct per entry of all ``dirs``.
 
     ``entry`` is where the entry starts, ``pos`` and ``size`` where the value
     lies; ``size`` is NULL for a type code that the format does not know.
@@ -75,9 +73,7 @@ def with_slots(rows: DataFrame) -> DataFrame:
     size = f"h.count * {width('h.type')}"
     slot = f"""struct(h.ifd AS ifd, h.tag AS tag, h.type AS type, h.count AS count,
         h.entry AS entry, IF({size} <= 4, h.entry + 8, h.field) AS pos, {size} AS size)"""
-    return rows.withColumn("heads", F.expr(heads)).selectExpr(
-        *rows.columns, f"transform(heads, h -> {slot}) AS slots"
-    )
+    return f"transform({heads}, h -> {slot})"
 
 
 def _directory(position: str) -> str:
@@ -90,17 +86,12 @@ def _directory(position: str) -> str:
     all_entries = big_endian(cut("b", "d.pos + 2", "d.n * 12"), "little")
     one = "hex(substring(r, IF(little, d.n - 1 - k, k) * 12 + 1, 12))"
     entries = let(all_entries, "r", f"transform({count_up('d.n')}, k -> {one})")
-    there = let(
-        f"struct({position} AS pos)",
-        "p",
-        let(
-            f"struct(p.pos AS pos, CAST({number('b', 'p.pos', 2, 'little')} AS INT) AS n)",
-            "d",
-            f"""CASE WHEN d.pos > 0 AND d.pos + 2 + d.n * 12 <= length(b)
-                THEN struct(d.pos AS pos, d.n AS n, {entries} AS entries) END""",
-        ),
+    n = f"CAST({number('b', 'p.pos', 2, 'little')} AS INT)"
+    inside = "d.pos > 0 AND d.pos + 2 + d.n * 12 <= length(b)"
+    return chain(
+        [("p", f"struct({position} AS pos)"), ("d", f"struct(p.pos AS pos, {n} AS n)")],
+        f"CASE WHEN {inside} THEN struct(d.pos AS pos, d.n AS n, {entries} AS entries) END",
     )
-    return let("block", "b", there)
 
 
 def _from_hex(digits: str, kind: str) -> str:
@@ -123,15 +114,12 @@ def _field(e: str) -> str:
     return _from_hex(f"IF(little, left({e}, 8), right({e}, 8))", "BIGINT")
 
 
-def _targets(source: str) -> dict[str, str]:
-    """The directories that the first entry of each pointer tag points to. Such an
+def _target(source: str, name: str) -> str:
+    """The directory that the first entry of its pointer tag leads to. Such an
     entry is one LONG or IFD number, so the position is in the entry itself."""
-
-    def position(tag: int) -> str:
-        big = f"startswith(e, '{tag:04X}') AND substring(e, 5, 4) IN ('0004', '000D')"
-        small = f"endswith(e, '{tag:04X}') AND substring(e, 17, 4) IN ('0004', '000D')"
-        one = f"substring(e, 9, 8) = '00000001' AND IF(little, {small}, {big})"
-        first = f"get(filter({source}.entries, e -> {one}), 0)"
-        return let(first, "f", _field("f"))
-
-    return {name: _directory(position(tag)) for ifd, tag, name in POINTERS if ifd == source}
+    tag = next(t for ifd, t, target in POINTERS if (ifd, target) == (source, name))
+    big = f"startswith(e, '{tag:04X}') AND substring(e, 5, 4) IN ('0004', '000D')"
+    small = f"endswith(e, '{tag:04X}') AND substring(e, 17, 4) IN ('0004', '000D')"
+    one = f"substring(e, 9, 8) = '00000001' AND IF(little, {small}, {big})"
+    first = f"get(filter({source}.entries, e -> {one}), 0)"
+    return _directory(let(first, "f", _field("f")))

@@ -7,10 +7,9 @@ slot, and a removed entry closes up its directory, which ends in zeros then.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from tagloom.functions.bytes import count_up, cut, number_bytes, zeros
-from tagloom.functions.directories import POINTERS, width, with_directories, with_slots
+from tagloom.functions.bytes import chain, count_up, cut, number_bytes, zeros
+from tagloom.functions.directories import POINTERS, layout, slots, width
 from tagloom.functions.segments import EXIF_HEADER, first_exif
 from tagloom.functions.values import value_bytes
 
@@ -33,27 +32,32 @@ def with_patches(images: DataFrame) -> DataFrame:
     for an image that is not edited: its bytes are not even looked at.
     """
     exif = f"CASE WHEN edits IS NOT NULL THEN {first_exif('content')} END"
-    found = images.withColumn("exif", F.expr(exif)).selectExpr(
-        *images.columns, "exif.start AS start", "exif.block AS block"
-    )
     steps = [
-        {"claims": _claims(), "plans": _paired()},
-        {"plans": _with_bytes()},
-        {"plans": _with_reason()},
-        {"accepted": _accepted(), "rejected": _rejected()},
-        {"patched": f"CASE WHEN size(accepted) > 0 THEN {_written()} END"},
-        {"losing": _losing()},
-        {"patched": f"CASE WHEN patched IS NOT NULL THEN {_closed_up()} END"},
+        ("block", "exif.block"),
+        ("claims", _claims()),
+        ("plans", _paired()),
+        ("plans", _with_bytes()),
+        ("plans", _with_reason()),
+        ("accepted", _accepted()),
+        ("patched", f"CASE WHEN size(accepted) > 0 THEN {_written()} END"),
+        ("losing", _losing()),
     ]
-    rows = with_slots(with_directories(found))
-    for step in steps:
-        rows = rows.withColumns({name: F.expr(sql) for name, sql in step.items()})
-    after = f"CAST(start AS INT) + {EXIF_HEADER + 1}"
-    content = f"IF(patched IS NULL, content, overlay(content PLACING patched FROM {after}))"
-    result = f"struct({content} AS content, rejected)"
+    patched = f"CASE WHEN patched IS NOT NULL THEN {_closed_up()} END"
+    done = chain(steps, f"struct({patched} AS block, {_rejected()} AS rejected)")
+    after = f"CAST(exif.start AS INT) + {EXIF_HEADER + 1}"
+    content = f"IF(done.block IS NULL, content, overlay(content PLACING done.block FROM {after}))"
+    result = f"struct({content} AS content, done.rejected AS rejected)"
+    given = images.select("item_id", "content", "edits")
+    found = given.selectExpr("*", f"{exif} AS exif")
     # One row in, one row out. Spark pushes no filter through a generator: one
     # on ``rejected`` would otherwise repeat all of the above below it.
-    return rows.selectExpr("item_id", f"inline_outer(array({result}))")
+    return (
+        found.selectExpr("*", f"{layout('exif.block')} AS layout")
+        .selectExpr("*", "layout.little AS little", "layout.dirs AS dirs")
+        .selectExpr("*", f"{slots()} AS slots")
+        .selectExpr("item_id", "content", "exif", f"{done} AS done")
+        .selectExpr("item_id", f"inline_outer(array({result}))")
+    )
 
 
 def _claims() -> str:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tagloom.functions.bytes import cut, let
-from tagloom.functions.directories import with_directories, with_slots
+from tagloom.functions.directories import layout, slots
 from tagloom.functions.names import resolve
 from tagloom.functions.segments import first_exif
 from tagloom.functions.values import value_text
@@ -81,18 +81,22 @@ def _entries(images: DataFrame, wanted: list[tuple[str, int]] | None) -> DataFra
     An entry's bytes are in ``raw``: NULL for a value that is not wholly inside
     the block. Together they are hardly larger than the block, which ends here.
     """
-    blocks = images.selectExpr("item_id", f"{first_exif('content')}.block AS block")
-    slots = with_slots(with_directories(blocks))
+    raw = f"""CASE WHEN s.size >= 0 AND s.pos + s.size <= length(b)
+        THEN {cut('b', 's.pos', 's.size')} END"""
+    entry = f"struct(s.ifd AS ifd, s.tag AS tag, s.type AS type, s.count AS count, {raw} AS raw)"
     kept = "slots"
     if wanted is not None:
         tags = ", ".join(f"('{ifd}', {tag})" for ifd, tag in wanted)
         kept = f"filter(slots, s -> (s.ifd, s.tag) IN ({tags}))"
-    raw = f"""CASE WHEN s.size >= 0 AND s.pos + s.size <= length(b)
-        THEN {cut('b', 's.pos', 's.size')} END"""
-    entry = f"struct(s.ifd AS ifd, s.tag AS tag, s.type AS type, s.count AS count, {raw} AS raw)"
-    return slots.selectExpr(
-        "item_id",
-        "little",
-        "size(slots) AS n_tags",
-        f"{let('block', 'b', f'transform({kept}, s -> {entry})')} AS entries",
+    return (
+        images.selectExpr("item_id", f"{first_exif('content')}.block AS block")
+        .selectExpr("item_id", "block", f"{layout('block')} AS layout")
+        .selectExpr("item_id", "block", "layout.little AS little", "layout.dirs AS dirs")
+        .selectExpr("item_id", "block", "little", f"{slots()} AS slots")
+        .selectExpr(
+            "item_id",
+            "little",
+            "size(slots) AS n_tags",
+            f"{let('block', 'b', f'transform({kept}, s -> {entry})')} AS entries",
+        )
     )
