@@ -15,6 +15,7 @@ from tagloom.functions.names import home_directory, standard_type
 from tagloom.functions.patch import with_patches
 from tagloom.functions.segments import without_exif
 from tagloom.functions.values import text_count
+from tagloom.sources.stored import store
 
 KEY = ["item_id", "ifd", "tag"]
 
@@ -53,15 +54,15 @@ def apply_edits(
 ) -> DataFrame:
     """Set or remove tags; editing a missing tag adds it.
 
-    Both joins keep ``tags`` on the streamed side. The winning edits are counted
-    first: if they fit into ``broadcast_bytes`` they are broadcast, and the tags
-    do not move; if not, they are sort-merge joined, where AQE can split a hot
-    key of ``tags``. A full outer join would read ``tags`` once, but allows
+    Both joins keep ``tags`` on the streamed side. The winning edits are stored
+    and counted first: if they fit into ``broadcast_bytes`` they are broadcast,
+    and the tags do not move; if not, they are sort-merge joined, where AQE can
+    split a hot key of ``tags``. A full outer join would read ``tags`` once, but allows
     neither. The second reading, which finds the edits that add, only needs the
     three key columns: pass stored tags (``store``), not ones that are decoded
     anew each time.
     """
-    last = last_edits(edits)
+    last = store(last_edits(edits))
     small = measured_bytes(last) <= broadcast_bytes
 
     def beside(side: DataFrame) -> DataFrame:
@@ -110,16 +111,16 @@ def patch_tags(
     be done in place is listed in ``rejected`` with the reason.
 
     Images are the heavy side and stay on the streamed side of one left join.
-    The winning edits are counted first: if they fit into ``broadcast_bytes``
-    they are broadcast and no image moves. If not, they are hashed per partition,
-    so image bytes are never sorted; with the images in a table bucketed by
+    The winning edits are stored and counted first: if they fit into
+    ``broadcast_bytes`` they are broadcast and no image moves. If not, they are
+    hashed per partition, so image bytes are never sorted; with the images in a table bucketed by
     item_id (``save_images``), again only the edits move.
 
     Edits are gathered per image after ``last_edits``, so an image holds at most
     one per directory and 16-bit tag number; numbers beyond that range cannot be
     in a file and are reported together, once per image.
     """
-    last = last_edits(edits)
+    last = store(last_edits(edits))
     small = measured_bytes(last) <= broadcast_bytes
     names = ", ".join(f"'{ifd}'" for ifd in IFDS)
     valid = f"tag BETWEEN 0 AND 65535 AND ifd IN ({names})"
