@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
+from tagloom.functions.directories import IFDS
 
 # Fixed values of the Exif standard: tag number -> (name, type code).
 IFD0 = {
@@ -166,14 +167,17 @@ def resolve(names: Sequence[str | tuple[str, int]]) -> list[tuple[str, str, int]
     A tag is asked for by its name in the standard, or as (directory, number),
     which gives a column such as ``ifd1_259``.
     """
+    if not names:
+        raise ValueError("no tags asked for")
     found = []
     for name in names:
-        if not isinstance(name, str):
-            found.append((f"{name[0]}_{name[1]}", name[0], name[1]))
-        elif name in _BY_NAME:
+        if isinstance(name, str) and name in _BY_NAME:
             found.append((name, *_BY_NAME[name]))
+        elif not isinstance(name, str) and name[0] in IFDS:
+            ifd, tag = name[0], int(name[1])
+            found.append((f"{ifd}_{tag}", ifd, tag))
         else:
-            raise ValueError(f"unknown tag name: {name}")
+            raise ValueError(f"unknown tag: {name}")
     return found
 
 

@@ -154,8 +154,9 @@ def test_some_tags(spark):
     images = frame(spark, [jpeg(exif(block("<", SAMPLE)))])
     found = by_item(decode_tags(images, ["Make", ("gps", 2)]))
     assert [row[:2] for row in found[0]] == [("gps", 2), ("ifd0", 0x010F)]
-    with pytest.raises(ValueError):
-        decode_tags(images, ["NoSuchTag"])
+    for names in (["NoSuchTag"], [("nowhere", 1)], []):
+        with pytest.raises(ValueError):
+            decode_tags(images, names)
 
 
 def test_plans(spark, tmp_path):
