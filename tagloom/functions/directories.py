@@ -8,6 +8,8 @@ bytes lie in the entry itself.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from tagloom.functions.bytes import big_endian, chain, count_up, cut, let, number
 
 # Fixed values of the TIFF and Exif file formats.
@@ -61,15 +63,21 @@ def layout(block: str) -> str:
     return chain(steps, f"struct(little, {dirs} AS dirs)")
 
 
-def slots() -> str:
-    """One struct per entry of all ``dirs``.
+def slots(tags: Iterable[int] | None = None) -> str:
+    """One struct per entry of all ``dirs``, or per entry with one of ``tags``.
 
     ``entry`` is where the entry starts, ``pos`` and ``size`` where the value
     lies; ``size`` is NULL for a type code that the format does not know.
     """
     head = f"""struct(d.ifd AS ifd, {_tag('e')} AS tag, {_type('e')} AS type,
         {_count('e')} AS count, d.pos + 2 + k * 12 AS entry, {_field('e')} AS field)"""
+    if tags is not None:
+        # Compared as hex text, before any number is read.
+        listed = ", ".join(f"'{tag:04X}'" for tag in sorted(set(tags)))
+        head = f"IF(IF(little, right(e, 4), left(e, 4)) IN ({listed}), {head}, NULL)"
     heads = f"flatten(transform(dirs, d -> transform(d.entries, (e, k) -> {head})))"
+    if tags is not None:
+        heads = f"filter({heads}, h -> h IS NOT NULL)"
     size = f"h.count * {width('h.type')}"
     slot = f"""struct(h.ifd AS ifd, h.tag AS tag, h.type AS type, h.count AS count,
         h.entry AS entry, IF({size} <= 4, h.entry + 8, h.field) AS pos, {size} AS size)"""

@@ -20,44 +20,43 @@ APP1 = "FFE1"
 EXIF = "457869660000"  # "Exif" and two zero bytes
 EXIF_HEADER = 10  # marker, length and the six bytes above
 
-_FIRST_STEPS = 64
 _STATE = "STRUCT<pos: BIGINT, exif: ARRAY<STRUCT<start: BIGINT, size: BIGINT>>>"
 
 
-def exif_segments(content: str) -> str:
-    """Start and size of every Exif segment, in file order.
+def exif_segments(content: str, only_first: bool = False) -> str:
+    """Start and size of the Exif segments, all or the first, in file order.
 
-    Nearly all files end their header within a few segments, so the first steps
-    are bounded by a constant. What is left over goes through two nested loops
-    that together have one step per byte: no file is given up on.
+    Nearly all files end their header within a few segments, so the first 64
+    steps have a loop of their own. What is left over goes through one that has
+    a step for every byte: no file is given up on.
     """
     begin = (
         f"CASE WHEN hex(substring({content}, 1, 2)) = '{START_OF_IMAGE}' THEN 2L END AS pos,"
         " array() AS exif"
     )
-    start = f"CAST(struct({begin}) AS {_STATE})"
-    step = f"(s, i) -> IF(s.pos IS NULL, s, {_advance(content, 's')})"
-    each = f"sequence(1, CAST(ceil(sqrt(length({content}))) AS INT))"
-    rest = (
-        f"aggregate({each}, w, (o, j) -> IF(o.pos IS NULL, o, aggregate({each}, o, {step})))"
-    )
-    return let(
-        f"aggregate(sequence(1, {_FIRST_STEPS}), {start}, {step})",
-        "w",
-        f"IF(w.pos IS NULL, w, {rest})",
-    ) + ".exif"
+    step = f"(s, i) -> IF(s.pos IS NULL, s, {_advance(content, 's', only_first)})"
+
+    def walk(state: str, side: str) -> str:
+        """Up to side * side steps; a round of them costs nothing once at the end."""
+        one_round = f"IF(o.pos IS NULL, o, aggregate(sequence(1, {side}), o, {step}))"
+        return f"aggregate(sequence(1, {side}), {state}, (o, j) -> {one_round})"
+
+    side = f"CAST(ceil(sqrt(length({content}))) AS INT)"
+    rest = f"IF(w.pos IS NULL, w, {walk('w', side)})"
+    return let(walk(f"CAST(struct({begin}) AS {_STATE})", "8"), "w", rest) + ".exif"
 
 
-def _advance(content: str, state: str) -> str:
+def _advance(content: str, state: str, only_first: bool) -> str:
     marker = "left(h, 4)"
     size = "CAST(conv(substring(h, 5, 4), 16, 10) AS BIGINT)"
+    is_exif = f"({marker} = '{APP1}' AND substring(h, 9, 12) = '{EXIF}' AND {size} >= 8)"
     after = f"""CASE
         WHEN length(h) < 8 OR NOT startswith(h, 'FF') OR {marker} IN {STOPS} THEN NULL
         WHEN {marker} = '{FILL}' THEN {state}.pos + 1
         WHEN {marker} IN {BARE} THEN {state}.pos + 2
+        {f"WHEN {is_exif} THEN NULL" if only_first else ""}
         WHEN {size} >= 2 THEN {state}.pos + 2 + {size} END"""
     found = f"array(struct({state}.pos AS start, {size} + 2 AS size))"
-    is_exif = f"{marker} = '{APP1}' AND substring(h, 9, 12) = '{EXIF}' AND {size} >= 8"
     exif = f"IF({is_exif}, concat({state}.exif, {found}), {state}.exif)"
     return let(
         f"hex({cut(content, f'{state}.pos', EXIF_HEADER)})",
@@ -72,7 +71,7 @@ def first_exif(content: str) -> str:
     return let(
         content,
         "c",
-        f"try_element_at(transform({exif_segments('c')},"
+        f"try_element_at(transform({exif_segments('c', only_first=True)},"
         f" s -> struct(s.start AS start, {block} AS block)), 1)",
     )
 

@@ -68,15 +68,15 @@ def view_images(images: DataFrame, names: Names) -> DataFrame:
 
     row = ", ".join(f"{show(ifd, tag)} AS `{name}`" for name, ifd, tag in wanted)
     return (
-        entries.selectExpr("item_id", "n_tags", f"{texts} AS texts")
-        .selectExpr("item_id", f"inline_outer(IF(n_tags > 0, array(struct(TRUE AS has_tags, {row})), NULL))")
+        entries.selectExpr("item_id", "has_tags", f"{texts} AS texts")
+        .selectExpr("item_id", f"inline_outer(IF(has_tags, array(struct(has_tags, {row})), NULL))")
         .where("has_tags")
         .drop("has_tags")
     )
 
 
 def _entries(images: DataFrame, wanted: list[tuple[str, int]] | None) -> DataFrame:
-    """The entries of each image, all or the wanted ones, and the number of all.
+    """The entries of each image, all or the wanted ones, and if it has any.
 
     An entry's bytes are in ``raw``: NULL for a value that is not wholly inside
     the block. Together they are hardly larger than the block, which ends here.
@@ -84,19 +84,20 @@ def _entries(images: DataFrame, wanted: list[tuple[str, int]] | None) -> DataFra
     raw = f"""CASE WHEN s.size >= 0 AND s.pos + s.size <= length(b)
         THEN {cut('b', 's.pos', 's.size')} END"""
     entry = f"struct(s.ifd AS ifd, s.tag AS tag, s.type AS type, s.count AS count, {raw} AS raw)"
-    kept = "slots"
+    kept, some = "slots", None
     if wanted is not None:
+        some = [tag for _, tag in wanted]
         tags = ", ".join(f"('{ifd}', {tag})" for ifd, tag in wanted)
         kept = f"filter(slots, s -> (s.ifd, s.tag) IN ({tags}))"
     return (
         images.selectExpr("item_id", f"{first_exif('content')}.block AS block")
         .selectExpr("item_id", "block", f"{layout('block')} AS layout")
         .selectExpr("item_id", "block", "layout.little AS little", "layout.dirs AS dirs")
-        .selectExpr("item_id", "block", "little", f"{slots()} AS slots")
+        .selectExpr("item_id", "block", "little", "dirs", f"{slots(some)} AS slots")
         .selectExpr(
             "item_id",
             "little",
-            "size(slots) AS n_tags",
+            "exists(dirs, d -> d.n > 0) AS has_tags",
             f"{let('block', 'b', f'transform({kept}, s -> {entry})')} AS entries",
         )
     )
