@@ -44,15 +44,17 @@ def with_patches(images: DataFrame) -> DataFrame:
     ]
     patched = f"CASE WHEN patched IS NOT NULL THEN {_closed_up()} END"
     done = chain(steps, f"struct({patched} AS block, {_rejected()} AS rejected)")
+    done = f"CASE WHEN edits IS NOT NULL THEN {done} END"
     after = f"CAST(exif.start AS INT) + {EXIF_HEADER + 1}"
     content = f"IF(done.block IS NULL, content, overlay(content PLACING done.block FROM {after}))"
-    result = f"struct({content} AS content, done.rejected AS rejected)"
+    rejected = f"coalesce(done.rejected, CAST(array() AS {_REJECTED}))"
+    result = f"struct({content} AS content, {rejected} AS rejected)"
     given = images.select("item_id", "content", "edits")
     found = given.selectExpr("*", f"{exif} AS exif")
     # One row in, one row out. Spark pushes no filter through a generator: one
     # on ``rejected`` would otherwise repeat all of the above below it.
     return (
-        found.selectExpr("*", f"{layout('exif.block')} AS layout")
+        found.selectExpr("*", f"CASE WHEN exif IS NOT NULL THEN {layout('exif.block')} END AS layout")
         .selectExpr("*", "layout.little AS little", "layout.dirs AS dirs")
         .selectExpr("*", f"{slots()} AS slots")
         .selectExpr("item_id", "content", "exif", f"{done} AS done")
@@ -158,5 +160,4 @@ def _rejected() -> str:
     reason = f"""CASE WHEN little IS NULL THEN '{NO_BLOCK}'
         WHEN size({own}) = 0 THEN '{NO_TAG}' ELSE array_max({own}.reason) END"""
     judged = f"transform(edits, e -> struct(e.ifd AS ifd, e.tag AS tag, {reason} AS reason))"
-    refused = f"filter({judged}, r -> r.reason IS NOT NULL)"
-    return f"CAST(coalesce({refused}, array()) AS {_REJECTED})"
+    return f"CAST(filter({judged}, r -> r.reason IS NOT NULL) AS {_REJECTED})"

@@ -348,6 +348,21 @@ def test_hot_image(spark):
         assert ("ifd0", 0x010F, 2, 4, "New") in read(bytes(by[i].content))
 
 
+def test_patch_plan(spark, tmp_path):
+    path = str(tmp_path / "images")
+    data = jpeg(exif(block("<", SAMPLE)))
+    frame(spark, [data, data]).selectExpr("*", "1 AS other").write.parquet(path)
+    done = patch_tags(spark.read.parquet(path), edits(spark, [(0, None, 271, 1, "x")]))
+    text = plan(done.where("size(rejected) > 0"))
+    assert "BroadcastHashJoin LeftOuter BuildRight" in text
+    assert "struct<item_id:bigint,content:binary>" in text
+    # The images do not move, and their segments are walked once.
+    parts = text.split("\n\n")
+    assert not any(") Exchange" in p.split("\n")[0] and "content" in p for p in parts)
+    assert text.count("= FFD8)") == 1
+    assert {r.item_id: r.rejected for r in done.collect()} == {0: [], 1: []}
+
+
 # --- files and streams ------------------------------------------------------
 
 
