@@ -32,9 +32,17 @@ def with_patches(images: DataFrame) -> DataFrame:
     for an image that is not edited: its bytes are not even looked at.
     """
     exif = f"CASE WHEN edits IS NOT NULL THEN {first_exif('content')} END"
+    parts = chain(
+        [
+            ("layout", layout("exif.block")),
+            ("little", "layout.little"),
+            ("dirs", "layout.dirs"),
+            ("slots", slots()),
+        ],
+        f"struct(little, dirs, slots, {_claims()} AS claims)",
+    )
     steps = [
         ("block", "exif.block"),
-        ("claims", _claims()),
         ("plans", _paired()),
         ("plans", _with_bytes()),
         ("plans", _with_reason()),
@@ -44,20 +52,16 @@ def with_patches(images: DataFrame) -> DataFrame:
     ]
     patched = f"CASE WHEN patched IS NOT NULL THEN {_closed_up()} END"
     done = chain(steps, f"struct({patched} AS block, {_rejected()} AS rejected)")
-    done = f"CASE WHEN edits IS NOT NULL THEN {done} END"
     after = f"CAST(exif.start AS INT) + {EXIF_HEADER + 1}"
     content = f"IF(done.block IS NULL, content, overlay(content PLACING done.block FROM {after}))"
     rejected = f"coalesce(done.rejected, CAST(array() AS {_REJECTED}))"
     result = f"struct({content} AS content, {rejected} AS rejected)"
-    given = images.select("item_id", "content", "edits")
-    found = given.selectExpr("*", f"{exif} AS exif")
     # One row in, one row out. Spark pushes no filter through a generator: one
     # on ``rejected`` would otherwise repeat all of the above below it.
     return (
-        found.selectExpr("*", f"CASE WHEN exif IS NOT NULL THEN {layout('exif.block')} END AS layout")
-        .selectExpr("*", "layout.little AS little", "layout.dirs AS dirs")
-        .selectExpr("*", f"{slots()} AS slots")
-        .selectExpr("item_id", "content", "exif", f"{done} AS done")
+        images.selectExpr("item_id", "content", "edits", f"{exif} AS exif")
+        .selectExpr("*", f"CASE WHEN exif IS NOT NULL THEN {parts} END AS parts")
+        .selectExpr("*", f"CASE WHEN edits IS NOT NULL THEN {done} END AS done")
         .selectExpr("item_id", f"inline_outer(array({result}))")
     )
 
@@ -76,7 +80,7 @@ def _claims() -> str:
 
 def _crowded(start: str, size: str) -> str:
     """Whether anything but the bytes' one owner lies on them."""
-    return f"size(filter(claims, c -> c.start < {start} + {size} AND c.end > {start})) > 1"
+    return f"size(filter(parts.claims, c -> c.start < {start} + {size} AND c.end > {start})) > 1"
 
 
 def _paired() -> str:
@@ -84,20 +88,20 @@ def _paired() -> str:
     own = "filter(edits, e -> e.ifd = s.ifd AND e.tag = s.tag)"
     both = """struct(s.ifd AS ifd, s.tag AS tag, s.type AS type, s.entry AS entry,
         s.pos AS pos, s.size AS size, e.value AS value)"""
-    return f"flatten(transform(slots, s -> transform({own}, e -> {both})))"
+    return f"flatten(transform(parts.slots, s -> transform({own}, e -> {both})))"
 
 
 def _with_bytes() -> str:
     return f"""transform(plans, p -> struct(p.ifd AS ifd, p.tag AS tag, p.type AS type,
         p.entry AS entry, p.pos AS pos, p.size AS size, p.value IS NULL AS removes,
-        {value_bytes('p.value', 'p.type', 'little')} AS data))"""
+        {value_bytes('p.value', 'p.type', 'parts.little')} AS data))"""
 
 
 def _with_reason() -> str:
     pointer = " OR ".join(f"(p.ifd = '{ifd}' AND p.tag = {tag})" for ifd, tag, _ in POINTERS)
     # Closing up a directory also moves the 4-byte position behind its entries.
     extent = "(d.n * 12 + IF(p.removes, 6, 2))"
-    shared = f"""exists(dirs, d -> d.ifd = p.ifd AND {_crowded('d.pos', extent)})
+    shared = f"""exists(parts.dirs, d -> d.ifd = p.ifd AND {_crowded('d.pos', extent)})
         OR (p.size > 4 AND {_crowded('p.pos', 'p.size')})"""
     reason = f"""CASE WHEN {pointer} THEN '{IS_POINTER}'
         WHEN p.size IS NULL OR p.pos + p.size > length(block) THEN '{OUTSIDE}'
@@ -131,7 +135,7 @@ def _written() -> str:
     inline = f"length({data}) <= 4"
     slot = f"IF({inline}, {zeros('p.size')}, {padded('p.size')})"
     field = f"IF({inline}, {padded('4')}, {cut('b', 'p.entry + 8', 4)})"
-    entry = f"concat({number_bytes('p.count', 4, 'little')}, {field})"
+    entry = f"concat({number_bytes('p.count', 4, 'parts.little')}, {field})"
     clean = f"IF(p.size > 4, {_put('b', slot, 'p.pos')}, b)"
     one = f"IF(p.removes, {clean}, {_put(clean, entry, 'p.entry + 4')})"
     return f"aggregate(accepted, block, (b, p) -> {one})"
@@ -142,14 +146,14 @@ def _losing() -> str:
     places = f"transform({count_up('d.n')}, k -> d.pos + 2 + k * 12)"
     own = "filter(accepted, p -> p.removes AND p.ifd = d.ifd)"
     kept = f"array_except({places}, {own}.entry)"
-    return f"""filter(transform(dirs, d -> struct(d.pos AS pos, d.n AS n, {kept} AS kept)),
+    return f"""filter(transform(parts.dirs, d -> struct(d.pos AS pos, d.n AS n, {kept} AS kept)),
         d -> size(d.kept) < d.n)"""
 
 
 def _closed_up() -> str:
     """The patched block with those directories closed up."""
     entries = f"unhex(array_join(transform(d.kept, e -> hex({cut('b', 'e', 12)})), ''))"
-    whole = f"""concat({number_bytes('size(d.kept)', 2, 'little')}, {entries},
+    whole = f"""concat({number_bytes('size(d.kept)', 2, 'parts.little')}, {entries},
         {cut('b', '(d.pos + 2 + d.n * 12)', 4)}, {zeros('(d.n - size(d.kept)) * 12')})"""
     return f"aggregate(losing, patched, (b, d) -> {_put('b', whole, 'd.pos')})"
 
@@ -157,7 +161,7 @@ def _closed_up() -> str:
 def _rejected() -> str:
     """The edits that were not done, each with its reason."""
     own = "filter(plans, p -> p.ifd = e.ifd AND p.tag = e.tag)"
-    reason = f"""CASE WHEN little IS NULL THEN '{NO_BLOCK}'
+    reason = f"""CASE WHEN parts.little IS NULL THEN '{NO_BLOCK}'
         WHEN size({own}) = 0 THEN '{NO_TAG}' ELSE array_max({own}.reason) END"""
     judged = f"transform(edits, e -> struct(e.ifd AS ifd, e.tag AS tag, {reason} AS reason))"
     return f"CAST(filter({judged}, r -> r.reason IS NOT NULL) AS {_REJECTED})"
