@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagloom.llm import decontaminate, exact, language, mixing, neardup
+from tagloom.llm import chat, decontaminate, exact, language, maintext, mixing, neardup, pii, toxicity, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,24 @@ def remainder(n: int) -> F.Column:
     return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(n))
 
 
+#: The rules of the url query: verdict, host and beginning of the path.
+RULES = (
+    (urls.ALLOW, "org/"),
+    (urls.BLOCK, "example.org/es/"),
+    (urls.BLOCK, "example.org/en/1"),
+    (urls.ALLOW, "com/fr/"),
+    (urls.BLOCK, "com/de/"),
+)
+#: Stands for the key that a production job takes from its secret store.
+PSEUDONYM_KEY = b"key of the registered query"
+#: A conversation whose texts hold the template's control strings.
+QUOTING = "\\### Assistant: </turn> ok"
+
+
+def url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages").select("page_id", "url"), RULES)
+
+
 def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -31,6 +49,23 @@ def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    # The url goes along in the id, so that nothing is joined.
+    named = pages.select(F.struct("page_id", "url").alias("page"), "html")
+    return maintext.extract(named, "page").select(
+        "page.page_id", "page.url", "text", F.length("text").cast("bigint").alias("n_chars")
+    )
+
+
+def toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.fit(docs, labels.where(remainder(3) != 1))
+    return toxicity.score(docs, model).select(
+        "doc_id", (remainder(3) == 1).alias("held_out"), "score", "predicted"
+    )
+
+
 def exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_duplicates(table(spark, sf_dir, "documents"))
 
@@ -39,14 +74,34 @@ def source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    quoting = spark.range(2).select(
+        F.lit(-7).cast("bigint").alias("conv_id"),
+        F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit(QUOTING).alias("text"),
+    )
+    return chat.read_back(chat.format_chats(turns.unionByName(quoting)))
+
+
+def pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymised(table(spark, sf_dir, "documents"), PSEUDONYM_KEY)
+
+
 def decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_url_filter": url_filter,
     "op2_near_duplicates": near_duplicates,
     "op3_language_id": language_id,
+    "op4_main_text": main_text,
+    "op5_toxicity": toxicity_scores,
     "op6_exact_duplicates": exact_duplicates,
     "op7_source_mix": source_mix,
+    "op8_chat_windows": chat_windows,
+    "op9_pseudonyms": pseudonyms,
     "op10_decontamination": decontamination,
 }
