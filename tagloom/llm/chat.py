@@ -180,8 +180,8 @@ def format_chats(
     """conv_id, window, first_turn, n_turns, n_repeated, tokens, text, loss: a row for each window.
 
     ``n_turns`` counts the turns that are new in the window, ``n_repeated`` those before them, which
-    are masked. ``loss`` lists the code point spans of the window's targets. System turns that
-    open a conversation open each of its windows. A turn that is longer than
+    are masked. ``loss`` lists the code point spans of the window's targets. The system turns that
+    open a conversation's first window open all of its windows. A turn that is longer than
     the budget is not cut: it gets a window of its own beside the system turns, above the budget.
 
     Null texts and roles are empty. Rows with a null id are one conversation. Turns that share a

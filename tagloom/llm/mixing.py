@@ -70,10 +70,10 @@ def targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, most: float =
     while True:
         full = F.lit(rate) * F.col("weight") >= F.col("source_size") * most
         capped, open_ = shares.agg(
-            F.sum(F.when(full, F.col("source_size") * most).otherwise(0)),
-            F.sum(F.when(full, 0.0).otherwise(F.col("weight"))),
+            F.coalesce(F.sum(F.when(full, F.col("source_size") * most).otherwise(0)), F.lit(0)),
+            F.coalesce(F.sum(F.when(full, 0.0).otherwise(F.col("weight"))), F.lit(0.0)),
         ).first()
-        now = (total - capped) / open_ if open_ else rate
+        now = (total - capped) / open_ if open_ else rate  # no open source: nothing to share
         if now <= rate:
             break
         rate = now

@@ -84,7 +84,7 @@ _WORD = re.compile(r"[^\W\d_]+")
 def _plain(m: re.Match) -> str:
     word = m[0]
     letters = sum(c.isalpha() for c in word)
-    return word.translate(LEET) if 2 * letters >= len(word) and letters < len(word) else word
+    return word.translate(LEET) if 3 * letters >= len(word) > letters else word
 
 
 def fold(text: str) -> str:

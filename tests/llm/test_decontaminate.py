@@ -1,0 +1,102 @@
+import random
+
+import numpy as np
+
+from tagloom.llm import decontaminate
+from tests.helpers import plan
+from tests.llm import helpers
+
+ITEM = "item_id bigint, text string"
+
+
+def brute(docs, items):
+    """(doc, item) of every passage, by laying each item beside each document at every shift."""
+    out = set()
+    for d, text in docs:
+        doc = helpers.words(text)
+        for i, passage in items:
+            item = helpers.words(passage)
+            if len(item) < 5:
+                continue
+            for shift in range(-len(item) + 1, len(doc)):
+                first, last = max(0, -shift), min(len(item), len(doc) - shift)
+                equal = np.array([item[k] == doc[k + shift] for k in range(first, last)])
+                if len(equal) and decontaminate.best_run(equal)[2] >= decontaminate.needed(len(item)):
+                    out.add((d, i))
+    return out
+
+
+def collection(rng):
+    vocab = helpers.vocabulary(3000)
+    items = [(i, helpers.sentence(rng, rng.randint(15, 40), vocab)) for i in range(15)]
+    items += [(50, "too short to tell"), (51, None), (52, ""), (53, helpers.sentence(rng, 7, vocab))]
+    docs = []
+    for d in range(120):
+        w = helpers.sentence(rng, rng.randint(0, 60), vocab).split(" ")
+        if rng.random() < 0.6:
+            item = helpers.words(rng.choice(items)[1])
+            kind = rng.random()
+            if kind < 0.3 and len(item) > 10:
+                item = [x if k % 4 else "sub" for k, x in enumerate(item)]
+            elif kind < 0.5 and len(item) > 10:
+                item = [x if k % 3 else "sub" for k, x in enumerate(item)]
+            elif kind < 0.6:
+                item = item[: len(item) // 3]
+            elif kind < 0.7:
+                item = item[:12] + ["new"] + item[12:]
+            at = rng.randint(0, len(w))
+            w[at:at] = item
+        docs.append((d, " ".join(x.upper() if d % 7 == 0 else x for x in w)))
+    docs += [(500, items[0][1]), (501, None), (502, ""), (503, "too short to tell")]
+    return docs, items
+
+
+def test_passages_are_those_of_every_shift(spark):
+    docs, items = collection(random.Random(9))
+    got = decontaminate.passages(helpers.docs(spark, docs), spark.createDataFrame(items, ITEM)).collect()
+    want = brute(docs, items)
+    assert {(r.doc_id, r.item_id) for r in got} == want and len(want) > 40
+    texts, passages = dict(docs), dict(items)
+    for r in got:
+        doc, item = helpers.words(texts[r.doc_id]), helpers.words(passages[r.item_id])
+        pairs = [(doc[r.doc_start + k], item[r.item_start + k]) for k in range(r.length)]
+        assert sum(a == b for a, b in pairs) == r.matched
+
+
+def test_blocks_of_items_give_the_same(spark, monkeypatch):
+    docs, items = collection(random.Random(10))
+    frame, bench = helpers.docs(spark, docs), spark.createDataFrame(items, ITEM)
+    whole = sorted(map(tuple, decontaminate.passages(frame, bench).collect()))
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 1500)
+    assert sorted(map(tuple, decontaminate.passages(frame, bench).collect())) == whole
+
+
+def test_judged_and_removed(spark):
+    docs, items = collection(random.Random(11))
+    frame, bench = helpers.docs(spark, docs), spark.createDataFrame(items, ITEM)
+    bad = {d for d, _ in brute(docs, items)}
+    got = decontaminate.judge(frame, bench).collect()
+    assert {r.doc_id for r in got if r.contaminated} == bad and len(got) == len(docs)
+    left = decontaminate.decontaminated(frame, bench)
+    assert left.columns == frame.columns
+    assert {r.doc_id for r in left.collect()} == {d for d, _ in docs} - bad
+
+
+def test_odd_rows_and_empty_tables(spark):
+    passage = helpers.sentence(random.Random(1), 20, helpers.vocabulary(99))
+    bench = spark.createDataFrame([(1, passage), (1, passage), (2, passage)], ITEM)
+    frame = helpers.docs(spark, [(None, passage), (5, f"{passage} x {passage}"), (5, "clean"), (6, None), (7, "x " * 50_000)])
+    got = {r.doc_id: r for r in decontaminate.judge(frame, bench).collect() if r.doc_id != 5}
+    assert not got[None].contaminated and not got[6].contaminated and not got[7].contaminated
+    assert [r.doc_id for r in decontaminate.decontaminated(frame, bench).orderBy("doc_id").collect()] == [None, 6, 7]
+    nothing = bench.limit(0)
+    assert decontaminate.passages(frame, nothing).collect() == []
+    assert decontaminate.judge(helpers.docs(spark, []), bench).collect() == []
+
+
+def test_documents_do_not_move(spark, tmp_path):
+    path = str(tmp_path / "docs")
+    helpers.docs(spark, [(i, "a b c d e f g") for i in range(20)]).write.parquet(path)
+    bench = spark.createDataFrame([(1, "h i j k l m n")], ITEM)
+    text = plan(decontaminate.decontaminated(spark.read.parquet(path), bench))
+    assert ") Exchange" not in text

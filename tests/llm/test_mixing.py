@@ -1,0 +1,88 @@
+import random
+
+import pytest
+
+from tagloom.llm import mixing
+from tests.llm import helpers
+
+
+def brute_targets(sizes):
+    """Shares by weight, settled source by source; sizes by source, None last."""
+    order = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
+    weight = {s: 1 + k % 3 for k, s in enumerate(order)}
+    target, left, total = {}, set(order), sum(sizes.values())
+    while left:
+        rate = (total - sum(target.values())) / sum(weight[s] for s in left)
+        over = {s for s in left if rate * weight[s] >= 3 * sizes[s]}
+        if not over:
+            return target | {s: rate * weight[s] for s in left}
+        target |= {s: 3.0 * sizes[s] for s in over}
+        left -= over
+    return target
+
+
+def collection(rng):
+    sources = ["b", "a", None, "é", "Z", "tiny", "hot"]
+    rows = []
+    for i in range(3000):
+        source = "hot" if i % 3 == 0 else rng.choice(sources[:5])
+        rows.append((i, helpers.sentence(rng, rng.randint(0, 40), "xyz"), None, source))
+    return [*rows, (9000, "one two", None, "tiny"), (9001, None, None, "empty")]
+
+
+def test_targets_and_what_is_taken(spark):
+    rows = collection(random.Random(6))
+    sizes = {}
+    for _, text, _, source in rows:
+        sizes[source] = sizes.get(source, 0) + len((text or "").split())
+    want = brute_targets(sizes)
+    df = helpers.docs(spark, rows)
+    got = {r.doc_id: r for r in mixing.mix(df).collect()}
+    assert len(got) == len(rows)
+    taken = dict.fromkeys(sizes, 0)
+    for i, text, _, source in rows:
+        r = got[i]
+        assert r["size"] == len((text or "").split()) and r["source_size"] == sizes[source]
+        assert r["target"] == pytest.approx(want[source])
+        assert r["taken"] in [k * r["size"] for k in range(4)]
+        taken[source] += r["taken"]
+    for source in sizes:
+        assert abs(taken[source] - want[source]) <= 40
+    assert {r.doc_id: r for r in mixing.mix(df).collect()} == got
+    chosen = {r.doc_id: r.times for r in mixing.take(df).collect()}
+    assert all(chosen.get(i, 0) * r["size"] == r["taken"] for i, r in got.items())
+
+
+def test_a_larger_budget_takes_more_of_the_same(spark):
+    rng = random.Random(7)
+    rows = [(i, "a b c", None, rng.choice("xy")) for i in range(400)]
+    df = helpers.docs(spark, rows)
+    small, large = ({r.doc_id: r.taken for r in mixing.mix(df, weights=w).collect()} for w in ((1, 3), (2, 3)))
+    of_x = [i for i, _, _, s in rows if s == "x"]
+    assert all(small[i] <= large[i] for i in of_x) and any(small[i] < large[i] for i in of_x)
+
+
+def test_odd_rows_and_an_empty_table(spark):
+    rows = [(1, "a b", None, None), (1, "a b", None, None), (None, "c", None, "s"), (2, None, None, "s"), (3, "", None, "t")]
+    got = mixing.mix(helpers.docs(spark, rows)).collect()
+    assert len(got) == 5
+    assert len({r.taken for r in got if r.doc_id == 1}) == 1
+    assert all(r.taken <= 3 * r["size"] for r in got)
+    assert [(r.target, r.taken) for r in got if r.doc_id == 3] == [(0.0, 0)]
+    assert mixing.mix(helpers.docs(spark, [])).collect() == []
+    assert mixing.take(helpers.docs(spark, [])).collect() == []
+
+
+def test_words_are_those_of_the_contract(spark):
+    texts = ["", None, " ", "a", " a", "a ", " a  b\t\n", "a\x0bb\x0cc\rd", "a b", "\x1fx"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").select("text", mixing.words("text").alias("n"))
+    for r in df.collect():
+        assert r.n == len(helpers.words(r.text))
+
+
+def test_places_of_many_sources(spark):
+    names = [f"s{i}" for i in range(500)] + ["é", "Z", None]
+    df = spark.createDataFrame([(n,) for n in names], "source string")
+    got = {r.source: r.place for r in mixing.ranked(df).collect()}
+    order = sorted(names, key=lambda s: (s is None, (s or "").encode()))
+    assert got == {s: k for k, s in enumerate(order)}

@@ -1,0 +1,95 @@
+import datetime
+import random
+
+import pytest
+
+from tagloom.llm import pii
+from tests.llm import helpers
+
+KEY = b"test"
+P = pii.Permutation(KEY)
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 10, 97, 1000, 4097])
+def test_every_number_has_one_image(size):
+    assert {P(i, size, "t") for i in range(size)} == set(range(size))
+
+
+def test_keys_and_tweaks_differ_and_large_numbers_fit():
+    big = 62**40
+    images = {pii.Permutation(k)(12345, big, t) for k in (b"a", b"b") for t in "xy"}
+    assert len(images) == 4 and all(0 <= i < big for i in images)
+
+
+def replaced(text):
+    return pii.pseudonymise(text, P)
+
+
+def test_values_of_each_kind_are_replaced_by_valid_ones():
+    rng = random.Random(5)
+    for _ in range(200):
+        body = "".join(rng.choices("0123456789", k=15))
+        card = body + str(-pii.luhn_sum(body + "0") % 10)
+        new = pii.card(card, P)
+        assert len(new) == 16 and new != card and pii.luhn_sum(new) % 10 == 0
+        spaced = " ".join(card[k : k + 4] for k in range(0, 16, 4))
+        assert pii.card(spaced, P).replace(" ", "") == new  # equal numbers stay linked
+        number = ".".join(str(rng.randrange(256)) for _ in range(4))
+        assert all(0 <= int(x) <= 255 for x in pii.address(number, P).split("."))
+        social = f"{rng.randint(1, 665):03d}-{rng.randint(1, 99):02d}-{rng.randint(1, 9999):04d}"
+        assert pii.social(pii.social(social, P), P) is not None  # the pseudonym is a valid one
+    assert pii.iban(pii.iban("DE89370400440532013000", P), P) is not None
+    assert pii.phone("+1 (017) 555-7713", P)[:4] == "+1 ("
+
+
+@pytest.mark.parametrize(
+    "text",
+    ["4111111111111112", "DE88370400440532013000", "000-12-1234", "666-12-1234", "256.1.1.1", "1.2.3", "2001-02-29",
+     "31/04/2001", "version 3.4.5", "1234567890123", "0000000000000000", "a @ b", "1999", "12:30", "token of love"],
+)
+def test_what_is_no_value_stays(text):
+    assert replaced(text) == (text, [])
+
+
+def test_values_inside_texts():
+    text = 'Mail éan.34@mail7.example.com, call +1 (017) 555-7713. TOKEN = "24BE64439E3E49CF46B2" 152.143.123.131### on 2001-02-28; 4111 1111 1111 1111 12'
+    new, kinds = replaced(text)
+    assert kinds == ["mail", "phone", "secret", "address", "date", "card"]
+    for value in ("34@mail7", "555-7713", "24BE64", "152.143.123.131", "2001-02-28", "4111 1111 1111 1111"):
+        assert value not in new
+    assert new.startswith("Mail é") and new.endswith(" 12") and "### on " in new
+    assert replaced(text) == (new, kinds)
+
+
+@pytest.mark.parametrize("shape", ["%Y-%m-%d", "%d.%m.%Y", "%Y/%m/%d"])
+def test_dates_are_permuted(shape):
+    days = [datetime.date(1900, 1, 1) + datetime.timedelta(k) for k in range(0, 73_049, 7)]
+    images = {pii.date(d.strftime(shape), P) for d in days}
+    assert len(images) == len(days)
+    assert all(datetime.datetime.strptime(i, shape).strftime(shape) == i for i in images)
+
+
+def test_dates_without_padding_and_month_first():
+    days = [datetime.date(1950, 1, 1) + datetime.timedelta(k) for k in range(3000)]
+    plain = [f"{d.day}.{d.month}.{d.year}" for d in days if min(d.day, d.month) < 10]
+    assert len({pii.date(x, P) for x in plain}) == len(plain)
+    first = [f"{d.month:02d}/{d.day:02d}/{d.year}" for d in days if d.day > 12]
+    images = {pii.date(x, P) for x in first}
+    assert len(images) == len(first) and all(int(i[3:5]) > 12 for i in images)
+
+
+def test_rows_of_a_table(spark):
+    rows = [(1, "x 10.0.0.1"), (2, "10.0.0.1 y"), (2, None), (None, ""), (3, "10.0.0.2"), (4, "é " * 50_000 + "10.0.0.1")]
+    df = pii.pseudonymised(helpers.docs(spark, rows), KEY)
+    assert df.columns == ["doc_id", "text", "n_replaced", "kinds"]
+    got = {(r.doc_id, r.n_replaced): r for r in df.collect()}
+    one = got[1, 1].text.removeprefix("x ")
+    assert got[2, 1].text == f"{one} y" and got[4, 1].text.endswith(one) and got[3, 1].text != one
+    assert got[2, 0].text is None and got[None, 0].text == "" and got[None, 0].kinds == []
+    assert pii.pseudonymised(helpers.docs(spark, []), KEY).collect() == []
+
+
+def test_many_values_in_one_text():
+    text = " ".join(f"10.0.{k // 250}.{k % 250}" for k in range(5000))
+    new, kinds = replaced(text)
+    assert len(kinds) == 5000 and len(set(new.split())) == 5000
