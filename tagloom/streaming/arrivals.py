@@ -2,7 +2,9 @@
 
 Decoding needs no state, so the batch operators run on a stream as they are.
 The checkpoint holds the list of files done: each run reads only new ones, and
-a run that was lost goes on where it stopped.
+a run that was lost goes on where it stopped. Each run lists the folder, and the
+driver holds the names of the files done: let a collection arrive in folders by
+period, and stream one folder at a time.
 """
 
 from __future__ import annotations
@@ -16,14 +18,24 @@ _FILE = "path string, modificationTime timestamp, length bigint, content binary"
 
 
 def stream_images(
-    spark: SparkSession, path: str, glob: str | None = None, files_per_batch: int = 100_000
+    spark: SparkSession,
+    path: str,
+    glob: str | None = None,
+    files_per_batch: int = 100_000,
+    max_file_age: str = "36500d",
 ) -> DataFrame:
-    """The rows of ``scan_images`` as a stream."""
+    """The rows of ``scan_images`` as a stream.
+
+    Spark passes over files that are older than the newest one seen by more than
+    ``max_file_age``, and forgets them. Copied pictures keep their old times, so
+    by default, a hundred years, nothing is passed over.
+    """
     reader = (
         spark.readStream.format("binaryFile")
         .schema(_FILE)
         .option("recursiveFileLookup", "true")
         .option("maxFilesPerTrigger", files_per_batch)
+        .option("maxFileAge", max_file_age)
     )
     if glob is not None:
         reader = reader.option("pathGlobFilter", glob)
