@@ -44,8 +44,9 @@ def save_images(
 
     One shuffle of the images, paid once: joins on item_id, such as the one in
     ``patch_tags``, then leave the images where they are. Choose ``buckets`` so
-    that one bucket is about a gigabyte, and no fewer than
-    ``spark.sql.shuffle.partitions``: below that Spark prefers to shuffle again.
+    that a bucket's share of the edits fits into memory (a bucket of images may be many
+    gigabytes: it is streamed), no fewer than ``spark.sql.shuffle.partitions``, below which Spark prefers to
+    shuffle again, and no more than ``spark.sql.sources.bucketing.maxBuckets`` (100,000).
     """
     placed = images.repartition(buckets, F.col("item_id"))
     _writer(placed, mode).bucketBy(buckets, "item_id").saveAsTable(table)

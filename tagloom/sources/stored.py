@@ -2,28 +2,30 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def store(rows: DataFrame) -> DataFrame:
-    """Write rows as a table in the cluster's checkpoint folder and read them back.
+def shared_folder(spark: SparkSession) -> str:
+    """A folder that all machines see: ``spark.checkpoint.dir``, or where that is not
+    set a part of the warehouse, where the session's tables lie."""
+    found = spark.conf.get("spark.checkpoint.dir", "")
+    return (found or spark.conf.get("spark.sql.warehouse.dir") + "/tagloom_stored").rstrip("/")
+
+
+def store(rows: DataFrame, folder: str | None = None) -> DataFrame:
+    """Write rows as a table in a shared folder and read them back.
 
     For rows that are small beside what they are made of: tags are a thousandth
     of their images, winning edits a part of all edits. It saves doing the work
-    again for every further reading, or when an executor is lost.
-    The folder is ``spark.checkpoint.dir``, which all machines share. Where it
-    is not set, a local session uses a temporary folder of its own; on a cluster
-    the rows are left as they are, to be computed again.
+    again for every further reading, or when an executor is lost, and every reading
+    sees the same rows, also where their source would give others the next time.
+
+    ``folder`` is ``shared_folder`` if it is not given. The tables stay until the folder is emptied
+    after the job.
     """
     spark = rows.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir()
-    if not folder and spark.sparkContext.master.startswith("local"):
-        folder = tempfile.mkdtemp(prefix="tagloom-")
-    if not folder:
-        return rows
-    path = f"{folder}/tagloom-{uuid.uuid4().hex}"
+    path = f"{folder or shared_folder(spark)}/tagloom-{uuid.uuid4().hex}"
     rows.write.parquet(path)
     return spark.read.schema(rows.schema).parquet(path)
