@@ -1,6 +1,13 @@
 """View and edit the Exif metadata of image collections with Spark."""
 
-from tagloom.operators.edit import apply_edits, last_edits, patch_tags, strip_metadata
+from tagloom.operators.edit import (
+    apply_edits,
+    last_edits,
+    patch_tags,
+    refused_edits,
+    strip_metadata,
+)
+from tagloom.operators.headers import headers, join_images, split_images
 from tagloom.operators.view import decode_tags, view_images, view_tags
 from tagloom.sources.images import save_images, scan_images, write_images
 from tagloom.sources.stored import store
@@ -8,10 +15,14 @@ from tagloom.sources.stored import store
 __all__ = [
     "apply_edits",
     "decode_tags",
+    "headers",
+    "join_images",
     "last_edits",
     "patch_tags",
+    "refused_edits",
     "save_images",
     "scan_images",
+    "split_images",
     "store",
     "strip_metadata",
     "view_images",

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from tagloom.functions.bytes import chain, count_up, cut, number_bytes, zeros
-from tagloom.functions.directories import POINTERS, layout, slots, width
+from tagloom.functions.directories import IFDS, POINTERS, layout, slots, width
 from tagloom.functions.segments import EXIF_HEADER, first_exif
 from tagloom.functions.values import value_bytes
 
@@ -25,6 +25,17 @@ TOO_LONG = "longer than its slot"
 _REJECTED = "ARRAY<STRUCT<ifd: STRING, tag: INT, reason: STRING>>"
 
 
+def addressable(ifd: str, tag: str) -> str:
+    """SQL: whether a file can hold a tag of this number and directory."""
+    names = ", ".join(f"'{name}'" for name in IFDS)
+    return f"({tag} BETWEEN 0 AND 65535 AND {ifd} IN ({names}))"
+
+
+def is_pointer(ifd: str, tag: str) -> str:
+    """SQL: whether the tag holds the position of a directory."""
+    return "(" + " OR ".join(f"({ifd} = '{name}' AND {tag} = {n})" for name, n, _ in POINTERS) + ")"
+
+
 def with_patches(images: DataFrame) -> DataFrame:
     """item_id, content, rejected from item_id, content, edits.
 
@@ -98,12 +109,11 @@ def _with_bytes() -> str:
 
 
 def _with_reason() -> str:
-    pointer = " OR ".join(f"(p.ifd = '{ifd}' AND p.tag = {tag})" for ifd, tag, _ in POINTERS)
     # Closing up a directory also moves the 4-byte position behind its entries.
     extent = "(d.n * 12 + IF(p.removes, 6, 2))"
     shared = f"""exists(parts.dirs, d -> d.ifd = p.ifd AND {_crowded('d.pos', extent)})
         OR (p.size > 4 AND {_crowded('p.pos', 'p.size')})"""
-    reason = f"""CASE WHEN {pointer} THEN '{IS_POINTER}'
+    reason = f"""CASE WHEN {is_pointer('p.ifd', 'p.tag')} THEN '{IS_POINTER}'
         WHEN p.size IS NULL OR p.pos + p.size > length(block) THEN '{OUTSIDE}'
         WHEN {shared} THEN '{SHARED}'
         WHEN p.removes THEN NULL

@@ -20,11 +20,12 @@ APP1 = "FFE1"
 EXIF = "457869660000"  # "Exif" and two zero bytes
 EXIF_HEADER = 10  # marker, length and the six bytes above
 
-_STATE = "STRUCT<pos: BIGINT, exif: ARRAY<STRUCT<start: BIGINT, size: BIGINT>>>"
+_STATE = "STRUCT<pos: BIGINT, at: BIGINT, exif: ARRAY<STRUCT<start: BIGINT, size: BIGINT>>>"
 
 
-def exif_segments(content: str, only_first: bool = False) -> str:
-    """Start and size of the Exif segments, all or the first, in file order.
+def _walk(content: str, only_first: bool = False) -> str:
+    """The walk's last state: where it stopped (``at``, NULL for no JPEG file), and the start
+    and size of the Exif segments, all or the first, in file order.
 
     Nearly all files end their header within a few segments, so the first 64
     steps have a loop of their own. What is left over goes through one that has
@@ -32,7 +33,7 @@ def exif_segments(content: str, only_first: bool = False) -> str:
     """
     begin = (
         f"CASE WHEN hex(substring({content}, 1, 2)) = '{START_OF_IMAGE}' THEN 2L END AS pos,"
-        " array() AS exif"
+        " CAST(NULL AS BIGINT) AS at, array() AS exif"
     )
     step = f"(s, i) -> IF(s.pos IS NULL, s, {_advance(content, 's', only_first)})"
 
@@ -43,7 +44,20 @@ def exif_segments(content: str, only_first: bool = False) -> str:
 
     side = f"CAST(ceil(sqrt(length({content}))) AS INT)"
     rest = f"IF(w.pos IS NULL, w, {walk('w', side)})"
-    return let(walk(f"CAST(struct({begin}) AS {_STATE})", "8"), "w", rest) + ".exif"
+    return let(walk(f"CAST(struct({begin}) AS {_STATE})", "8"), "w", rest)
+
+
+def exif_segments(content: str, only_first: bool = False) -> str:
+    """Start and size of the Exif segments, all or the first, in file order."""
+    return _walk(content, only_first) + ".exif"
+
+
+def header_and_rest(content: str) -> str:
+    """A struct of the bytes before the first scan and of all that follow them. What is no
+    JPEG file has an empty header; one that is cut off is a header as a whole."""
+    size = f"coalesce({_walk('c')}.at, 0L)"
+    parts = f"struct({cut('c', '0', 'n')} AS header, {cut('c', 'n', 'length(c)')} AS picture)"
+    return let(content, "c", let(size, "n", parts))
 
 
 def _advance(content: str, state: str, only_first: bool) -> str:
@@ -61,7 +75,7 @@ def _advance(content: str, state: str, only_first: bool) -> str:
     return let(
         f"hex({cut(content, f'{state}.pos', EXIF_HEADER)})",
         "h",
-        f"CAST(struct({after} AS pos, {exif} AS exif) AS {_STATE})",
+        f"CAST(struct({after} AS pos, {state}.pos AS at, {exif} AS exif) AS {_STATE})",
     )
 
 

@@ -1,7 +1,7 @@
 """Tag values as text, and text back as bytes or typed columns.
 
-The text of a value: ASCII as it is, without the closing zero bytes; UNDEFINED
-as hex digits; numbers in decimal, separated by spaces; a rational as ``n/d``,
+The text of a value: ASCII as it is, without the closing zero bytes (read as
+UTF-8, or as ISO-8859-1 where it is not valid UTF-8); UNDEFINED as hex digits; numbers in decimal, separated by spaces; a rational as ``n/d``,
 which keeps the pair (a quotient would lose it, and d may be 0).
 """
 
@@ -34,13 +34,14 @@ HIGHEST = (
     " 2147483647L, NULL, NULL, 4294967295L"
 )
 
-_WHOLES = "^-?[0-9]+( -?[0-9]+)*$"
-_FRACTIONS = "^-?[0-9]+/-?[0-9]+( -?[0-9]+/-?[0-9]+)*$"
+_WHOLE = "^-?[0-9]+$"
+_FRACTION = "^-?[0-9]+/-?[0-9]+$"
 
 
 def value_text(raw: str, type_code: str, count: str, little: str) -> str:
     """The bytes of a value as text; NULL for NULL bytes."""
-    plain = f"rtrim(decode(X'00', 'UTF-8'), try_validate_utf8(CAST({raw} AS STRING)))"
+    letters = f"coalesce(try_validate_utf8(CAST({raw} AS STRING)), decode({raw}, 'ISO-8859-1'))"
+    plain = f"trim(TRAILING decode(X'00', 'UTF-8') FROM {letters})"
     return f"""CASE WHEN {raw} IS NULL THEN NULL
         WHEN {type_code} = {ASCII} THEN {plain}
         WHEN {type_code} = {UNDEFINED} THEN hex({raw})
@@ -122,22 +123,21 @@ def value_bytes(value: str, type_code: str, little: str) -> str:
         f"CASE WHEN forall(numbers, n -> {fits})"
         f" THEN IF({little}, {backward}, unhex(array_join({texts}, ''))) END",
     )
+    element = f"IF({type_code} IN ({RATIONAL}, {SRATIONAL}), '{_FRACTION}', '{_WHOLE}')"
     return f"""CASE
         WHEN {type_code} = {ASCII} THEN concat(encode({value}, 'UTF-8'), X'00')
-        WHEN {type_code} = {UNDEFINED} THEN unhex({value})
+        WHEN {type_code} = {UNDEFINED} THEN CASE WHEN length({value}) % 2 = 0 THEN unhex({value}) END
         WHEN {type_code} IN ({FLOAT}, {DOUBLE}) THEN NULL
-        WHEN {value} RLIKE
-             IF({type_code} IN ({RATIONAL}, {SRATIONAL}), '{_FRACTIONS}', '{_WHOLES}')
-        THEN {packed} END"""
-
-
-def text_count(value: str, type_code: str) -> str:
-    """The element count that a value given as text has."""
-    return f"""CAST(CASE
-        WHEN {type_code} = {ASCII} THEN octet_length({value}) + 1
-        WHEN {type_code} = {UNDEFINED} THEN ceil(length({value}) / 2)
-        WHEN {value} = '' THEN 0
-        ELSE size(split({value}, ' ')) END AS BIGINT)"""
+        WHEN forall(split({value}, ' '), e -> e RLIKE {element}) THEN {packed} END"""
+
+
+def fitted(value: str, type_code: str) -> str:
+    """What a value given as text is once it has been written and read again: a
+    struct of its element count and its text; NULL if it does not suit the type."""
+    count = f"CAST(length(raw) DIV {width(type_code)} AS BIGINT)"
+    read = value_text("raw", type_code, "n", "FALSE")
+    told = let(count, "n", f"struct(n AS count, {read} AS value)")
+    return let(value_bytes(value, type_code, "FALSE"), "raw", f"CASE WHEN raw IS NOT NULL THEN {told} END")
 
 
 def as_numbers(value: Column) -> Column:

@@ -7,14 +7,20 @@ wins; on equal seq a removal (NULL value) wins, then the larger value.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tagloom.functions.directories import IFDS
 from tagloom.functions.names import home_directory, standard_type
-from tagloom.functions.patch import with_patches
+from tagloom.functions.patch import (
+    BAD_VALUE,
+    IS_POINTER,
+    NO_TAG,
+    addressable,
+    is_pointer,
+    with_patches,
+)
 from tagloom.functions.segments import without_exif
-from tagloom.functions.values import text_count
+from tagloom.functions.values import fitted
 from tagloom.sources.stored import store
 
 KEY = ["item_id", "ifd", "tag"]
@@ -49,49 +55,107 @@ def measured_bytes(rows: DataFrame) -> int:
     return rows.agg(size).first()["size"] or 0
 
 
-def apply_edits(
-    tags: DataFrame, edits: DataFrame, broadcast_bytes: int = BROADCAST_BYTES
-) -> DataFrame:
-    """Set or remove tags; editing a missing tag adds it.
+def _reason(type_code: str) -> str:
+    """SQL: why an edit of a tag of this type is refused; NULL if it is not."""
+    return f"""CASE WHEN NOT {addressable('ifd', 'tag')} THEN '{NO_TAG}'
+        WHEN {is_pointer('ifd', 'tag')} THEN '{IS_POINTER}'
+        WHEN new_value IS NOT NULL AND {fitted('new_value', type_code)} IS NULL
+        THEN '{BAD_VALUE}' END"""
 
-    Both joins keep ``tags`` on the streamed side. The winning edits are stored
-    and counted first: if they fit into ``broadcast_bytes`` they are broadcast,
-    and the tags do not move; if not, they are sort-merge joined, where AQE can
-    split a hot key of ``tags``. A full outer join would read ``tags`` once, but allows
-    neither. The second reading, which finds the edits that add, only needs the
-    three key columns: pass stored tags (``store``), not ones that are decoded
-    anew each time.
+
+def _with_edits(tags: DataFrame, edits: DataFrame, broadcast_bytes: int) -> DataFrame:
+    """The tags, and the edits of missing tags, each with its edit and why it is refused.
+
+    Columns: those of a tag; present, edited, new_value, reason. An edit is
+    judged by all rows of its tag: it is done in every one of them or in none.
+    The winning edits are stored and counted first. If they fit into
+    ``broadcast_bytes`` the tags do not move, and the reading that finds the types of
+    the edited tags needs four columns only. If not, tags and edits go through one
+    exchange by key; what a key needs to know is then found in one sorted pass.
+    No key is hot: a directory has some 5,400 entries at most.
     """
     last = store(last_edits(edits))
-    small = measured_bytes(last) <= broadcast_bytes
-
-    def beside(side: DataFrame) -> DataFrame:
-        return side.hint("broadcast" if small else "merge")
+    standard = standard_type("ifd", "tag")
+    if measured_bytes(last) > broadcast_bytes:
+        whole = tags.select(*KEY, "type", "count", "value").selectExpr(
+            "*", "TRUE AS present", "FALSE AS edited", "CAST(NULL AS STRING) AS new_value"
+        )
+        alone = last.selectExpr(
+            *KEY, f"{standard} AS type", "CAST(NULL AS BIGINT) AS count",
+            "CAST(NULL AS STRING) AS value", "FALSE AS present", "TRUE AS edited", "new_value",
+        )
+        of_key = Window.partitionBy(*KEY)
+        both = (
+            whole.unionByName(alone)
+            .withColumn("edited", F.max("edited").over(of_key))
+            .withColumn("new_value", F.max("new_value").over(of_key))
+            .withColumn("known", F.max("present").over(of_key))
+            .where("present OR NOT known")
+        )
+        judged = both.withColumn("reason", F.expr(f"CASE WHEN edited THEN {_reason('type')} END"))
+        return judged.withColumn("reason", F.max("reason").over(of_key)).drop("known")
 
-    changed = (
-        tags.join(beside(last.withColumn("edited", F.lit(True))), KEY, "left")
-        .where("edited IS NULL OR new_value IS NOT NULL")
+    # No more keys than winning edits, so what bounds those bounds these.
+    types = (
+        tags.select(*KEY, "type")
+        .join(last.select(*KEY).hint("broadcast"), KEY, "left_semi")
+        .groupBy(*KEY)
+        .agg(F.collect_set("type").alias("types"))
+    )
+    judged = store(
+        last.join(types.hint("broadcast"), KEY, "left")
+        .selectExpr("*", f"coalesce(types, array({standard})) AS codes")
         .selectExpr(
             *KEY,
-            "type",
-            f"IF(edited, {text_count('new_value', 'type')}, count) AS count",
-            "IF(edited, new_value, value) AS value",
+            "new_value",
+            "types IS NOT NULL AS known",
+            "codes[0] AS code",
+            f"array_max(transform(codes, code -> {_reason('code')})) AS reason",
         )
     )
-    # No more keys than winning edits, so what bounds those bounds these.
-    present = tags.select(*KEY).join(beside(last.select(*KEY)), KEY, "left_semi").distinct()
-    added = (
-        last.where("new_value IS NOT NULL")
-        .join(beside(present), KEY, "left_anti")
-        .withColumn("type", F.expr(standard_type("ifd", "tag")))
+    beside = judged.selectExpr(*KEY, "TRUE AS edited", "new_value", "reason").hint("broadcast")
+    present = tags.join(beside, KEY, "left").selectExpr(
+        *KEY, "type", "count", "value", "TRUE AS present", "coalesce(edited, FALSE) AS edited",
+        "new_value", "reason",
+    )
+    missing = judged.where("NOT known").selectExpr(
+        *KEY, "code AS type", "CAST(NULL AS BIGINT) AS count", "CAST(NULL AS STRING) AS value",
+        "FALSE AS present", "TRUE AS edited", "new_value", "reason",
+    )
+    return present.unionByName(missing)
+
+
+def apply_edits(
+    tags: DataFrame, edits: DataFrame, broadcast_bytes: int = BROADCAST_BYTES
+) -> DataFrame:
+    """Set or remove tags; editing a missing tag adds it.
+
+    A value is stored as it would be read from a file that it had been written to:
+    ``08`` as ``8``, hex digits as capitals. What ``patch_tags`` refuses as no value of the tag's type is
+    refused here, too (a float can be removed but not set), and so are edits of tags that
+    point to directories; ``refused_edits`` lists them. Pass stored tags
+    (``store``), not ones that are decoded anew each time they are read.
+    """
+    done = "edited AND reason IS NULL"
+    return (
+        _with_edits(tags, edits, broadcast_bytes)
+        .where(f"IF({done}, new_value IS NOT NULL, present)")
+        .selectExpr("*", f"CASE WHEN {done} THEN {fitted('new_value', 'type')} END AS fitted")
         .selectExpr(
             *KEY,
             "type",
-            f"{text_count('new_value', 'type')} AS count",
-            "new_value AS value",
+            "IF(fitted IS NULL, count, fitted.count) AS count",
+            "IF(fitted IS NULL, value, fitted.value) AS value",
         )
     )
-    return changed.unionByName(added)
+
+
+def refused_edits(
+    tags: DataFrame, edits: DataFrame, broadcast_bytes: int = BROADCAST_BYTES
+) -> DataFrame:
+    """item_id, ifd, tag, reason of the winning edits that ``apply_edits`` does not do."""
+    judged = _with_edits(tags, edits, broadcast_bytes).where("reason IS NOT NULL")
+    return judged.select(*KEY, "reason").distinct()
 
 
 def strip_metadata(images: DataFrame) -> DataFrame:
@@ -122,19 +186,17 @@ def patch_tags(
     """
     last = store(last_edits(edits))
     small = measured_bytes(last) <= broadcast_bytes
-    names = ", ".join(f"'{ifd}'" for ifd in IFDS)
-    valid = f"tag BETWEEN 0 AND 65535 AND ifd IN ({names})"
+    # Winning edits differ in their key, but for those that no file can hold: these
+    # become equal here, and the set keeps one of them.
+    valid = addressable("ifd", "tag")
     per_item = (
         last.selectExpr(
             "item_id",
-            f"IF({valid}, ifd, NULL) AS ifd",
-            f"IF({valid}, tag, NULL) AS tag",
-            f"IF({valid}, new_value, NULL) AS value",
+            f"""struct(IF({valid}, ifd, NULL) AS ifd, IF({valid}, tag, NULL) AS tag,
+                IF({valid}, new_value, NULL) AS value) AS edit""",
         )
-        .groupBy(*KEY)
-        .agg(F.max("value").alias("value"))
         .groupBy("item_id")
-        .agg(F.sort_array(F.collect_list(F.struct("ifd", "tag", "value"))).alias("edits"))
+        .agg(F.sort_array(F.collect_set("edit")).alias("edits"))
     )
     beside = per_item.hint("broadcast" if small else "shuffle_hash")
     return with_patches(images.select("item_id", "content").join(beside, "item_id", "left"))

@@ -24,16 +24,23 @@ def decode_tags(images: DataFrame, names: Names | None = None) -> DataFrame:
     decoded. Images without a readable Exif block give no rows.
     """
     wanted = None if names is None else [(ifd, tag) for _, ifd, tag in resolve(names)]
-    entries = _entries(images, wanted).selectExpr("item_id", "little", "inline_outer(entries)")
     # Not inline(): from that Spark infers a filter on the array, pushes it below
     # the decoding, and so decodes everything twice.
-    return entries.where("tag IS NOT NULL").selectExpr(
-        "item_id",
-        "ifd",
-        "tag",
-        "type",
-        "count",
-        f"{value_text('raw', 'type', 'count', 'little')} AS value",
+    entries = _slots(images, wanted).selectExpr(
+        "item_id", "block", "little", f"inline_outer({_kept('slots', wanted)})"
+    )
+    # Entries may overlap, each as large as the block: values are cut out behind the generator, one at a time.
+    return (
+        entries.where("tag IS NOT NULL")
+        .selectExpr("item_id", "ifd", "tag", "type", "count", "little", f"{_raw('block', '')} AS raw")
+        .selectExpr(
+            "item_id",
+            "ifd",
+            "tag",
+            "type",
+            "count",
+            f"{value_text('raw', 'type', 'count', 'little')} AS value",
+        )
     )
 
 
@@ -59,45 +66,51 @@ def view_images(images: DataFrame, names: Names) -> DataFrame:
     (An item_id that several rows of ``images`` share gives a row for each.)
     """
     wanted = resolve(names)
-    entries = _entries(images, [(ifd, tag) for _, ifd, tag in wanted])
-    value = value_text("e.raw", "e.type", "e.count", "little")
-    texts = f"transform(entries, e -> struct(e.ifd AS ifd, e.tag AS tag, {value} AS value))"
-
-    def show(ifd: str, tag: int) -> str:
-        return f"array_max(filter(texts, t -> t.ifd = '{ifd}' AND t.tag = {tag}).value)"
-
-    row = ", ".join(f"{show(ifd, tag)} AS `{name}`" for name, ifd, tag in wanted)
+    keys = list(dict.fromkeys((ifd, tag) for _, ifd, tag in wanted))
+    place = "CASE " + " ".join(
+        f"WHEN s.ifd = '{ifd}' AND s.tag = {tag} THEN {k}" for k, (ifd, tag) in enumerate(keys)
+    )
+    text = let(
+        _raw("b", "s."), "r", value_text("r", "s.type", "s.count", "little")
+    )
+    larger = f"transform(held, (h, k) -> IF(k = at.place, greatest(h, at.text), h))"
+    # An image's values are looked at one after the other; the largest of each tag is held.
+    fold = f"""aggregate({_kept('slots', keys)}, array_repeat(CAST(NULL AS STRING), {len(keys)}),
+        (held, s) -> {let(f"struct({place} END AS place, {text} AS text)", 'at', larger)})"""
+    row = ", ".join(
+        f"texts[{keys.index((ifd, tag))}] AS `{name}`" for name, ifd, tag in wanted
+    )
     return (
-        entries.selectExpr("item_id", "has_tags", f"{texts} AS texts")
+        _slots(images, keys)
+        .selectExpr("item_id", "has_tags", f"{let('block', 'b', fold)} AS texts")
         .selectExpr("item_id", f"inline_outer(IF(has_tags, array(struct(has_tags, {row})), NULL))")
         .where("has_tags")
         .drop("has_tags")
     )
 
 
-def _entries(images: DataFrame, wanted: list[tuple[str, int]] | None) -> DataFrame:
-    """The entries of each image, all or the wanted ones, and if it has any.
-
-    An entry's bytes are in ``raw``: NULL for a value that is not wholly inside
-    the block. Together they are hardly larger than the block, which ends here.
-    """
-    raw = f"""CASE WHEN s.size >= 0 AND s.pos + s.size <= length(b)
-        THEN {cut('b', 's.pos', 's.size')} END"""
-    entry = f"struct(s.ifd AS ifd, s.tag AS tag, s.type AS type, s.count AS count, {raw} AS raw)"
-    kept, some = "slots", None
-    if wanted is not None:
-        some = [tag for _, tag in wanted]
-        tags = ", ".join(f"('{ifd}', {tag})" for ifd, tag in wanted)
-        kept = f"filter(slots, s -> (s.ifd, s.tag) IN ({tags}))"
+def _slots(images: DataFrame, wanted: list[tuple[str, int]] | None) -> DataFrame:
+    """item_id, block, little, has_tags, slots: where the entries lie, of tags with a wanted number."""
+    some = None if wanted is None else [tag for _, tag in wanted]
     return (
         images.selectExpr("item_id", f"{first_exif('content')}.block AS block")
         .selectExpr("item_id", "block", f"{layout('block')} AS layout")
         .selectExpr("item_id", "block", "layout.little AS little", "layout.dirs AS dirs")
-        .selectExpr("item_id", "block", "little", "dirs", f"{slots(some)} AS slots")
         .selectExpr(
-            "item_id",
-            "little",
-            "exists(dirs, d -> d.n > 0) AS has_tags",
-            f"{let('block', 'b', f'transform({kept}, s -> {entry})')} AS entries",
+            "item_id", "block", "little", "exists(dirs, d -> d.n > 0) AS has_tags", f"{slots(some)} AS slots"
         )
     )
+
+
+def _kept(slots: str, wanted: list[tuple[str, int]] | None) -> str:
+    """The slots of wanted tags."""
+    if wanted is None:
+        return slots
+    tags = ", ".join(f"('{ifd}', {tag})" for ifd, tag in wanted)
+    return f"filter({slots}, s -> (s.ifd, s.tag) IN ({tags}))"
+
+
+def _raw(block: str, slot: str) -> str:
+    """The bytes of a slot's value; NULL for one that is not wholly inside the block."""
+    return f"""CASE WHEN {slot}size >= 0 AND {slot}pos + {slot}size <= length({block})
+        THEN {cut(block, f'{slot}pos', f'{slot}size')} END"""

@@ -41,9 +41,9 @@ def images(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def edits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """item_id, tag, seq, value: up to eight edits per labelled document."""
+    """item_id, tag, seq, value: eleven edits per labelled document."""
     rows = ", ".join(
-        f"struct({tag} AS tag, {seq}L AS seq, {value} AS value)"
+        f"struct({tag} AS tag, CAST({seq} AS BIGINT) AS seq, {value} AS value)"
         for tag, seq, value in [
             # Make: the later edit wins; three letters always fit.
             (271, 1, "'a draft that is longer than any slot'"),
@@ -54,6 +54,12 @@ def edits(spark: SparkSession, sf_dir: str) -> DataFrame:
             # Orientation: on equal seq the larger value wins.
             (274, 3, "'1'"),
             (274, 3, "CAST(doc_id % 8 + 1 AS STRING)"),
+            # A padded number, or none at all; for a third of the images out of date.
+            (274, "IF(doc_id % 3 = 2, 0, 4)", "IF(doc_id % 3 = 0, concat('0', doc_id % 8 + 1), 'six')"),
+            # Hex digits in lower case, or an odd number of them.
+            (37500, 1, "IF(quality = 1, 'a1b2c3d4e5f6', 'abc')"),
+            # A tag that points to a directory.
+            (34665, 1, "IF(toxic = 1, NULL, '8')"),
             # A tag of another directory; shorter than before, or far too long.
             (42016, 1, "IF(quality = 1, concat('doc-', doc_id), repeat('x', 40))"),
             # A tag that no image has.

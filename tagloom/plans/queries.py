@@ -8,10 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagloom.functions.values import as_degrees, as_numbers, as_rationals, as_timestamp
-from tagloom.operators.edit import apply_edits, last_edits, patch_tags, strip_metadata
+from tagloom.operators.edit import (
+    apply_edits,
+    last_edits,
+    patch_tags,
+    refused_edits,
+    strip_metadata,
+)
+from tagloom.operators.headers import headers, join_images, split_images
 from tagloom.operators.view import decode_tags, view_images, view_tags
 from tagloom.plans.collection import edits, images
-from tagloom.sources.images import scan_images
 from tagloom.sources.stored import store
 
 SHOWN = [
@@ -30,16 +36,6 @@ SHOWN = [
 ]
 
 
-def scan_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The table files themselves, read as binary files."""
-    return scan_images(spark, sf_dir, "*.parquet").select(
-        F.regexp_extract("item_id", "([^/]+)$", 1).alias("file"),
-        F.substring("content", 1, 4).cast("string").alias("head"),
-        F.right(F.hex("content"), F.lit(8)).alias("tail_hex"),
-        (F.length("content") == F.col("length")).alias("complete"),
-    )
-
-
 def decode_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decode_tags(images(spark, sf_dir))
 
@@ -78,6 +74,12 @@ def edit_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return apply_edits(tags, edits(spark, sf_dir))
 
 
+def refused(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The edits that a table of tags refuses."""
+    tags = store(decode_tags(images(spark, sf_dir)))
+    return refused_edits(tags, edits(spark, sf_dir))
+
+
 def strip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of each file, byte for byte."""
     return strip_metadata(images(spark, sf_dir)).select(
@@ -106,8 +108,30 @@ def patch_picture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return strip_metadata(sized).select("item_id", "size", F.md5("content").alias("digest"))
 
 
+def decode_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tags, out of the headers alone."""
+    return decode_tags(headers(store(split_images(images(spark, sf_dir)))))
+
+
+def strip_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files put together again from stripped headers and the pictures."""
+    split = store(split_images(images(spark, sf_dir)))
+    return join_images(strip_metadata(headers(split)), split).select(
+        "item_id", F.length("content").cast("bigint").alias("size"), F.md5("content").alias("digest")
+    )
+
+
+def patch_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files put together again from patched headers, as ``patch_picture`` shows them."""
+    split = store(split_images(images(spark, sf_dir)))
+    done = patch_tags(headers(split), edits(spark, sf_dir)).select("item_id", "content")
+    sized = join_images(done, split).select(
+        "item_id", "content", F.length("content").cast("bigint").alias("size")
+    )
+    return strip_metadata(sized).select("item_id", "size", F.md5("content").alias("digest"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "scan_images": scan_files,
     "decode_tags": decode_all,
     "decode_some_tags": decode_some,
     "view_tags": view_stored,
@@ -115,8 +139,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "view_typed": view_typed,
     "last_edits": last,
     "apply_edits": edit_table,
+    "refused_edits": refused,
     "strip_metadata": strip,
     "patch_tags": patch,
     "patch_rejected": patch_rejected,
     "patch_picture": patch_picture,
+    "decode_headers": decode_headers,
+    "strip_headers": strip_headers,
+    "patch_headers": patch_headers,
 }

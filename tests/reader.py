@@ -88,7 +88,7 @@ def text(order, code, count, raw):
         try:
             return raw.decode("utf-8").rstrip("\0")
         except UnicodeDecodeError:
-            return None
+            return raw.decode("latin-1").rstrip("\0")
     if code == 7:
         return raw.hex().upper()
     if code in (5, 10):

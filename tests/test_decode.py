@@ -1,3 +1,4 @@
+import hashlib
 import random
 import struct
 
@@ -111,7 +112,7 @@ def test_odd_files_mean_what_they_should(odd):
     without = {"only decoys", "empty", "null", "huge count", "no entries", "no byte order"}
     assert not without & with_tags
     assert ("ifd0", 0x010F, 2, 6, None) in odd["far value"][1]
-    assert odd["not utf8"][1] == [("ifd0", 0x010F, 2, 6, None)]
+    assert odd["not utf8"][1] == [("ifd0", 0x010F, 2, 6, "\xff\xfe\xfd\xfc\xfb")]
 
 
 def test_damaged_files(spark):
@@ -172,3 +173,30 @@ def test_plans(spark, tmp_path):
     for df in (decode_tags(images).where("tag = 271"), view_images(images, NAMES).where("Make = 'M'")):
         assert plan(df).count("= FFD8)") == 1
     assert plan(view_tags(decode_tags(images), NAMES)).count("Exchange hashpartitioning") <= 1
+
+
+def overlapping(n, size):
+    """A file with n entries that all claim the same bytes, and every pointer at one directory."""
+    head = b"II*\0" + struct.pack("<I", 8) + struct.pack("<H", n)
+    for k in range(n):
+        tag, code, count, field = 0x010F + k % 2, 2, size, 8
+        if k < 2:
+            tag, code, count = (0x8769, 0x8825)[k], 4, 1
+        head += struct.pack("<HHII", tag, code, count, field)
+    head += struct.pack("<I", 8)
+    return jpeg(exif((head + bytes(range(65, 91)) * 3000)[: 65520]))
+
+
+def test_overlapping_values_come_one_at_a_time(spark):
+    """Every entry may be as large as the block: all are read, none is dropped."""
+    files = [jpeg(exif(block("<", SAMPLE))), overlapping(300, 60_000)]
+    images = frame(spark, files)
+    want = [(i, *row) for i, f in enumerate(files) for row in read(f) if row[2] not in FLOATS]
+    sized = decode_tags(images).where("type NOT IN (11, 12)").selectExpr("item_id", "ifd", "tag", "type", "count", "length(value) AS n", "md5(value) AS m")
+    found = sorted((tuple(r) for r in sized.collect()), key=repr)
+    digest = lambda v: None if v is None else hashlib.md5(v.encode()).hexdigest()
+    assert found == sorted(((*w[:5], None if w[5] is None else len(w[5]), digest(w[5])) for w in want), key=repr)
+    names = ["Make", "Model", ("ifd1", 271)]
+    shown = {r.item_id: r for r in view_images(images, names).collect()}
+    assert shown == {r.item_id: r for r in view_tags(decode_tags(images), names).collect()}
+    assert len(shown[1].Make) > 50_000

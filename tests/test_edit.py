@@ -1,6 +1,9 @@
+import os
 import random
+import re
+import time
 
-from tagloom import apply_edits, decode_tags, last_edits, patch_tags, strip_metadata
+from tagloom import apply_edits, decode_tags, last_edits, patch_tags, refused_edits, strip_metadata
 from tagloom.streaming.arrivals import append_tags, stream_images
 from tests.helpers import EDIT, TAG, by_item, frame, plan
 from tests.makers import SAMPLE, block, exif, jpeg, segment
@@ -48,26 +51,66 @@ def test_directory_of_the_standard(spark):
     assert {r.ifd for r in last_edits(df).collect()} == {"exif", "gps", "ifd0"}
 
 
+def canonical(value, code):
+    """Count and text of a value that is written and read again; None if it does not suit."""
+    if code == 2:
+        return len(value.encode()) + 1, value.rstrip("\0")
+    if code == 7:
+        return (len(value) // 2, value.upper()) if re.fullmatch("([0-9A-Fa-f]{2})*", value) else None
+    if code not in RANGES:
+        return None
+    low, high = RANGES[code]
+    shape = "-?[0-9]+/-?[0-9]+" if code in (5, 10) else "-?[0-9]+"
+    parts = value.split(" ")
+    if not all(re.fullmatch(shape, p) for p in parts):
+        return None
+    numbers = [[int(n) for n in p.split("/")] for p in parts]
+    if not all(low <= n <= high for pair in numbers for n in pair):
+        return None
+    return len(parts), " ".join("/".join(map(str, pair)) for pair in numbers)
+
+
+RANGES = {
+    1: (0, 255), 3: (0, 65535), 4: (0, 2**32 - 1), 5: (0, 2**32 - 1), 6: (-128, 127), 8: (-32768, 32767),
+    9: (-(2**31), 2**31 - 1), 10: (-(2**31), 2**31 - 1), 13: (0, 2**32 - 1),
+}
+
+
+def brute_reasons(tags, rows):
+    """Why each refused edit is refused."""
+    types, out = {}, {}
+    for item, ifd, tag, code, _, _ in tags:
+        types.setdefault((item, ifd, tag), set()).add(code)
+    for key, value in brute_last(rows).items():
+        _, ifd, tag = key
+        codes = types.get(key) or {3 if (ifd, tag) == ("ifd0", 274) else 2}
+        if ifd not in ("ifd0", "exif", "gps", "interop", "ifd1") or not 0 <= tag <= 65535:
+            out[key] = "no such tag"
+        elif (ifd, tag) in [("ifd0", 0x8769), ("ifd0", 0x8825), ("exif", 0xA005)]:
+            out[key] = "points to a directory"
+        elif value is not None and not all(canonical(value, code) for code in codes):
+            out[key] = "value does not suit the type"
+    return out
+
+
 def brute_apply(tags, rows):
-    last, out, present = brute_last(rows), [], set()
+    refused = brute_reasons(tags, rows)
+    last = {k: v for k, v in brute_last(rows).items() if k not in refused}
+    out, present = [], set()
     for item, ifd, tag, code, count, value in tags:
         key = (item, ifd, tag)
         present.add(key)
         if key not in last:
             out.append((*key, code, count, value))
         elif last[key] is not None:
-            out.append((*key, code, count_of(last[key], code), last[key]))
+            out.append((*key, code, *canonical(last[key], code)))
     for key, value in last.items():
         if value is not None and key not in present:
             code = 3 if key[1:] == ("ifd0", 274) else 2
-            out.append((*key, code, count_of(value, code), value))
+            out.append((*key, code, *canonical(value, code)))
     return sorted(out, key=repr)
 
 
-def count_of(value, code):
-    return len(value.encode()) + 1 if code == 2 else len(value.split(" ")) if value else 0
-
-
 def random_tags(rng, items, n):
     return [
         (rng.randrange(items), rng.choice(["ifd0", "ifd1"]), rng.choice([270, 271, 272, 274]),
@@ -87,14 +130,20 @@ def test_apply_edits(spark):
     # Duplicate rows of a tag are kept; one image has a third of all rows.
     tags = random_tags(rng, 30, 200) + [(3, "ifd0", 271, 2, 4, "hot")] * 100
     rows = random_edits(rng, 40, 300)
+    rows += [(1, "nowhere", 271, 1, "a"), (1, None, 70000, 1, "a"), (2, None, 0x8769, 1, None), (99, "exif", 0xA005, 1, "8")]
     frame_of_tags = spark.createDataFrame(tags, TAG)
 
     def check(**limit):
         done = apply_edits(frame_of_tags, edits(spark, rows), **limit)
-        assert ("BroadcastHashJoin" in plan(done)) == (not limit)
-        assert ("SortMergeJoin" in plan(done)) == bool(limit)
+        text = plan(done)
+        assert ("BroadcastHashJoin" in text) == (not limit)
+        # Beyond the broadcast tags and edits meet in one exchange.
+        assert text.count(") Exchange\n") == (1 if limit else 0)
         assert done.columns == [c.split()[0] for c in TAG.split(", ")]
         assert sorted((tuple(r) for r in done.collect()), key=repr) == brute_apply(tags, rows)
+        refused = refused_edits(frame_of_tags, edits(spark, rows), **limit).collect()
+        assert {tuple(r)[:3]: r.reason for r in refused} == brute_reasons(tags, rows)
+        assert len(refused) == len(brute_reasons(tags, rows)) > 20
 
     both_ways(check)
 
@@ -111,9 +160,8 @@ def test_apply_edits_twice_and_never(spark):
 def test_apply_edits_plan(spark, tmp_path):
     path = str(tmp_path / "tags")
     spark.createDataFrame([(1, "ifd0", 271, 2, 4, "abc")], TAG).write.parquet(path)
-    text = plan(apply_edits(spark.read.parquet(path), edits(spark, [(1, None, 271, 1, "x")] * 5)))
-    # The second reading of the tags is of the key alone.
-    assert "struct<item_id:bigint,ifd:string,tag:int>" in text
+    done = apply_edits(spark.read.parquet(path), edits(spark, [(1, None, 271, 1, "x")] * 5))
+    assert ") Exchange" not in plan(done)  # the tags do not move
 
 
 # --- stripping --------------------------------------------------------------
@@ -285,6 +333,37 @@ def test_patch_then_decode_is_decode_then_edit(spark):
     both_ways(check)
 
 
+ODD_VALUES = ["08", "+8", "-0", "0a0b", "abc", "six", "", "70000", "1/2", "007/08", "x\0\0", "1 02 3", " 1", "1  2", "\xe9"]
+
+
+def test_both_editors_agree(spark):
+    """decode(patch(images)) is apply(decode(images)), for the edits that patch accepts; and what
+    apply refuses patch refuses, too."""
+    rng = random.Random(6)
+    files, rows = [], []
+    for i in range(150):
+        files.append(jpeg(exif(block("<>"[i % 2], SAMPLE))))
+        for ifd, tag, code, _, _ in rng.sample(read(files[-1]), 8):
+            rows.append((i, ifd, tag, 1, rng.choice([None, *ODD_VALUES, *VALUES[code]])))
+    images, change = frame(spark, files), edits(spark, rows)
+    patched = patch_tags(images, change)
+    refused = {(r.item_id, x.ifd, x.tag) for r in patched.collect() for x in r.rejected}
+    accepted = [r for r in rows if r[:3] not in refused]
+    assert len(accepted) > 200 and len(refused) > 200
+    tags = decode_tags(images)
+
+    def values(df):  # NaN apart, floats are text here
+        return sorted((tuple(r) for r in df.collect()), key=repr)
+
+    want = values(decode_tags(patched))
+    assert values(apply_edits(tags, edits(spark, accepted))) == want
+    assert values(apply_edits(tags, edits(spark, accepted), broadcast_bytes=0)) == want
+    by_apply = {tuple(r)[:3] for r in refused_edits(tags, change).collect()}
+    assert by_apply <= refused and len(by_apply) > 100
+    pointers = edits(spark, [(0, "ifd0", 0x8769, 1, None), (0, "ifd0", 0x8825, 1, "8")])
+    assert values(apply_edits(tags, pointers)) == values(tags)
+
+
 def edited(accepted, tags):
     """The tags with the accepted edits done, in plain Python."""
     last = {r[:3]: r[4] for r in accepted}
@@ -383,3 +462,10 @@ def test_stream_of_files(spark, tmp_path):
     assert run() == ["one"]
     add("two")
     assert run() == ["one", "two"]
+    # Copied pictures keep their old times.
+    for days in (30, 3650):
+        add(f"old{days}")
+        then = time.time() - days * 86400
+        os.utime(tmp_path / "in" / f"old{days}.jpg", (then, then))
+        assert f"old{days}" in run()
+    assert len(run()) == 4

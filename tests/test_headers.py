@@ -1,0 +1,73 @@
+"""Headers apart from pictures, against whole files."""
+
+import random
+
+from tagloom import (
+    apply_edits,
+    decode_tags,
+    headers,
+    join_images,
+    patch_tags,
+    split_images,
+    strip_metadata,
+)
+from tests.helpers import EDIT, frame, plan
+from tests.makers import SAMPLE, block, exif, jpeg, segment
+from tests.reader import read
+
+
+def files(rng):
+    sample = exif(block("<", SAMPLE))
+    out = [jpeg(segment(0xE0, b"JFIF\0"), exif(block("<>"[i % 2], SAMPLE)), picture=bytes(rng.randbytes(5000))) for i in range(20)]
+    out += [None, b"", b"not a picture", b"\xff\xd8", jpeg(), jpeg(sample)[:60], jpeg(*[segment(0xE2, b"x")] * 90, sample)]
+    return out
+
+
+def split_by_hand(data):
+    """Up to the first scan, found by going from segment to segment."""
+    if data is None:
+        return None, None
+    if data[:2] != b"\xff\xd8":
+        return b"", data
+    at = 2
+    while len(data) >= at + 4 and data[at] == 0xFF and data[at + 1] not in (0xD9, 0xDA):
+        at += 2 + int.from_bytes(data[at + 2 : at + 4], "big")
+    return data[:at], data[at:]
+
+
+def test_split_and_join(spark):
+    data = files(random.Random(1))
+    split = split_images(frame(spark, data))
+    found = {r.item_id: r for r in split.collect()}
+    for i, d in enumerate(data):
+        parts = (found[i].header, found[i].picture)
+        assert tuple(None if p is None else bytes(p) for p in parts) == split_by_hand(d), i
+    joined = {r.item_id: r.content for r in join_images(headers(split), split).collect()}
+    assert [None if joined[i] is None else bytes(joined[i]) for i in range(len(data))] == data
+
+
+def test_headers_are_all_that_viewer_and_editors_need(spark, tmp_path):
+    data = files(random.Random(2))
+    images = frame(spark, data)
+    split_images(images).write.parquet(str(tmp_path / "split"))
+    split = spark.read.parquet(str(tmp_path / "split"))
+    heads = headers(split)
+    rows = [(i, ifd, tag, 1, v) for i in range(20) for ifd, tag, v in [("ifd0", 0x010F, "Other"), ("exif", 0x9101, None), ("ifd0", 0x0112, "7")]]
+    edits = spark.createDataFrame(rows, EDIT)
+
+    def rows_of(df):
+        return sorted((tuple(r) for r in df.collect()), key=repr)
+
+    assert rows_of(decode_tags(heads)) == rows_of(decode_tags(images))
+    assert rows_of(join_images(strip_metadata(heads), split)) == rows_of(strip_metadata(images))
+    for limit in ({}, {"broadcast_bytes": 0}):
+        done = patch_tags(heads, edits, **limit)
+        whole = patch_tags(images, edits, **limit).select("item_id", "content")
+        assert rows_of(join_images(done.select("item_id", "content"), split)) == rows_of(whole)
+        # No exchange holds a picture, and none is read.
+        text = plan(done)
+        assert "picture" not in text and "struct<item_id:bigint,header:binary>" in text
+    text = plan(decode_tags(heads))
+    assert "picture" not in text and ") Exchange" not in text
+    assert rows_of(apply_edits(decode_tags(heads), edits)) == rows_of(decode_tags(patch_tags(heads, edits)))
+    assert read(data[0])

@@ -86,3 +86,18 @@ def test_store(spark):
     assert sorted(stored.collect()) == rows.collect()
     folder = spark.conf.get("spark.checkpoint.dir")
     assert folder and all(path.startswith(f"file://{folder}/") for path in stored.inputFiles())
+
+
+def test_store_elsewhere(spark, tmp_path, monkeypatch):
+    """A folder of one's own; and without a checkpoint folder the warehouse, in any kind of session."""
+    rows = spark.range(10).withColumn("x", F.rand())
+    given = store(rows, str(tmp_path / "own"))
+    assert all("/own/tagloom-" in path for path in given.inputFiles())
+    whole = type(spark.conf).get
+    monkeypatch.setattr(
+        type(spark.conf), "get", lambda self, key, *a: "" if key == "spark.checkpoint.dir" else whole(self, key, *a)
+    )
+    stored = store(rows)
+    place = whole(spark.conf, "spark.sql.warehouse.dir").removeprefix("file:")
+    assert all(f"{place}/tagloom_stored/" in path for path in stored.inputFiles())
+    assert sorted(stored.collect()) == sorted(stored.collect())  # rows do not change, whatever made them
