@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from tagloom.functions.bytes import chain, count_up, cut, number_bytes, zeros
+from tagloom.functions.bytes import chain, count_up, cut, let, number_bytes, zeros
 from tagloom.functions.directories import IFDS, POINTERS, layout, slots, width
 from tagloom.functions.segments import EXIF_HEADER, first_exif
 from tagloom.functions.values import value_bytes
@@ -49,13 +49,14 @@ def with_patches(images: DataFrame) -> DataFrame:
             ("little", "layout.little"),
             ("dirs", "layout.dirs"),
             ("slots", slots()),
+            ("claims", _claims()),
         ],
-        f"struct(little, dirs, slots, {_claims()} AS claims)",
+        f"struct(little, dirs, slots, {_crowded_dirs()} AS crowded_dirs, {_crowded()} AS crowded)",
     )
     steps = [
         ("block", "exif.block"),
+        ("wanted", _by_key()),
         ("plans", _paired()),
-        ("plans", _with_bytes()),
         ("plans", _with_reason()),
         ("accepted", _accepted()),
         ("patched", f"CASE WHEN size(accepted) > 0 THEN {_written()} END"),
@@ -77,57 +78,79 @@ def with_patches(images: DataFrame) -> DataFrame:
     )
 
 
+def _key(x: str) -> str:
+    """One number for a directory and tag; NULL for a tag that no file can hold."""
+    names = ", ".join(f"'{ifd}'" for ifd in IFDS)
+    return f"(array_position(array({names}), {x}.ifd) * 65536 + {x}.tag)"
+
+
+def _by_key() -> str:
+    """The edits by key: a file has many entries and may have many edits."""
+    valid = "filter(edits, e -> e.ifd IS NOT NULL)"
+    return let(valid, "v", f"map_from_arrays(transform(v, e -> {_key('e')}), v)")
+
+
 def _claims() -> str:
-    """The bytes that the header, the directories and the values lie on. Only the
+    """The bytes that the header, the directories and the values lie on, in order. Only the
     main directory needs the position behind its entries; some writers save it
     in the others."""
-    return """concat(
+    return """array_sort(concat(
         array(struct(0L AS start, 8L AS end)),
         transform(dirs, d -> struct(d.pos AS start,
                                     d.pos + IF(d.ifd = 'ifd0', 6, 2) + d.n * 12 AS end)),
         transform(filter(slots, s -> s.size > 4),
-                  s -> struct(s.pos AS start, s.pos + s.size AS end)))"""
+                  s -> struct(s.pos AS start, s.pos + s.size AS end))))"""
 
 
-def _crowded(start: str, size: str) -> str:
-    """Whether anything but the bytes' one owner lies on them."""
-    return f"size(filter(parts.claims, c -> c.start < {start} + {size} AND c.end > {start})) > 1"
+def _crowded_dirs() -> str:
+    """For each directory whether anything else lies on it: on the entries, and on the
+    4-byte position behind them, too, which closing up a directory moves."""
 
+    def crowded(behind: int) -> str:
+        others = f"c.start < d.pos + d.n * 12 + {behind} AND c.end > d.pos"
+        return f"size(filter(claims, c -> {others})) > 1"
+
+    return f"transform(dirs, d -> struct(d.ifd AS ifd, {crowded(2)} AS entries, {crowded(6)} AS all))"
 
-def _paired() -> str:
-    """The slots that have an edit, each with its edit."""
-    own = "filter(edits, e -> e.ifd = s.ifd AND e.tag = s.tag)"
-    both = """struct(s.ifd AS ifd, s.tag AS tag, s.type AS type, s.entry AS entry,
-        s.pos AS pos, s.size AS size, e.value AS value)"""
-    return f"flatten(transform(parts.slots, s -> transform({own}, e -> {both})))"
 
+def _crowded() -> str:
+    """Where the values start that share a byte with another claim. In order of their starts, a claim
+    meets an earlier one if it starts before the furthest end so far, and a later
+    one if the next starts before its own end."""
+    meets = """c.start < acc.far OR coalesce(get(claims, size(acc.found) + 1).start < c.end, FALSE)"""
+    found = f"concat(acc.found, array(IF({meets}, c.start, NULL)))"
+    walked = f"""aggregate(claims, struct(-1L AS far, CAST(array() AS ARRAY<BIGINT>) AS found),
+        (acc, c) -> struct(greatest(acc.far, c.end) AS far, {found} AS found), acc -> acc.found)"""
+    return f"array_distinct(filter({walked}, x -> x IS NOT NULL))"
 
-def _with_bytes() -> str:
-    return f"""transform(plans, p -> struct(p.ifd AS ifd, p.tag AS tag, p.type AS type,
-        p.entry AS entry, p.pos AS pos, p.size AS size, p.value IS NULL AS removes,
-        {value_bytes('p.value', 'p.type', 'parts.little')} AS data))"""
+
+def _paired() -> str:
+    """The slots that have an edit, each with its edit and the bytes that this writes."""
+    pairs = f"transform(parts.slots, s -> struct(s, try_element_at(wanted, {_key('s')}) AS e))"
+    both = f"""struct(q.s.ifd AS ifd, q.s.tag AS tag, q.s.type AS type, q.s.entry AS entry,
+        q.s.pos AS pos, q.s.size AS size, q.e.value IS NULL AS removes,
+        {value_bytes('q.e.value', 'q.s.type', 'parts.little')} AS data)"""
+    return f"transform(filter({pairs}, q -> q.e IS NOT NULL), q -> {both})"
 
 
 def _with_reason() -> str:
-    # Closing up a directory also moves the 4-byte position behind its entries.
-    extent = "(d.n * 12 + IF(p.removes, 6, 2))"
-    shared = f"""exists(parts.dirs, d -> d.ifd = p.ifd AND {_crowded('d.pos', extent)})
-        OR (p.size > 4 AND {_crowded('p.pos', 'p.size')})"""
+    shared = """exists(parts.crowded_dirs, d -> d.ifd = p.ifd AND IF(p.removes, d.all, d.entries))
+        OR (p.size > 4 AND array_contains(parts.crowded, p.pos))"""
     reason = f"""CASE WHEN {is_pointer('p.ifd', 'p.tag')} THEN '{IS_POINTER}'
         WHEN p.size IS NULL OR p.pos + p.size > length(block) THEN '{OUTSIDE}'
         WHEN {shared} THEN '{SHARED}'
         WHEN p.removes THEN NULL
         WHEN p.data IS NULL THEN '{BAD_VALUE}'
         WHEN length(p.data) > greatest(p.size, 4) THEN '{TOO_LONG}' END"""
-    return f"""transform(plans, p -> struct(p.ifd AS ifd, p.tag AS tag, p.entry AS entry,
+    return f"""transform(plans, p -> struct({_key('p')} AS key, p.ifd AS ifd, p.entry AS entry,
         p.pos AS pos, p.size AS size, p.removes AS removes, p.data AS data,
         CAST(length(p.data) DIV {width('p.type')} AS BIGINT) AS count, {reason} AS reason))"""
 
 
 def _accepted() -> str:
     """The plans of edits that can be done in every entry they are for."""
-    spoilt = "exists(plans, q -> q.ifd = p.ifd AND q.tag = p.tag AND q.reason IS NOT NULL)"
-    return f"filter(plans, p -> NOT {spoilt})"
+    spoilt = "array_distinct(transform(filter(plans, p -> p.reason IS NOT NULL), p -> p.key))"
+    return let(spoilt, "refused", "filter(plans, p -> NOT array_contains(refused, p.key))")
 
 
 def _put(block: str, data: str, start: str) -> str:
@@ -169,9 +192,11 @@ def _closed_up() -> str:
 
 
 def _rejected() -> str:
-    """The edits that were not done, each with its reason."""
-    own = "filter(plans, p -> p.ifd = e.ifd AND p.tag = e.tag)"
+    """The edits that were not done, each with its reason; of several reasons the last by letter."""
+    told = "array_sort(transform(plans, p -> struct(p.key AS key, coalesce(p.reason, '') AS reason)))"
+    last = "filter(told, (r, i) -> coalesce(get(told, i + 1).key <> r.key, TRUE))"
+    reasons = let(told, "told", f"map_from_entries({last})")
     reason = f"""CASE WHEN parts.little IS NULL THEN '{NO_BLOCK}'
-        WHEN size({own}) = 0 THEN '{NO_TAG}' ELSE array_max({own}.reason) END"""
+        ELSE coalesce(try_element_at(reasons, {_key('e')}), '{NO_TAG}') END"""
     judged = f"transform(edits, e -> struct(e.ifd AS ifd, e.tag AS tag, {reason} AS reason))"
-    return f"CAST(filter({judged}, r -> r.reason IS NOT NULL) AS {_REJECTED})"
+    return let(reasons, "reasons", f"CAST(filter({judged}, r -> r.reason <> '') AS {_REJECTED})")
