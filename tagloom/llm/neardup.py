@@ -9,17 +9,17 @@ maxima of four different functions, make the candidates.
 
 Steps, each a Spark job over tables:
 
-1. One pass over the texts: set size, set fingerprint, band keys, and one byte
-   of each signature value. Documents with equal sets are one class from here on.
+1. One pass over the texts: set size, set fingerprint and band keys. Documents with equal sets are one class from here on.
 2. In each band bucket every class is paired with the bucket's first one, and
    the pair is confirmed on the full sets. A family of copies costs one pair a
    member, however large it is.
 3. Components of the links, by alternating star steps.
 4. Buckets in which several components are left: pairs between different
-   components, looked at in blocks of bounded size. Signatures decide which are
-   worth confirming (ESTIMATE lies five standard errors below 75 %), the full
-   sets decide. Then the components are final: of two classes that share a
-   bucket, either the similarity is known or they are in one component anyway.
+   components, looked at in blocks of bounded size. For these classes alone longer signatures
+   are made, which decide what is worth confirming (ESTIMATE lies more than four
+   standard errors below 75 %); the full sets decide. A pair is looked at in the first bucket that
+   it shares, and in no other. Then the components are final: of two classes that
+   share a bucket, either the similarity is known or they are in one component anyway.
 
 A pair of similarity s shares a bucket with probability 1 - (1 - s**4)**BANDS:
 at 75 % all but 5 in a million. A bucket has no upper size.
@@ -41,8 +41,10 @@ SHINGLE = 5
 PERCENT = 75
 PERMUTATIONS = 64
 BANDS = 32
-#: Share of equal signature values from which a pair is confirmed on full sets.
-ESTIMATE = 0.55
+#: Hash functions of the longer signatures, of whose values one byte each is kept.
+LONG = 512
+#: Share of equal bytes from which a pair is confirmed on full sets.
+ESTIMATE = 0.69
 #: Classes that are compared with one another at a time.
 BLOCK = 512
 
@@ -60,22 +62,22 @@ def _sets(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         yield a, b, *_unique(*shingle_hashes(words, bounds, SHINGLE))
 
 
-def min_max(shingles: np.ndarray, starts: np.ndarray) -> np.ndarray:
+def min_max(shingles: np.ndarray, starts: np.ndarray, functions: int = PERMUTATIONS, seed: int = 101) -> np.ndarray:
     """Minima, then maxima, of each hash function: a row for each set."""
-    out = np.empty((len(starts), 2 * PERMUTATIONS), dtype=U)
+    out = np.empty((len(starts), 2 * functions), dtype=U)
     step = 1 << 15  # sets of some 32,000 shingles together stay in the cache
     ends = np.r_[starts[1:], len(shingles)]
-    factors, shifts = numbers(PERMUTATIONS, 101), numbers(PERMUTATIONS, 211)
+    factors, shifts = numbers(functions, seed), numbers(functions, seed + 1)
     i = 0
     while i < len(starts):
         j = max(i + 1, int(np.searchsorted(ends, starts[i] + step, side="right")))
         part, local = shingles[starts[i] : ends[j - 1]], starts[i:j] - starts[i]
         held = np.empty_like(part)
-        for k in range(PERMUTATIONS):
+        for k in range(functions):
             np.multiply(part, factors[k], out=held)
             held += shifts[k]
             out[i:j, k] = np.minimum.reduceat(held, local)
-            out[i:j, PERMUTATIONS + k] = np.maximum.reduceat(held, local)
+            out[i:j, functions + k] = np.maximum.reduceat(held, local)
         i = j
     return out
 
@@ -108,14 +110,11 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             some = np.flatnonzero(sizes)
             one, two = np.zeros(b - a, dtype=U), np.zeros(b - a, dtype=U)
             keys = np.zeros((b - a, BANDS), dtype=U)
-            low = np.zeros((b - a, 2 * PERMUTATIONS), dtype=np.uint8)
             if len(some):
                 starts = bounds[some]
                 one[some] = np.add.reduceat(mixed(shingles + U(1)), starts)
                 two[some] = np.add.reduceat(mixed(shingles ^ U(0x5851F42D4C957F2D)), starts)
-                signatures = min_max(shingles, starts)
-                keys[some] = band_keys(signatures)
-                low[some] = (mixed(signatures) >> U(56)).astype(np.uint8)
+                keys[some] = band_keys(min_max(shingles, starts))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0).slice(a, b - a),
@@ -123,9 +122,28 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     pa.array(one.view(np.int64)),
                     pa.array(two.view(np.int64)),
                     _list(keys),
+                ],
+                names=["id", "n_shingles", "set_a", "set_b", "bands"],
+            )
+
+
+def _long_signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for a, b, shingles, bounds in _sets(batch.column(1)):
+            some = np.flatnonzero(np.diff(bounds))
+            low = np.zeros((b - a, 2 * LONG), dtype=np.uint8)
+            keys = np.zeros((b - a, BANDS), dtype=U)
+            if len(some):
+                low[some] = (mixed(min_max(shingles, bounds[some], LONG, 401)) >> U(56)).astype(np.uint8)
+                keys[some] = band_keys(min_max(shingles, bounds[some]))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0).slice(a, b - a),
+                    pa.array(np.diff(bounds)),
                     pa.array([r.tobytes() for r in low], type=pa.binary()),
+                    pa.array([r.tobytes() for r in keys], type=pa.binary()),
                 ],
-                names=["id", "n_shingles", "set_a", "set_b", "bands", "signature"],
+                names=["id", "n_shingles", "signature", "bands"],
             )
 
 
@@ -141,11 +159,11 @@ def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def describe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_shingles, set_a, set_b, bands, signature of every row, in one pass without a shuffle."""
+    """id, n_shingles, set_a, set_b, bands of every row, in one pass without a shuffle."""
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string")).mapInArrow(
         _describe,
-        f"id {kind}, n_shingles bigint, set_a bigint, set_b bigint, bands array<bigint>, signature binary",
+        f"id {kind}, n_shingles bigint, set_a bigint, set_b bigint, bands array<bigint>",
     )
 
 
@@ -156,13 +174,8 @@ def confirmed(texts: DataFrame, pairs: DataFrame) -> DataFrame:
     shuffle for each pair's side.
     """
     kind = texts.schema["id"].dataType.simpleString()
-    pairs = store(
-        pairs.where(
-            f"100 * least(na, nb) >= {PERCENT} * greatest(na, nb)"
-        )
-        .select("a", "b")
-        .distinct()
-    )
+    fits = f"100 * least(na, nb) >= {PERCENT} * greatest(na, nb)"
+    pairs = store(pairs.where(fits).select("a", "b").distinct())
     wanted = store(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
     sets = store(
         texts.join(beside(wanted), "id", "left_semi")
@@ -208,53 +221,71 @@ def components(links: DataFrame) -> DataFrame:
     return edges.selectExpr("a AS id", "b AS component")
 
 
+def _matrix(column: pa.ChunkedArray, kind: type) -> np.ndarray:
+    """A row of numbers for each binary value; all values have one length."""
+    whole = column.combine_chunks()
+    whole = whole.chunk(0) if isinstance(whole, pa.ChunkedArray) else whole
+    ends = np.frombuffer(whole.buffers()[1], dtype=np.int32)[whole.offset : whole.offset + len(whole) + 1]
+    data = np.frombuffer(whole.buffers()[2], dtype=np.uint8)[ends[0] : ends[-1]]
+    return np.ascontiguousarray(data).view(kind).reshape(len(whole), -1)
+
+
+def _pairs_of_group(group: pa.Table) -> pa.RecordBatch | None:
+    """Pairs worth confirming of the rows of one bucket that lie in one pair of blocks."""
+    labels = group["label"].to_numpy()
+    if (labels == labels[0]).all():
+        return None
+    key = np.int64(group["key"][0].as_py()).view(U)
+    apart = group["x"][0].as_py() != group["y"][0].as_py()
+    blocks, sizes = group["block"].to_numpy(), group["n_shingles"].to_numpy()
+    bands, bytes_ = _matrix(group["bands"], U), _matrix(group["signature"], np.uint8)
+    here = (bands == key).argmax(axis=1)
+    left, right = [], []
+    for i in range(len(labels) - 1):
+        rest = slice(i + 1, None)
+        lo, hi = np.minimum(sizes[rest], sizes[i]), np.maximum(sizes[rest], sizes[i])
+        fit = (labels[rest] != labels[i]) & (100 * lo >= PERCENT * hi)
+        if apart:
+            fit &= blocks[rest] != blocks[i]
+        at = np.flatnonzero(fit) + i + 1
+        if len(at):
+            at = at[(bands[at] == bands[i]).argmax(axis=1) == here[i]]  # the first bucket they share
+            at = at[(bytes_[at] == bytes_[i]).mean(axis=1) >= ESTIMATE]
+            left.append(np.full(len(at), i))
+            right.append(at)
+    if not left or not sum(map(len, left)):
+        return None
+    a, b = pa.array(np.concatenate(left)), pa.array(np.concatenate(right))
+    ids, n = group["id"].combine_chunks(), group["n_shingles"].combine_chunks()
+    return pa.RecordBatch.from_arrays([ids.take(a), ids.take(b), n.take(a), n.take(b)], names=["a", "b", "na", "nb"])
+
+
 def _block_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs worth confirming, of rows sorted by bucket and pair of blocks."""
+    held: list[pa.RecordBatch] = []  # of the group that is not yet complete
+    of = None
 
-    def pairs(rows: list) -> Iterator[tuple]:
-        same = rows[0][1] == rows[0][2]
-        labels = np.array([r[5] for r in rows])
-        sizes = np.array([r[6] for r in rows], dtype=np.int64)
-        bytes_ = np.frombuffer(b"".join(r[7] for r in rows), dtype=np.uint8).reshape(len(rows), -1)
-        blocks = np.array([r[3] for r in rows])
-        for i in range(len(rows) - 1):
-            rest = slice(i + 1, len(rows))
-            lo, hi = np.minimum(sizes[rest], sizes[i]), np.maximum(sizes[rest], sizes[i])
-            fit = (labels[rest] != labels[i]) & (100 * lo >= PERCENT * hi)
-            if not same:
-                fit &= blocks[rest] != blocks[i]
-            at = np.flatnonzero(fit) + i + 1
-            if len(at):
-                equal = (bytes_[at] == bytes_[i]).mean(axis=1)
-                for j in at[equal >= ESTIMATE]:
-                    a, b = (i, j) if rows[i][4] < rows[j][4] else (j, i)
-                    yield rows[a][4], rows[b][4], int(sizes[a]), int(sizes[b])
-
-    def told(found: list) -> pa.RecordBatch:
-        columns = list(zip(*found, strict=True)) or [()] * 4
-        return pa.RecordBatch.from_arrays(
-            [pa.array(columns[0], type=kind), pa.array(columns[1], type=kind)]
-            + [pa.array(c, type=pa.int64()) for c in columns[2:]],
-            names=["a", "b", "na", "nb"],
-        )
+    def told() -> Iterator[pa.RecordBatch]:
+        if held and (found := _pairs_of_group(pa.Table.from_batches(held))) is not None:
+            yield found
+        held.clear()
 
-    group: list = []
-    kind = None
     for batch in batches:
-        kind = batch.schema.field(4).type
-        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if group and group[0][:3] != row[:3]:
-                if found := list(pairs(group)):
-                    yield told(found)
-                group = []
-            group.append(row)
-    if group and (found := list(pairs(group))):
-        yield told(found)
-
-
-def _left_over(buckets: DataFrame, labels: DataFrame, classes: DataFrame) -> DataFrame:
+        if not batch.num_rows:
+            continue
+        group = np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in range(3)], axis=1)
+        starts = [0, *(np.flatnonzero((group[1:] != group[:-1]).any(axis=1)) + 1), len(group)]
+        for a, b in zip(starts[:-1], starts[1:], strict=True):
+            if of != tuple(group[a]):
+                yield from told()
+                of = tuple(group[a])
+            held.append(batch.slice(a, b - a))
+    yield from told()
+
+
+def _left_over(texts: DataFrame, buckets: DataFrame, labels: DataFrame) -> DataFrame:
     """Pairs a, b, na, nb between components that still share a bucket of three or more."""
-    kind = classes.schema["id"].dataType.simpleString()
+    kind = texts.schema["id"].dataType.simpleString()
     labelled = store(
         buckets.join(labels, "id", "left").selectExpr("key", "id", "coalesce(component, id) AS label")
     )
@@ -264,19 +295,23 @@ def _left_over(buckets: DataFrame, labels: DataFrame, classes: DataFrame) -> Dat
         .where("lo <> hi AND n > 2")
         .select("key")
     )
-    rows = labelled.join(open_, "key").join(classes.select("id", "n_shingles", "signature"), "id")
-    numbered = rows.withColumn(
-        "block",
-        F.floor((F.row_number().over(Window.partitionBy("key").orderBy("id")) - 1) / BLOCK).cast("int"),
-    )
-    last = store(numbered.groupBy("key").agg(F.max("block").alias("last")))
+    place = F.row_number().over(Window.partitionBy("key").orderBy("id")) - 1
+    numbered = labelled.join(open_, "key").withColumn("block", F.floor(place / BLOCK).cast("int"))
     numbered = store(numbered)
+    last = numbered.groupBy("key").agg(F.max("block").alias("last"))
+    wanted = store(numbered.select("id").distinct())
+    signatures = store(
+        texts.join(beside(wanted), "id", "left_semi")
+        .select("id", "text")
+        .mapInArrow(_long_signatures, f"id {kind}, n_shingles bigint, signature binary, bands binary")
+    )
     spread = (
         numbered.join(last, "key")
+        .join(signatures, "id")
         .withColumn("other", F.explode(F.sequence(F.lit(0), "last")))
         .selectExpr(
             "key", "least(block, other) AS x", "greatest(block, other) AS y", "block", "id", "label",
-            "n_shingles", "signature",
+            "n_shingles", "signature", "bands",
         )
     )
     return (
@@ -303,7 +338,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     same = real.join(first, key).where("id <> first").selectExpr("first AS a", "id AS b")
     classes = real.join(first.select("first").distinct(), F.col("id") == F.col("first"), "left_semi")
     # A row that repeats an id has a set of its own, so an id may stand for several.
-    classes = classes.select("id", "n_shingles", "signature", "bands")
     exploded = classes.select(F.explode("bands").alias("key"), "id", "n_shingles")
     pivots = exploded.groupBy("key").agg(
         F.min(F.struct("id", "n_shingles")).alias("pivot"), F.count("*").alias("n")
@@ -316,7 +350,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
     one = confirmed(texts, stars)
     labels = store(components(one))
-    two = confirmed(texts, _left_over(buckets.select("key", "id").distinct(), labels, classes))
+    two = confirmed(texts, _left_over(texts, buckets.select("key", "id").distinct(), labels))
     labels = store(components(same.union(one).union(two)))
     return told.join(labels, "id", "left").select(
         F.col("id").alias(id_col),
