@@ -19,10 +19,10 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagloom.llm.scratch import store
+from tagloom.llm.scratch import least_hashes, store
 from tagloom.llm.words import U, mixed, pieces
 
 UNKNOWN = "und"
@@ -144,13 +144,12 @@ def fit(labelled: DataFrame, id_col: str, text_col: str, lang_col: str) -> Filte
     """
     rows = labelled.where(F.col(lang_col).isNotNull() & (F.length(F.col(text_col)) > 0))
     rows = rows.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), F.col(id_col).alias("id"))
-    place = Window.partitionBy("lang").orderBy(F.xxhash64(F.col("id").cast("string")), "id", "hash")
-    ids = rows.select("lang", "id", F.xxhash64("text").alias("hash")).withColumn("place", F.row_number().over(place))
-    ids = store(ids.where(F.col("place") <= SAMPLE).select("lang", "id", "hash"))
+    own_hash = F.xxhash64(F.col("id").cast("string"), "text")
+    ids = store(least_hashes(rows.select("lang", "id", own_hash.alias("hash")), "lang", SAMPLE))
     # At most SAMPLE rows a language.
     chosen = rows.join(
         F.broadcast(ids.toDF("l", "i", "h")),
-        (F.col("lang") == F.col("l")) & F.col("id").eqNullSafe(F.col("i")) & (F.xxhash64("text") == F.col("h")),
+        (F.col("lang") == F.col("l")) & F.col("id").eqNullSafe(F.col("i")) & (own_hash == F.col("h")),
         "left_semi",
     )
     counts = chosen.select("lang", "text").mapInArrow(_count_grams, "lang string, gram bigint").groupBy("lang", "gram").count()

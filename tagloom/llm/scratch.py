@@ -2,33 +2,15 @@
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tagloom.sources.stored import store
+
 #: Rows of a few numbers each that may be sent to every executor: some 40 MB.
 BROADCAST_ROWS = 1_000_000
 
 
-def folder(spark: SparkSession) -> str:
-    """The shared folder: ``spark.checkpoint.dir``, or else a part of the warehouse."""
-    found = spark.conf.get("spark.checkpoint.dir", "")
-    return found or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/tagloom_scratch"
-
-
-def store(rows: DataFrame) -> DataFrame:
-    """Write rows as Parquet in the shared folder and read them back.
-
-    This cuts the lineage: what is lost with an executor is read again, not
-    computed again. The tables stay until the folder is emptied after the job.
-    """
-    spark = rows.sparkSession
-    path = f"{folder(spark).rstrip('/')}/llm-{uuid.uuid4().hex}"
-    rows.write.parquet(path)
-    return spark.read.schema(rows.schema).parquet(path)
-
-
 def beside(stored: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     """Narrow stored rows as the smaller side of a join.
 
@@ -38,11 +20,22 @@ def beside(stored: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(stored) if stored.count() <= most else stored.hint("merge")
 
 
+def least_hashes(rows: DataFrame, by: str, most: int) -> DataFrame:
+    """Of distinct ``rows`` (``by``, id, hash) the ``most`` with the least hashes for each value of ``by``.
+
+    Counts tell below which hash twice as many are to be expected; only those are
+    ranked, so no task ranks more than some 2 * ``most`` rows, however many there are. ``by`` is a
+    column of few values: the driver gets their counts.
+    """
+    sizes = {r[0]: r[1] for r in rows.groupBy(by).count().collect()}
+    if not sizes:
+        return rows
+    share = F.create_map(*(F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, 2.0 * most / n))))[F.col(by)]
+    low = rows.where(F.pmod("hash", F.lit(1 << 31)) < share * float(1 << 31)).distinct()
+    place = F.row_number().over(Window.partitionBy(by).orderBy(F.pmod("hash", F.lit(1 << 31)), "hash", "id"))
+    return low.withColumn("place", place).where(F.col("place") <= most).drop("place")
+
+
 def without(docs: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
     """``docs`` without the rows whose id is among ``ids``; null ids stay."""
     return docs.join(beside(store(ids.select(id_col).distinct())), id_col, "left_anti")
-
-
-def at_least_one_task(df: DataFrame) -> int:
-    """The session's number of shuffle partitions."""
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

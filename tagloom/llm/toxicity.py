@@ -20,10 +20,10 @@ from collections.abc import Callable, Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagloom.llm.scratch import store
+from tagloom.llm.scratch import least_hashes, store
 
 #: Labelled rows of either label that are learnt from.
 SAMPLE = 6000
@@ -251,14 +251,15 @@ def logistic(rows: np.ndarray, labels: np.ndarray, weights: np.ndarray, ridge: f
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """A model from the texts of ``docs`` that ``labels`` marks; null labels and texts teach nothing.
 
+    Labels of ids that ``docs`` lacks teach nothing either, yet take places in the sample: leave them out.
+
     Only ids and labels are ranked; texts are read for the chosen ids alone. The driver gets the lexicon and
     two numbers for each sampled row.
     """
     marks = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
     marks = marks.groupBy(F.col(id_col).alias("id")).agg(F.max(F.col(label_col).cast("int")).alias("label"))
-    marks = marks.join(docs.select(F.col(id_col).alias("id")).distinct(), "id", "left_semi")
-    place = F.row_number().over(Window.partitionBy("label").orderBy(F.xxhash64(F.col("id").cast("string")), "id"))
-    chosen = store(marks.withColumn("place", place).where(F.col("place") <= SAMPLE).select("id", "label"))
+    marks = marks.select("label", "id", F.xxhash64(F.col("id").cast("string")).alias("hash"))
+    chosen = store(least_hashes(marks, "label", SAMPLE).select("id", "label"))
     sample = store(
         docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
         .join(F.broadcast(chosen), "id")  # at most SAMPLE rows of either label
