@@ -4,9 +4,10 @@ Texts are equal if they are identical once blanks are deleted. Built from SQL
 expressions alone.
 
 1. One pass over the texts makes a narrow row for each: its length without blanks and
-   the hash of its first PREFIX code points. Only this row is shuffled.
+   the hash of its first PREFIX code points.
 2. Rows whose length is unique fall out; of the others, those whose length and prefix
-   hash are unique. Both are counts that combine before the shuffle.
+   hash are unique. Both are counts that combine before the shuffle; the rows themselves stay
+   while the lengths and hashes left over can be broadcast.
 3. Texts of the rows left over are read in full and hashed with SHA-256; groups
    are formed by that digest and the length.
 
@@ -51,11 +52,11 @@ def _survivors(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             F.xxhash64(F.substring(text, 1, PREFIX)).alias("prefix"),
         )
     )
-    lengths = rows.groupBy("length").count().where("count > 1").select("length")
-    same_length = rows.join(lengths, "length", "left_semi")
+    lengths = store(rows.groupBy("length").count().where("count > 1").select("length"))
+    same_length = rows.join(beside(lengths), "length", "left_semi")
     key = ["length", "prefix"]
-    prefixes = same_length.groupBy(*key).count().where("count > 1").select(*key)
-    ids = store(same_length.join(prefixes, key, "left_semi").select("id").distinct())
+    prefixes = store(same_length.groupBy(*key).count().where("count > 1").select(*key))
+    ids = store(same_length.join(beside(prefixes), key, "left_semi").select("id").distinct())
     ids = ids.withColumnRenamed("id", "wanted")
     wanted = docs.join(beside(ids), F.col(id_col).eqNullSafe(F.col("wanted")), "left_semi")
     return store(
