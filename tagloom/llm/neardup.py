@@ -210,7 +210,6 @@ def components(links: DataFrame) -> DataFrame:
         both = edges.union(edges.select("b", "a"))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(least, "a").where("b > a AND b > m").selectExpr("b AS a", "m AS b").distinct()
-        large = store(large)
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").selectExpr("IF(b > m, b, a) AS a", "m AS b")
         edges = store(small.union(least.selectExpr("a", "m AS b")).where("a > b").distinct())
