@@ -39,8 +39,7 @@ _FOUND = "id {kind}, item_id {item}, doc_start bigint, item_start bigint, length
 
 def tokens(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """First row, last row + 1, token hashes and row bounds; case is folded."""
-    folded = pc.utf8_lower(pc.fill_null(texts, ""))
-    for a, b, data, offsets in pieces(folded):
+    for a, b, data, offsets in pieces(texts, pc.utf8_lower):
         yield a, b, *word_hashes(data, offsets, ALNUM_PARTED)
 
 

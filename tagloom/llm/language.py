@@ -66,8 +66,7 @@ def grams(data: np.ndarray) -> np.ndarray:
 def _texts(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Pieces of the lower-cased texts, each text with a blank on either side."""
     blank, nothing = (pa.scalar(x, type=pa.large_string()) for x in (" ", ""))
-    lower = pc.utf8_lower(pc.fill_null(column, "")).cast(pa.large_string())
-    yield from pieces(pc.binary_join_element_wise(blank, lower, blank, nothing))
+    yield from pieces(column, lambda part: pc.binary_join_element_wise(blank, pc.utf8_lower(part), blank, nothing))
 
 
 def _within(offsets: np.ndarray, n: int) -> np.ndarray:

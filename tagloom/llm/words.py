@@ -8,7 +8,7 @@ different shingles, share a hash with a probability of about 2**-64 per pair.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -65,20 +65,24 @@ def _to_power(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers, _inverses
 
 
-def pieces(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """First row, last row + 1, bytes and row offsets of about PIECE bytes each; nulls are empty."""
-    texts = pc.fill_null(texts, "").cast(pa.large_string())
-    if len(texts) == 0:
-        return
-    offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64)
-    offsets = offsets[texts.offset : texts.offset + len(texts) + 1]
-    held = texts.buffers()[2]
-    data = np.frombuffer(held, dtype=np.uint8) if held else np.zeros(0, dtype=np.uint8)
+def pieces(
+    texts: pa.Array, prepare: Callable[[pa.Array], pa.Array] = lambda part: part
+) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """First row, last row + 1, bytes and row offsets of about PIECE bytes each; nulls are empty.
+
+    ``prepare`` turns the rows of a piece, without nulls, into the texts that are wanted. Only a piece is copied
+    at a time, not the whole batch.
+    """
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
     start = 0
     while start < len(texts):
-        end = int(np.searchsorted(offsets, offsets[start] + PIECE, side="right")) - 1
-        end = min(max(end, start + 1), len(texts))
-        yield start, end, data[offsets[start] : offsets[end]], offsets[start : end + 1] - offsets[start]
+        before = ends[start - 1] if start else 0
+        end = max(int(np.searchsorted(ends, before + PIECE, side="right")), start + 1)
+        part = prepare(pc.fill_null(texts.slice(start, end - start), "").cast(pa.large_string()))
+        offsets = np.frombuffer(part.buffers()[1], dtype=np.int64)[part.offset : part.offset + len(part) + 1]
+        held = part.buffers()[2]
+        data = np.frombuffer(held, dtype=np.uint8) if held else np.zeros(0, dtype=np.uint8)
+        yield start, end, data[offsets[0] : offsets[-1]], offsets - offsets[0]
         start = end
 
 
