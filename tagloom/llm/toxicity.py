@@ -2,7 +2,8 @@
 
 Texts are folded first: lower case, look-alike letters of other scripts, invisible characters, and
 digits or signs that stand for letters inside a word. The lexicon holds words, and beginnings of words, that are
-commoner in toxic rows than in others; a term's weight is the logarithm of that ratio.
+commoner in toxic rows than in others; a term's weight is the logarithm of that ratio, less CAUTION
+standard errors, so that a few chance rows make no term.
 Exception phrases, a term together with a neighbouring word, lift the match inside them. Matched weights, as a
 sum and for each hundred words, go into a logistic score.
 
@@ -29,7 +30,8 @@ from tagloom.llm.scratch import least_hashes, store
 SAMPLE = 6000
 #: Toxic rows that must hold a term; least weight; most terms, the weightiest.
 SUPPORT = 4
-WEIGHT = 3.0
+WEIGHT = 1.5
+CAUTION = 1.5
 TERMS = 20_000
 #: Least length of a term, and lengths of beginnings.
 SHORTEST = 3
@@ -271,12 +273,14 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     for_terms, for_score = (sample.where(F.col("part") == k).select("text", "label") for k in (0, 1))
     sizes = {r[0]: r[1] for r in for_terms.groupBy("label").count().collect()}
     schema = "term string, toxic bigint, clean bigint"
-    odds = F.log((F.col("toxic") + 0.5) / (sizes.get(1, 0) + 1.0)) - F.log((F.col("clean") + 0.5) / (sizes.get(0, 0) + 1.0))
+    toxic, clean = F.col("toxic") + 0.5, F.col("clean") + 0.5
+    odds = F.log(toxic / (sizes.get(1, 0) + 1.0)) - F.log(clean / (sizes.get(0, 0) + 1.0))
+    certain = odds - CAUTION * F.sqrt(1 / toxic + 1 / clean)
     terms = (
         for_terms.mapInArrow(_count_terms, schema)
         .groupBy("term")
         .agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-        .withColumn("weight", odds)
+        .withColumn("weight", certain)
         .where((F.col("toxic") >= SUPPORT) & (F.col("weight") >= WEIGHT))
         .orderBy(F.col("weight").desc(), "term")
         .limit(TERMS)
