@@ -59,7 +59,7 @@ def test_no_python_and_no_text_in_an_exchange(spark, tmp_path):
 
 
 def test_beyond_the_broadcast(spark, monkeypatch):
-    monkeypatch.setattr("tagloom.llm.scratch.BROADCAST_ROWS", 0)
+    monkeypatch.setattr("tagloom.llm.exact.WIDE_ROWS", 0)
     monkeypatch.setattr("tagloom.llm.scratch.beside.__defaults__", (0,))
     rows = [(i, f"text {i % 7}") for i in range(50)]
     assert sorted((tuple(r) for r in exact.exact_duplicates(helpers.docs(spark, rows)).collect()), key=repr) == brute(rows)
