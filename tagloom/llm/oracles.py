@@ -85,6 +85,38 @@ def _url_filter() -> str:
 
 ORACLES: dict[str, str] = {
     "op1_url_filter": _url_filter(),
+    # All pairs that share a shingle, and all documents that can be reached from each.
+    "op2_near_duplicates": r"""
+        WITH RECURSIVE d AS (
+            SELECT doc_id, [x FOR x IN regexp_split_to_array(
+                       translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                       '[\x20\x09-\x0D]+') IF x <> ''] AS w
+            FROM documents
+        ), s AS (
+            SELECT DISTINCT doc_id, unnest(
+                CASE WHEN len(w) >= 5
+                     THEN [array_to_string(w[i:i + 4], ' ') FOR i IN range(1, len(w) - 3)]
+                     WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS shingle
+            FROM d
+        ), n AS (
+            SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+        ), shared AS (
+            SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c
+            FROM s x JOIN s y ON x.shingle = y.shingle AND x.doc_id < y.doc_id GROUP BY ALL
+        ), links AS (
+            SELECT a, b FROM shared JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b
+            WHERE 100 * c >= 75 * (na.n + nb.n - c)
+        ), both_ways AS (
+            SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+        ), reach AS (
+            SELECT doc_id, doc_id AS other FROM documents
+            UNION SELECT r.doc_id, l.b FROM reach r JOIN both_ways l ON l.a = r.other
+        ), least AS (
+            SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id
+        )
+        SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept
+        FROM d JOIN least USING (doc_id) LEFT JOIN n USING (doc_id)
+    """,
     "op6_exact_duplicates": f"""
         WITH d AS (
             SELECT doc_id, length(coalesce(text, '')) AS n,
