@@ -18,7 +18,8 @@ COVERAGE = 0.15
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in one of the learned languages.
 
-    Those without a letter go, and those few of whose n-grams any language has.
+    Those without a letter go, and those few of whose n-grams any language has. Rows that
+    share an id go together; a null id is not judged and stays.
     """
     filters = language.fit(docs.where(remainder(4) != 2), "doc_id", "text", "lang")
     judged = language.identify(docs, filters)
