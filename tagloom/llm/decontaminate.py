@@ -3,8 +3,8 @@
 A seed is a fixed mask over neighbouring tokens; positions that the mask leaves
 out may differ. Test items give a table of seed hashes; every position of every
 document is looked up under every mask. Around a hit the item is laid beside the
-document and compared token by token, so substituted words cost a little and do not
-hide the passage.
+document and compared token by token; a passage is a run of the two in which enough tokens, and at
+least half of them, are equal, so substituted words do not hide it.
 
 Items go to the executors in blocks of at most BLOCK_BYTES of text; documents are read once a
 block. A document needs no shuffle: all of its tokens lie in its row.
@@ -25,13 +25,13 @@ from tagloom.llm.scratch import beside, store, without
 from tagloom.llm.words import ALNUM_PARTED, U, mixed, numbers, pieces, word_hashes
 
 #: Every run of nine tokens with one substitution, and longer ones in which every
-#: second, third or fourth token is substituted, agree under one of these.
+#: second, third or fourth token is substituted, agree under one of these. None has more gaps
+#: than tokens, as no passage has.
 MASKS = ("11111", "111011", "1101101", "101010101")
-#: A passage is an overlap with so many equal tokens, or with COVER of a shorter item.
+#: A passage is a run of the overlap with so many equal tokens, or with COVER of a shorter item, in
+#: which no more tokens differ than are equal.
 TOKENS = 12
 COVER = 0.8
-#: What a differing token costs, in equal ones: overlaps have at least two thirds equal.
-COST = 2
 BLOCK_BYTES = 4 << 20
 
 _FOUND = "id {kind}, item_id {item}, doc_start bigint, item_start bigint, length bigint, matched bigint"
@@ -62,12 +62,16 @@ def needed(length: int) -> int:
 
 
 def best_run(equal: np.ndarray) -> tuple[int, int, int]:
-    """Start, end and number of equal tokens of the best-scoring run."""
-    score = np.cumsum(np.where(equal, 1, -COST))
-    before = np.minimum.accumulate(np.r_[0, score[:-1]])
-    end = int(np.argmax(score - before))
-    start = int(np.argmin(np.r_[0, score][: end + 1]))
-    return start, end + 1, int(equal[start : end + 1].sum())
+    """Start, end and number of equal tokens of the run with most of them, at least half being equal."""
+    score = np.cumsum(np.r_[0, np.where(equal, 1, -1)])
+    # The longest run with a score of at least 0 has the most: any other could be extended to its length.
+    starts = np.searchsorted(-np.minimum.accumulate(score), -score, side="left")
+    end = int(np.argmax(np.arange(len(score)) - starts))
+    start = int(starts[end])
+    at = np.flatnonzero(equal[start:end])
+    if not len(at):
+        return 0, 0, 0
+    return start + int(at[0]), start + int(at[-1]) + 1, len(at)
 
 
 class Index:

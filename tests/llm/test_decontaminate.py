@@ -100,3 +100,48 @@ def test_documents_do_not_move(spark, tmp_path):
     bench = spark.createDataFrame([(1, "h i j k l m n")], ITEM)
     text = plan(decontaminate.decontaminated(spark.read.parquet(path), bench))
     assert ") Exchange" not in text
+
+
+def is_passage(doc, item):
+    """Whether any run of any shift has the equal tokens, and half of its tokens equal, by counting."""
+    need = min(12, max(5, -(-len(item) * 8 // 10)))
+    for shift in range(-len(item) + 1, len(doc)):
+        at = [k for k in range(len(item)) if 0 <= k + shift < len(doc) and item[k] == doc[k + shift]]
+        for a in range(len(at) - need + 1):
+            if any(2 * (b - a + 1) >= at[b] - at[a] + 1 for b in range(a + need - 1, len(at))):
+                return True
+    return False
+
+
+def test_substituted_passages_are_those_of_counting(spark):
+    rng = random.Random(12)
+    vocab = helpers.vocabulary(3000)
+    items = [(i, helpers.sentence(rng, rng.choice([30, 40, 60]), vocab)) for i in range(20)]
+    docs, even, few = [], set(), set()
+    for d in range(300):
+        item = helpers.words(rng.choice(items)[1])
+        if d % 3 == 0:
+            even.add(d)
+            every = rng.choice([2, 3, 4])
+            item = [x if (k + 1) % every else "sub" for k, x in enumerate(item)]
+        else:
+            rate = rng.choice([0.2, 0.25, 0.4, 0.7])
+            few |= {d} if rate < 0.3 else set()
+            item = ["sub" if rng.random() < rate else x for x in item]
+        ends = [helpers.sentence(rng, rng.randint(0, 30), vocab) for _ in range(2)]
+        docs.append((d, f"{ends[0]} {' '.join(item)} {ends[1]}"))
+    want = {d for d, text in docs if any(is_passage(helpers.words(text), helpers.words(t)) for _, t in items)}
+    got = decontaminate.judge(helpers.docs(spark, docs), spark.createDataFrame(items, ITEM)).collect()
+    found = {r.doc_id for r in got if r.contaminated}
+    assert even | few <= want and len(want) < 300
+    # Seeds can miss what is substituted at random at high rates; what they find is judged by the count.
+    assert even <= found <= want and len(few - found) <= 2
+
+
+def test_the_best_run_is_that_of_all_runs():
+    rng = random.Random(13)
+    for _ in range(500):
+        equal = np.array([rng.random() < rng.choice([0.2, 0.5, 0.8]) for _ in range(rng.randint(1, 25))])
+        runs = [equal[a:b].sum() for a in range(len(equal)) for b in range(a + 1, len(equal) + 1) if 2 * equal[a:b].sum() >= b - a]
+        start, end, matched = decontaminate.best_run(equal)
+        assert matched == max(runs, default=0) == equal[start:end].sum() and 2 * matched >= end - start
