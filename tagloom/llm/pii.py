@@ -6,8 +6,9 @@ over the value's number, walked on until it hits a valid one. So the pseudonym i
 as valid as the value, equal values stay linked across documents, different ones stay different,
 and without the key nothing leads back.
 
-Kinds: card numbers (Luhn), IBANs (mod 97), US social security numbers, IPv4 addresses,
-telephone numbers, calendar dates, mail addresses, and secrets that are assigned to a name such as
+Kinds: card numbers (Luhn), IBANs (mod 97; unbroken or with single blanks), US social security
+numbers, IPv4 addresses, telephone numbers (``+`` and 8 to 15 digits in any grouping, or North American
+ones without a country's code), calendar dates, mail addresses, and secrets that are assigned to a name such as
 ``token``. A number that fails its validation is no such value and stays.
 """
 
@@ -29,6 +30,23 @@ ROUNDS = 8
 FIRST_DAY = datetime.date(1900, 1, 1).toordinal()
 LAST_DAY = datetime.date(2099, 12, 31).toordinal()
 
+#: Fixed: length of an IBAN by country (ISO 13616).
+IBAN_LENGTHS = {
+    country: length
+    for length, countries in {
+        15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+        22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+        25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV",
+        29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+    for country in countries.split()
+}
+#: Fixed: countries' telephone codes (E.164) of one and two digits; all others have three.
+PHONE_CODES = frozenset(
+    "1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 "
+    "81 82 84 86 90 91 92 93 94 95 98".split()
+)
+
 _LETTERS = "abcdefghijklmnopqrstuvwxyz"
 _DIGITS = "0123456789"
 
@@ -105,11 +123,19 @@ def _mod97(country: str, bban: str) -> int:
 
 
 def iban(text: str, permute: Permutation) -> str | None:
-    country, check, bban = text[:2], text[2:4], text[4:]
-    if int(check) != 98 - _mod97(country, bban):
-        return None
-    bban = by_class(bban, permute, f"iban{country}")
-    return f"{country}{98 - _mod97(country, bban):02d}{bban}"
+    """The pseudonym of the IBAN that ``text`` begins with: an unbroken one, or one of its country's length."""
+    ends = [m.start() for m in re.finditer(r"(?= |\Z)", text)]
+    for end in ends:
+        whole = text[:end].replace(" ", "")
+        if end != ends[0] and len(whole) != IBAN_LENGTHS.get(whole[:2]):
+            continue
+        country, check, bban = whole[:2], whole[2:4], whole[4:]
+        if len(bban) < 11 or int(check) != 98 - _mod97(country, bban):
+            continue
+        bban = by_class(bban, permute, f"iban{country}")
+        rest = iter(f"{country}{98 - _mod97(country, bban):02d}{bban}")
+        return "".join(c if c == " " else next(rest) for c in text[:end])
+    return None
 
 
 def social(text: str, permute: Permutation) -> str | None:
@@ -132,11 +158,18 @@ def address(text: str, permute: Permutation) -> str | None:
 
 
 def phone(text: str, permute: Permutation) -> str | None:
+    """The country's code stays; the other digits are permuted whatever their grouping."""
+    text = re.sub(r"\D*\Z", "", text)
     digits = re.sub(r"\D", "", text)
-    if not 10 <= len(digits) <= 15:
+    if not (8 if text[:1] == "+" else 10) <= len(digits) <= 15:
         return None
-    code = digits[:-10]  # the country's, which stays
-    return _refill(text, f"{code}{permute(int(digits[-10:]), 10**10, 'phone' + code):010d}")
+    code = digits[:-10]
+    if text[0] == "+" and digits[0] != "0":
+        code = next((digits[:k] for k in (1, 2) if digits[:k] in PHONE_CODES), digits[:3])
+        if re.fullmatch(r"\+\d+\.\d+", text) and text[1:].partition(".")[0] != code:
+            return None  # a decimal fraction
+    n = len(digits) - len(code)
+    return _refill(text, f"{code}{permute(int(digits[-n:]), 10**n, 'phone' + code):0{n}d}")
 
 
 def _day(year: str, month: str, day: str) -> int | None:
@@ -183,6 +216,11 @@ def secret(text: str, permute: Permutation) -> str | None:
     return by_class(text, permute, "secret", bool(re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", text)))
 
 
+#: What may stand between two digits of a telephone number.
+_BETWEEN = r"\)?(?: [-/] |[ \u00a0\u202f./-])?\(?"
+#: Kinds whose pattern can run on behind the value; the pseudonym has the value's length.
+_RUN_ON = frozenset(("iban", "phone"))
+
 #: In this order; a value is taken by the first kind that accepts it.
 KINDS: dict[str, tuple[re.Pattern, Callable[[str, Permutation], str | None]]] = {
     "secret": (
@@ -193,7 +231,7 @@ KINDS: dict[str, tuple[re.Pattern, Callable[[str, Permutation], str | None]]] =
         secret,
     ),
     "mail": (re.compile(r"(?<![\w.+-])([\w.+-]*\w@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,})(?![\w-])"), mail),
-    "iban": (re.compile(r"\b([A-Z]{2}\d{2}[A-Z0-9]{11,30})\b"), iban),
+    "iban": (re.compile(r"\b(?=([A-Z]{2}\d{2}(?: ?[A-Z0-9]){11,30}\b))"), iban),
     "social": (re.compile(r"(?<![\w.-])(\d{3}-\d{2}-\d{4})(?![\w-])"), social),
     "date": (
         re.compile(r"(?<![\w.,/-])(\d{4}([-/.])\d{1,2}\2\d{1,2}|\d{1,2}([-/.])\d{1,2}\3\d{4})(?![\w/-]|[.,]\d)"),
@@ -201,7 +239,10 @@ KINDS: dict[str, tuple[re.Pattern, Callable[[str, Permutation], str | None]]] =
     ),
     "address": (re.compile(r"(?<![\w.])(\d{1,3}(?:\.\d{1,3}){3})(?!\w|\.\d)"), address),
     "phone": (
-        re.compile(r"(?<![\w.+-])((?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4})(?![\w-])"),
+        re.compile(
+            rf"(?<![\w.+-])(\+1(?:{_BETWEEN}\d){{10}}|\+\d(?:{_BETWEEN}\d){{7,14}}"
+            r"|(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4})(?![\w-])"
+        ),
         phone,
     ),
     "card": (
@@ -220,9 +261,14 @@ def pseudonymise(text: str, permute: Permutation) -> tuple[str, list[str]]:
         for m in pattern.finditer(text):
             start, end = m.span(1)
             at = bisect.bisect(taken, (start,))
-            if (at and taken[at - 1][1] > start) or (at < len(taken) and taken[at][0] < end):
+            if at and taken[at - 1][1] > start:
                 continue
-            if (new := replace(m[1], permute)) is not None:
+            if at < len(taken) and taken[at][0] < end:
+                if kind not in _RUN_ON or taken[at][0] == start:
+                    continue
+                end = taken[at][0]
+            if (new := replace(text[start:end], permute)) is not None:
+                end = start + len(new) if kind in _RUN_ON else end
                 taken.insert(at, (start, end, kind, new))
     out, at = [], 0
     for start, end, _, new in taken:

@@ -93,3 +93,45 @@ def test_many_values_in_one_text():
     text = " ".join(f"10.0.{k // 250}.{k % 250}" for k in range(5000))
     new, kinds = replaced(text)
     assert len(kinds) == 5000 and len(set(new.split())) == 5000
+
+
+@pytest.mark.parametrize("value", ["DE89 3704 0044 0532 0130 00", "FR14 2004 1010 0505 0001 3M02 606", "DE89 37040044 0532013000", "NO93 8601 1117 947"])
+def test_printed_ibans(value):
+    plain = value.replace(" ", "")
+    new, kinds = replaced(f"AB12 {value} EUR 20, {plain}; 4111 1111 1111 1111")
+    assert kinds == ["iban", "iban", "card"]
+    spaced, unbroken = new[5 : 5 + len(value)], new.split(", ")[1].split(";")[0]
+    assert new.startswith("AB12 ") and new[5 + len(value) :].startswith(" EUR 20, ")
+    assert spaced.replace(" ", "") == unbroken != plain  # they stay linked
+    assert [c == " " for c in spaced] == [c == " " for c in value]
+    assert pii.iban(unbroken, P) is not None and pii.iban(spaced, P) is not None
+
+
+def test_an_iban_before_other_values():
+    new, kinds = replaced("DE89 3704 0044 0532 0130 00 ABC@example.com")
+    assert kinds == ["iban", "mail"] and "3704 0044" not in new
+
+
+@pytest.mark.parametrize(
+    "value", ["+14155550123", "+49 30 901820", "+33 1 42 68 53 00", "+34 912 345 678", "+49 (0)30/901820", "+33\u00a01\u00a042\u00a068\u00a053\u00a000", "+352 26 12 34"]
+)
+def test_telephone_numbers_in_any_grouping(value):
+    unbroken = "+" + "".join(c for c in value if c.isdigit())
+    new, kinds = replaced(f"Tel. {value}, or {unbroken}.")
+    first, second = new.removeprefix("Tel. ").removesuffix(".").split(", or ")
+    assert kinds == ["phone", "phone"] and first != value
+    assert "+" + "".join(c for c in first if c.isdigit()) == second
+    assert [c for c in first if not c.isdigit()] == [c for c in value if not c.isdigit()]
+    assert first[:3] == value[:3] or value.startswith("+1")
+
+
+def test_telephone_numbers_before_other_values():
+    assert replaced("+1 (017) 555-7713 12 times")[0] == replaced("+1 (017) 555-7713")[0] + " 12 times"
+    new, kinds = replaced("+1 (017) 555-7713 152.143.123.131 and +49 30 901820 2001-02-28")
+    assert kinds == ["phone", "address", "phone", "date"]
+    assert replaced("+152.143.123.131")[1] == ["address"]
+
+
+@pytest.mark.parametrize("text", ["+3.14159265", "+1234567", "+1234567890123456", "DE88 3704 0044 0532 0130 00", "AB12 CDEF GHIJ KLMN"])
+def test_what_is_no_iban_or_telephone_number_stays(text):
+    assert replaced(text) == (text, [])
