@@ -57,8 +57,10 @@ BAD_WORDS = frozenset(
     "social sponsor sponsored sponsors subscribe subscription tags toolbar topbar trending widget widgets".split()
 )
 GOOD_WORDS = frozenset("article articlebody body content entry hentry main post story text page".split())
-#: A class such as has-sidebar speaks of another element.
+#: A class such as has-sidebar, or the rest of content-with-sidebar, speaks of another element.
 ABOUT_OTHERS = frozenset("has with no without layout is col".split())
+#: On an element that is named as content, classes such as category-social speak of its subject.
+SUBJECT = frozenset("category cat tag topic format type status".split())
 
 #: Weights of the classifier; above 0 speaks for content.
 BIAS = -1.6
@@ -68,6 +70,8 @@ PARAGRAPH = 0.5
 HEADING = 0.8
 IN_MAIN = 4.0
 GOOD_NAME = 1.2
+BAD_NAME = -6.0  # for each element above, and at most MOST_NAMES of them
+MOST_NAMES = 9
 LINK_SHARE = -4.0
 CERTAIN = 1000.0
 #: Capacity between neighbours in one element, and between blocks that follow in it with others between.
@@ -80,7 +84,7 @@ _TAG = re.compile(
     r"|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>",
     re.DOTALL,
 )
-_NAMED = re.compile(r"(?:^|\s)(?:class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
+_NAMED = re.compile(r"(?:^|\s)(class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
 _HIDDEN = re.compile(
     r"(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE
 )
@@ -89,8 +93,19 @@ _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 
 
+def spoken(words: list[str]) -> tuple[bool, bool]:
+    """Whether the words of a class or id call their element content, and whether boilerplate; the last one decides."""
+    own = words[: next((k for k, w in enumerate(words) if k and w in ("with", "has", "no", "without")), None)]
+    good = any(w in GOOD_WORDS for w in own)
+    if not own or own[0] in ABOUT_OTHERS:
+        return good, False
+    last = next((w for w in reversed(own) if w in GOOD_WORDS or w in BAD_WORDS), "")
+    bad = last in BAD_WORDS or ("header" in own and not good)
+    return good and not bad, bad
+
+
 class Element:
-    __slots__ = ("name", "parent", "depth", "outside", "inside", "good", "last")
+    __slots__ = ("name", "parent", "depth", "outside", "inside", "good", "bad", "last")
 
     def __init__(self, name: str, parent: Element | None, attributes: str) -> None:
         self.name, self.parent = name, parent
@@ -98,29 +113,38 @@ class Element:
         self.outside = parent.outside if parent else False
         self.inside = parent.inside if parent else False
         self.good = parent.good if parent else False
+        self.bad = parent.bad if parent else 0  # elements up from here whose names speak of boilerplate
         self.last = -1  # the last block below this element
-        bad = False
+        named: list[tuple[list[str], bool, bool]] = []
+        excluded = False
         if attributes and "=" in attributes:
             for m in _NAMED.finditer(attributes):
-                for token in (m[1] or m[2] or m[3] or "").split():
+                for token in (m[2] or m[3] or m[4] or "").split():
                     words = _WORD.findall(_CAMEL.sub(" ", token).lower())
-                    good = not GOOD_WORDS.isdisjoint(words)
-                    self.good = self.good or good
-                    if words and words[0] not in ABOUT_OTHERS:
-                        bad = bad or not BAD_WORDS.isdisjoint(words) or ("header" in words and not good)
-            bad = bad or bool(_HIDDEN.search(attributes))
+                    named.append((words, *spoken(words)))
+                    excluded = excluded or (m[1].lower() == "role" and named[-1][2])
+            excluded = excluded or bool(_HIDDEN.search(attributes))
+        own = name in INSIDE or any(good for _, good, _ in named)
+        bad = any(b and not (own and len(w) > 1 and w[0] in SUBJECT) for w, _, b in named) and name not in ("html", "body")
         # An article's own header holds its title; a page's header does not.
-        if name in OUTSIDE or (name == "header" and not self.inside) or (bad and name not in ("html", "body")):
+        if name in OUTSIDE or (name == "header" and not self.inside) or (excluded and name not in ("html", "body")):
             self.outside = True
-        elif name in INSIDE and not self.outside:
+        elif bad:  # against an article around it, or the article that it is
+            self.inside = name in INSIDE and not self.bad
+            self.good = False
+            self.bad += 1
+        elif name in INSIDE:  # against one name around it
             self.inside = True
+            self.bad = max(0, self.bad - 1)
+        self.good = self.good or any(good for _, good, _ in named)
 
 
 class Block:
-    __slots__ = ("text", "links", "element", "tag")
+    __slots__ = ("text", "links", "element", "tag", "bad")
 
     def __init__(self, text: str, links: int, element: Element, tag: str) -> None:
         self.text, self.links, self.element, self.tag = text, links, element, tag
+        self.bad = element.bad
 
 
 def blocks(page: str) -> list[Block]:
@@ -191,22 +215,29 @@ def blocks(page: str) -> list[Block]:
                         break
             stack.append(Element(name, stack[-1], attributes))
     flush()
+    # Names around all text that could be content set nothing apart.
+    around = min((b.bad for b in found if not b.element.outside and evidence(b) > 0), default=0)
+    for block in found:
+        block.bad = min(MOST_NAMES, max(0, block.bad - around))
     return found
 
 
-def cost(block: Block) -> float:
-    """What it costs to call the block boilerplate rather than content."""
-    e = block.element
-    if e.outside:
-        return -CERTAIN
+def evidence(block: Block) -> float:
+    """What the block's text and element say for content."""
     words = block.text.count(" ") + 1
     share = min(1.0, block.links / max(1, len(block.text)))
     out = BIAS + PER_DOUBLING * math.log2(1 + words) + LINK_SHARE * share
     out += SENTENCE_END * (block.text[-1] in ".!?…。\"'”»")
     out += PARAGRAPH * (block.tag in ("p", "pre", "blockquote")) + HEADING * (block.tag in _HEADINGS)
+    e = block.element
     return out + IN_MAIN * e.inside + GOOD_NAME * (e.good and not e.inside)
 
 
+def cost(block: Block) -> float:
+    """What it costs to call the block boilerplate rather than content."""
+    return -CERTAIN if block.element.outside else evidence(block) + BAD_NAME * block.bad
+
+
 def distance(a: Element, b: Element) -> int:
     """Number of steps between two elements in the DOM."""
     steps = 0
@@ -292,9 +323,9 @@ def labels(found: list[Block]) -> list[bool]:
             flow.join(i + 2, 1, -c, 0)
 
     def smooth(i: int, j: int, capacity: float) -> None:
-        if free[i] and free[j]:
+        if free[i] and free[j] and (found[i].bad > 0) == (found[j].bad > 0):
             flow.join(i + 2, j + 2, capacity, capacity)
-        # Beside boilerplate that is certain a block loses nothing: adverts stand within articles.
+        # Beside boilerplate by element or name a block loses nothing: adverts stand within articles.
 
     for j, block in enumerate(found):
         if j:

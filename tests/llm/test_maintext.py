@@ -95,6 +95,47 @@ def test_a_page_of_many_blocks():
     assert maintext.main_text(page).count("\n") == 4999
 
 
+@pytest.mark.parametrize(
+    "before, after",
+    [
+        ("<article class='post category-social'>", "</article>"),
+        ("<article class='post tag-privacy'>", "</article>"),
+        ("<div class='hentry category-social'>", "</div>"),
+        ("<div class='content-with-sidebar'>", "</div>"),
+        ("<div class='wrapper sidebar-right'>", "</div>"),
+        ("<div class='wrapper sidebar-right'><main>", "</main></div>"),
+        ("<p>A short line.</p><div class='sidebar-right'><article>", "</article></div>"),
+        ("<article class='post promo'>", "</article>"),
+        ("<article class='related'>", "</article>"),
+        ("<div id='privacy-page'>", "</div>"),
+    ],
+)
+def test_one_word_of_a_name_does_not_lose_the_article(before, after):
+    text = ["A title", *(f"Paragraph {k} of the article has words enough to be content, and it goes on until it ends." for k in "abc")]
+    body = f"<h1>{text[0]}</h1>" + "".join(f"<p>{x}</p>" for x in text[1:])
+    rest = "<nav><p>A way to other pages of this site, which is long enough to be content.</p></nav><div class='footer'><a href=x>Imprint</a></div>"
+    got = maintext.main_text(f"<body>{before}{body}{after}{rest}</body>").split("\n")
+    assert [x for x in got if x != "A short line."] == text
+
+
+@pytest.mark.parametrize(
+    "name",
+    ["ad-box", "userComments", "post-comments", "page-footer", "article-related", "sidebar-right", "promo", "widget", "category-menu"],
+)
+def test_names_of_boilerplate_still_speak(name):
+    long = "A sentence of enough words to be content, for it goes on and on until it ends."
+    other = "Another sentence of enough words to be content, but it stands where none is to be expected."
+    for page in ("<article><p>{0}</p><div class={2}><p>{1}</p></div></article>", "<div><p>{0}</p></div><div class={2}><p>{1}</p></div>"):
+        assert maintext.main_text(page.format(long, other, name)) == long
+    comments = f"<div id=comments><ol class=comment-list><li class=comment><article class=comment-body><p>{other}</p></article></ol></div>"
+    assert maintext.main_text(f"<article><p>{long}</p></article>{comments}") == long
+
+
+def test_names_are_summed_with_the_other_evidence():
+    block = maintext.blocks("<p>It is a sentence that is long enough.</p><div class=promo><p>It is a sentence that is long enough.</p></div>")
+    assert maintext.cost(block[1]) == pytest.approx(maintext.cost(block[0]) + maintext.BAD_NAME)
+
+
 def test_rows_of_a_table(spark):
     df = spark.createDataFrame([(1, PAGE, "u"), (1, PAGE, "u"), (None, None, None), (2, "", "u")], "page_id bigint, html string, text string")
     got = sorted(map(tuple, maintext.extract(df).collect()), key=repr)
