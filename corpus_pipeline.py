@@ -6,6 +6,7 @@ Each stage gets the rows that the one before wrote, and all of their columns.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tagloom.llm import decontaminate, exact, language, mixing, neardup
 from tagloom.llm.queries import remainder, table
@@ -18,15 +19,11 @@ COVERAGE = 0.15
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in one of the learned languages.
 
-    Those without a letter go, and those few of whose n-grams any language has. Rows that
-    share an id go together; a null id is not judged and stays.
+    Those without a letter go, and those few of whose n-grams any language has. Each row is judged
+    by its own text, whatever its id.
     """
     filters = language.fit(docs.where(remainder(4) != 2), "doc_id", "text", "lang")
-    judged = language.identify(docs, filters)
-    rejected = judged.where(
-        (judged["lang_pred"] == language.UNKNOWN) | (judged["coverage"] < COVERAGE)
-    )
-    return without(docs, rejected, "doc_id")
+    return language.known(docs, filters, COVERAGE)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,13 +32,23 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the smallest id."""
-    return without(docs, neardup.near_duplicates(docs).where("NOT kept"), "doc_id")
+    """One document of each group of near duplicates: the one with the smallest id.
+
+    Where ids are null or repeat, rows are told apart by id and a hash of the text; null ids come last.
+    """
+    if docs.groupBy("doc_id").count().where("doc_id IS NULL OR count > 1").isEmpty():
+        return without(docs, neardup.near_duplicates(docs).where("NOT kept"), "doc_id")
+    # In the order of ids: 16 hex digits of the number with its sign turned, or else a letter.
+    number = F.col("doc_id").cast("long").bitwiseXOR(F.lit(-(1 << 63)))
+    own = F.lpad(F.hex(F.xxhash64(F.col("text").cast("string"))), 16, "0")
+    row = F.concat(F.coalesce(F.lpad(F.hex(number), 16, "0"), F.lit("null")), own)
+    keyed = docs.withColumn("row_key", row)
+    return without(keyed, neardup.near_duplicates(keyed, "row_key").where("NOT kept"), "row_key").drop("row_key")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no passage of the benchmark."""
-    return decontaminate.decontaminated(docs, table(spark, sf_dir, "benchmark"))
+    return decontaminate.clean_rows(docs, table(spark, sf_dir, "benchmark"))
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -32,6 +32,8 @@ MASKS = ("11111", "111011", "1101101", "101010101")
 #: which no more tokens differ than are equal.
 TOKENS = 12
 COVER = 0.8
+#: What a differing token costs, in equal ones.
+COST = 1
 BLOCK_BYTES = 4 << 20
 
 _FOUND = "id {kind}, item_id {item}, doc_start bigint, item_start bigint, length bigint, matched bigint"
@@ -63,7 +65,7 @@ def needed(length: int) -> int:
 
 def best_run(equal: np.ndarray) -> tuple[int, int, int]:
     """Start, end and number of equal tokens of the run with most of them, at least half being equal."""
-    score = np.cumsum(np.r_[0, np.where(equal, 1, -1)])
+    score = np.cumsum(np.r_[0, np.where(equal, 1, -COST)])
     # The longest run with a score of at least 0 has the most: any other could be extended to its length.
     starts = np.searchsorted(-np.minimum.accumulate(score), -score, side="left")
     end = int(np.argmax(np.arange(len(score)) - starts))
@@ -119,6 +121,13 @@ class Index:
                 yield r, i, first + start + shift, first + start, end - start, matched
 
 
+def _index(block: list[tuple]) -> Index:
+    items = []
+    for _, _, words, bounds in tokens(pa.array([t for _, t in block], type=pa.large_string())):
+        items += [words[a:b].copy() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+    return Index(items)
+
+
 def _finder(block: list[tuple]) -> Callable:
     """A mapInArrow function for one block of (item id, text)."""
     ids = [i for i, _ in block]
@@ -126,11 +135,7 @@ def _finder(block: list[tuple]) -> Callable:
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not held:
-            texts = pa.array([t for _, t in block], type=pa.large_string())
-            items = []
-            for _, _, words, bounds in tokens(texts):
-                items += [words[a:b].copy() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-            held.append(Index(items))
+            held.append(_index(block))
         for batch in batches:
             for a, _, words, bounds in tokens(batch.column(1)):
                 if rows := list(held[0].passages(words, bounds)):
@@ -147,6 +152,36 @@ def _finder(block: list[tuple]) -> Callable:
     return find
 
 
+def _cleaner(block: list[tuple], text_col: str) -> Callable:
+    """A mapInArrow function that leaves the rows without a passage of one block of (item id, text)."""
+    held: list = []
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not held:
+            held.append(_index(block))
+        for batch in batches:
+            keep = np.ones(batch.num_rows, dtype=bool)
+            texts = batch.column(batch.schema.get_field_index(text_col)).cast(pa.string())
+            for a, _, words, bounds in tokens(texts):
+                keep[[a + found[0] for found in held[0].passages(words, bounds)]] = False
+            yield batch.filter(pa.array(keep))
+
+    return clean
+
+
+def _blocks(benchmark: DataFrame, item_id_col: str, item_text_col: str) -> tuple[str, Iterator[list[tuple]]]:
+    """The type of the items' ids, and the items in blocks of (item id, text)."""
+    items = store(
+        benchmark.select(F.col(item_id_col).alias("item_id"), F.col(item_text_col).cast("string").alias("text"))
+        .where("text IS NOT NULL")
+    )
+    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = max(1, math.ceil(2 * size / BLOCK_BYTES))
+    blocks = (items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k) for k in range(n))
+    # A block is at most about BLOCK_BYTES.
+    return items.schema["item_id"].dataType.simpleString(), (sorted(map(tuple, b.collect()), key=repr) for b in blocks)
+
+
 def passages(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -163,19 +198,10 @@ def passages(
     each list theirs. Without documents or items the result is empty.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    items = store(
-        benchmark.select(F.col(item_id_col).alias("item_id"), F.col(item_text_col).cast("string").alias("text"))
-        .where("text IS NOT NULL")
-    )
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, math.ceil(2 * size / BLOCK_BYTES))
-    schema = _FOUND.format(
-        kind=rows.schema["id"].dataType.simpleString(), item=items.schema["item_id"].dataType.simpleString()
-    )
+    kind, blocks = _blocks(benchmark, item_id_col, item_text_col)
+    schema = _FOUND.format(kind=rows.schema["id"].dataType.simpleString(), item=kind)
     found = None
-    for k in range(blocks):
-        block = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
-        block = sorted(map(tuple, block.collect()), key=repr)  # at most about BLOCK_BYTES
+    for block in blocks:
         part = rows.mapInArrow(_finder(block), schema)
         found = part if found is None else found.union(part)
     return store(found).withColumnRenamed("id", id_col)
@@ -205,5 +231,18 @@ def judge(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the documents that hold a benchmark passage; all columns stay."""
+    """``docs`` without the documents that hold a benchmark passage; all columns stay.
+
+    Rows that share an id go together, and null ids stay; ``clean_rows`` judges each row by itself.
+    """
     return without(docs, passages(docs, benchmark, id_col, text_col), id_col)
+
+
+def clean_rows(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
+    """``docs`` without the rows whose own text holds a benchmark passage; all columns stay.
+
+    Each row is judged by itself in one pass: null and repeated ids do not matter.
+    """
+    for block in _blocks(benchmark, "item_id", "text")[1]:
+        docs = docs.mapInArrow(_cleaner(block, text_col), docs.schema)
+    return docs

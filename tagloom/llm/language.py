@@ -208,3 +208,24 @@ def identify(docs: DataFrame, filters: Filters, id_col: str = "doc_id", text_col
         .mapInArrow(_labeller(filters), f"id {kind}, lang_pred string, score double, coverage double")
         .withColumnRenamed("id", id_col)
     )
+
+
+def known(docs: DataFrame, filters: Filters, coverage: float, text_col: str = "text") -> DataFrame:
+    """``docs`` without the rows whose own text is in no language, or covered by less; all columns stay.
+
+    Each row is judged by itself in one pass: null and repeated ids do not matter.
+    """
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        label = _labeller(filters)
+        for batch in batches:
+            texts = batch.column(batch.schema.get_field_index(text_col)).cast(pa.string())
+            at = 0
+            for judged in label(iter([pa.RecordBatch.from_arrays([texts, texts], names=["id", "text"])])):
+                stays = pc.and_(
+                    pc.not_equal(judged.column(1), UNKNOWN), pc.greater_equal(judged.column(3), coverage)
+                )
+                yield batch.slice(at, judged.num_rows).filter(stays)
+                at += judged.num_rows
+
+    return docs.mapInArrow(keep, docs.schema)

@@ -84,3 +84,27 @@ def test_an_empty_table(spark, tmp_path):
 def test_the_benchmark_judge_names_the_stage():
     assert [name for name, _ in pipeline.STAGES] == ["language_id", "exact_dedup", "near_dedup", "decontamination", "source_mix"]
     assert decontaminate.TOKENS > decontaminate.COST
+
+
+def test_rows_with_null_and_shared_ids_are_judged_by_their_own_text(spark, tmp_path):
+    rng = random.Random(3)
+    letters = [f"{a}{b}{c}" for a in "bdgklm" for b in "aeiou" for c in "nrst"]
+    passage = helpers.sentence(rng, 20, letters)
+    text = [helpers.sentence(rng, 40, letters) for _ in range(3)]
+    near = [f"{t} {letters[0]}" for t in text]
+    spark.createDataFrame([(1, passage)], ITEM).write.parquet(f"{tmp_path}/benchmark.parquet")
+
+    def left(stage, rows):
+        frame = spark.createDataFrame([(*r, "aa", "x", 0) for r in rows], DOCUMENT)
+        out = dict(pipeline.STAGES)[stage](spark, frame, str(tmp_path))
+        assert out.columns == frame.columns
+        return sorted(((r.doc_id, r.text) for r in out.collect()), key=repr)
+
+    known = [(i, helpers.sentence(rng, 40, letters)) for i in range(8)]
+    assert left("language_id", [*known, (None, text[0]), (None, "12 34"), (1, "56 78")]) == sorted([*known, (None, text[0])], key=repr)
+    rows = [(None, text[0]), (None, near[0]), (-5, text[1]), (3, near[1]), (None, near[1] + " x"), (3, text[2]), (7, near[2]), (8, None)]
+    got = left("near_dedup", rows)
+    assert len(got) == 4 and {(-5, text[1]), (3, text[2]), (8, None)} <= set(got)
+    assert len({(None, text[0]), (None, near[0])} & set(got)) == 1
+    rows = [(None, text[0]), (None, f"x {passage}"), (5, passage), (5, text[1]), (6, None)]
+    assert left("decontamination", rows) == sorted([(None, text[0]), (5, text[1]), (6, None)], key=repr)
