@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from tagloom.llm.scratch import beside, store
 
 PREFIX = 64
-#: Groups, with their digests some 200 bytes each, that may be sent to every executor.
-WIDE_ROWS = 250_000
+#: Bytes of groups, with their digests, that may be sent to every executor.
+WIDE_BYTES = 64 << 20
 #: Fixed: the characters that are deleted before texts are compared.
 BLANKS = " \t\n\x0b\x0c\r"
 
@@ -109,7 +109,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         _chars(text_col).alias("chars"),
     )
     in_group = F.col("group_size").isNotNull()
-    return rows.join(beside(groups, WIDE_ROWS), "text_sha256", "left").select(
+    return rows.join(beside(groups, WIDE_BYTES), "text_sha256", "left").select(
         id_col,
         F.when(in_group, F.col("keep_id")).otherwise(F.col(id_col)).alias("keep_id"),
         F.coalesce("group_size", F.lit(1)).alias("group_size"),
@@ -128,7 +128,7 @@ def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     row by its other columns stays.
     """
     survivors = _survivors(docs, id_col, text_col)
-    members = store(survivors.join(beside(_groups(survivors), WIDE_ROWS), "text_sha256"))
+    members = store(survivors.join(beside(_groups(survivors), WIDE_BYTES), "text_sha256"))
     stays = F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("chars") == F.col("keep_chars"))
     keyed = members.select("id", "raw", stays.alias("stays"))
     lost = store(keyed.where("NOT stays").select("id", "raw").distinct())

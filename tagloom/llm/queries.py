@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagloom.llm import chat, decontaminate, exact, language, maintext, mixing, neardup, pii, toxicity, urls
+from tagloom.functions.bytes import chain
+from tagloom.llm import chat, decontaminate, exact, forest, language, maintext, mixing, neardup, periodic, pii, toxicity, urls, whitening
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -93,6 +94,51 @@ def decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def with_periods(docs: DataFrame) -> DataFrame:
+    """``docs`` in a tenth of which, by a hash of doc_id, the words from one on repeat a period.
+
+    Let h be the hash, g its tenth and n the number of words: those from a = g % n on repeat the 1 + (n - a) div (3 + g % 8) words from a on.
+    """
+    h = "crc32(CAST(doc_id AS STRING))"
+    words = r"regexp_extract_all(text, r'([^\x20\x09-\x0D]+)', 1)"
+    repeated = chain(
+        [
+            ("g", f"{h} DIV 10"),
+            ("w", words),
+            ("a", "CAST(g % size(w) AS INT)"),
+            ("p", "1 + CAST((size(w) - a) DIV (3 + g % 8) AS INT)"),
+        ],
+        "array_join(transform(w, (x, i) -> IF(i < a, x, w[a + (i - a) % p])), ' ')",
+    )
+    drawn = F.expr(f"{h} % 10 = 0") & F.col("text").rlike(r"[^\x20\x09-\x0D]")
+    return docs.select("doc_id", F.when(drawn, F.expr(repeated)).otherwise(F.col("text")).alias("text"))
+
+
+def periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.find_runs(with_periods(table(spark, sf_dir, "documents")))
+    best = periodic.longest_repetition(F.col("runs"))
+    lines = F.expr("transform(runs, r -> concat(r.start, ',', r.length, ',', r.period, '\n'))")
+    # The outer generator keeps the run from being looked for once a column.
+    return found.select("*", F.explode_outer(F.array(best)).alias("best")).select(
+        "doc_id",
+        F.size("runs").cast("bigint").alias("n_runs"),
+        "best.start",
+        "best.length",
+        "best.period",
+        F.expr("1000 * best.length DIV best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, "").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
+def embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
+def embedding_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forest.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": url_filter,
     "op2_near_duplicates": near_duplicates,
@@ -104,4 +150,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat_windows": chat_windows,
     "op9_pseudonyms": pseudonyms,
     "op10_decontamination": decontamination,
+    "op11_periodic_runs": periodic_runs,
+    "op12_embedding_whitening": embedding_whitening,
+    "op13_embedding_duplicates": embedding_duplicates,
 }

@@ -4,20 +4,42 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tagloom.sources.stored import store
 
-#: Rows of a few numbers each that may be sent to every executor: some 40 MB.
-BROADCAST_ROWS = 1_000_000
+#: Bytes of rows that may be sent to every executor.
+BROADCAST_BYTES = 48 << 20
 
+_FIXED = {T.BooleanType: 1, T.ByteType: 1, T.ShortType: 2, T.IntegerType: 4, T.FloatType: 4, T.DateType: 4}
 
-def beside(stored: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """Narrow stored rows as the smaller side of a join.
 
-    They are broadcast if they are counted to be few; beyond that the join
-    shuffles both sides, and AQE splits hot keys.
+def _size(value: F.Column, kind: T.DataType) -> F.Column:
+    """Bytes of a value, some 16 of its row's overhead aside."""
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(value), F.lit(0)) + 8
+    if isinstance(kind, T.ArrayType):
+        if isinstance(kind.elementType, (T.StringType, T.BinaryType, T.ArrayType, T.StructType)):
+            return F.coalesce(F.aggregate(value, F.lit(0).cast("bigint"), lambda s, x: s + _size(x, kind.elementType)), F.lit(0)) + 16
+        return F.coalesce(F.size(value), F.lit(0)) * _FIXED.get(type(kind.elementType), 8) + 16
+    if isinstance(kind, T.StructType):
+        return sum((_size(value[f.name], f.dataType) for f in kind), F.lit(8))
+    return F.lit(8)
+
+
+def measured(rows: DataFrame) -> int:
+    """Bytes of all rows, as they lie in memory."""
+    each = sum((_size(F.col(f"`{f.name}`"), f.dataType) for f in rows.schema), F.lit(16))
+    return rows.agg(F.sum(each.cast("bigint"))).first()[0] or 0
+
+
+def beside(stored: DataFrame, most: int | None = None) -> DataFrame:
+    """Stored rows as the smaller side of a join.
+
+    They are broadcast if they are measured to be at most ``most`` bytes (BROADCAST_BYTES unless told otherwise);
+    beyond that the join shuffles both sides, and AQE splits hot keys.
     """
-    return F.broadcast(stored) if stored.count() <= most else stored.hint("merge")
+    return F.broadcast(stored) if measured(stored) <= (BROADCAST_BYTES if most is None else most) else stored.hint("merge")
 
 
 def least_hashes(rows: DataFrame, by: str, most: int) -> DataFrame:
