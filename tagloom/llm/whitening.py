@@ -89,10 +89,11 @@ def below(diagonal: np.ndarray, second: np.ndarray, at: np.ndarray) -> np.ndarra
     tiny = np.finfo(np.float64).tiny / _EPS
     count = np.zeros(len(at), dtype=np.int64)
     pivot = np.ones(len(at))
-    for k, d in enumerate(diagonal):
-        pivot = d - at - (second[k - 1] ** 2 / pivot if k else 0.0)
-        pivot = np.where(np.abs(pivot) < tiny, -tiny, pivot)
-        count += pivot < 0
+    with np.errstate(over="ignore"):  # next to a pivot of almost 0 the next one is infinite, with the right sign
+        for k, d in enumerate(diagonal):
+            pivot = d - at - (second[k - 1] ** 2 / pivot if k else 0.0)
+            pivot = np.where(np.abs(pivot) < tiny, -tiny, pivot)
+            count += pivot < 0
     return count
 
 

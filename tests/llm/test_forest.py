@@ -1,0 +1,155 @@
+import random
+
+import numpy as np
+import pytest
+
+from tagloom.llm import forest
+
+VECTOR = "vec_id bigint, embedding array<float>, label int, c string, first string, w int"
+
+
+def frame(spark, rows, schema=VECTOR):
+    return spark.createDataFrame([(*r, "clash", "x", 3) for r in rows], schema)
+
+
+def brute(rows):
+    """{vec_id: (n_links, component_id)} by comparing all pairs, for unique ids."""
+    good = {}
+    for i, v, label in rows:
+        if v and label is not None and all(c is not None and np.isfinite(c) for c in v) and any(v):
+            a = np.array(v, dtype=np.float64)
+            good[i] = (label, len(v), a / np.linalg.norm(a))
+    parent, links = {r[0]: r[0] for r in rows}, {r[0]: 0 for r in rows}
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    ids = sorted(good)
+    for k, a in enumerate(ids):
+        for b in ids[k + 1 :]:
+            if good[a][:2] == good[b][:2] and good[a][2] @ good[b][2] >= 0.93:
+                links[a] += 1
+                links[b] += 1
+                x, y = root(a), root(b)
+                parent[max(x, y)] = min(x, y)
+    return {i: (links[i], root(i)) for i in links}
+
+
+def vectors(rng, n, d, families=6, labels=3):
+    """Noise, families of near copies of all grades, chains, exact copies, scaled copies."""
+    rows, base = [], rng.standard_normal((families, d))
+    for i in range(n):
+        kind = rng.random()
+        if kind < 0.4:
+            v = rng.standard_normal(d)
+        elif kind < 0.85:
+            v = base[rng.integers(families)] + rng.standard_normal(d) * rng.choice([0.0, 0.1, 0.2, 0.28, 0.4])
+        else:
+            v = base[0] * np.cos(i) + base[1] * np.sin(i)
+        rows.append((i, [float(np.float32(c)) for c in v * rng.choice([1.0, 3.0])], int(rng.integers(labels))))
+    return rows
+
+
+def told(spark, rows, **columns):
+    done = forest.near_vectors(frame(spark, rows), **columns)
+    assert done.columns == ["vec_id", "n_links", "component_id", "kept"]
+    return done.collect()
+
+
+def test_links_are_those_of_all_pairs(spark):
+    rows = vectors(np.random.default_rng(1), 500, 16)
+    got = told(spark, rows)
+    want = brute(rows)
+    assert {r.vec_id: (r.n_links, r.component_id) for r in got} == want
+    assert all(r.kept == (r.vec_id == r.component_id) for r in got)
+    assert sum(n for n, _ in want.values()) > 1000
+
+
+@pytest.mark.parametrize("leaf", [16, 40])
+def test_many_leaves_and_blocks(spark, monkeypatch, leaf):
+    """Small leaves: every step of routing, spilling, cutting into blocks and counting in the first shared leaf."""
+    monkeypatch.setattr(forest, "LEAF", leaf)
+    rows = vectors(np.random.default_rng(leaf), 600, 24, families=3, labels=1)
+    want = brute(rows)
+    got = {r.vec_id: (r.n_links, r.component_id) for r in told(spark, rows)}
+    links, found = sum(n for n, _ in want.values()), sum(n for n, _ in got.values())
+    assert all(got[i][0] <= want[i][0] for i in want)  # no pair is counted twice
+    assert found >= 0.98 * links > 10_000
+    assert sum(got[i][1] == want[i][1] for i in want) >= 0.98 * len(want)
+
+
+def test_a_family_in_few_blocks_is_whole(spark, monkeypatch):
+    """Near copies that no direction parts end in one leaf, which is cut into blocks."""
+    monkeypatch.setattr(forest, "LEAF", 32)
+    rng = np.random.default_rng(4)
+    base = rng.standard_normal(32)
+    rows = [(i, [float(np.float32(c)) for c in base + rng.standard_normal(32) * 0.05], 7) for i in range(300)]
+    assert {(r.n_links, r.component_id) for r in told(spark, rows)} == {(299, 0)}
+
+
+def test_a_pair_is_counted_in_one_leaf_only():
+    rng = np.random.default_rng(5)
+    q, scale, _ = forest.sketches(rng.standard_normal((900, 20)))
+    p = forest.projections(q, scale)
+    trees = forest.Trees(p, 900, 60)
+    assert len(trees.roots) == forest.TREES and len(trees.direction) > 50
+    every = np.arange(900)
+    inside = {}
+    for t in range(len(trees.roots)):
+        for k, leaf in zip(*trees.leaves(t, p, every, every), strict=True):
+            inside.setdefault(int(leaf), []).append(int(k))
+    a, b = rng.integers(0, 900, 4000), rng.integers(0, 900, 4000)
+    a, b = a[a < b], b[a < b]
+    counted = np.zeros(len(a), dtype=int)
+    shared = np.zeros(len(a), dtype=bool)
+    for leaf, members in inside.items():
+        here = np.flatnonzero(np.isin(a, members) & np.isin(b, members))
+        shared[here] = True
+        counted[here[trees.first_shared(leaf, p, a[here], b[here])]] += 1
+    assert (counted == shared).all() and 100 < shared.sum() < len(a)
+
+
+def test_sketches_bound_cosines():
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((200, 30)) * np.exp(rng.uniform(-300, 300, (200, 1)))
+    q, scale, error = forest.sketches(x)
+    unit = forest.scaled(x) / np.linalg.norm(forest.scaled(x), axis=1)[:, None]
+    rough = (q * scale[:, None]) @ (q * scale[:, None]).T
+    assert (np.abs(rough - unit @ unit.T) <= error[:, None] + error + error[:, None] * error).all()
+
+
+def test_recall_at_the_threshold(spark):
+    """Planted pairs with a cosine just above 0.93 among vectors that fill many leaves."""
+    rng = np.random.default_rng(7)
+    rows, d = [], 64
+    for i in range(0, 12_000, 2):
+        u, e = rng.standard_normal(d), rng.standard_normal(d)
+        u /= np.linalg.norm(u)
+        e -= (e @ u) * u
+        v = 0.931 * u + np.sqrt(1 - 0.931**2) * e / np.linalg.norm(e)
+        rows += [(i, u.tolist(), 1), (i + 1, v.tolist(), 1)]
+    got = told(spark, rows)
+    assert np.mean([r.n_links == 1 for r in got]) > 0.9999
+
+
+def test_odd_rows_and_an_empty_table(spark):
+    v = [1.0, 2.0, 3.0]
+    rows = [(1, v, 1), (2, v, 1), (3, v, 2), (4, v, None), (None, v, 1), (5, None, 1), (6, [], 1), (7, [0.0, 0.0, 0.0], 1)]
+    rows += [(8, [1.0, None, 3.0], 1), (9, [float("nan"), 2.0, 3.0], 1), (10, [float("inf"), 2.0, 3.0], 1), (11, [1.0, 2.0], 1)]
+    rows += [(12, [-1.0, -2.0, -3.0], 1), (13, [2.0, 4.0, 6.0], 1), (13, [2.0, 4.0, 6.0], 1), (13, [9.0, 0.0, 0.0], 2)]
+    got = sorted(((r.vec_id, r.n_links, r.component_id, r.kept) for r in told(spark, rows)), key=repr)
+    alone = [3, 4, 5, 6, 7, 8, 9, 10, 11, 12]
+    want = [(1, 3, 1, True), (2, 3, 1, False), (13, 3, 1, False), (13, 3, 1, False), (13, 0, 13, True), (None, 0, None, True)]
+    assert got == sorted(want + [(i, 0, i, True) for i in alone], key=repr)
+    assert told(spark, []) == []
+
+
+def test_labels_may_be_text_and_vectors_long(spark):
+    rng = random.Random(8)
+    long = [rng.random() for _ in range(3000)]
+    rows = [(1, long, "a"), (2, [c * 1e-200 for c in long], "a"), (3, long, "b"), (4, [c * 1e150 for c in long], "b")]
+    schema = VECTOR.replace("label int", "label string").replace("float", "double")
+    got = forest.near_vectors(frame(spark, rows, schema)).collect()
+    assert {r.vec_id: (r.n_links, r.component_id) for r in got} == {1: (1, 1), 2: (1, 1), 3: (1, 3), 4: (1, 3)}

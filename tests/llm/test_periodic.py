@@ -1,0 +1,143 @@
+import hashlib
+import random
+import re
+import zlib
+from fractions import Fraction
+
+import numpy as np
+import pytest
+
+from tagloom.llm import periodic, queries
+from tests.helpers import plan
+from tests.llm import helpers
+
+
+def brute(words):
+    """(start, length, period) of every run, by trying all periods at all places."""
+    n, out = len(words), set()
+    for q in range(1, n // 4 + 1):
+        i = 0
+        while i + q < n:
+            start = i
+            while i + q < n and words[i] == words[i + q]:
+                i += 1
+            length = i - start + q
+            if i > start and length >= max(6, 4 * q):
+                if not any(all(words[k] == words[k + r] for k in range(start, start + length - r)) for r in range(1, q)):
+                    out.add((start, length, q))
+            i += i == start
+    return sorted(out, key=lambda r: (r[0], r[2]))
+
+
+def collapsed(words, runs):
+    gone = {k for s, n, q in runs for k in range(s + q, s + n)}
+    return " ".join(w for k, w in enumerate(words) if k not in gone)
+
+
+def texts(rng, n):
+    out = []
+    for _ in range(n):
+        few, size = rng.choice([1, 2, 2, 3, 5, 60]), rng.choice([0, 1, 4, 5, 6, 7, 20, 60, 150])
+        w = [f"w{rng.randrange(few)}" for _ in range(size)]
+        if size > 10 and rng.random() < 0.6:
+            a = rng.randrange(size)
+            p = 1 + rng.randrange(max(1, (size - a) // 4))
+            w = [w[i] if i < a else w[a + (i - a) % p] for i in range(size)]
+            if rng.random() < 0.3:
+                w[rng.randrange(size)] = "new"
+        out.append(rng.choice([" ", "\n", " \t\x0b"]).join(w))
+    return out
+
+
+def test_runs_are_those_of_trying_all_periods(spark):
+    rng = random.Random(3)
+    rows = list(enumerate(texts(rng, 400)))
+    rows += [(400 + k, rows[k][1]) for k in range(20)]  # copies beside one another in a piece
+    got = {r.doc_id: r for r in periodic.find_runs(helpers.docs(spark, rows)).collect()}
+    assert len(got) == len(rows)
+    some = 0
+    for i, text in rows:
+        words = re.findall(r"[^\x20\x09-\x0D]+", text)
+        want = brute(words)
+        some += len(want)
+        assert [tuple(r) for r in got[i].runs] == want
+        assert got[i].n_words == len(words) and got[i].collapsed == collapsed(words, want)
+    assert some > 150
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_extensions_are_those_of_comparing(seed):
+    rng = np.random.default_rng(seed)
+    words = np.r_[np.tile(rng.integers(0, 2, 7), 30), rng.integers(0, 2, 150), np.tile(rng.integers(0, 3, 40), 4)]
+    line = np.r_[9, words, 10]
+    found = periodic.Extensions(line)
+    a, b = rng.integers(1, len(line) - 1, 3000), rng.integers(1, len(line) - 1, 3000)
+    a, b = a[a != b], b[a != b]
+    want = []
+    for x, y in zip(a, b, strict=True):
+        k = 0
+        while max(x, y) + k < len(line) and line[x + k] == line[y + k]:
+            k += 1
+        want.append(k)
+    assert (found.common(a, b) == np.array(want)).all()
+
+
+def test_pieces_and_parts_of_the_grid_do_not_matter(spark, monkeypatch):
+    rows = list(enumerate(texts(random.Random(4), 60)))
+    whole = [tuple(r) for r in periodic.find_runs(helpers.docs(spark, rows)).orderBy("doc_id").collect()]
+    monkeypatch.setattr(periodic, "PIECE", 50)
+    monkeypatch.setattr(periodic, "GRID", 7)
+    assert [tuple(r) for r in periodic.find_runs(helpers.docs(spark, rows)).orderBy("doc_id").collect()] == whole
+
+
+def test_case_and_other_blanks_count(spark):
+    rows = [(1, "a A " * 9), (2, "a b " * 9), (3, "\x1fa " * 6), (4, "a " * 5), (5, "x " + "é É " * 4)]
+    got = {r.doc_id: [tuple(x) for x in r.runs] for r in periodic.find_runs(helpers.docs(spark, rows)).collect()}
+    assert got == {1: [(0, 18, 2)], 2: [(0, 9, 1)], 3: [(0, 6, 1)], 4: [], 5: [(1, 8, 2)]}
+
+
+def test_nulls_repeated_rows_a_very_long_text_and_an_empty_table(spark):
+    long = " ".join(["p q r s t"] * 40_000)
+    rows = [(1, None), (2, ""), (3, " \n"), (None, "z " * 8), (5, "y " * 8), (5, "y " * 8), (6, long), (7, f"{long} end")]
+    got = periodic.find_runs(helpers.docs(spark, rows))
+    assert got.columns == ["doc_id", "n_words", "runs", "collapsed"]
+    by = {}
+    for r in got.collect():
+        by.setdefault(r.doc_id, []).append((r.n_words, [tuple(x) for x in r.runs], r.collapsed))
+    assert by[1] == by[2] == by[3] == [(0, [], "")]
+    assert by[None] == [(8, [(0, 8, 1)], "z")] and by[5] == [(8, [(0, 8, 1)], "y")] * 2
+    assert by[6] == [(200_000, [(0, 200_000, 5)], "p q r s t")]
+    assert by[7] == [(200_001, [(0, 200_000, 5)], "p q r s t end")]
+    assert periodic.find_runs(helpers.docs(spark, [])).collect() == []
+
+
+def test_the_query_is_the_contract(spark, tmp_path):
+    rng = random.Random(5)
+    rows = [(i, t) for i, t in enumerate(texts(rng, 300))] + [(900, None), (901, " "), (None, "a " * 7)]
+    helpers.docs(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: tuple(r)[1:] for r in queries.periodic_runs(spark, str(tmp_path)).collect()}
+    drawn = 0
+    for i, text in rows:
+        words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+        n = len(words)
+        h = zlib.crc32(str(i).encode()) if i is not None else 1
+        if h % 10 == 0 and n:
+            g = h // 10
+            a = g % n
+            p = 1 + (n - a) // (3 + g % 8)
+            words = [words[k] if k < a else words[a + (k - a) % p] for k in range(n)]
+            drawn += 1
+        runs = brute(words)
+        best = max(runs, key=lambda r: (Fraction(r[1], r[2]), -r[0], -r[2]), default=(None,) * 3)
+        lines = "".join(f"{s},{m},{q}\n" for s, m, q in runs)
+        assert got[i] == (
+            len(runs), *best, 1000 * best[1] // best[2] if runs else None,
+            hashlib.sha256(lines.encode()).hexdigest(), hashlib.sha256(collapsed(words, runs).encode()).hexdigest(),
+        )
+    assert drawn > 15
+
+
+def test_no_shuffle(spark, tmp_path):
+    helpers.docs(spark, [(1, "a b")]).write.parquet(f"{tmp_path}/documents.parquet")
+    text = plan(queries.periodic_runs(spark, str(tmp_path)))
+    assert ") Exchange" not in text and text.count(") MapInArrow") == 1
