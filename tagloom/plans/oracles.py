@@ -155,6 +155,18 @@ ORACLES: dict[str, str] = {
         SELECT doc_id AS item_id,
                CAST(octet_length({_ARTWORK}) + {_EXIF_SIZE} AS BIGINT) AS size,
                md5({_ARTWORK}) AS digest FROM documents""",
+    "compare_manifests": f"""
+        WITH files AS (
+            SELECT doc_id AS item_id, CAST(octet_length({_ARTWORK}) + {_EXIF_SIZE} AS BIGINT) AS length FROM documents
+        ), labelled AS (
+            SELECT item_id, length, quality, toxic FROM files JOIN labels ON doc_id = item_id
+        )
+        SELECT item_id, 'new' AS change, length FROM files WHERE item_id NOT IN (SELECT doc_id FROM labels)
+        UNION ALL
+        SELECT item_id, CASE WHEN quality = 1 AND toxic <> 1 THEN 'same' ELSE 'changed' END, length FROM labelled
+        UNION ALL
+        SELECT -1 - item_id, 'removed', CASE WHEN quality = 1 THEN length ELSE length + 1 END
+        FROM labelled WHERE toxic = 1""",
 }
 for _name, _same in [
     ("decode_headers", "decode_tags"), ("strip_headers", "strip_metadata"), ("patch_headers", "patch_picture"),

@@ -17,7 +17,8 @@ from tagloom.operators.edit import (
 )
 from tagloom.operators.headers import headers, join_images, split_images
 from tagloom.operators.view import decode_tags, view_images, view_tags
-from tagloom.plans.collection import edits, images
+from tagloom.plans.collection import edits, images, table
+from tagloom.sources.manifest import compare_manifests, manifest
 from tagloom.sources.stored import store
 
 SHOWN = [
@@ -131,6 +132,26 @@ def patch_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return strip_metadata(sized).select("item_id", "size", F.md5("content").alias("digest"))
 
 
+def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The images as files of today, against a manifest of before that ``labels`` tell of.
+
+    Documents without a label are new. Of those with one, files of good quality are as they were, others had another length, and
+    toxic ones another time; and each toxic document had a second file, which is gone.
+    """
+    files = images(spark, sf_dir).selectExpr(
+        "item_id", "CAST(length(content) AS BIGINT) AS length", "timestamp_seconds(length(content)) AS modificationTime"
+    )
+    kept = files.join(table(spark, sf_dir, "labels").withColumnRenamed("doc_id", "item_id"), "item_id").selectExpr(
+        "item_id",
+        "IF(quality = 1, length, length + 1) AS length",
+        "IF(toxic = 1, timestamp_seconds(0), modificationTime) AS modificationTime",
+        "toxic",
+    )
+    gone = kept.where("toxic = 1").selectExpr("-1 - item_id AS item_id", "length", "modificationTime")
+    before = kept.drop("toxic").unionByName(gone)
+    return compare_manifests(manifest(files), before).select("item_id", "change", "length")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "decode_tags": decode_all,
     "decode_some_tags": decode_some,
@@ -147,4 +168,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "decode_headers": decode_headers,
     "strip_headers": strip_headers,
     "patch_headers": patch_headers,
+    "compare_manifests": changes,
 }
