@@ -91,7 +91,7 @@ def pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontaminate.judge_rows(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def with_periods(docs: DataFrame) -> DataFrame:

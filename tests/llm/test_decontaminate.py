@@ -145,3 +145,95 @@ def test_the_best_run_is_that_of_all_runs():
         runs = [equal[a:b].sum() for a in range(len(equal)) for b in range(a + 1, len(equal) + 1) if 2 * equal[a:b].sum() >= b - a]
         start, end, matched = decontaminate.best_run(equal)
         assert matched == max(runs, default=0) == equal[start:end].sum() and 2 * matched >= end - start
+
+
+def shared_prompts(rng, items, docs):
+    """Items that share a prompt of nine words, some of them a longer one, and documents that hold it."""
+    vocab = helpers.vocabulary(2000)
+    prompt = helpers.sentence(rng, 9, vocab)
+    wider = f"{prompt} {helpers.sentence(rng, 6, vocab)}"
+    bench = [(i, f"{prompt if i % 5 else wider} {helpers.sentence(rng, rng.randint(5, 30), vocab)}") for i in range(items)]
+    bench += [(items + k, f"{helpers.sentence(rng, 4, vocab)} {prompt} end") for k in range(items // 8)]
+    texts = []
+    for d in range(docs):
+        w = helpers.sentence(rng, rng.randint(0, 80), vocab).split(" ")
+        kind = d % 4
+        found = [prompt, wider, rng.choice(bench)[1], prompt + " end"][kind].split(" ")
+        if kind == 2 and d % 8 == 2:
+            found = [x if k % 3 else "sub" for k, x in enumerate(found)]
+        at = rng.randint(0, len(w))
+        texts.append((d, " ".join(w[:at] + found + w[at:])))
+    return bench, texts
+
+
+def test_shared_prompts_are_compared_block_by_block(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "HOT", 3)
+    monkeypatch.setattr(decontaminate, "ITEMS", 16)
+    monkeypatch.setattr(decontaminate, "TEXTS", 8)
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 3000)
+    items, docs = shared_prompts(random.Random(20), 100, 60)
+    got = decontaminate.passages(helpers.docs(spark, docs), spark.createDataFrame(items, ITEM)).collect()
+    want = brute(docs, items)
+    assert {(r.doc_id, r.item_id) for r in got} == want and len(want) > 200
+    texts, passages = dict(docs), dict(items)
+    for r in got:
+        doc, item = helpers.words(texts[r.doc_id]), helpers.words(passages[r.item_id])
+        pairs = [(doc[r.doc_start + k], item[r.item_start + k]) for k in range(r.length)]
+        assert sum(a == b for a, b in pairs) == r.matched >= decontaminate.needed(len(item))
+    assert len(got) == len({tuple(r) for r in got})
+
+
+def test_classes_are_the_same_either_way(spark, monkeypatch):
+    items, docs = shared_prompts(random.Random(21), 40, 40)
+    frame, bench = helpers.docs(spark, docs), spark.createDataFrame(items, ITEM)
+    found = []
+    for hot in (1000, 0):
+        monkeypatch.setattr(decontaminate, "HOT", hot)
+        found.append(sorted(map(tuple, decontaminate.passages(frame, bench).collect())))
+    assert found[0] == found[1] != []
+
+
+def test_many_items_that_share_a_prompt(spark):
+    """20,000 items and 300 documents with the prompt: six million pairs, of which none but passages is made."""
+    rng = random.Random(22)
+    items, docs = shared_prompts(rng, 20_000, 300)
+    some = rng.sample(docs, 6)
+    got = decontaminate.judge_rows(helpers.docs(spark, docs), spark.createDataFrame(items, ITEM)).collect()
+    found = {r.doc_id: set(r.item_ids or []) for r in got}
+    words = {i: np.array(helpers.words(t), dtype=object) for i, t in items}
+    for d, text in some:
+        doc = np.array(helpers.words(text), dtype=object)
+        for i in rng.sample(range(20_000), 150):
+            best = 0
+            for shift in range(-len(words[i]) + 1, len(doc)):
+                first, last = max(0, -shift), min(len(words[i]), len(doc) - shift)
+                best = max(best, decontaminate.best_run(words[i][first:last] == doc[first + shift : last + shift])[2])
+            assert (i in found[d]) == (best >= decontaminate.needed(len(words[i])))
+
+
+def test_rows_are_judged_by_their_own_text(spark):
+    passage = helpers.sentence(random.Random(1), 20, helpers.vocabulary(99))
+    bench = spark.createDataFrame([(1, passage), (2, passage), (3, "a b c d"), (4, None)], ITEM)
+    rows = [(None, f"x {passage}"), (None, "clean"), (5, passage), (5, "clean"), (6, None), (7, ""), (5, passage)]
+    frame = helpers.docs(spark, rows).selectExpr("doc_id AS item_ids", "text AS a", "source AS b", "kept AS judged", "label AS row")
+    got = decontaminate.judge_rows(frame, bench, "item_ids", "a")
+    assert got.count() == len(rows)
+    told = sorted(((r[0], r.contaminated, r.n_passages, r.matched, r[4]) for r in got.collect()), key=repr)
+    bad, good = (True, 2, 20, [1, 2]), (False, 0, 0, None)
+    assert told == sorted([(None, *bad), (None, *good), (5, *bad), (5, *good), (6, *good), (7, *good), (5, *bad)], key=repr)
+    left = decontaminate.clean_rows(frame, bench, "a")
+    assert left.columns == frame.columns and sorted((tuple(r)[:2] for r in left.collect()), key=repr) == sorted([(None, "clean"), (5, "clean"), (6, None), (7, "")], key=repr)
+    assert decontaminate.judge(helpers.docs(spark, rows).withColumnRenamed("doc_id", "item_ids"), bench, "item_ids").count() == len(rows)
+    for docs, items in ((frame.limit(0), bench), (frame, bench.limit(0))):
+        assert not any(r.contaminated for r in decontaminate.judge_rows(docs, items, "item_ids", "a").collect())
+
+
+def test_no_item_goes_through_the_driver(spark, monkeypatch):
+    """Nothing but the filter's words is brought to the driver."""
+    items, docs = shared_prompts(random.Random(23), 300, 20)
+    seen = []
+    for name in ("collect", "toArrow", "toPandas", "toLocalIterator"):
+        whole = getattr(type(spark.range(0)), name)
+        monkeypatch.setattr(type(spark.range(0)), name, lambda self, *a, f=whole, **b: seen.append(self.columns) or f(self, *a, **b))
+    decontaminate.judge_rows(helpers.docs(spark, docs), spark.createDataFrame(items, ITEM)).write.format("noop").mode("overwrite").save()
+    assert [c for c in seen if c != ["word", "bits"] and len(c) > 1] == []
