@@ -11,7 +11,7 @@ looked at once. Steps, each a Spark job over tables:
 1. Seeds of the items. Seeds whose lists of items and positions are the same but for a shift are one class: a passage
    of forty tokens that only one item has makes some 140 seeds and one class, a prompt that
    many items share a dozen seeds and one class.
-2. One pass over the documents: their seeds that pass a Bloom filter of the items' seeds (FILTER_BITS at the most; a fuller filter lets more
+2. One pass over the documents: their seeds that pass a Bloom filter of the items' seeds (see ``sieve``; a fuller filter lets more
    rows into the next join and loses none). Joined with the classes, they give text, class and shift.
 3. Classes of at most HOT items are joined with their items: text, item and shift. Only texts that have such a row are
    read again, as token hashes, and only the part that lies beside an item goes on to be compared.
@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tagloom.llm.scratch import beside, store, without
+from tagloom.llm.sieve import passing, sieve
 from tagloom.llm.words import ALNUM_PARTED, U, mixed, numbers, pieces, word_hashes
 
 #: Every run of nine tokens with one substitution, and longer ones in which every
@@ -52,9 +53,6 @@ BLOCK_BYTES = 4 << 20
 HOT = 64
 #: Items and texts of a block in the comparison of larger classes.
 ITEMS, TEXTS = 2048, 4096
-#: Bits of the filter for each seed, most of them (32 MB), and bits that a seed sets.
-SEED_BITS, FILTER_BITS, PROBES = 64, 1 << 28, 6
-
 _PASSAGE = "a bigint, b bigint, i bigint, doc_start bigint, item_start bigint, length bigint, matched bigint"
 
 
@@ -140,37 +138,13 @@ def _item_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _filter(seed_hashes: DataFrame, n: int) -> np.ndarray:
-    """Bloom filter of n different seeds h, as 64-bit words: PROBES bits each, low half + k * high half."""
-    bits = 1 << min(max(10, math.ceil(math.log2(max(1, n) * SEED_BITS))), FILTER_BITS.bit_length() - 1)
-    low, high = "h & 4294967295L", "(shiftrightunsigned(h, 32) | 1L)"
-    probes = f"transform(sequence(0, {PROBES - 1}), k -> (({low}) + k * {high}) & {bits - 1}L)"
-    set_ = seed_hashes.select(F.explode(F.expr(probes)).alias("bit")).selectExpr(
-        "shiftright(bit, 6) AS word", "shiftleft(1L, CAST(bit & 63 AS INT)) AS bits"
-    )
-    found = set_.groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
-    out = np.zeros(bits // 64, dtype=U)
-    out[found["word"].to_numpy()] = found["bits"].to_numpy().view(U)
-    return out
-
-
 def _hits(bloom: np.ndarray) -> Callable:
     """A mapInArrow function: a, b, h, position of the seeds of rows a, b, text that pass the filter."""
 
-    def passes(own: np.ndarray) -> np.ndarray:
-        at = np.arange(len(own))
-        for probe in range(PROBES):
-            if not len(at):
-                break
-            low, high = own[at] & U(0xFFFFFFFF), (own[at] >> U(32)) | U(1)
-            bit = (low + U(probe) * high) & U(64 * len(bloom) - 1)
-            at = at[(bloom[bit >> U(6)] >> (bit & U(63))) & U(1) == 1]
-        return at
-
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start, _, words, bounds in tokens(batch.column(2)):
-                for row, h, at in _placed(words, bounds, passes):
+                for row, h, at in _placed(words, bounds, lambda own: passing(bloom, own)):
                     if len(row):
                         rows = pa.array(start + row)
                         yield pa.RecordBatch.from_arrays(
@@ -278,7 +252,7 @@ def _found(texts: DataFrame, items: DataFrame) -> DataFrame:
     n = classes.count()
     if not n:
         return spark.createDataFrame([], _PASSAGE)
-    hits = texts.mapInArrow(_hits(_filter(classes, n)), "a bigint, b bigint, h bigint, position bigint")
+    hits = texts.mapInArrow(_hits(sieve(classes, n)), "a bigint, b bigint, h bigint, position bigint")
     aligned = store(hits.join(beside(classes), "h").selectExpr("a", "b", "g", "position - c AS shift").distinct())
     sides = store(items.selectExpr("i", "tokens AS item", "CAST(size(tokens) AS BIGINT) AS n_item"))
 

@@ -15,7 +15,7 @@ Steps, each a Spark job over tables:
    member, however large it is.
 3. Components of the links, by alternating star steps.
 4. Buckets in which several components are left: pairs between different
-   components, looked at in blocks of bounded size. For these classes alone longer signatures
+   components, looked at in blocks of bounded size, of which those that hold one component are not paired. For these classes alone longer signatures
    are made, which decide what is worth confirming (ESTIMATE lies more than four
    standard errors below 75 %); the full sets decide. A pair is looked at in the first bucket that
    it shares, and in no other. Then the components are final: of two classes that
@@ -31,10 +31,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tagloom.llm.scratch import beside, store
+from tagloom.llm.sieve import read_among
 from tagloom.llm.words import BLANK_PARTED, U, mixed, numbers, pieces, shingle_hashes, word_hashes
 
 SHINGLE = 5
@@ -177,11 +178,7 @@ def confirmed(texts: DataFrame, pairs: DataFrame) -> DataFrame:
     fits = f"100 * least(na, nb) >= {PERCENT} * greatest(na, nb)"
     pairs = store(pairs.where(fits).select("a", "b").distinct())
     wanted = store(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-    sets = store(
-        texts.join(beside(wanted), "id", "left_semi")
-        .select("id", "text")
-        .mapInArrow(_full_sets, f"id {kind}, shingles array<bigint>")
-    )
+    sets = store(read_among(texts, wanted, _full_sets, f"id {kind}, shingles array<bigint>"))
     left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
     shared = "size(array_intersect(sa, sb))"
@@ -282,36 +279,63 @@ def _block_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from told()
 
 
+def _blocks(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows (key, id, label) with their ``block``, and the pairs x, y of a key's blocks that hold two labels, by key and each ``block`` of the pair.
+
+    A label of BLOCK rows or more in a bucket has blocks of its own, dealt by a hash of the id; smaller labels share blocks, dealt by
+    a hash of the label. So counts are all that is needed, no bucket is sorted or numbered, and blocks of one label are never
+    paired with one another: a family of n with one outsider makes some 2 * n rows.
+    """
+    sizes = store(rows.groupBy("key", "label").agg(F.count("*").alias("n")))
+    large = store(sizes.where(F.col("n") >= BLOCK).withColumn("parts", F.ceil(F.col("n") / BLOCK).cast("int")).drop("n"))
+    small = store(
+        sizes.where(F.col("n") < BLOCK).groupBy("key").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("shared"))
+    )
+    placed = rows.join(beside(large), ["key", "label"], "left").join(beside(small), "key", "left")
+    own = F.when(F.col("parts").isNotNull(), F.xxhash64("label", F.pmod(F.xxhash64("id"), F.col("parts").cast("bigint"))))
+    mixed_ = F.pmod(F.xxhash64(F.lit("block"), "label"), F.col("shared")).cast("bigint")
+    numbered = store(placed.withColumn("block", F.coalesce(own, mixed_)).drop("parts", "shared"))
+
+    def numbers_of(table: DataFrame, count: str) -> DataFrame:
+        return table.withColumn("part", F.explode(F.sequence(F.lit(0), F.col(count) - 1)))
+
+    owned = numbers_of(large, "parts").select("key", "label", F.xxhash64("label", F.col("part").cast("bigint")).alias("block"))
+    shared = numbers_of(small, "shared").select("key", F.col("part").cast("bigint").alias("block"))
+    left, right = (t.withColumnRenamed("block", c) for t, c in ((shared, "x"), (shared, "y")))
+    both = [
+        left.join(right, "key").where("x <= y").select("key", "x", "y"),
+        left.join(owned.select("key", F.col("block").alias("y")), "key").select("key", "x", "y"),
+        owned.selectExpr("key", "label AS one", "block AS x")
+        .join(owned.selectExpr("key", "label AS two", "block AS y"), "key")
+        .where("one < two")
+        .select("key", "x", "y"),
+    ]
+    pairs = store(both[0].unionByName(both[1]).unionByName(both[2]))
+    each = pairs.withColumn("block", F.explode(F.array_distinct(F.array("x", "y"))))
+    return numbered, each
+
+
 def _left_over(texts: DataFrame, buckets: DataFrame, labels: DataFrame) -> DataFrame:
     """Pairs a, b, na, nb between components that still share a bucket of three or more."""
     kind = texts.schema["id"].dataType.simpleString()
     labelled = store(
         buckets.join(labels, "id", "left").selectExpr("key", "id", "coalesce(component, id) AS label")
     )
-    open_ = (
+    open_ = store(
         labelled.groupBy("key")
         .agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n"))
         .where("lo <> hi AND n > 2")
         .select("key")
     )
-    place = F.row_number().over(Window.partitionBy("key").orderBy("id")) - 1
-    numbered = labelled.join(open_, "key").withColumn("block", F.floor(place / BLOCK).cast("int"))
-    numbered = store(numbered)
-    last = numbered.groupBy("key").agg(F.max("block").alias("last"))
+    rows = store(labelled.join(beside(open_), "key"))
+    numbered, pairs = _blocks(rows)
     wanted = store(numbered.select("id").distinct())
-    signatures = store(
-        texts.join(beside(wanted), "id", "left_semi")
-        .select("id", "text")
-        .mapInArrow(_long_signatures, f"id {kind}, n_shingles bigint, signature binary, bands binary")
-    )
+    schema = f"id {kind}, n_shingles bigint, signature binary, bands binary"
+    signatures = store(read_among(texts, wanted, _long_signatures, schema))
     spread = (
-        numbered.join(last, "key")
+        numbered.join(pairs, ["key", "block"])
         .join(signatures, "id")
-        .withColumn("other", F.explode(F.sequence(F.lit(0), "last")))
-        .selectExpr(
-            "key", "least(block, other) AS x", "greatest(block, other) AS y", "block", "id", "label",
-            "n_shingles", "signature", "bands",
-        )
+        .select("key", "x", "y", "block", "id", "label", "n_shingles", "signature", "bands")
     )
     return (
         spread.repartition("key", "x", "y")

@@ -92,3 +92,60 @@ def test_components_of_links(spark, shape):
     got = neardup.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()
     want = {i: root(i) for i in parent if root(i) != i}
     assert {r.id: r.component for r in got} == want
+
+
+def blocks_of(spark, monkeypatch, labels, block=8):
+    monkeypatch.setattr(neardup, "BLOCK", block)
+    rows = spark.createDataFrame([(7, i, label) for i, label in enumerate(labels)], "key bigint, id bigint, label bigint")
+    numbered, pairs = neardup._blocks(rows)
+    block_of = {r.id: r.block for r in numbered.collect()}
+    return block_of, {(r.x, r.y) for r in pairs.collect()}, numbered.join(pairs, ["key", "block"]).count()
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_all_pairs_of_two_labels_meet_once(spark, monkeypatch, seed):
+    rng = random.Random(seed)
+    labels = [rng.choice([1, 1, 2, 2, *range(3, 40)]) for _ in range(150)]
+    block, pairs, _ = blocks_of(spark, monkeypatch, labels)
+    for a, x in enumerate(labels):
+        for b in range(a + 1, len(labels)):
+            meet = ((block[a], block[b]) in pairs) + (block[a] != block[b] and (block[b], block[a]) in pairs)
+            assert meet == 1 if x != labels[b] else meet <= 1
+
+
+def test_a_family_with_an_outsider_costs_rows_in_proportion(spark, monkeypatch):
+    made = []
+    for n in (400, 1600):
+        block, pairs, rows = blocks_of(spark, monkeypatch, [1] * n + [2])
+        made.append(rows)
+        assert rows <= 2 * n + 2 and len(pairs) <= n / 8 + 2
+    assert made[1] < 4.5 * made[0]
+
+
+def test_no_bucket_is_sorted_or_numbered(spark):
+    rows = spark.createDataFrame([(1, 2, 3)], "key bigint, id bigint, label bigint")
+    numbered, pairs = neardup._blocks(rows)
+    from tests.helpers import plan
+
+    assert "Window" not in plan(numbered) + plan(pairs)
+
+
+def test_links_that_no_first_of_a_bucket_shows(spark, monkeypatch):
+    """Two linked texts all of whose buckets begin with others that are almost similar enough to both."""
+    monkeypatch.setattr(neardup, "BLOCK", 16)
+    rng, vocab = random.Random(9), helpers.vocabulary(2000)
+    base = helpers.sentence(rng, 100, vocab).split(" ")
+
+    def changed(at):
+        return " ".join(rng.choice(vocab) if k in at else w for k, w in enumerate(base))
+
+    rows = [(i, changed(set(rng.sample(range(5, 95, 6), 3)))) for i in range(150)]
+    rows += [(900, " ".join(base)), (901, changed({20, 60})), (902, changed({2}))]
+    want = helpers.near_components(rows)
+    assert want[901] == 900 and want[0] == 0  # the many are not linked with them
+    stars = []
+    whole = neardup.confirmed
+    monkeypatch.setattr(neardup, "confirmed", lambda texts, pairs: stars.append(whole(texts, pairs)) or stars[-1])
+    assert {r.doc_id: r.component_id for r in found(spark, rows)} == want
+    first, second = ({tuple(sorted(r)) for r in s.collect()} for s in stars)
+    assert (900, 901) in second - first

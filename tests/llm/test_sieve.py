@@ -1,0 +1,50 @@
+import numpy as np
+import pyarrow as pa
+import pytest
+
+from tagloom.llm import neardup, sieve
+from tagloom.llm.scratch import store
+from tests.helpers import plan
+from tests.llm import helpers
+
+
+@pytest.mark.parametrize("n", [0, 1, 5000])
+def test_all_hashes_pass_and_few_others(spark, n):
+    rng = np.random.default_rng(n)
+    h = rng.integers(-(1 << 63), 1 << 63, n + 20_000)
+    words = sieve.sieve(spark.createDataFrame(pa.table({"h": h[:n]})), n)
+    passed = sieve.passing(words, h.view(np.uint64))
+    assert (passed[:n] == np.arange(n)).all() and len(passed) - n < 20
+
+
+def test_a_full_filter_loses_none(spark, monkeypatch):
+    monkeypatch.setattr(sieve, "MOST", 1 << 10)
+    h = np.random.default_rng(3).integers(-(1 << 63), 1 << 63, 3000)
+    words = sieve.sieve(spark.createDataFrame(pa.table({"h": h})), 3000)
+    assert len(words) == 16 and len(sieve.passing(words, h.view(np.uint64))) == 3000
+
+
+def test_no_text_moves_at_any_size(spark, tmp_path, monkeypatch):
+    """Beyond the broadcast only what was read is joined with the ids; no exchange holds a text."""
+    rows = [(i, f"a b c d e f{i}") for i in range(60)] + [(None, "a b c d e f1")]
+    helpers.docs(spark, rows).write.parquet(f"{tmp_path}/docs")
+    texts = spark.read.parquet(f"{tmp_path}/docs").selectExpr("doc_id AS id", "text")
+    wanted = store(texts.where("id % 3 = 0").select("id").distinct())
+    schema = "id bigint, shingles array<bigint>"
+    found = {}
+    for most in (None, 0):
+        done = sieve.read_among(texts, wanted, neardup._full_sets, schema, most)
+        found[most] = sorted((r.id, sorted(r.shingles)) for r in done.collect())
+        exchanges = [part for part in plan(done).split("\n\n") if ") Exchange" in part.split("\n")[0]]
+        assert all("text" not in part for part in exchanges) and bool(exchanges) == (most == 0)
+    assert found[None] == found[0] and len(found[0]) == 20
+
+
+def test_near_duplicates_beyond_the_broadcast(spark, monkeypatch):
+    import random
+
+    rows = helpers.corpus(random.Random(11), 50)
+    monkeypatch.setattr(sieve, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr("tagloom.llm.scratch.BROADCAST_BYTES", 0)
+    got = neardup.near_duplicates(helpers.docs(spark, rows)).collect()
+    assert {r.doc_id: r.component_id for r in got} == helpers.near_components(rows)
