@@ -94,3 +94,63 @@ def test_a_long_conversation_and_a_long_turn(spark):
     done = chat.format_chats(frame(spark, rows))
     got = {r.conv_id: r for r in chat.read_back(done).collect()}
     assert got[1].n_turns == 20_000 and got[1].n_windows > 50 and got[2].loss_chars == 200_000
+
+
+def one_after_the_other(rows, budget, history):
+    """The windows of conversations whose turns are read one after the other."""
+    by = {}
+    for c, t, role, text in rows:
+        by.setdefault(c, []).append((t is not None, t or 0, role is not None, role or "", text is not None, text or ""))
+    out = []
+    for c, turns in by.items():
+        windows = chat.Windows(budget, history)
+        made = [w for turn in sorted(turns) for w in windows.add(turn[3], turn[5])] + list(windows.end())
+        out += [(c, w["window"], w["first_turn"], w["n_turns"], w["n_repeated"], w["tokens"], w["text"], [(s["start"], s["end"]) for s in w["loss"]]) for w in made]
+    return sorted(out, key=repr)
+
+
+def long_chats(rng, n=12):
+    rows = []
+    for c in range(n):
+        roles = ["system"] * rng.choice([0, 1, 2, 3]) + [rng.choice(["user", "assistant", "system"]) for _ in range(rng.randint(0, 120))]
+        step = rng.choice([1, 1, 3])
+        for t, role in enumerate(roles):
+            size = rng.choice([0, 0, 1, 3, 8, 20, rng.choice([5, 70])])
+            number = None if c == 3 and t < 9 else t // 2 if c % 4 == 1 else t * step
+            rows.append((c if c != 5 else None, number, role if size or c % 3 else None, helpers.sentence(rng, size, ["ab", "c.", "#d"]) if size else rng.choice(["", None])))
+    return rows
+
+
+@pytest.mark.parametrize(("seed", "budget", "history"), [(1, 40, 12), (2, 25, 25), (3, 60, 0), (4, 1, 1), (5, 30, 90)])
+def test_parts_give_the_windows_of_one_after_the_other(spark, monkeypatch, seed, budget, history):
+    rows = long_chats(random.Random(seed))
+    monkeypatch.setattr(chat, "LARGE", 200)
+    monkeypatch.setattr(chat, "PART", 1)
+    df = frame(spark, rows)
+    got = sorted(((*tuple(r)[:7], [tuple(s) for s in r.loss]) for r in chat.format_chats(df, budget=budget, history=history).collect()), key=repr)
+    assert got == one_after_the_other(rows, budget, history)
+    parts = chat._dealt(df.select("conv_id", "turn", "role", "text"), budget, history).where(f"kind = {chat.OWN}")
+    assert parts.groupBy("conv_id").agg({"part": "max"}).agg({"max(part)": "max"}).first()[0] >= (3 if budget + history < 100 else 1)
+    assert parts.count() == len(rows)
+
+
+def test_a_conversation_is_several_tasks_and_its_texts_move_once(spark, monkeypatch):
+    monkeypatch.setattr(chat, "LARGE", 10_000)
+    monkeypatch.setattr(chat, "PART", 1000)
+    rows = [(1, t, ("user", "assistant")[t % 2], f"turn {t} " * 20) for t in range(4000)]
+    done = chat.format_chats(frame(spark, rows), budget=200, history=50)
+    from pyspark.sql import functions as F
+
+    # Partitions of a few kilobytes are read by one task otherwise.
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        spread = done.groupBy(F.spark_partition_id().alias("task")).agg(F.sum("n_turns").alias("n")).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(spread) >= 4 and max(r.n for r in spread) < 2500
+    from tests.helpers import plan
+
+    exchanges = [part for part in plan(done).split("\n\n") if ") Exchange" in part.split("\n")[0]]
+    assert sum("text" in part for part in exchanges) == 1
+    got = chat.read_back(done).collect()
+    assert [tuple(r)[:5] for r in got] == [(1, *expected(rows)[1])]
