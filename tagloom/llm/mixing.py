@@ -1,6 +1,6 @@
 """Mixing sources to target weights by hash-threshold histograms.
 
-A document's place is a hash of its id. For each source, sizes are summed by the
+A document's place is a hash of its id and text. For each source, sizes are summed by the
 leading BITS bits of the hash; the running sum over these buckets shows the one in which
 the source's budget ends. Only this bucket is refined by the next BITS bits, and so
 on, LEVELS times. The result is one threshold a source: documents below it are
@@ -16,7 +16,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tagloom.llm.scratch import beside, store
+from tagloom.llm.scratch import beside, store, unused
 
 BITS = 12
 LEVELS = 4
@@ -59,29 +59,33 @@ def targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, most: float =
 
     Sources share the sum of all sizes by weight. A target stops at ``most`` times
     its source's size; the excess is shared among the others by weight until no
-    target is above. Each round reads one row of sums and settles a source at least.
+    target is above. With sources in order of ``size / weight`` those that stop come first, so prefix sums
+    tell for each source at what rate the others share if all before it stop; the first one that this rate leaves below its
+    stop settles it. Sources are dealt by range and the ranges' sums moved on, in a fixed number of jobs.
     """
     weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("place") % len(weights) + 1).cast("int"))
-    shares = store(
-        _with_place(sizes).select("source", "source_size", weight.cast("double").alias("weight"))
-    )
-    total = shares.agg(F.sum("source_size")).first()[0] or 0
-    rate = 0.0
-    while True:
-        full = F.lit(rate) * F.col("weight") >= F.col("source_size") * most
-        capped, open_ = shares.agg(
-            F.coalesce(F.sum(F.when(full, F.col("source_size") * most).otherwise(0)), F.lit(0)),
-            F.coalesce(F.sum(F.when(full, 0.0).otherwise(F.col("weight"))), F.lit(0.0)),
-        ).first()
-        now = (total - capped) / open_ if open_ else rate  # no open source: nothing to share
-        if now <= rate:
-            break
-        rate = now
-    return shares.select(
-        "source",
-        "source_size",
-        F.least(F.lit(rate) * F.col("weight"), F.col("source_size") * F.lit(float(most))).alias("target"),
-    )
+    shares = _with_place(sizes).select("source", "source_size", weight.cast("double").alias("weight"))
+    shares = shares.withColumn("stop", F.col("source_size") * F.lit(float(most)))
+    ratio = F.col("stop") / F.col("weight")
+    dealt = store(shares.withColumn("ratio", ratio).repartitionByRange("ratio").withColumn("part", F.spark_partition_id()))
+    sums = dealt.groupBy("part").agg(F.sum("stop").alias("stops"), F.sum("weight").alias("weights"), F.sum("source_size").alias("sizes"))
+    everything = Window.partitionBy()
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    before = sums.select(
+        "part",
+        *(F.coalesce(F.sum(c).over(earlier), F.lit(0.0)).alias(c) for c in ("stops", "weights")),
+        F.sum("weights").over(everything).alias("all_weights"),
+        F.sum("sizes").over(everything).alias("total"),
+    )  # a row for each range
+    inside = Window.partitionBy("part").orderBy("ratio", "source").rowsBetween(Window.unboundedPreceding, -1)
+    up_to = [F.coalesce(F.sum(c).over(inside), F.lit(0.0)).alias(f"{c}_before") for c in ("stop", "weight")]
+    placed = dealt.select("part", "ratio", *up_to).join(F.broadcast(before), "part")
+    rates = placed.selectExpr(
+        "ratio", "try_divide(total - stops - stop_before, all_weights - weights - weight_before) AS rate"
+    ).where("rate < ratio")
+    rate = rates.agg(F.min(F.struct("ratio", "rate")).alias("first")).first()["first"]
+    target = F.col("stop") if rate is None else F.least(F.lit(rate["rate"]) * F.col("weight"), F.col("stop"))
+    return dealt.select("source", "source_size", target.alias("target"))
 
 
 def _with_place(sizes: DataFrame) -> DataFrame:
@@ -89,9 +93,15 @@ def _with_place(sizes: DataFrame) -> DataFrame:
     return sizes.join(places, F.col("source").eqNullSafe(F.col("placed"))).drop("placed")
 
 
-def _place(id_col: str) -> F.Column:
-    """A document's place: 64 bits of two hash rounds, so that it follows no hash that dealt rows before."""
-    return F.xxhash64(F.xxhash64(F.col(id_col).cast("string")), F.lit("place"))
+def _place(id_col: str, text_col: str) -> F.Column:
+    """A row's place: 64 bits of two hash rounds, so that it follows no hash that dealt rows before.
+
+    Rows without an id are told apart by where they stand in the table, all others by id and text.
+    """
+    text = F.xxhash64(F.col(text_col).cast("string"))
+    own = F.coalesce(F.xxhash64(F.when(F.col(id_col).isNotNull(), F.col(id_col).cast("string"))), F.lit(0))
+    row = F.when(F.col(id_col).isNull(), F.monotonically_increasing_id()).otherwise(F.lit(-1))
+    return F.xxhash64(F.xxhash64(own, text, row), F.lit("place"))
 
 
 def thresholds(rows: DataFrame, weights: Sequence[float] = WEIGHTS, most: float = MOST_REPEATS) -> DataFrame:
@@ -147,7 +157,7 @@ def _rows(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataF
             F.col(id_col).alias("id"),
             F.col(source_col).cast("string").alias("source"),
             words(text_col).alias("size"),
-            _place(id_col).alias("place"),
+            _place(id_col, text_col).alias("place"),
         )
     )
 
@@ -170,10 +180,10 @@ def mix(
     sizes and a part takes every document k times and those below the threshold
     once more.
 
-    A null text has size 0; a null source is a source of its own, the last. Ids
-    that repeat share a place and so are taken alike; a null id is placed like any
-    other value. A source without words has target 0. An empty table gives an
-    empty result. Other columns are not read.
+    A null text has size 0; a null source is a source of its own, the last. Rows
+    that repeat id and text share a place and so are taken alike, rows that repeat only the id are not. Rows with a null id are placed one by
+    one, by where they stand in the table: runs over the same files agree. A source without words has target 0. An empty table gives an
+    empty result. Other columns are not read. A text of any length is one document, taken whole or not at all.
     """
     rows = _rows(docs, id_col, text_col, source_col)
     plan = thresholds(rows, weights, most)
@@ -194,10 +204,11 @@ def take(
 
     Texts stay where they are; only the thresholds, one row a source, are sent to them.
     """
-    plan = thresholds(_rows(docs, id_col, text_col, source_col), weights, most).toDF(
-        "of_", "source_size_", "target_", "times_", "below_"
-    )
-    here = F.col(source_col).cast("string").eqNullSafe(F.col("of_"))
-    extra = F.shiftrightunsigned(_place(id_col), 64 - BITS * LEVELS) < F.col("below_")
-    times = F.col("times_") + F.when(extra, 1).otherwise(0)
-    return docs.join(beside(plan), here).withColumn("times", times).drop(*plan.columns).where("times > 0")
+    of, size, target, whole, below, place = unused(docs, "of", "source_size", "target", "whole", "below", "place")
+    plan = thresholds(_rows(docs, id_col, text_col, source_col), weights, most).toDF(of, size, target, whole, below)
+    here = F.col(source_col).cast("string").eqNullSafe(plan[of])
+    # The place is found before the join, while rows stand as they do in the table.
+    placed = docs.withColumn(place, _place(id_col, text_col)).join(beside(plan), here)
+    extra = F.shiftrightunsigned(place, 64 - BITS * LEVELS) < F.col(below)
+    times = F.col(whole) + F.when(extra, 1).otherwise(0)
+    return placed.withColumn("times", times).drop(place, *plan.columns).where("times > 0")

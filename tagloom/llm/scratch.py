@@ -61,3 +61,15 @@ def least_hashes(rows: DataFrame, by: str, most: int) -> DataFrame:
 def without(docs: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
     """``docs`` without the rows whose id is among ``ids``; null ids stay."""
     return docs.join(beside(store(ids.select(id_col).distinct())), id_col, "left_anti")
+
+
+def unused(rows: DataFrame, *names: str) -> list[str]:
+    """Column names like ``names`` that ``rows`` has not, in whatever case."""
+    taken = {c.lower() for c in rows.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out

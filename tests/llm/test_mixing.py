@@ -86,3 +86,48 @@ def test_places_of_many_sources(spark):
     got = {r.source: r.place for r in mixing.ranked(df).collect()}
     order = sorted(names, key=lambda s: (s is None, (s or "").encode()))
     assert got == {s: k for k, s in enumerate(order)}
+
+
+@pytest.mark.parametrize("ids", ["null", "repeated"])
+def test_targets_are_met_where_ids_are_null_or_repeat(spark, ids):
+    rows = [(None if ids == "null" else k % 3, "a b c d" if ids == "null" else f"a b c {k}", None, "xy"[k % 2]) for k in range(1000)]
+    df = helpers.docs(spark, rows).repartition(5)
+    stored = mixing.store(df)
+    got = mixing.mix(stored).collect()
+    taken = {x: 0 for x in "xy"}
+    targets = sorted({(r.target, r.source_size) for r in got})
+    assert [round(t) for t, _ in targets] == [1333, 2667] and {n for _, n in targets} == {2000}
+    by_target = {}
+    for r in got:
+        by_target[r.target] = by_target.get(r.target, 0) + r.taken
+    assert all(abs(n - t) <= 160 for t, n in by_target.items()) and len(taken) == 2
+    assert sorted(map(repr, mixing.mix(stored).collect())) == sorted(map(repr, got))
+    chosen = mixing.take(stored).groupBy("source").agg({"times": "sum"}).collect()
+    assert sorted(4 * r[1] for r in chosen) == sorted(by_target.values())
+
+
+def test_columns_of_any_name_stay(spark):
+    df = helpers.docs(spark, [(k, "a b", None, "xy"[k % 2]) for k in range(50)]).selectExpr(
+        "doc_id", "text", "source", "1 AS target_", "2 AS times_", "3 AS below_", "4 AS of", "5 AS Place", "6 AS whole", "7 AS source_size", "8 AS target"
+    )
+    done = mixing.take(df)
+    assert done.columns == [*df.columns, "times"]
+    assert {tuple(r)[3:-1] for r in done.collect()} == {(1, 2, 3, 4, 5, 6, 7, 8)}
+
+
+def test_targets_of_many_sources(spark):
+    """As the sequential rule gives them, in jobs whose number does not grow with the sources."""
+    rng = random.Random(8)
+    sizes = {f"s{k:05}": int(10 ** rng.uniform(0, 6)) for k in range(20_000)} | {None: 5, "zero": 0}
+    df = spark.createDataFrame(list(sizes.items()), "source string, source_size bigint")
+    want = brute_targets(sizes)
+    got = {r.source: r.target for r in mixing.targets(df).collect()}
+    assert got.keys() == want.keys() and all(got[s] == pytest.approx(want[s], rel=1e-9, abs=1e-9) for s in want)
+    alone = mixing.targets(spark.createDataFrame([("a", 7)], "source string, source_size bigint")).collect()
+    assert [r.target for r in alone] == [7.0]
+
+
+def test_a_very_long_text(spark):
+    rows = [(1, "w " * 300_000, None, "x"), *((k, "a b c", None, "y") for k in range(2, 300))]
+    got = {r.doc_id: r for r in mixing.mix(helpers.docs(spark, rows)).collect()}
+    assert got[1]["size"] == 300_000 and got[1]["taken"] in (0, 300_000, 600_000)
