@@ -131,3 +131,105 @@ def test_only_built_in_expressions(spark, tmp_path):
     frame(spark, collection(random.Random(1), 50)).write.parquet(f"{tmp_path}/pages")
     text = plan(urls.judge(spark.read.parquet(f"{tmp_path}/pages"), RULES))
     assert "Python" not in text and "Pandas" not in text
+
+
+FREE = {"depth": None, "share": 0.0, "apart": True}
+
+
+def free_brute(pages, rules):
+    """{page_id: (verdict, template)} without limits: branches are divided recursively, in lists."""
+    rows, done = [], {}
+    for i, url in pages:
+        host, path = split(url)
+        verdict, _ = rule_of(host, path, rules)
+        rows.append((i, host, re.sub("[0-9]+", "#", path).split("/")[1:], verdict))
+    label = {"block": (1, 1), "allow": (0, 1), None: (0, 0)}
+
+    def sums(some):
+        return len(some), sum(label[r[3]][0] for r in some), sum(label[r[3]][1] for r in some)
+
+    def divide(some, level, template):
+        n, blocked, labelled = sums(some)
+        if n < 40 or not (0 < blocked < labelled or 0 < labelled < n):
+            for r in some:
+                done[r[0]] = template + ("/**" if len(r[2]) > level else "")
+            return
+        branches = defaultdict(list)
+        for r in some:
+            if len(r[2]) > level:
+                branches[r[2][level]].append(r)
+            else:
+                done[r[0]] = template
+        all_n, all_b, all_l = sums([r for b in branches.values() for r in b])
+        merged = []
+        for segment, branch in branches.items():
+            n, b, l = sums(branch)
+            rest = all_l - l
+            spread = all_b * (all_l - all_b) * l * rest
+            differs = spread > 0 and (b * rest - (all_b - b) * l) ** 2 * all_l >= 3.84 * spread
+            one_sided = all_l > 0 and n < all_n and (l == 0 or rest == 0)
+            if n >= 20 and (differs or one_sided):
+                divide(branch, level + 1, f"{template}/{segment}")
+            else:
+                merged += branch
+        if merged:
+            divide(merged, level + 1, f"{template}/*")
+
+    for host in {r[1] for r in rows if r[1]}:
+        divide([r for r in rows if r[1] == host], 0, "")
+    leaves, hosts, everything = defaultdict(lambda: [0, 0]), defaultdict(lambda: [0, 0]), [0, 0]
+    for r in rows:
+        if r[1]:
+            for counts in (leaves[r[1], done[r[0]]], hosts[r[1]], everything):
+                counts[0] += label[r[3]][0]
+                counts[1] += label[r[3]][1]
+    rate = (everything[0] + 1) / (everything[1] + 2)
+    out = {}
+    for i, host, _, verdict in rows:
+        if verdict is None:
+            verdict = "allow"
+            if host:
+                b, l = leaves[host, done[i]]
+                above = (hosts[host][0] + 8 * rate) / (hosts[host][1] + 8)
+                if l > 0 and (b + 8 * above) / (l + 8) >= 0.8:
+                    verdict = "block"
+        out[i] = (verdict, done.get(i))
+    return out
+
+
+def test_without_limits_judgements_are_those_of_dividing_lists(spark):
+    pages = collection(random.Random(14), 2500)
+    deep = [("block", "a.example.com/a/b/c/d/e/1"), ("allow", "a.example.com/a/b/c/d/e/2")]
+    rules = (*MORE, *deep)
+    rng = random.Random(15)
+    for k in range(600):
+        kind, number = rng.choice(["good", "bad"]), rng.randrange(100)
+        pages.append((10_000 + k, f"http://deep.com/a/b/c/d/e/f/{kind}/{number}/{rng.randrange(9)}"))
+    rules = (*rules, ("block", "deep.com/a/b/c/d/e/f/bad/1"), ("allow", "deep.com/a/b/c/d/e/f/good/1"))
+    got = {r.page_id: (r.verdict, r.template) for r in urls.judge(frame(spark, pages), rules, **FREE).collect()}
+    assert got == free_brute(pages, rules)
+    beyond = {got[i][0] for i, url in pages if i >= 10_000 and "/bad/" in url}
+    assert beyond == {"block"} and {got[i][0] for i, url in pages if i >= 10_000 and "/good/" in url} == {"allow"}
+
+
+def test_a_branch_without_labels_is_not_rejected(spark):
+    pages = [(k, f"http://x.com/de/a{k}") for k in range(30)] + [(100 + k, f"http://x.com/en/{k}") for k in range(3000)]
+    pages += [(9000 + k, f"http://x.com/q{chr(97 + k % 26)}{chr(97 + k // 26)}/q") for k in range(200)]  # names without support
+    got = {r.page_id: r.verdict for r in urls.judge(frame(spark, pages), RULES, **FREE).collect()}
+    assert {got[k] for k in range(30)} == {"block"} and {v for k, v in got.items() if k >= 100} == {"allow"}
+
+
+def test_many_equal_sections_are_told_apart(spark):
+    names = [a + b for a in "abcdefghijklmnopqrst" for b in "abcdefghij"]  # 200, of half a per cent each
+    pages = [(30 * k + i, f"http://h.net/{name}/{'x' if i < 25 else 'y'}/{i}") for k, name in enumerate(names) for i in range(30)]
+    rules = [("block" if k == 7 else "allow", f"h.net/{name}/x/") for k, name in enumerate(names)]
+    got = {r.page_id: r.verdict for r in urls.judge(frame(spark, pages), rules, **FREE).collect()}
+    assert {k // 30 for k, v in got.items() if v == "block"} == {7}
+    assert {got[30 * 7 + i] for i in range(25, 30)} == {"block"}
+    assert urls.judge(frame(spark, []), rules, **FREE).collect() == []
+
+
+def test_a_very_long_url(spark):
+    long = "http://h.com/" + "/".join(["s"] * 5000)
+    got = [r.verdict for r in urls.judge(frame(spark, [(1, long), (2, long + "?q")]), RULES, **FREE).collect()]
+    assert got == ["allow", "allow"]
