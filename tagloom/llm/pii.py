@@ -6,9 +6,13 @@ over the value's number, walked on until it hits a valid one. So the pseudonym i
 as valid as the value, equal values stay linked across documents, different ones stay different,
 and without the key nothing leads back.
 
+What is permuted is the value, not its spelling: a telephone number's country and national number, a day, a card's or an IBAN's
+characters without blanks, a mail address without its case. The pseudonym is then written into the layout that was
+found, so ``+1 415-555-0123`` and ``(415) 555-0123``, or ``2020-01-02`` and ``2.1.2020``, stay the same value.
+
 Kinds: card numbers (Luhn), IBANs (mod 97; unbroken or with single blanks), US social security
-numbers, IPv4 addresses, telephone numbers (``+`` and 8 to 15 digits in any grouping, or North American
-ones without a country's code), calendar dates, mail addresses, and secrets that are assigned to a name such as
+numbers, IPv4 addresses, telephone numbers (``+`` or ``00``, a country's code and 8 to 15 digits in any grouping, or North American
+ones without the code; other national forms such as ``030 901820`` tell no country and stay), calendar dates, mail addresses, and secrets that are assigned to a name such as
 ``token``. A number that fails its validation is no such value and stays.
 """
 
@@ -77,6 +81,15 @@ class Permutation:
                 return number
 
 
+    def within(self, number: int, size: int, tweak: str, same: Callable[[int], object]) -> int:
+        """A permutation of the numbers of one class: the walk goes on until ``same`` tells what it told of ``number``."""
+        wanted = same(number)
+        while True:
+            number = self(number, size, tweak)
+            if same(number) == wanted:
+                return number
+
+
 def by_class(text: str, permute: Permutation, tweak: str, hexadecimal: bool = False) -> str:
     """Each digit and ASCII letter replaced by one of its class; other characters stay."""
     alphabets = []
@@ -99,6 +112,16 @@ def by_class(text: str, permute: Permutation, tweak: str, hexadecimal: bool = Fa
     return "".join(reversed(out))
 
 
+def folded(text: str) -> str:
+    """A-Z in lower case; other characters, and so all lengths, stay."""
+    return "".join(c.lower() if "A" <= c <= "Z" else c for c in text)
+
+
+def _in_case(shape: str, text: str) -> str:
+    """``text`` with the capitals of ``shape``, of the same length."""
+    return "".join(c.upper() if "A" <= s <= "Z" else c for s, c in zip(shape, text, strict=True))
+
+
 def luhn_sum(digits: str) -> int:
     """The weighted sum; a valid number's is a multiple of ten."""
     return sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(digits)))
@@ -157,19 +180,47 @@ def address(text: str, permute: Permutation) -> str | None:
     return ".".join(map(str, number.to_bytes(4, "big")))
 
 
+def national(digits: str, plus: bool) -> tuple[str, str, str] | None:
+    """Country's code, trunk digit and national number of a telephone number's digits; None if it is none.
+
+    North American numbers have ten digits. Elsewhere a 0 after the country's code is the trunk digit, which only
+    some write; in Italy it belongs to the number.
+    """
+    if not plus:
+        return ("1", "", digits) if len(digits) == 10 else None
+    code = next((digits[:k] for k in (1, 2) if digits[:k] in PHONE_CODES), digits[:3])
+    rest = digits[len(code) :]
+    if code == "1":
+        return (code, "", rest) if len(rest) == 10 else None
+    trunk = "0" if code not in ("1", "39") and rest[:1] == "0" and len(rest) > 1 else ""
+    return code, trunk, rest[len(trunk) :]
+
+
 def phone(text: str, permute: Permutation) -> str | None:
-    """The country's code stays; the other digits are permuted whatever their grouping."""
+    """The country's code and a trunk digit stay; the national number is permuted whatever its grouping.
+
+    Numbers that begin as a North American area and exchange must, or elsewhere without a 0, go to such numbers, others to others.
+    """
     text = re.sub(r"\D*\Z", "", text)
     digits = re.sub(r"\D", "", text)
-    if not (8 if text[:1] == "+" else 10) <= len(digits) <= 15:
+    prefix = "00" if text[:2] == "00" else ""
+    digits = digits[len(prefix) :]
+    if not (8 if text[:1] == "+" or prefix else 10) <= len(digits) <= 15 or ((text[:1] == "+" or prefix) and digits[0] == "0"):
         return None
-    code = digits[:-10]
-    if text[0] == "+" and digits[0] != "0":
-        code = next((digits[:k] for k in (1, 2) if digits[:k] in PHONE_CODES), digits[:3])
-        if re.fullmatch(r"\+\d+\.\d+", text) and text[1:].partition(".")[0] != code:
-            return None  # a decimal fraction
-    n = len(digits) - len(code)
-    return _refill(text, f"{code}{permute(int(digits[-n:]), 10**n, 'phone' + code):0{n}d}")
+    parts = national(digits, text[:1] == "+" or bool(prefix))
+    if parts is None or (prefix and parts[0] not in PHONE_CODES):
+        return None
+    code, trunk, rest = parts
+    if re.fullmatch(r"\+\d+\.\d+", text) and text[1:].partition(".")[0] != code:
+        return None  # a decimal fraction
+    n = len(rest)
+
+    def begins(number: int) -> object:
+        said = f"{number:0{n}d}"
+        return bool(re.match(r"[2-9]\d\d[2-9]", said)) if code == "1" else said[:1] == "0"
+
+    new = permute.within(int(rest or "0"), 10**n, f"phone{code}", begins)
+    return _refill(text, f"{prefix}{code}{trunk}{new:0{n}d}" if text[:1] == "+" or prefix else f"{new:0{n}d}")
 
 
 def _day(year: str, month: str, day: str) -> int | None:
@@ -181,7 +232,10 @@ def _day(year: str, month: str, day: str) -> int | None:
 
 
 def date(text: str, permute: Permutation) -> str | None:
-    """Year first, day first, or, where that is no date, month first."""
+    """Year first, day first, or, where that is no date, month first; one day has one pseudonym in every layout.
+
+    Days after the twelfth go to such days, so that a date with the month first is still read so.
+    """
     a, mark, b, _, c = re.split(r"([-/.])", text)
     if len(a) == 4:
         order, day = "ymd", _day(a, b, c)
@@ -191,25 +245,19 @@ def date(text: str, permute: Permutation) -> str | None:
             order, day = "mdy", _day(c, a, b)
     if day is None:
         return None
-    padded = all(len(x) > 1 for x in (a, b, c))
-    while True:
-        day = FIRST_DAY + permute(day - FIRST_DAY, LAST_DAY - FIRST_DAY + 1, f"date{order}{mark}{padded}")
-        new = datetime.date.fromordinal(day)
-        # Month first is only read so where the day is above twelve, and a date
-        # without padding needs a number of one digit.
-        if (order != "mdy" or new.day > 12) and (padded or min(new.day, new.month) < 10):
-            break
-    width = 2 if padded else 1
+    late = lambda k: datetime.date.fromordinal(FIRST_DAY + k).day > 12
+    new = datetime.date.fromordinal(FIRST_DAY + permute.within(day - FIRST_DAY, LAST_DAY - FIRST_DAY + 1, "date", late))
+    width = 2 if all(len(x) > 1 for x in (a, b, c)) else 1
     parts = {"y": f"{new.year:04d}", "m": f"{new.month:0{width}d}", "d": f"{new.day:0{width}d}"}
     return mark.join(parts[o] for o in order)
 
 
 def mail(text: str, permute: Permutation) -> str | None:
-    """Both the name and the host's labels but the last are permuted; equal hosts stay equal."""
+    """Both the name and the host's labels but the last are permuted, capitals stay where they are; equal hosts stay equal."""
     name, _, host = text.rpartition("@")
-    labels = host.split(".")
-    host = ".".join([by_class(".".join(labels[:-1]).lower(), permute, "host"), labels[-1].lower()])
-    return f"{by_class(name, permute, 'mail' + host)}@{host}"
+    labels = folded(host).split(".")
+    new = ".".join([by_class(".".join(labels[:-1]), permute, "host"), labels[-1]])
+    return f"{_in_case(name, by_class(folded(name), permute, 'mail' + new))}@{_in_case(host, new)}"
 
 
 def secret(text: str, permute: Permutation) -> str | None:
@@ -240,7 +288,7 @@ KINDS: dict[str, tuple[re.Pattern, Callable[[str, Permutation], str | None]]] =
     "address": (re.compile(r"(?<![\w.])(\d{1,3}(?:\.\d{1,3}){3})(?!\w|\.\d)"), address),
     "phone": (
         re.compile(
-            rf"(?<![\w.+-])(\+1(?:{_BETWEEN}\d){{10}}|\+\d(?:{_BETWEEN}\d){{7,14}}"
+            rf"(?<![\w.+-])(\+1(?:{_BETWEEN}\d){{10}}|\+\d(?:{_BETWEEN}\d){{7,14}}|(?<!\d )00[1-9](?:{_BETWEEN}\d){{7,14}}"
             r"|(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4})(?![\w-])"
         ),
         phone,
@@ -305,7 +353,7 @@ def pseudonymised(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col:
 
     ``key`` is the secret that links the pseudonyms; the same key gives the same ones in every
     run. A null text stays null, texts without a value stay as they are, ids pass through, repeated
-    and null ones, too. Of overlapping values the first kind in KINDS wins. Other columns are not read.
+    and null ones, too. An empty table gives an empty result; a text of any length is read whole. Of overlapping values the first kind in KINDS wins. Other columns are not read.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     return (

@@ -135,3 +135,69 @@ def test_telephone_numbers_before_other_values():
 @pytest.mark.parametrize("text", ["+3.14159265", "+1234567", "+1234567890123456", "DE88 3704 0044 0532 0130 00", "AB12 CDEF GHIJ KLMN"])
 def test_what_is_no_iban_or_telephone_number_stays(text):
     assert replaced(text) == (text, [])
+
+
+LINKED = [
+    ("+1 415-555-0123", "415-555-0123", "(415) 555-0123", "+14155550123", "001 415 555 0123"),
+    ("+49 30 901820", "+49 (0)30 901820", "0049 30 901820", "+4930901820", "+49 30/901820"),
+    ("2020-01-02", "02.01.2020", "2.1.2020", "2020/01/02", "02/01/2020"),
+    ("01/30/2020", "30.01.2020", "2020-01-30", "30-1-2020"),
+    ("Ann.Lee7@Mail.Example.com", "ann.lee7@mail.example.com", "ANN.LEE7@mail.example.COM"),
+    ("4111 1111 1111 1111", "4111111111111111", "4111-1111-1111-1111"),
+    ("DE89 3704 0044 0532 0130 00", "DE89370400440532013000"),
+]
+
+
+def canonical(kind, text):
+    """What a written value stands for, by rules of the test's own."""
+    digits = "".join(c for c in text if c.isdigit())
+    if kind == "phone":
+        digits = digits.removeprefix("00") if text.startswith("00") else digits
+        digits = digits if text[0] == "+" or text.startswith("00") else "1" + digits
+        return "49" + digits[2:].removeprefix("0") if digits.startswith("49") else digits
+    if kind == "date":
+        for shape in ("%Y-%m-%d", "%d-%m-%Y", "%m-%d-%Y"):
+            try:
+                return datetime.datetime.strptime(text.replace("/", "-").replace(".", "-"), shape).date()
+            except ValueError:
+                pass
+    return digits if kind == "card" else text.lower().replace(" ", "")
+
+
+@pytest.mark.parametrize("values", LINKED, ids=lambda v: v[0])
+def test_equal_values_stay_linked_in_every_layout(values):
+    found = []
+    for value in values:
+        new, kinds = replaced(f"x {value} y")
+        assert len(kinds) == 1 and len(new) in (len(f"x {value} y"), *((len(f"x {value} y") + k for k in (-2, -1, 1, 2)) if kinds == ["date"] else ()))
+        new = new[2:-2]
+        assert [c for c in new if not c.isalnum()] == [c for c in value if not c.isalnum()]
+        assert [c.isupper() for c in new if c.isalpha()] == [c.isupper() for c in value if c.isalpha()]
+        found.append((kinds[0], new))
+    stands_for = {canonical(kind, new) for kind, new in found}
+    assert len(stands_for) == 1 and stands_for != {canonical(found[0][0], values[0])}
+
+
+def test_different_values_stay_different_and_valid():
+    """The permutation, written down as a table of all days, is inverted by reading the table backwards."""
+    first = datetime.date(1900, 1, 1)
+    days = [first + datetime.timedelta(k) for k in range(73_049)]
+    table = {d: pii.date(d.isoformat(), P) for d in days}
+    back = {new: d for d, new in table.items()}
+    assert len(back) == len(days) == len({datetime.date.fromisoformat(n) for n in back})
+    for d in random.Random(1).sample(days, 400):
+        new = datetime.date.fromisoformat(table[d])
+        assert (new.day > 12) == (d.day > 12)
+        assert pii.date(f"{d.day}.{d.month}.{d.year}", P) in (f"{new.day}.{new.month}.{new.year}", new.strftime("%d.%m.%Y"))
+    rng = random.Random(2)
+    numbers = {f"+1 {rng.randint(200, 999)}-{rng.randint(200, 999)}-{rng.randint(0, 9999):04d}" for _ in range(2000)}
+    images = {pii.phone(n, P) for n in numbers}
+    assert len(images) == len(numbers) and all(i[3] in "23456789" and i[7] in "23456789" for i in images)
+    plain = {f"+49 {rng.randint(1, 9)}{rng.randint(0, 9)} {rng.randint(0, 999_999):06d}" for _ in range(2000)}
+    images = {pii.phone(n, P) for n in plain}
+    assert len(images) == len(plain) and all(i[4] != "0" for i in images)
+
+
+@pytest.mark.parametrize("text", ["+10000000 users", "030 901820", "00 123 456 789", "0012", "+1 234 567 89", "0099912345678 parts", "+0049 30 901820"])
+def test_numbers_that_tell_no_country_stay(text):
+    assert replaced(text) == (text, [])
