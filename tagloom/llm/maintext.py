@@ -23,11 +23,11 @@ from pyspark.sql import functions as F
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset "
     "figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol "
-    "option p pre search section select summary table tbody td tfoot th thead tr ul button label "
+    "option p pre search section select summary table tbody td tfoot th thead tr ul "
     "textarea head title noscript iframe optgroup".split()
 )
 #: Fixed: elements whose content is no markup or no text of the page.
-RAW = frozenset("script style textarea title iframe noembed noframes xmp template svg math".split())
+RAW = frozenset("script style textarea title iframe noembed noframes xmp template svg annotation annotation-xml".split())
 #: Fixed: elements without content.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Fixed: what ends an open paragraph, list item, cell and so on, by the element that begins.
@@ -43,7 +43,7 @@ IMPLIED = {
 }
 #: Elements that never hold main text.
 OUTSIDE = frozenset(
-    "nav footer aside form button select noscript dialog menu head label option iframe fieldset search".split()
+    "nav footer aside form select noscript dialog menu head option iframe fieldset search".split()
 )
 #: Elements that mark it.
 INSIDE = frozenset(("article", "main"))
@@ -73,6 +73,9 @@ GOOD_NAME = 1.2
 BAD_NAME = -6.0  # for each element above, and at most MOST_NAMES of them
 MOST_NAMES = 9
 LINK_SHARE = -4.0
+LINK_SHARE_IN_MAIN = -2.0  # an article's list of sources is all links
+IN_A_RUN = 0.8  # one of RUN paragraphs or more beside one another, on a page that marks no main text
+RUN = 3
 CERTAIN = 1000.0
 #: Capacity between neighbours in one element, and between blocks that follow in it with others between.
 NEXT = 1.2
@@ -140,19 +143,24 @@ class Element:
 
 
 class Block:
-    __slots__ = ("text", "links", "element", "tag", "bad")
+    __slots__ = ("text", "links", "element", "tag", "bad", "run")
 
     def __init__(self, text: str, links: int, element: Element, tag: str) -> None:
         self.text, self.links, self.element, self.tag = text, links, element, tag
         self.bad = element.bad
+        self.run = False
 
 
 def blocks(page: str) -> list[Block]:
-    """The page's blocks of text, in order, with blanks collapsed and references decoded."""
+    """The page's blocks of text, in order, with blanks collapsed and references decoded.
+
+    Elements within a line, formulas and labels among them, do not part it; the caption of a button is no text of the page.
+    """
     root = Element("", None, "")
     stack, found = [root], []
     text: list[str] = []
     linked = anchors = 0
+    button = False
 
     def flush() -> None:
         nonlocal text, linked
@@ -164,7 +172,7 @@ def blocks(page: str) -> list[Block]:
 
     def add(part: str) -> None:
         nonlocal linked
-        if part:
+        if part and not button:
             text.append(part)
             if anchors:
                 linked += len(part.strip())
@@ -184,8 +192,11 @@ def blocks(page: str) -> list[Block]:
         if closing:
             if name == "a":
                 anchors = max(0, anchors - 1)
+            elif name == "button":
+                button = False
             elif name in BLOCKS:
                 flush()
+                button = False  # one that was never closed ends with what it stands in
                 anchors = 0 if name in ("li", "p", "div", "nav", "td") else anchors
                 for k in range(len(stack) - 1, 0, -1):
                     if stack[k].name == name:
@@ -200,6 +211,9 @@ def blocks(page: str) -> list[Block]:
             add(" ")
         elif name == "a":
             anchors = 1  # links do not nest
+        elif name == "button":
+            add(" ")
+            button = True
         elif name in BLOCKS:
             flush()
             if name == "hr":
@@ -219,14 +233,31 @@ def blocks(page: str) -> list[Block]:
     around = min((b.bad for b in found if not b.element.outside and evidence(b) > 0), default=0)
     for block in found:
         block.bad = min(MOST_NAMES, max(0, block.bad - around))
+    if not any(b.element.inside for b in found):
+        _mark_runs(found)
     return found
 
 
+def _mark_runs(found: list[Block]) -> None:
+    """Marks paragraphs of one parent that follow one another without a link: verse, dialogue, lines of a letter."""
+    start = 0
+    for k in range(len(found) + 1):
+        first = found[start] if start < len(found) else None
+        if k < len(found) and found[k].tag == "p" and not found[k].links and first is not None:
+            if first.tag == "p" and not first.links and found[k].element.parent is first.element.parent:
+                continue
+        if k - start >= RUN:
+            for block in found[start:k]:
+                block.run = True
+        start = k
+
+
 def evidence(block: Block) -> float:
     """What the block's text and element say for content."""
     words = block.text.count(" ") + 1
     share = min(1.0, block.links / max(1, len(block.text)))
-    out = BIAS + PER_DOUBLING * math.log2(1 + words) + LINK_SHARE * share
+    weight = LINK_SHARE_IN_MAIN if block.element.inside else LINK_SHARE
+    out = BIAS + PER_DOUBLING * math.log2(1 + words) + weight * share + IN_A_RUN * block.run
     out += SENTENCE_END * (block.text[-1] in ".!?…。\"'”»")
     out += PARAGRAPH * (block.tag in ("p", "pre", "blockquote")) + HEADING * (block.tag in _HEADINGS)
     e = block.element
@@ -356,8 +387,8 @@ def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -
     """<id>, text of every row of ``pages``, without a shuffle.
 
     A null or empty page, and one without main text, gets an empty text. Damaged markup is read
-    as far as it goes; an element that is never closed ends with the page. Ids pass through,
-    repeated and null ones, too. Other columns are not read.
+    as far as it goes; an element that is never closed ends with the page. A page of any length is read whole. Ids pass through,
+    repeated and null ones, too. An empty table gives an empty result. Other columns are not read.
     """
     kind = pages.schema[id_col].dataType.simpleString()
     return (

@@ -152,3 +152,110 @@ def test_articles_of_the_given_pages(spark):
         article = re.search(r"<article>(.*?)</article>", pages[r.page_id], re.DOTALL)[1]
         parts = (" ".join(unescape(re.sub(r"<[^>]*>", " ", x)).split()) for x in re.split(r"</?(?:p|h1)>", article))
         assert r.text == "\n".join(x for x in parts if x) and r.n_chars == len(r.text)
+
+
+LONG = "A sentence of enough words to be content, for it goes on and on until it ends."
+
+
+@pytest.mark.parametrize("n", [2, 4, 6, 8, 20])
+def test_an_articles_list_of_links_is_part_of_it(n):
+    names = [f"Source {k}" if k % 2 else f"The source number {k} of this text" for k in range(n)]
+    items = "".join(f"<li><a href=x>{name}</a></li>" for name in names)
+    for before in ("<h2>Sources</h2>", "<p>Sources:</p>", ""):
+        page = f"<nav><ul><li><a href=/>Home</a></ul></nav><article><h1>A title</h1><p>{LONG}</p>{before}<ul>{items}</ul></article><footer>Imprint</footer>"
+        head = ["A title", LONG] + (["Sources" if "h2" in before else "Sources:"] if before else [])
+        assert maintext.main_text(page).split("\n") == head + names
+    shared = f"<article><p>{LONG}</p><ul class=share-links>{items}</ul></article>"
+    assert maintext.main_text(shared) == LONG
+
+
+def test_elements_within_a_line_do_not_part_it():
+    rest = "and this line goes on with words enough to be content."
+    cases = {
+        "For <math><mi>x</mi><mo>=</mo><mn>2</mn></math> see below, {}": "For x=2 see below, {}",
+        "For <math><semantics><mi>x</mi><annotation encoding='application/x-tex'>x_{{1}}</annotation></semantics></math>, {}": "For x, {}",
+        "Press <button type=button>OK</button> now, {}": "Press now, {}",
+        "The <label for=a>name</label> of it, {}": "The name of it, {}",
+    }
+    for page, text in cases.items():
+        assert maintext.main_text(f"<article><p>{page.format(rest)}</p><p>{LONG}</p></article>") == f"{text.format(rest)}\n{LONG}"
+    assert maintext.main_text(f"<article><p>{LONG}<button>Never closed</p><p>{LONG}</p></article>") == f"{LONG}\n{LONG}"
+    assert maintext.main_text(f"<article><p>{LONG}</p></article><form><label>Name</label><button>Send</button></form>") == LONG
+
+
+def test_short_lines_without_an_article():
+    lines = ["Roses", "are red", "violets are blue", "and", "so on"]
+    page = "<body><nav><a href=/>Home</a> <a href=/x>More</a></nav><div>{}</div><div class=footer><p>Copyright</p><p>Imprint</p><p>Terms</p></div></body>"
+    assert maintext.main_text(page.format("".join(f"<p>{x}</p>" for x in lines))).split("\n") == lines
+    links = "".join(f"<p><a href=x>{x}</a></p>" for x in lines)
+    assert maintext.main_text(page.format(links)) == ""
+
+
+def by_another_parser(page):
+    """(text, element) of the blocks of a well-formed page, by the standard library's parser."""
+    from html.parser import HTMLParser
+
+    inline = {"b", "i", "a", "span", "label", "math", "mi", "mo", "em"}
+    silent = {"script", "style", "title", "textarea", "svg", "button"}
+
+    class Reader(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.stack, self.found, self.text = [""], [], []
+
+        def flush(self):
+            if whole := " ".join("".join(self.text).split()):
+                self.found.append((whole, next(t for t in reversed(self.stack) if t not in inline | silent)))
+            self.text = []
+
+        def handle_starttag(self, tag, attrs):
+            if tag in ("br", "button"):
+                self.text.append(" ")
+            elif tag not in inline | silent:
+                self.flush()
+            if tag not in ("br", "hr", "img"):
+                self.stack.append(tag)
+
+        def handle_endtag(self, tag):
+            if tag not in inline | silent:
+                self.flush()
+            while self.stack.pop() != tag:
+                pass
+
+        def handle_data(self, data):
+            if not silent & set(self.stack):
+                self.text.append(data)
+
+    reader = Reader()
+    reader.feed(page)
+    reader.close()
+    reader.flush()
+    return reader.found
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_blocks_are_those_of_another_parser(seed):
+    rng = random.Random(seed)
+
+    def inline(depth=0):
+        kind = rng.choice(["word", "word", "a &amp; b", "&lt;p&gt;", "&#233;t&eacute;", "<br>", "b", "a", "span", "label", "math", "button", "<!-- no <p> -->", " \n "])
+        if kind in ("b", "a", "span", "label", "math", "button"):
+            return f"<{kind} title='x > y'>{inline(depth + 1) if depth < 3 else 'deep'}</{kind}>".replace("<math title='x > y'>", "<math>")
+        return kind
+
+    def block(depth=0):
+        name = rng.choice(["p", "p", "h2", "div", "section", "ul", "table", "blockquote", "pre", "figure", "script"])
+        lines = " ".join(inline() for _ in range(rng.randint(0, 5)))
+        if name == "script":
+            return "<script>if (a < b) { '<p>no</p>' }</script>"
+        if name == "ul":
+            return "<ul>" + "".join(f"<li>{' '.join(inline() for _ in range(2))}</li>" for _ in range(3)) + "</ul>"
+        if name == "table":
+            return f"<table><tr><td>{lines}</td><th>{inline()}</th></tr></table>"
+        if name in ("div", "section", "blockquote", "figure") and depth < 3:
+            return f"<{name} class=x{depth}>{lines}{''.join(block(depth + 1) for _ in range(rng.randint(0, 3)))}{inline()}</{name}>"
+        return f"<{name}>{lines}</{name}>"
+
+    for _ in range(60):
+        page = f"<html><body>{''.join(block() for _ in range(rng.randint(0, 5)))}</body></html>"
+        assert [(b.text, b.tag) for b in maintext.blocks(page)] == by_another_parser(page)
