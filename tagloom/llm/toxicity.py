@@ -8,7 +8,8 @@ Exception phrases, a term together with a neighbouring word, lift the match insi
 sum and for each hundred words, go into a logistic score.
 
 The lexicon and the logistic are fitted on a bounded sample of labelled rows: SAMPLE rows of either label, those
-with the least hashes, half for the terms and half for the logistic. Every text is then read whole.
+with the least hashes, half for the terms and half for the logistic. All terms that pass the bounds of support and weight are in the lexicon, but for
+those that a shorter beginning of the same weight or more stands for, which can never decide. Every text is then read whole.
 """
 
 from __future__ import annotations
@@ -28,11 +29,10 @@ from tagloom.llm.scratch import least_hashes, store
 
 #: Labelled rows of either label that are learnt from.
 SAMPLE = 6000
-#: Toxic rows that must hold a term; least weight; most terms, the weightiest.
+#: Toxic rows that must hold a term; least weight.
 SUPPORT = 4
 WEIGHT = 1.5
 CAUTION = 1.5
-TERMS = 20_000
 #: Least length of a term, and lengths of beginnings.
 SHORTEST = 3
 STEMS = (5, 6, 7)
@@ -99,6 +99,17 @@ def fold(text: str) -> str:
     return text
 
 
+def word_before(text: str, start: int) -> str:
+    """The word that only blanks part from what begins at ``start``, whatever its length; else empty."""
+    end = start
+    while end and text[end - 1] in " \t":
+        end -= 1
+    first = end
+    while end < start and first and text[first - 1].isalnum() and not text[first - 1].isdecimal():
+        first -= 1
+    return text[first:end]
+
+
 def _candidates(text: str) -> set[str]:
     """Words, beginnings (``stem*``) and neighbours (``word word``) of a folded text."""
     words = [w for w in _WORD.findall(text) if len(w) >= SHORTEST]
@@ -166,9 +177,8 @@ class Lexicon:
     def phrases(self, text: str, start: int, end: int) -> list[str]:
         """A matched word together with the word before, and with the one after."""
         word, out = text[start:end], []
-        before = text[max(0, start - 40) : start]
-        if m := re.search(r"([^\W\d_]+)[ \t]+$", before):
-            out.append(f"{m[1]} {word}")
+        if first := word_before(text, start):
+            out.append(f"{first} {word}")
         if m := re.compile(r"[ \t]+([^\W\d_]+)").match(text, end):
             out.append(f"{word} {m[1]}")
         return out
@@ -250,15 +260,27 @@ def logistic(rows: np.ndarray, labels: np.ndarray, weights: np.ndarray, ridge: f
     return factors
 
 
+def _needed(terms: DataFrame) -> DataFrame:
+    """Terms (term, weight) without those that a shorter beginning of the same weight or more stands for."""
+    plain = F.rtrim(F.col("term"), F.lit("*"))
+    beginnings = F.array(*(F.when(F.length(plain) > n, F.concat(F.substring(plain, 1, n), F.lit("*"))) for n in STEMS))
+    longer = terms.withColumn("stem", F.explode(F.array_compact(beginnings)))
+    stems = terms.select(F.col("term").alias("stem"), F.col("weight").alias("stem_weight"))
+    spare = longer.join(stems, "stem").where("stem_weight >= weight").select("term").distinct()
+    return terms.join(spare, "term", "left_anti")
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """A model from the texts of ``docs`` that ``labels`` marks; null labels and texts teach nothing.
 
-    Labels of ids that ``docs`` lacks teach nothing either, yet take places in the sample: leave them out.
+    Labels of ids that ``docs`` lacks teach nothing either and take no place in the sample. Rows that repeat an id or a text
+    count once. Empty tables give a model that calls nothing toxic.
 
-    Only ids and labels are ranked; texts are read for the chosen ids alone. The driver gets the lexicon and
-    two numbers for each sampled row.
+    Only ids and labels are ranked; texts are read for the chosen ids alone. The driver gets the lexicon, whose size the
+    sample bounds (each term stands in SUPPORT sampled rows or more), and two numbers for each sampled row.
     """
-    marks = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
+    there = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("there"))
+    marks = labels.where(F.col(label_col).isNotNull()).join(there, F.col(id_col) == F.col("there"), "left_semi")
     marks = marks.groupBy(F.col(id_col).alias("id")).agg(F.max(F.col(label_col).cast("int")).alias("label"))
     marks = marks.select("label", "id", F.xxhash64(F.col("id").cast("string")).alias("hash"))
     chosen = store(least_hashes(marks, "label", SAMPLE).select("id", "label"))
@@ -276,24 +298,21 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     toxic, clean = F.col("toxic") + 0.5, F.col("clean") + 0.5
     odds = F.log(toxic / (sizes.get(1, 0) + 1.0)) - F.log(clean / (sizes.get(0, 0) + 1.0))
     certain = odds - CAUTION * F.sqrt(1 / toxic + 1 / clean)
-    terms = (
+    terms = _needed(store(
         for_terms.mapInArrow(_count_terms, schema)
         .groupBy("term")
         .agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
         .withColumn("weight", certain)
         .where((F.col("toxic") >= SUPPORT) & (F.col("weight") >= WEIGHT))
-        .orderBy(F.col("weight").desc(), "term")
-        .limit(TERMS)
-        .collect()
-    )
-    lexicon = Lexicon({r["term"]: r["weight"] for r in terms})
+        .select("term", "weight")
+    ))
+    lexicon = Lexicon({r["term"]: r["weight"] for r in terms.collect()})
     lifted = (
         for_terms.mapInArrow(_phrase_counter(lexicon), schema)
         .groupBy("term")
         .agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
         .where((F.col("clean") >= EXCEPTIONS) & (F.col("toxic") == 0))
-        .orderBy(F.col("clean").desc(), "term")
-        .limit(TERMS)
+        .select("term")
         .collect()
     )
     lexicon = Lexicon(lexicon.weights, {r["term"] for r in lifted})
@@ -321,8 +340,8 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     """<id>, score, predicted of every row of ``docs``, without a shuffle.
 
     ``score`` is near 1 for toxic texts; ``predicted`` is 1 from THRESHOLD on. Null and empty texts get
-    the score of a text without any match. Ids pass through, repeated and null ones, too.
-    Other columns are not read.
+    the score of a text without any match. Ids pass through, repeated and null ones, too. An empty table gives an empty result; a
+    text of any length is read whole. Other columns are not read.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     return (
