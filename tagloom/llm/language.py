@@ -139,6 +139,8 @@ class Filters:
 def fit(labelled: DataFrame, id_col: str, text_col: str, lang_col: str) -> Filters:
     """Filters from a sample of ``labelled``; languages are its non-null labels.
 
+    Null and empty texts teach nothing; rows that repeat id, text and label count once. An empty table gives filters without a language.
+
     The driver gets the common n-grams of the sample only.
     """
     rows = labelled.where(F.col(lang_col).isNotNull() & (F.length(F.col(text_col)) > 0))
@@ -200,7 +202,8 @@ def identify(docs: DataFrame, filters: Filters, id_col: str = "doc_id", text_col
     ``coverage`` is the corrected share of the text's n-grams that the language contains,
     ``score`` that share among those of all languages. A text that is null or has no letter gets
     "und" with 0; on a tie the language that comes first by code point wins. Without any
-    language learned every row gets "und". Ids pass through as they are, null and repeated ones, too.
+    language learned every row gets "und". Ids pass through as they are, null and repeated ones, too. An empty table gives an
+    empty result; a text of any length is read whole. Other columns are not read.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     return (
@@ -213,19 +216,17 @@ def identify(docs: DataFrame, filters: Filters, id_col: str = "doc_id", text_col
 def known(docs: DataFrame, filters: Filters, coverage: float, text_col: str = "text") -> DataFrame:
     """``docs`` without the rows whose own text is in no language, or covered by less; all columns stay.
 
-    Each row is judged by itself in one pass: null and repeated ids do not matter.
+    Each row is judged by itself in one pass: null and repeated ids do not matter. Only texts go to Python, and only verdicts
+    come back. An empty table gives an empty result.
     """
+    label = _labeller(filters)
 
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        label = _labeller(filters)
-        for batch in batches:
-            texts = batch.column(batch.schema.get_field_index(text_col)).cast(pa.string())
-            at = 0
+    @F.arrow_udf("boolean")
+    def stays(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in columns:
+            told = [pa.array([], type=pa.bool_())]
             for judged in label(iter([pa.RecordBatch.from_arrays([texts, texts], names=["id", "text"])])):
-                stays = pc.and_(
-                    pc.not_equal(judged.column(1), UNKNOWN), pc.greater_equal(judged.column(3), coverage)
-                )
-                yield batch.slice(at, judged.num_rows).filter(stays)
-                at += judged.num_rows
+                told.append(pc.and_(pc.not_equal(judged.column(1), UNKNOWN), pc.greater_equal(judged.column(3), coverage)))
+            yield pa.concat_arrays(told)
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.where(stays(F.col(text_col).cast("string")))

@@ -20,6 +20,11 @@ def remainder(n: int) -> F.Column:
     return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(n))
 
 
+def held_out(n: int, rest: int) -> F.Column:
+    """Whether a document is held out; one without an id is neither held out nor learnt from."""
+    return F.coalesce(remainder(n) == rest, F.lit(False)).alias("held_out")
+
+
 #: The rules of the url query: verdict, host and beginning of the path.
 RULES = (
     (urls.ALLOW, "org/"),
@@ -46,7 +51,7 @@ def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     filters = language.fit(docs.where(remainder(4) != 2), "doc_id", "text", "lang")
     return language.identify(docs, filters).select(
-        "doc_id", (remainder(4) == 2).alias("held_out"), "lang_pred", "score", "coverage"
+        "doc_id", held_out(4, 2), "lang_pred", "score", "coverage"
     )
 
 
@@ -63,7 +68,7 @@ def toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = toxicity.fit(docs, labels.where(remainder(3) != 1))
     return toxicity.score(docs, model).select(
-        "doc_id", (remainder(3) == 1).alias("held_out"), "score", "predicted"
+        "doc_id", held_out(3, 1), "score", "predicted"
     )
 
 

@@ -76,3 +76,75 @@ def test_held_out_documents(spark):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet").select("doc_id", "lang")
     rows = got.join(docs, "doc_id").where("held_out").collect()
     assert sum(r.lang_pred == r.lang for r in rows) >= 0.95 * len(rows)
+
+
+def plain_grams(text):
+    """The n-grams of a text, one after the other: four bytes, not both of the first two blanks."""
+    data = bytearray(f" {text.lower()} ".encode())
+    for k, b in enumerate(data):
+        if b < 128 and not chr(b).isalpha():
+            data[k] = 32
+    out = [bytes(data[k : k + 4]) for k in range(len(data) - 3)]
+    return [g for g in out if g[:2] != b"  "]
+
+
+def plain_slots(gram):
+    """Where the filter looks an n-gram up, with whole numbers of any size."""
+    m = (1 << 64) - 1
+    x = int.from_bytes(gram, "little") * 0x9E3779B97F4A7C15 & m
+    x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & m
+    x = (x ^ x >> 27) * 0x94D049BB133111EB & m
+    x ^= x >> 31
+    return x >> 46, x >> 28 & (1 << 18) - 1
+
+
+def test_shares_and_decisions_are_those_of_plain_sets(spark):
+    rng = random.Random(6)
+    parts = {"aa": ["ta", "ki", "mo", "nu"], "bb": ["ße", "lü", "ta", "mo"], "cc": ["ki", "ße", "sch", "nu"]}
+
+    def text(lang):
+        words = ["".join(rng.choices(parts[lang] if rng.random() < 0.8 else parts["aa"], k=rng.randint(1, 4))) for _ in range(rng.randint(1, 25))]
+        return rng.choice([" ", ", ", "  7 "]).join(words)
+
+    train = [(i, text(lang), lang) for i in range(150) for lang in [rng.choice(sorted(parts))]]
+    filters = language.fit(helpers.docs(spark, train), "doc_id", "text", "lang")
+
+    rows = {lang: [set(plain_grams(t)) for _, t, x in train if x == lang] for lang in parts}
+    rate = {}
+    for lang, sets in rows.items():
+        for g in set().union(*sets):
+            n = sum(g in s for s in sets)
+            if n > 1 and n / len(sets) >= 0.02:
+                rate[g, lang] = n / len(sets)
+    top = {}
+    for (g, _), r in rate.items():
+        top[g] = max(r, top.get(g, 0))
+    members = {lang: {g for (g, x), r in rate.items() if x == lang and r >= 0.5 * top[g]} for lang in sorted(parts)}
+    slots = {lang: {at for g in own for at in plain_slots(g)} for lang, own in members.items()}
+    assert all(len(own) > 20 for own in members.values())
+    false = {lang: (len(s) / (1 << 18)) ** 2 for lang, s in slots.items()}
+
+    texts = [(1000 + i, text(rng.choice(sorted(parts)))) for i in range(200)] + [(1, "xyzq"), (2, "9"), (3, "ta"), (4, "Ta Ki")]
+    got = {r.doc_id: r for r in language.identify(helpers.docs(spark, texts), filters).collect()}
+    for i, t in texts:
+        own = plain_grams(t)
+        shares = {}
+        for lang in sorted(parts):
+            found = sum(all(at in slots[lang] for at in plain_slots(g)) for g in own) / max(1, len(own))
+            shares[lang] = max(0.0, (found - false[lang]) / (1 - false[lang]))
+        best = max(sorted(parts), key=lambda x: shares[x])
+        letters = any(c.isalpha() for c in t)
+        assert got[i].lang_pred == (best if letters else "und")
+        assert got[i].coverage == pytest.approx(shares[best] if letters else 0.0)
+        assert got[i].score == pytest.approx(shares[best] / sum(shares.values()) if letters and shares[best] else 0.0)
+    assert len({r.lang_pred for r in got.values()}) == 4
+
+
+def test_known_rows_keep_their_columns_and_order_of_ids(spark):
+    filters = language.fit(helpers.docs(spark, two_languages(random.Random(2), 100)), "doc_id", "text", "lang")
+    rows = [(None, "taki mo"), (1, "taki mo nu"), (1, "12"), (2, None), (3, "qqqq xxxx"), (4, "grö schlü " * 30_000)]
+    df = helpers.docs(spark, rows)
+    left = language.known(df, filters, 0.15)
+    assert left.columns == df.columns and sorted(((r.doc_id, r.text) for r in left.collect()), key=repr) == sorted([rows[0], rows[1], rows[5]], key=repr)
+    assert language.known(df.limit(0), filters, 0.15).collect() == []
+    assert language.known(df.withColumnRenamed("text", "stays"), filters, 0.15, "stays").count() == 3
