@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagloom.llm.scratch import beside, store
+from tagloom.llm.scratch import BROADCAST_BYTES, beside, row_bytes, store
 from tagloom.llm.sieve import read_among
 from tagloom.llm.words import BLANK_PARTED, U, mixed, numbers, pieces, shingle_hashes, word_hashes
 
@@ -195,19 +195,24 @@ def components(links: DataFrame) -> DataFrame:
 
     Alternating star steps: every neighbour that is larger, then every one that
     is smaller, is hung below the least neighbour, until nothing changes. The
-    number of rounds grows with the logarithm of the longest chain.
+    number of rounds grows with the logarithm of the longest chain. While all links are few enough to be broadcast, so are the
+    least neighbours, and no node's links meet in one task; beyond that AQE splits the hot ones.
     """
 
     def told(edges: DataFrame) -> tuple:
-        return tuple(edges.agg(F.count("*"), F.expr("bit_xor(xxhash64(a, b))")).first())
+        return tuple(edges.agg(F.count("*"), F.expr("bit_xor(xxhash64(a, b))"), F.sum(row_bytes(edges))).first())
+
+    def least_of(links: DataFrame, size: int) -> DataFrame:
+        least = links.groupBy("a").agg(F.min("b").alias("m"))
+        return F.broadcast(least) if size <= BROADCAST_BYTES else least
 
     edges = store(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = told(edges)
     while before[0]:
         both = edges.union(edges.select("b", "a"))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a AND b > m").selectExpr("b AS a", "m AS b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        near = both.join(least_of(both, 2 * before[2]), "a").withColumn("m", F.least("a", "m"))
+        large = near.where("b > a AND b > m").selectExpr("b AS a", "m AS b").distinct()
+        least = least_of(large, 2 * before[2])
         small = large.join(least, "a").selectExpr("IF(b > m, b, a) AS a", "m AS b")
         edges = store(small.union(least.selectExpr("a", "m AS b")).where("a > b").distinct())
         after = told(edges)

@@ -27,10 +27,14 @@ def _size(value: F.Column, kind: T.DataType) -> F.Column:
     return F.lit(8)
 
 
+def row_bytes(rows: DataFrame) -> F.Column:
+    """Bytes of a row, as it lies in memory."""
+    return sum((_size(F.col(f"`{f.name}`"), f.dataType) for f in rows.schema), F.lit(16)).cast("bigint")
+
+
 def measured(rows: DataFrame) -> int:
-    """Bytes of all rows, as they lie in memory."""
-    each = sum((_size(F.col(f"`{f.name}`"), f.dataType) for f in rows.schema), F.lit(16))
-    return rows.agg(F.sum(each.cast("bigint"))).first()[0] or 0
+    """Bytes of all rows."""
+    return rows.agg(F.sum(row_bytes(rows))).first()[0] or 0
 
 
 def beside(stored: DataFrame, most: int | None = None) -> DataFrame:
