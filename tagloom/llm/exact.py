@@ -6,13 +6,13 @@ expressions alone.
 1. One pass over the texts makes a narrow row for each: its length without blanks and
    the hash of its first PREFIX code points.
 2. Rows whose length is unique fall out; of the others, those whose length and prefix
-   hash are unique. Both are counts that combine before the shuffle; the rows themselves stay
-   while the lengths and hashes left over can be broadcast.
-3. Texts of the rows left over are read in full and hashed with SHA-256; groups
+   hash are unique. Both are counts that combine before the shuffle.
+3. Texts whose length and prefix hash are left over are read in full and hashed with SHA-256; groups
    are formed by that digest and the length.
 
-No text is sorted or shuffled while the ids left over can be broadcast (see
-``scratch.beside``); beyond that, texts meet those ids in a shuffled join.
+Texts are read where they lie, at any size: lengths and hashes left over are broadcast, or beyond BROADCAST_BYTES a bitmap of
+theirs (see ``_read``); what comes of it is narrow. Where the digest of every row is wanted, it is made once and
+feeds the groups. Only ``drop_duplicates`` moves texts, when the rows to be dropped are too many to be broadcast.
 A hot group is one key of joins whose other side has one row a key, so AQE can split it.
 """
 
@@ -21,11 +21,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagloom.llm.scratch import beside, store
+from tagloom.llm.scratch import BROADCAST_BYTES, beside, measured, store, unused
 
 PREFIX = 64
-#: Bytes of groups, with their digests, that may be sent to every executor.
-WIDE_BYTES = 64 << 20
+#: Groups, with their digests some WIDTH bytes each, that may be sent to every executor.
+WIDE_ROWS = 250_000
+WIDTH = 200
+#: Words of 64 bits of the bitmap: some 40 MB where it is joined.
+WORDS = 1 << 20
 #: Fixed: the characters that are deleted before texts are compared.
 BLANKS = " \t\n\x0b\x0c\r"
 
@@ -44,32 +47,58 @@ def _chars(text_col: str) -> F.Column:
     return F.length(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
 
 
-def _survivors(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, text_sha256, length, chars, raw of the rows that share length and prefix with another."""
+def _located(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, text, length, prefix of every row."""
     text = normalised(text_col)
-    rows = store(
-        docs.select(
-            F.col(id_col).alias("id"),
-            F.length(text).alias("length"),
-            F.xxhash64(F.substring(text, 1, PREFIX)).alias("prefix"),
-        )
+    return docs.select(
+        F.col(id_col).alias("id"),
+        F.col(text_col).alias("text"),
+        F.length(text).alias("length"),
+        F.xxhash64(F.substring(text, 1, PREFIX)).alias("prefix"),
     )
+
+
+_KEY = ["length", "prefix"]
+
+
+def _shared(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """length, prefix that two rows or more have."""
+    rows = store(_located(docs, id_col, text_col).select("length", "prefix"))
     lengths = store(rows.groupBy("length").count().where("count > 1").select("length"))
     same_length = rows.join(beside(lengths), "length", "left_semi")
-    key = ["length", "prefix"]
-    prefixes = store(same_length.groupBy(*key).count().where("count > 1").select(*key))
-    ids = store(same_length.join(beside(prefixes), key, "left_semi").select("id").distinct())
-    ids = ids.withColumnRenamed("id", "wanted")
-    wanted = docs.join(beside(ids), F.col(id_col).eqNullSafe(F.col("wanted")), "left_semi")
-    return store(
-        wanted.select(
-            F.col(id_col).alias("id"),
-            digest(text_col).alias("text_sha256"),
-            F.length(text).alias("length"),
-            _chars(text_col).alias("chars"),
-            F.xxhash64(F.col(text_col).cast("string")).alias("raw"),
-        )
+    return store(same_length.groupBy(*_KEY).count().where("count > 1").select(*_KEY))
+
+
+def _bitmap(keys: DataFrame) -> DataFrame:
+    """word, bits: a bit for each of ``keys`` (length, prefix), in at most WORDS words."""
+    slot = F.pmod(F.xxhash64(*_KEY), F.lit(64 * WORDS))
+    bits = keys.select(F.shiftright(slot, 6).alias("word"), F.expr("1L").alias("one"), (slot % 64).cast("int").alias("at"))
+    return store(bits.groupBy("word").agg(F.expr("bit_or(shiftleft(one, at))").alias("bits")))
+
+
+def _read(docs: DataFrame, keys: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, text_sha256, length, prefix, chars, raw of the rows whose length and prefix are among ``keys``, read in full.
+
+    No text moves. Keys that are too many to be broadcast are folded into a bitmap of bounded size, which lets their texts pass, and some
+    others: these are hashed for nothing and fall out of the join of narrow rows that follows. A bitmap that is full lets all texts pass.
+    """
+    rows = _located(docs, id_col, text_col)
+    few = measured(keys) <= BROADCAST_BYTES
+    if few:
+        some = rows.join(F.broadcast(keys), _KEY, "left_semi")
+    else:
+        slot = F.pmod(F.xxhash64(*_KEY), F.lit(64 * WORDS))
+        placed = rows.withColumns({"word": F.shiftright(slot, 6), "at": (slot % 64).cast("int")})
+        some = placed.join(F.broadcast(_bitmap(keys)), "word").where("shiftright(bits, at) & 1 = 1")
+    read = some.select(
+        "id", digest("text").alias("text_sha256"), *_KEY, _chars("text").alias("chars"), F.xxhash64(F.col("text").cast("string")).alias("raw")
     )
+    return store(read if few else read.join(keys.hint("merge"), _KEY, "left_semi"))
+
+
+def _survivors(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """What is read of the rows that share length and prefix with another."""
+    return _read(docs, _shared(docs, id_col, text_col), id_col, text_col)
 
 
 def _groups(survivors: DataFrame) -> DataFrame:
@@ -97,23 +126,22 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     Null and blank texts are equal to one another and so form one group. Ties
     on length go to the smallest id. Rows that repeat both id and text are
     kept or dropped alike (``drop_duplicates`` keeps one of them). An empty table
-    gives an empty result. Other columns are not read.
+    gives an empty result. A text of any length is read whole. Other columns are not read.
 
-    The digest is wanted for every row, so here every text is hashed once more,
-    where it lies; the groups come from ``duplicate_groups``.
+    The digest is wanted for every row, so every text is hashed, once and where it lies; groups are only looked for
+    among rows that share length and prefix. No text is in an exchange, whatever the size.
     """
-    groups = duplicate_groups(docs, id_col, text_col)
-    rows = docs.select(
-        F.col(id_col),
-        digest(text_col).alias("text_sha256"),
-        _chars(text_col).alias("chars"),
+    keys = _shared(docs, id_col, text_col)
+    rows = store(
+        _located(docs, id_col, text_col).select("id", *_KEY, digest("text").alias("text_sha256"), _chars("text").alias("chars"))
     )
+    groups = _groups(rows.join(beside(keys), _KEY, "left_semi"))
     in_group = F.col("group_size").isNotNull()
-    return rows.join(beside(groups, WIDE_BYTES), "text_sha256", "left").select(
-        id_col,
-        F.when(in_group, F.col("keep_id")).otherwise(F.col(id_col)).alias("keep_id"),
+    return rows.join(beside(groups, WIDE_ROWS * WIDTH), "text_sha256", "left").select(
+        F.col("id").alias(id_col),
+        F.when(in_group, F.col("keep_id")).otherwise(F.col("id")).alias("keep_id"),
         F.coalesce("group_size", F.lit(1)).alias("group_size"),
-        F.when(in_group, F.col(id_col).eqNullSafe(F.col("keep_id")) & (F.col("chars") == F.col("keep_chars")))
+        F.when(in_group, F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("chars") == F.col("keep_chars")))
         .otherwise(True)
         .alias("kept"),
         "text_sha256",
@@ -128,18 +156,18 @@ def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     row by its other columns stays.
     """
     survivors = _survivors(docs, id_col, text_col)
-    members = store(survivors.join(beside(_groups(survivors), WIDE_BYTES), "text_sha256"))
+    members = store(survivors.join(beside(_groups(survivors), WIDE_ROWS * WIDTH), "text_sha256"))
     stays = F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("chars") == F.col("keep_chars"))
     keyed = members.select("id", "raw", stays.alias("stays"))
     lost = store(keyed.where("NOT stays").select("id", "raw").distinct())
     twice = store(keyed.where("stays").groupBy("id", "raw").count().where("count > 1").select("id", "raw"))
 
+    of, own = unused(docs, "id_", "raw_")
+
     def among(rows: DataFrame) -> F.Column:
-        return F.col(id_col).eqNullSafe(rows["id_"]) & (
-            F.xxhash64(F.col(text_col).cast("string")) == rows["raw_"]
-        )
+        return F.col(id_col).eqNullSafe(rows[of]) & (F.xxhash64(F.col(text_col).cast("string")) == rows[own])
 
-    lost, twice = lost.toDF("id_", "raw_"), twice.toDF("id_", "raw_")
+    lost, twice = lost.toDF(of, own), twice.toDF(of, own)
     left = docs.join(beside(lost), among(lost), "left_anti")
     if twice.isEmpty():
         return left

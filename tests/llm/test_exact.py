@@ -64,3 +64,40 @@ def test_beyond_the_broadcast(spark, monkeypatch):
     rows = [(i, f"text {i % 7}") for i in range(50)]
     assert sorted((tuple(r) for r in exact.exact_duplicates(helpers.docs(spark, rows)).collect()), key=repr) == brute(rows)
     assert sorted(r.doc_id for r in exact.drop_duplicates(helpers.docs(spark, rows)).collect()) == list(range(7))
+
+
+def exchanges(df):
+    from tests.helpers import plan
+
+    return [part for part in plan(df).split("\n\n") if ") Exchange" in part.split("\n")[0]]
+
+
+def test_no_text_in_an_exchange_at_any_size(spark, tmp_path, monkeypatch):
+    """Beyond the broadcast a bitmap is tested where the texts lie; only narrow rows are joined."""
+    seen = []
+    whole = exact.store
+    monkeypatch.setattr(exact, "store", lambda rows, *a: seen.append(exchanges(rows)) or whole(rows, *a))
+    rng = random.Random(9)
+    rows = [(i, t) for i, t in helpers.corpus(rng, 60)] + [(500 + k, f"unlike {k}") for k in range(40)]
+    path = str(tmp_path / "docs")
+    helpers.docs(spark, rows).write.parquet(path)
+    docs = spark.read.parquet(path)
+    for words in (exact.WORDS, 1):  # and a bitmap so small that it lets all texts pass
+        monkeypatch.setattr(exact, "BROADCAST_BYTES", 0)
+        monkeypatch.setattr(exact, "WIDE_ROWS", 0)
+        monkeypatch.setattr("tagloom.llm.scratch.beside.__defaults__", (0,))
+        monkeypatch.setattr(exact, "WORDS", words)
+        done = exact.exact_duplicates(docs)
+        assert sorted((tuple(r) for r in done.collect()), key=repr) == brute(rows)
+        groups = exact.duplicate_groups(docs)
+        assert {(r.keep_id, r.group_size) for r in groups.collect()} == {r[1:3] for r in brute(rows) if r[2] > 1}
+        seen.append(exchanges(done))
+    assert sum(map(len, seen)) > 5
+    assert not any("text#" in part or "text," in part.replace("text_sha256", "") for parts in seen for part in parts)
+
+
+def test_columns_of_any_name_stay(spark):
+    rows = [(3, "a"), (2, "a"), (2, "a"), (4, "b")]
+    df = helpers.docs(spark, rows).selectExpr("doc_id AS id_", "text AS raw_", "1 AS id", "2 AS raw", "3 AS stays")
+    done = exact.drop_duplicates(df, "id_", "raw_")
+    assert done.columns == df.columns and sorted(tuple(r)[:2] for r in done.collect()) == [(2, "a"), (4, "b")]
