@@ -33,8 +33,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tagloom.llm.scratch import BROADCAST_BYTES, beside, row_bytes, store
+from tagloom.llm.scratch import BROADCAST_BYTES, beside, row_bytes, store, unused, without
 from tagloom.llm.sieve import read_among
 from tagloom.llm.words import BLANK_PARTED, U, mixed, numbers, pieces, shingle_hashes, word_hashes
 
@@ -356,7 +357,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     no shingle and is linked with nothing, itself excepted. Rows that repeat an id
     are one node: each gets its own n_shingles and their common component. A null
     id is linked with nothing: component_id is null and kept is true. An empty table gives
-    an empty result. Other columns are not read.
+    an empty result. A text of any length is read whole. Other columns are not read.
     """
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     told = store(describe(texts, "id", "text"))
@@ -386,3 +387,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.coalesce("component", "id").alias("component_id"),
         F.coalesce(F.col("id") == F.coalesce("component", "id"), F.lit(True)).alias("kept"),
     )
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each group of near duplicates, the one with the smallest id; all columns stay.
+
+    Where ids are null or repeat, rows are told apart by id and a hash of the text, so each is judged by its own
+    text; null ids come last. Rows that repeat both go or stay together. Null and blank texts stay. An empty table gives an
+    empty result; columns may have any name.
+    """
+    ids = docs.select(F.col(id_col).alias("id")).groupBy("id").count()
+    if ids.where("id IS NULL OR count > 1").isEmpty():
+        return without(docs, near_duplicates(docs, id_col, text_col).where("NOT kept"), id_col)
+    (row,) = unused(docs, "row_key")
+    own = F.lpad(F.hex(F.xxhash64(F.col(text_col).cast("string"))), 16, "0")
+    if isinstance(docs.schema[id_col].dataType, T.IntegralType):
+        # In the order of ids: 16 hex digits of the number with its sign turned, or else a letter.
+        number = F.lpad(F.hex(F.col(id_col).cast("long").bitwiseXOR(F.lit(-(1 << 63)))), 16, "0")
+    else:
+        number = F.concat(F.lit("0"), F.col(id_col).cast("string"), F.lit("\0"))
+    keyed = docs.withColumn(row, F.concat(F.coalesce(number, F.lit("null")), own))
+    return without(keyed, near_duplicates(keyed, row, text_col).where("NOT kept"), row).drop(row)

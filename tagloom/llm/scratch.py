@@ -63,8 +63,13 @@ def least_hashes(rows: DataFrame, by: str, most: int) -> DataFrame:
 
 
 def without(docs: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
-    """``docs`` without the rows whose id is among ``ids``; null ids stay."""
-    return docs.join(beside(store(ids.select(id_col).distinct())), id_col, "left_anti")
+    """``docs`` without the rows whose id is among ``ids``; null ids stay.
+
+    While the ids can be broadcast no row moves; beyond that rows are shuffled once, with all of their columns.
+    """
+    (gone,) = unused(docs, "gone")
+    lost = beside(store(ids.select(F.col(id_col).alias(gone)).distinct()))
+    return docs.join(lost, F.col(id_col) == F.col(gone), "left_anti")
 
 
 def unused(rows: DataFrame, *names: str) -> list[str]:

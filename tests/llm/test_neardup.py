@@ -149,3 +149,22 @@ def test_links_that_no_first_of_a_bucket_shows(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in found(spark, rows)} == want
     first, second = ({tuple(sorted(r)) for r in s.collect()} for s in stars)
     assert (900, 901) in second - first
+
+
+def test_rows_with_null_and_repeated_ids_and_columns_of_any_name(spark):
+    vocab = helpers.vocabulary(99)
+    rng = random.Random(3)
+    text = [helpers.sentence(rng, 40, vocab) for _ in range(3)]
+    near = [f"{t} w1" for t in text]
+    rows = [(None, text[0]), (None, near[0]), (-5, text[1]), (3, near[1]), (3, text[2]), (7, near[2]), (8, None), (8, None)]
+    df = helpers.docs(spark, rows).withColumnsRenamed({"kept": "row_key", "id": "gone", "doc_id": "N"})
+    left = neardup.drop_near_duplicates(df, "N")
+    assert left.columns == df.columns and {r.row_key for r in left.collect()} == {None} and {r.gone for r in left.collect()} == {"x"}
+    got = [(r.N, r.text) for r in left.collect()]
+    assert len(got) == 5 and {(-5, text[1]), (3, text[2]), (8, None)} <= set(got)
+    assert len({(None, text[0]), (None, near[0])} & set(got)) == 1
+    names = helpers.docs(spark, rows).selectExpr("CAST(doc_id AS STRING) AS name", "text")
+    assert neardup.drop_near_duplicates(names, "name").count() == 5
+    unique = helpers.docs(spark, [(1, text[0]), (2, near[0]), (3, None)])
+    assert sorted(r.doc_id for r in neardup.drop_near_duplicates(unique).collect()) == [1, 3]
+    assert neardup.drop_near_duplicates(df.limit(0), "N").collect() == []
