@@ -6,11 +6,10 @@ Each stage gets the rows that the one before wrote, and all of their columns.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tagloom.llm import decontaminate, exact, language, mixing, neardup
 from tagloom.llm.queries import remainder, table
-from tagloom.llm.scratch import store, without
+from tagloom.llm.scratch import store
 
 #: Least corrected share of known n-grams of a text in any of the languages.
 COVERAGE = 0.15
@@ -34,16 +33,9 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: the one with the smallest id.
 
-    Where ids are null or repeat, rows are told apart by id and a hash of the text; null ids come last.
+    Where ids are null or repeat, rows are told apart by id and text.
     """
-    if docs.groupBy("doc_id").count().where("doc_id IS NULL OR count > 1").isEmpty():
-        return without(docs, neardup.near_duplicates(docs).where("NOT kept"), "doc_id")
-    # In the order of ids: 16 hex digits of the number with its sign turned, or else a letter.
-    number = F.col("doc_id").cast("long").bitwiseXOR(F.lit(-(1 << 63)))
-    own = F.lpad(F.hex(F.xxhash64(F.col("text").cast("string"))), 16, "0")
-    row = F.concat(F.coalesce(F.lpad(F.hex(number), 16, "0"), F.lit("null")), own)
-    keyed = docs.withColumn("row_key", row)
-    return without(keyed, neardup.near_duplicates(keyed, "row_key").where("NOT kept"), "row_key").drop("row_key")
+    return neardup.drop_near_duplicates(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
