@@ -363,7 +363,7 @@ def judge(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     """<id>, contaminated, n_passages, matched (equal tokens of the longest), item_ids of every row, by id.
 
     Rows that share an id are judged together. A null id is never joined to a passage: its row is judged clean, and ``decontaminated`` keeps it.
-    ``judge_rows`` judges every row by its own text.
+    ``judge_rows`` judges every row by its own text. An empty table of documents gives an empty result, one of items calls every row clean.
     """
     found = passages(docs.select(F.col(id_col).alias("judged"), F.col(text_col).alias("read")), benchmark, "judged", "read")
     per_doc = store(_summed(found, "judged"))

@@ -130,4 +130,27 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256
         FROM g
     """,
+    # All pairs of a label, and all vectors that can be reached from each.
+    "op13_embedding_duplicates": """
+        WITH RECURSIVE good AS (
+            SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e
+            FROM embeddings
+            WHERE label IS NOT NULL AND len(embedding) > 0
+              AND len([c FOR c IN embedding IF c IS NULL OR NOT isfinite(c)]) = 0
+              AND len([c FOR c IN embedding IF c <> 0]) > 0
+        ), links AS (
+            SELECT x.vec_id AS a, y.vec_id AS b
+            FROM good x JOIN good y ON x.label = y.label AND len(x.e) = len(y.e) AND x.vec_id <> y.vec_id
+            WHERE list_cosine_similarity(x.e, y.e) >= 0.93
+        ), n AS (
+            SELECT a, count(*) AS n FROM links GROUP BY a
+        ), reach AS (
+            SELECT vec_id, vec_id AS other FROM embeddings
+            UNION SELECT r.vec_id, l.b FROM reach r JOIN links l ON l.a = r.other
+        ), least AS (
+            SELECT vec_id, min(other) AS component_id FROM reach GROUP BY vec_id
+        )
+        SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept
+        FROM least LEFT JOIN n ON n.a = vec_id
+    """,
 }
