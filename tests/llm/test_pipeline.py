@@ -108,3 +108,15 @@ def test_rows_with_null_and_shared_ids_are_judged_by_their_own_text(spark, tmp_p
     assert len({(None, text[0]), (None, near[0])} & set(got)) == 1
     rows = [(None, text[0]), (None, f"x {passage}"), (5, passage), (5, text[1]), (6, None)]
     assert left("decontamination", rows) == sorted([(None, text[0]), (5, text[1]), (6, None)], key=repr)
+
+
+def test_extra_columns_of_any_name_pass_all_stages(spark, tmp_path):
+    tables(spark, str(tmp_path))
+    names = ["row_key", "gone", "of", "target", "below", "place", "whole", "a", "b", "a_", "b_", "id_", "raw_", "stays", "TIMES_"]
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet").selectExpr("*", *(f"{k} AS {n}" for k, n in enumerate(names)))
+    for _, stage in pipeline.STAGES:
+        columns = docs.columns
+        docs = pipeline.store(stage(spark, docs, str(tmp_path)))
+        assert docs.columns[: len(columns)] == columns
+    left = docs.select(*names).distinct().collect()
+    assert [tuple(r) for r in left] == [tuple(range(len(names)))]
