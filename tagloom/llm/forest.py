@@ -25,6 +25,7 @@ splits, five trees miss one such pair in 100 million, 500,000 and 20,000.
 
 from __future__ import annotations
 
+import heapq
 import math
 import pickle
 from collections import defaultdict
@@ -43,10 +44,11 @@ TREES = 5
 #: Classes in a leaf, and in a block of a larger one.
 LEAF = 2048
 #: Classes of a label that its trees are fitted on (expected number).
-SAMPLE = 16384
-#: Leaves of all labels together, of one tree each: it bounds what is broadcast to some 30 MB. Beyond LEAF times as many
-#: classes, leaves are larger and cut into blocks.
+SAMPLE = 1 << 16
+#: Leaves of all labels together, of one tree each, if nothing spilled; spilling makes at most SPREAD times as many. It bounds what is
+#: broadcast to some 50 MB. Beyond LEAF times as many classes, leaves are larger and cut into blocks.
 MOST_LEAVES = 1 << 16
+SPREAD = 4
 #: Rows this near to a split go to both sides; in standard deviations of isotropic unit vectors.
 SPILL = 0.25
 #: Directions of a tree, and how many are tried at a node.
@@ -101,8 +103,8 @@ class Trees:
                 self._emptied()
                 self.roots.append(self._leaf())
                 break
-        for name in ("direction", "threshold", "below", "above", "roots"):
-            setattr(self, name, np.asarray(getattr(self, name)))
+        for name, kind in (("direction", np.int16), ("threshold", np.float64), ("below", np.int32), ("above", np.int32), ("roots", np.int64)):
+            setattr(self, name, np.asarray(getattr(self, name), dtype=kind))
 
     def _emptied(self) -> None:
         self.direction: list[int] = []
@@ -123,9 +125,12 @@ class Trees:
         return len(self.direction) - 1
 
     def _grow(self, p: np.ndarray, first: int, last: int, each: float, leaf: int) -> None:
-        open_ = [(self._leaf(), np.arange(len(p)), first)]
-        while open_:
-            node, rows, first = open_.pop()
+        """Splits nodes, the largest first, while they are too large and there are not too many leaves."""
+        most = SPREAD * math.ceil(len(p) * each / leaf)
+        open_ = [(-len(p), self._leaf(), np.arange(len(p)), first)]
+        leaves = 1
+        while open_ and leaves < most:
+            _, node, rows, first = heapq.heappop(open_)
             if len(rows) * each <= leaf or len(rows) < 2 * FEWEST:
                 continue
             tried = [(*_split(p[rows, k]), k) for k in range(first, min(first + TRIES, last))]
@@ -134,15 +139,16 @@ class Trees:
             _, at, k = min(tried)
             self.direction[node], self.threshold[node] = k, at
             self.below[node], self.above[node] = self._leaf(), self._leaf()
-            open_.append((self.below[node], rows[p[rows, k] <= at + SPILL], k + 1))
-            open_.append((self.above[node], rows[p[rows, k] > at - SPILL], k + 1))
+            for child, inside in ((self.below[node], p[rows, k] <= at + SPILL), (self.above[node], p[rows, k] > at - SPILL)):
+                heapq.heappush(open_, (-int(inside.sum()), child, rows[inside], k + 1))
+            leaves += 1
 
     def leaves(self, tree: int, p: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Index of the pair and node of every leaf that rows a and b share in a tree."""
         pair, node = np.arange(len(a)), np.full(len(a), self.roots[tree])
         pairs, nodes = [], []
         while len(pair):
-            k = self.direction[node]
+            k = self.direction[node].astype(np.int64)
             end = k < 0
             pairs.append(pair[end])
             nodes.append(node[end])
@@ -151,7 +157,7 @@ class Trees:
             left = np.maximum(x, y) <= at + SPILL
             right = np.minimum(x, y) > at - SPILL
             pair, node = np.r_[pair[left], pair[right]], np.r_[self.below[node[left]], self.above[node[right]]]
-        return np.concatenate(pairs or [pair]), np.concatenate(nodes or [node])
+        return np.concatenate(pairs or [pair]), np.concatenate(nodes or [node]).astype(np.int64)
 
     def first_shared(self, leaf: int, p: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Which of the pairs of rows a, b, all of them in this leaf, share none before it."""
@@ -343,7 +349,7 @@ def _forest(sketched: DataFrame) -> tuple[Forest, int]:
     sampled = sketched.select("label", "d", "c", "q", "scale").join(beside(store(large)), ["label", "d"]).where(chance)
     kind = sketched.schema["label"].dataType.simpleString()
     fitted = sampled.groupBy("label", "d").applyInArrow(_fitted(leaf), f"label {kind}, d int, trees binary")
-    # Some 30 bytes for each of at most 2 * TREES * MOST_LEAVES nodes, spilled ones besides.
+    # 18 bytes for each of at most 2 * SPREAD * TREES * MOST_LEAVES nodes.
     return {(r["label"], r["d"]): Trees.of(pickle.loads(r["trees"])) for r in fitted.collect()}, leaf
 
 
