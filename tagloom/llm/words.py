@@ -15,8 +15,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 U = np.uint64
-#: Bytes of text that are worked on together.
-PIECE = 1 << 20
+#: Bytes of text that are worked on together: some 20 MB of arrays.
+PIECE = 1 << 18
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
