@@ -271,18 +271,23 @@ def connected(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def _near(q: np.ndarray, scale: np.ndarray, error: np.ndarray, left: np.ndarray, right: np.ndarray) -> Iterator[tuple]:
     """Pairs i, j of left and right rows that may be linked, and whether they are for certain."""
-    same = left is right
-    other, far = q[right].astype(np.float32).T, error[right]
+    unit = q.astype(np.float32) * scale[:, None].astype(np.float32)
+    slack = max(SLACK, q.shape[1] * float(np.finfo(np.float32).eps))
+    largest = float(error.max(initial=0.0))
+    loosest = np.float32(COSINE - largest * (2 + largest) - 2 * slack)
+    other = unit[right].T
     step = max(1, (4 << 20) // max(1, len(right)))
     for k in range(0, len(left), step):
         rows = left[k : k + step]
-        cosine = (q[rows].astype(np.float32) @ other) * scale[rows, None].astype(np.float32) * scale[right].astype(np.float32)
-        bound = error[rows, None] + far * (1 + error[rows, None]) + SLACK
-        possible = cosine >= COSINE - bound
-        if same:
-            possible &= np.arange(len(right)) > np.arange(k, k + len(rows))[:, None]
-        i, j = np.nonzero(possible)
-        yield rows[i], right[j], (cosine >= COSINE + bound)[i, j]
+        cosine = unit[rows] @ other
+        i, j = np.nonzero(cosine >= loosest)
+        if left is right:
+            i, j = i[j > i + k], j[j > i + k]
+        # Only the few pairs that are left have bounds of their own.
+        found = cosine[i, j].astype(np.float64)
+        bound = error[rows[i]] + error[right[j]] * (1 + error[rows[i]]) + slack
+        near = found >= COSINE - bound
+        yield rows[i[near]], right[j[near]], (found >= COSINE + bound)[near]
 
 
 def _exact(vectors: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
